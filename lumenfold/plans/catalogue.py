@@ -1,9 +1,472 @@
-"""All registered queries and the SQL that gives the same rows."""
+"""All registered queries of the core operators and the SQL that gives the same rows."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from ..functions import normalize as N
+from ..functions import privacy as P
+from ..functions import text as T
+from ..operators import dashboard, documents, duplicates, forms, lifecycle, metering, quality, search, security, snapshots
+from ..sources.tables import page, table, values
+
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+def registered(sql: str | None = None):
+    def keep(f: Query) -> Query:
+        _queries[f.__name__] = f
+        if sql is not None:
+            _sql[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_sql)
+
+
+def _rows(rows: list[tuple]) -> str:
+    """Rows as the body of a VALUES clause."""
+    one = lambda v: "NULL" if v is None else str(v) if isinstance(v, (bool, int, float)) else "'" + str(v).replace("'", "''") + "'"
+    return "VALUES " + ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows)
+
+
+SINCE = "TIMESTAMP '2024-01-10 00:00:00'"
+_KIND = "CASE event_type WHEN 'purchase' THEN 'fill' WHEN 'signup' THEN 'seat' WHEN 'click' THEN 'ai_extraction' WHEN 'error' THEN 'storage' ELSE 'document_tool' END"
+_PLAN = "CASE user_id % 5 WHEN 0 THEN 'free' WHEN 1 THEN 'starter' WHEN 2 THEN 'professional' WHEN 3 THEN 'business' ELSE 'other' END"
+_STATUS = "CASE user_id % 3 WHEN 0 THEN 'active' WHEN 1 THEN 'trialing' ELSE 'past_due' END"
+
+
+def _usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.expr(_KIND)
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("org"), "event_id", "user_id", kind.alias("event_type"), F.lit(1).alias("quantity"), (F.col("event_id") % 7 != 0).alias("billable"), F.col("ts").cast("timestamp").alias("created_at"))
+
+
+_USAGE = f"SELECT user_id AS org, event_type, CAST(sum(quantity) AS BIGINT) AS total FROM (SELECT user_id, {_KIND} AS event_type, 1 AS quantity FROM events WHERE event_id % 7 <> 0 AND ts >= {SINCE}) GROUP BY ALL"
+
+
+@registered(_USAGE)
+def q_usage_since(spark, sf_dir):
+    """Billable usage since a given time."""
+    return metering.usage_since(_usage(spark, sf_dir), F.lit("2024-01-10").cast("timestamp"))
+
+
+_PLAN_ROWS = _rows([(p[0], *p[2:7]) for p in metering.PLANS])
+
+
+@registered(f"""
+WITH used AS ({_USAGE}), p(plan_code, fills, ai, seats, customers, mb) AS ({_PLAN_ROWS}),
+s AS (SELECT DISTINCT user_id AS org, CASE WHEN {_PLAN} = 'other' THEN 'free' ELSE {_PLAN} END AS plan_code, {_STATUS} AS status FROM events),
+j AS (SELECT org, plan_code, event_type, total, status, CASE event_type WHEN 'fill' THEN fills WHEN 'ai_extraction' THEN ai WHEN 'seat' THEN seats WHEN 'storage' THEN mb END - total AS rest FROM used JOIN s USING (org) JOIN p USING (plan_code)),
+r AS (SELECT *, CASE WHEN plan_code <> 'free' AND status NOT IN ('active', 'trialing') THEN 'payment_required' WHEN rest < 1 THEN CASE event_type WHEN 'fill' THEN 'fills' WHEN 'ai_extraction' THEN 'ai_extractions' WHEN 'seat' THEN 'seats' ELSE 'storage' END END AS reason FROM j)
+SELECT org, plan_code, event_type, total, reason IS NULL AS allowed, CAST(CASE WHEN reason IS NOT NULL THEN 0 ELSE rest - 1 END AS BIGINT) AS remaining, reason FROM r
+""")
+def q_entitlement(spark, sf_dir):
+    """What each organisation may still take of each metered kind."""
+    subscriptions = table(spark, sf_dir, "events").select(F.col("user_id").alias("org"), F.expr(_PLAN).alias("plan_code"), F.expr(_STATUS).alias("status")).distinct()
+    return metering.decisions(subscriptions, q_usage_since(spark, sf_dir))
+
+
+@registered(f"""
+WITH u AS (SELECT user_id AS org, CASE WHEN {_PLAN} = 'other' THEN 'free' ELSE {_PLAN} END AS plan_code, count(*) FILTER (event_type = 'purchase') AS f, count(*) FILTER (event_type = 'click') AS a, count(*) FILTER (event_type = 'signup') AS s, count(*) FILTER (event_type = 'view') AS c, count(*) FILTER (event_type = 'error') AS m FROM events GROUP BY ALL),
+p(plan_code, fills, ai, seats, customers, mb) AS ({_PLAN_ROWS}),
+j AS (SELECT * FROM u JOIN p USING (plan_code)),
+i AS (SELECT org, plan_code, 'fill' AS item, f AS used, fills AS included FROM j UNION ALL SELECT org, plan_code, 'ai_extraction', a, ai FROM j UNION ALL SELECT org, plan_code, 'seat', s, seats FROM j UNION ALL SELECT org, plan_code, 'customers', c, customers FROM j UNION ALL SELECT org, plan_code, 'storage_mb', m, mb FROM j)
+SELECT org, plan_code, item, used, CAST(included AS BIGINT) AS included, CASE WHEN included > 0 THEN least(1.0, CAST(used AS DOUBLE) / included) END AS ratio FROM i
+""")
+def q_usage_ratios(spark, sf_dir):
+    """Used and included amounts of every plan item."""
+    n = lambda kind: F.count_if(F.col("event_type") == kind)
+    plan = F.expr(f"CASE WHEN {_PLAN} = 'other' THEN 'free' ELSE {_PLAN} END")
+    used = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("org"), plan.alias("plan_code")).agg(n("purchase").alias("fills_used"), n("click").alias("ai_used"), n("signup").alias("seats_used"), n("view").alias("customers_used"), n("error").alias("storage_used"))
+    return metering.usage_ratios(used)
+
+
+@registered("""
+WITH e AS (SELECT user_id % 10 AS org, user_id, event_type, CAST(floor(value) AS BIGINT) AS v, ts FROM events),
+s AS (SELECT org, count(*) FILTER (ts >= TIMESTAMP '2024-01-20' AND event_type = 'purchase') AS fills_today, count(DISTINCT CASE WHEN ts >= TIMESTAMP '2024-01-20' THEN user_id END) AS customers_served_today, CAST(coalesce(sum(v) FILTER (ts >= TIMESTAMP '2024-01-01'), 0) AS BIGINT) AS fields_this_month FROM e GROUP BY org),
+c AS (SELECT c_custkey % 10 AS org, count(*) AS customers_total FROM customer WHERE c_acctbal >= 0 GROUP BY 1),
+x AS (SELECT o_custkey % 10 AS org, count(*) FILTER (o_orderdate >= TIMESTAMP '2000-01-01' AND o_orderstatus IN ('F', 'O')) AS documents_today, count(*) FILTER (o_orderstatus = 'O') AS reviews_pending, count(*) FILTER (o_orderstatus = 'P') AS applications_open FROM orders GROUP BY 1)
+SELECT s.org, fills_today, customers_served_today, fields_this_month, customers_total, documents_today - 0 AS documents_today, reviews_pending, applications_open FROM s JOIN c USING (org) JOIN x USING (org)
+""")
+def q_dashboard(spark, sf_dir):
+    """Seven counters by organisation."""
+    sessions = table(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("org"), F.col("user_id").alias("customer_id"), F.when(F.col("event_type") == "purchase", "filled").otherwise("open").alias("status"), F.expr("cast(floor(value) as bigint)").alias("filled_fields"), F.col("ts").alias("created_at"))
+    people = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 10).alias("org"), F.when(F.col("c_acctbal") < 0, F.lit("2024-01-01")).alias("deleted_at"))
+    orders = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 10).alias("org"), "o_orderstatus", (F.col("o_orderdate") + F.expr("case when o_orderdate >= timestamp_ntz'2000-01-01' then interval '9000' day else interval '0' day end")).alias("created_at"))
+    extractions = orders.select("org", F.when(F.col("o_orderstatus") == "O", "review_required").when(F.col("o_orderstatus") == "F", "completed").otherwise("failed").alias("status"), "created_at")
+    applications = orders.select("org", F.when(F.col("o_orderstatus") == "P", "submitted").otherwise("approved").alias("status"), F.lit(None).cast("timestamp").alias("deleted_at"))
+    return dashboard.summary(sessions, people, extractions, applications, F.lit("2024-01-20").cast("timestamp_ntz"))
+
+
+@registered("SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_nationkey = 7 AND c_acctbal >= 0 AND c_acctbal < 9000 ORDER BY c_acctbal DESC, c_custkey LIMIT 25 OFFSET 5")
+def q_list_page(spark, sf_dir):
+    """One page of a filtered, ordered list."""
+    rows = table(spark, sf_dir, "customer").where((F.col("c_nationkey") == 7) & (F.col("c_acctbal") >= 0) & (F.col("c_acctbal") < 9000))
+    return page(rows.select("c_custkey", "c_name", "c_acctbal"), F.desc("c_acctbal"), F.asc("c_custkey"), offset=5)
+
+
+@registered("SELECT o_custkey, o_orderkey, o_orderdate, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
+def q_recent_orders(spark, sf_dir):
+    """The latest order of each customer."""
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
+    return snapshots.keep_latest(rows, ["o_custkey"], F.desc("o_orderdate"), F.desc("o_orderkey"))
+
+
+@registered("""
+WITH c AS (SELECT o_custkey AS k, o_orderkey AS v, o_totalprice AS amount FROM orders WHERE o_orderkey % 3 = 0 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1),
+n AS (SELECT o_custkey AS k, o_orderkey AS v, o_totalprice AS amount FROM orders WHERE o_orderkey % 3 = 1 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1)
+SELECT * FROM n UNION ALL SELECT * FROM c WHERE k NOT IN (SELECT k FROM n)
+""")
+def q_upsert(spark, sf_dir):
+    """Changes merged into a snapshot by key; the last write wins."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("v"), F.col("o_totalprice").alias("amount"))
+    current = snapshots.keep_latest(rows.where("v % 3 = 0"), ["k"], F.desc("v"))
+    return snapshots.upsert(current, rows.where("v % 3 = 1"), ["k"], "v")
+
+
+@registered("""
+SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)
+""")
+def q_insert_missing(spark, sf_dir):
+    """Rows appended where their key is not taken."""
+    current = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    return snapshots.insert_missing(current, table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")), ["id"])
+
+
+@registered("SELECT o_orderstatus, count(*) AS n, count(CASE WHEN o_totalprice < 1000 THEN 1 END) AS gone FROM orders GROUP BY 1")
+def q_soft_delete(spark, sf_dir):
+    """Rows marked as deleted, counted."""
+    rows = table(spark, sf_dir, "orders").select("o_orderstatus", "o_totalprice", F.lit(None).cast("timestamp").alias("deleted_at"))
+    done = snapshots.soft_delete(rows, F.col("o_totalprice") < 1000, F.lit("2024-01-01").cast("timestamp"))
+    return done.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.count("deleted_at").alias("gone"))
+
+
+@registered("SELECT count(*) AS purged FROM events WHERE ts < TIMESTAMP '2024-01-05'")
+def q_purge(spark, sf_dir):
+    """How many rows a purge removes."""
+    return snapshots.purge(table(spark, sf_dir, "events"), F.col("ts") < F.lit("2024-01-05").cast("timestamp_ntz"))[1]
+
+
+@registered("SELECT p_partkey % 50 AS k, max(CASE WHEN p_size > 25 THEN 'own' ELSE 'global' END) AS layer FROM part GROUP BY 1")
+def q_global_overlay(spark, sf_dir):
+    """A tenant's rows over global ones."""
+    rows = table(spark, sf_dir, "part").select((F.col("p_partkey") % 50).alias("k"), (F.col("p_size") > 25).alias("own"))
+    layer = lambda own: rows.where(F.col("own") == own).select("k", F.lit("own" if own else "global").alias("layer")).distinct()
+    return snapshots.overlay([layer(False), layer(True)], ["k"])
+
+
+MEMBERS = [(1, "u1", "owner", "active"), (2, "u1", "viewer", "active"), (3, "u1", "operator", "suspended"), (4, "u1", "billing_admin", "active"), (5, "u2", "owner", "active"), (7, "u1", "manager", "active")]
+GRANTS = [(1, "u9", "documents", "2030-01-01", None), (2, "u9", "metadata", "2030-01-01", None), (3, "u9", "documents", "2020-01-01", None), (4, "u9", "customer_records", "2030-01-01", "2024-01-01"), (5, "u9", "customer_records", "2030-01-01", None)]
+
+
+@registered(f"SELECT c_custkey, c_nationkey AS org FROM customer WHERE c_nationkey IN (SELECT org FROM ({_rows(MEMBERS)}) m(org, user_id, role, status) WHERE user_id = 'u1' AND status = 'active' AND role IN ('owner', 'manager', 'operator', 'viewer'))")
+def q_rls_customers(spark, sf_dir):
+    """Customers that a member may read."""
+    members = values(spark, "org int, user_id string, role string, status string", MEMBERS)
+    return security.secure(table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("org")), members, "u1").select("c_custkey", "org")
+
+
+@registered(f"SELECT c_custkey, c_nationkey AS org FROM customer WHERE c_nationkey IN (SELECT org FROM ({_rows(GRANTS)}) g(org, granted_to, scope, expires_at, revoked_at) WHERE granted_to = 'u9' AND revoked_at IS NULL AND expires_at > '2024-06-01' AND scope IN ('customer_records', 'documents'))")
+def q_support_grant(spark, sf_dir):
+    """Customers that a support grant opens."""
+    grants = values(spark, "org int, granted_to string, scope string, expires_at string, revoked_at string", GRANTS)
+    return security.with_support(table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("org")), grants, "u9", "customer_records", F.lit("2024-06-01")).select("c_custkey", "org")
+
+
+@registered(f"""
+WITH m(org, user_id, role, status) AS ({_rows(MEMBERS)}), p(role, permission) AS ({_rows([("owner", x) for x in security.MANAGER] + [("manager", x) for x in security.MANAGER] + [("operator", x) for x in security.OPERATOR] + [("viewer", x) for x in security.VIEWER] + [("billing_admin", x) for x in security.BILLING])})
+SELECT DISTINCT org, user_id, permission FROM m JOIN p USING (role) WHERE status = 'active'
+""")
+def q_permissions(spark, sf_dir):
+    """What active members may do."""
+    members = values(spark, "org int, user_id string, role string, status string", MEMBERS)
+    return security.granted(members, security.permissions(spark, security.MANAGER))
+
+
+_EDGES = _rows([(a, b) for a, own in lifecycle.TRANSITIONS.items() for b in own.split()])
+_STATE = "CASE CAST(o_orderkey % 9 AS INT) WHEN 0 THEN 'draft' WHEN 1 THEN 'pending_documents' WHEN 2 THEN 'ready_to_fill' WHEN 3 THEN 'filled' WHEN 4 THEN 'submitted' WHEN 5 THEN 'pending_followup' WHEN 6 THEN 'approved' WHEN 7 THEN 'rejected' ELSE 'cancelled' END"
+
+
+@registered(f"""
+WITH e(o, n) AS ({_EDGES}), s AS (SELECT o_custkey AS application_id, o_orderkey AS seq, {_STATE} AS status FROM orders),
+h AS (SELECT *, lag(status) OVER (PARTITION BY application_id ORDER BY seq) AS old_status FROM s)
+SELECT application_id, seq, status, old_status, old_status IS DISTINCT FROM status AS changed, old_status IS NULL OR old_status = status OR e.o IS NOT NULL AS valid FROM h LEFT JOIN e ON e.o = old_status AND e.n = status
+""")
+def q_status_history(spark, sf_dir):
+    """Status changes with whether they are allowed."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("application_id"), F.col("o_orderkey").alias("seq"), F.expr(_STATE).alias("status"))
+    return lifecycle.history(rows, ["seq"], lifecycle.transitions(spark))
+
+
+JOBS = [(i, ["pending", "retry", "running", "failed"][i % 4], i % 5, 5, f"2024-01-01 00:{i:02d}:00", None if i % 3 else "2024-01-01 00:10:00") for i in range(40)]
+_JOBS = "id bigint, status string, attempts int, max_attempts int, run_after timestamp, locked_until timestamp"
+_JOBS_SQL = f"SELECT id, status, attempts, max_attempts, CAST(run_after AS TIMESTAMP) AS run_after, CAST(locked_until AS TIMESTAMP) AS locked_until FROM ({_rows(JOBS)}) j(id, status, attempts, max_attempts, run_after, locked_until)"
+
+
+def _jobs(spark: SparkSession) -> DataFrame:
+    raw = values(spark, "id bigint, status string, attempts int, max_attempts int, run_after string, locked_until string", JOBS)
+    return raw.withColumns({c: F.col(c).cast("timestamp") for c in ("run_after", "locked_until")}).withColumns({"locked_by": F.lit(None).cast("string"), "last_error": F.lit(None).cast("string")})
+
+
+@registered(f"""
+WITH j AS ({_JOBS_SQL}), c AS (SELECT id FROM j WHERE status IN ('pending', 'retry') AND run_after <= TIMESTAMP '2024-01-01 00:30:00' AND (locked_until IS NULL OR locked_until < TIMESTAMP '2024-01-01 00:30:00') ORDER BY run_after, id LIMIT 5)
+SELECT id, CASE WHEN c.id IS NULL THEN status ELSE 'running' END AS status, CAST(attempts + (c.id IS NOT NULL)::INT AS INT) AS attempts, CASE WHEN c.id IS NULL THEN locked_until ELSE TIMESTAMP '2024-01-01 00:32:00' END::VARCHAR AS locked_until FROM j LEFT JOIN c USING (id)
+""")
+def q_job_claim(spark, sf_dir):
+    """The queue after a claim."""
+    out = lifecycle.claim(_jobs(spark), "w1", F.lit("2024-01-01 00:30:00").cast("timestamp"))
+    return out.select("id", "status", "attempts", F.date_format("locked_until", "yyyy-MM-dd HH:mm:ss").alias("locked_until"))
+
+
+@registered(f"""
+WITH j AS ({_JOBS_SQL}) SELECT id, CASE WHEN status <> 'running' THEN status WHEN id % 8 = 2 THEN 'completed' WHEN attempts >= max_attempts THEN 'failed' ELSE 'retry' END AS status,
+CASE WHEN status = 'running' AND id % 8 <> 2 AND attempts < max_attempts THEN TIMESTAMP '2024-01-01 00:30:00' + to_seconds(CAST(30 * pow(2, attempts) AS BIGINT)) ELSE run_after END::VARCHAR AS run_after FROM j
+""")
+def q_job_backoff(spark, sf_dir):
+    """The queue after running jobs have ended."""
+    jobs = _jobs(spark)
+    results = jobs.where("status = 'running'").select("id", (F.col("id") % 8 == 2).alias("ok"), F.lit("e").alias("error"))
+    out = lifecycle.complete(jobs, results, F.lit("2024-01-01 00:30:00").cast("timestamp"))
+    return out.select("id", "status", F.date_format("run_after", "yyyy-MM-dd HH:mm:ss").alias("run_after"))
+
+
+_KEY = "trim(regexp_replace(regexp_replace(lower({0}), '[^a-z\\s]', '', 'g'), '\\s+', ' ', 'g'))"
+
+
+@registered(f"""
+WITH p AS (SELECT p_partkey AS id, p_name, {_KEY.format("p_name")} AS k, p_brand, p_size FROM part),
+m AS (SELECT a.id AS subject_id, b.id AS candidate_id, a.p_size = b.p_size AS born,
+  CASE WHEN a.k = '' OR b.k = '' THEN 0.0 WHEN a.k = b.k THEN 1.0 ELSE greatest(1 - CAST(levenshtein(a.k, b.k) AS DOUBLE) / greatest(length(a.k), length(b.k)), 0.95 * len(list_intersect(string_split(a.k, ' '), string_split(b.k, ' '))) / least(len(list_distinct(string_split(a.k, ' '))), len(list_distinct(string_split(b.k, ' '))))) END AS s
+  FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.id <> b.id),
+r AS (SELECT subject_id, candidate_id, greatest(CASE WHEN s >= 0.85 AND born THEN 0.95 ELSE 0 END, CASE WHEN s >= 0.8 THEN 0.72 ELSE 0 END) AS score FROM m)
+SELECT subject_id, candidate_id, CAST(score AS DOUBLE) AS score, CASE WHEN score >= 0.9 THEN 'high' WHEN score >= 0.7 THEN 'medium' ELSE 'low' END AS confidence FROM r WHERE score >= 0.6
+""")
+def q_dup_pairs(spark, sf_dir):
+    """Likely duplicates within a block."""
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("full_name"), F.lit(None).cast("string").alias("mobile"), F.col("p_size").cast("string").alias("date_of_birth"), F.lit(None).cast("string").alias("father_name"), F.col("p_brand").alias("district"))
+    return duplicates.find(rows, rows, F.col("district")).select("subject_id", "candidate_id", "score", "confidence")
+
+
+_TRI = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i, 3)))))"
+
+
+@registered(f"""
+WITH t AS (SELECT p_partkey, p_name, {_TRI.format("p_name")} AS x, {_TRI.format("'red wid'")} AS y FROM part),
+s AS (SELECT p_partkey, p_name, CAST(len(list_intersect(x, y)) AS DOUBLE) / len(list_distinct(x || y)) AS similarity FROM t)
+SELECT p_partkey, p_name, round(similarity, 6) AS similarity FROM s WHERE similarity >= 0.3
+""")
+def q_trgm_search(spark, sf_dir):
+    """Parts by trigram similarity."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_name", T.trigram_similarity(F.col("p_name"), F.lit("red wid")).alias("similarity"))
+    return rows.where(F.col("similarity") >= search.SIMILAR).withColumn("similarity", F.round("similarity", 6))
+
+
+@registered("SELECT doc_id FROM documents WHERE len(list_filter(['the', 'of', 'this'], lambda q: NOT list_contains(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), q))) = 0")
+def q_fulltext(spark, sf_dir):
+    """Documents that have all the words of a query."""
+    return table(spark, sf_dir, "documents").where(T.matches_all(F.col("text"), F.lit("The of this"))).select("doc_id")
+
+
+@registered("SELECT source, CAST(ceil(sum(n_chars) / 1048576.0) AS BIGINT) AS mb FROM documents GROUP BY source")
+def q_storage_mb(spark, sf_dir):
+    """Storage by source in whole megabytes."""
+    return table(spark, sf_dir, "documents").groupBy("source").agg(metering.megabytes(F.sum("n_chars")).alias("mb"))
+
+
+SIGNALS = [(0, "english", ["that the", "of the"], ["the", "and"], ["en"]), (1, "german", ["und die", "in die"], ["und", "ein"], ["de"]), (2, "french", ["que le", "en la"], ["que", "les"], ["fr"]), (3, "photo", [], [], ["photo"])]
+
+
+def _class_sql() -> str:
+    text, name = "regexp_replace(lower(text), '\\s+', ' ', 'g')", "lower(source)"
+    hit = lambda hay, words, w: " + ".join([f"{w} * CAST(contains({hay}, '{x}') AS INT)" for x in words] or ["0"])
+    raws = ", ".join(f"{{'n': {n}, 't': '{t}', 'r': {hit(text, s, 3)} + {hit(text, w, 1)} + {hit(name, f, 2)}}}" for n, t, s, w, f in SIGNALS)
+    return f"""
+WITH a AS (SELECT doc_id, list_filter([{raws}], lambda x: x.r > 0) AS c, length(trim(text)) AS n FROM documents WHERE text IS NOT NULL),
+b AS (SELECT doc_id, n, list_sort(list_transform(c, lambda x: {{'r': -x.r, 'n': x.n, 't': x.t}})) AS s FROM a),
+d AS (SELECT doc_id, n, s[1].t AS t, round(-s[1].r / (2.0 - s[1].r), 3) AS c1, round(-s[2].r / (2.0 - s[2].r), 3) AS c2 FROM b)
+SELECT doc_id, CASE WHEN n < 24 THEN 'photo' WHEN t IS NULL OR c1 < 0.45 OR (c2 IS NOT NULL AND c1 - c2 < 0.05) THEN 'unknown' ELSE t END AS document_type FROM d"""
+
+
+@registered(_class_sql())
+def q_doc_class(spark, sf_dir):
+    """Documents by signal phrases."""
+    signals = values(spark, "class_no int, document_type string, strong array<string>, weak array<string>, filename_words array<string>", SIGNALS)
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text", F.col("source").alias("filename"), F.lit("text/plain").alias("mime_type"), F.lit(None).cast("string").alias("hinted_type"))
+    return documents.classify(docs, signals).select("doc_id", "document_type")
+
+
+@registered("""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw FROM documents), t AS (SELECT doc_id, trim(raw, ' ') AS raw FROM l WHERE trim(raw, ' ') <> '')
+SELECT doc_id, count(*) AS n_lines, count(CASE WHEN instr(raw, ':') > 1 THEN 1 END) AS n_pairs, CAST(coalesce(sum(CASE WHEN instr(raw, ':') > 1 THEN length(trim(substring(raw, 1, instr(raw, ':') - 1), ' ')) END), 0) AS BIGINT) AS label_chars FROM t GROUP BY doc_id
+""")
+def q_lines(spark, sf_dir):
+    """Lines and label-value pairs of documents."""
+    rows = documents.lines(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "text"))
+    return rows.groupBy(F.col("document_id").alias("doc_id")).agg(F.count("*").alias("n_lines"), F.count("label").alias("n_pairs"), F.coalesce(F.sum(F.length("label")), F.lit(0)).cast("long").alias("label_chars"))
+
+
+@registered("SELECT lang, round(avg(quality), 6) AS mean_quality, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY lang")
+def q_confidence_mean(spark, sf_dir):
+    """Mean label by language."""
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    return rows.groupBy("lang").agg(F.round(F.avg("quality"), 6).alias("mean_quality"), F.count("*").alias("n"))
+
+
+@registered("SELECT doc_id, document_type, confidence FROM (SELECT doc_id, source AS document_type, n_chars AS confidence FROM documents) QUALIFY row_number() OVER (PARTITION BY document_type ORDER BY confidence DESC, doc_id) = 1")
+def q_best_by_key(spark, sf_dir):
+    """The largest document of each source."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("line_no"), F.lit(0).alias("document_id"), F.col("source").alias("key"), F.col("n_chars").alias("confidence"))
+    return documents.best_by_key(rows).select(F.col("line_no").alias("doc_id"), F.col("key").alias("document_type"), "confidence")
+
+
+@registered("SELECT c_custkey, sha256(c_name) AS sha, upper(substring(c_name, 1, 1)) || '…' AS masked FROM customer")
+def q_sha(spark, sf_dir):
+    """Hashed and masked customer names."""
+    return table(spark, sf_dir, "customer").select("c_custkey", P.sha256(F.col("c_name")).alias("sha"), P.mask_name(F.col("c_name")).alias("masked"))
+
+
+EMAILS = ["amit@example.test", "a@b.co", "nobody", "@x.y", "very.long.name@mail.example.test", ""]
+
+
+@registered(f"SELECT e, CASE WHEN e = '' THEN NULL WHEN instr(e, '@') <= 1 THEN repeat('•', length(e)) ELSE substring(e, 1, 1) || repeat('•', greatest(1, instr(e, '@') - 2)) || substring(e, instr(e, '@')) END AS masked FROM ({_rows([(e,) for e in EMAILS])}) v(e)")
+def q_mask_email(spark, sf_dir):
+    return values(spark, "e string", [(e,) for e in EMAILS]).withColumn("masked", P.mask_email(F.col("e")))
+
+
+TEXTS = ["call 9876543210 now", "id 1234 5678 9012 ok", "pan ABCDE1234F.", "mail a.b+c@x-y.test today", "acct 123456789012345", "plain"]
+SCRUBBED = ["call [redacted:mobile] now", "id [redacted:id12] ok", "pan [redacted:pan].", "mail [redacted:email] today", "acct [redacted:digits]", "plain"]
+
+
+@registered(f"SELECT * FROM ({_rows(list(zip(TEXTS, SCRUBBED, strict=True)))}) v(t, scrubbed)")
+def q_scrub(spark, sf_dir):
+    """Free text without identifiers."""
+    return values(spark, "t string", [(t,) for t in TEXTS]).withColumn("scrubbed", P.scrub(F.col("t")))
+
+
+MOBILES = [("+91 98765 43210", "9876543210", None), ("098765 43210", "9876543210", None), ("12345", None, "LENGTH"), ("5876543210", None, "PREFIX"), ("", None, "EMPTY"), ("91-9876543210", "9876543210", None)]
+CODES = [("pin", "800001", "800001", None), ("pin", "900001", None, "RANGE"), ("pin", "8000", None, "LENGTH"), ("pan", "abcde 1234f", "ABCDE1234F", None), ("pan", "ABCD1234F", None, "FORMAT"), ("ifsc", "sbin0001234", "SBIN0001234", None), ("ifsc", "SBIN1001234", None, "FORMAT"), ("email", " A@B.Co ", "a@b.co", None), ("email", "a@b", None, "FORMAT"), ("name", "  Amit   Kumar ", "Amit Kumar", None)]
+DATES = [("1990-04-03", "1990-04-03", None), ("03/04/1990", "1990-04-03", None), ("3.4.30", "2030-04-03", None), ("3-4-31", "1931-04-03", None), ("12 Mar 1990", "1990-03-12", None), ("12-March, 1990", "1990-03-12", None), ("31/02/1990", None, "INVALID_DATE"), ("12 Foo 1990", None, "UNKNOWN_MONTH"), ("soon", None, "UNRECOGNISED_FORMAT"), ("", None, "EMPTY")]
+NUMBERS = [("234123412346", True), ("234123412347", False), ("034123412346", False), ("1234", False)]
+
+
+@registered(f"SELECT * FROM ({_rows(MOBILES)}) v(raw, value, reason)")
+def q_mobile(spark, sf_dir):
+    return values(spark, "raw string", [r[:1] for r in MOBILES]).select("raw", N.normalize_mobile(F.col("raw")).alias("n")).select("raw", "n.value", "n.reason")
+
+
+@registered(f"SELECT * FROM ({_rows(CODES)}) v(kind, raw, value, reason)")
+def q_normalize(spark, sf_dir):
+    raw = F.col("raw")
+    by = {"pin": N.normalize_pincode, "pan": N.normalize_pan, "ifsc": N.normalize_ifsc, "email": N.normalize_email, "name": N.normalize_name}
+    pick = F.coalesce(*[F.when(F.col("kind") == k, f(raw)) for k, f in by.items()])
+    return values(spark, "kind string, raw string", [r[:2] for r in CODES]).withColumn("n", pick).select("kind", "raw", "n.value", "n.reason")
+
+
+@registered(f"SELECT * FROM ({_rows(DATES)}) v(raw, value, reason)")
+def q_dates(spark, sf_dir):
+    return values(spark, "raw string", [r[:1] for r in DATES]).select("raw", N.parse_date(F.col("raw")).alias("n")).select("raw", "n.value", "n.reason")
+
+
+@registered(f"SELECT * FROM ({_rows(NUMBERS)}) v(raw, valid)")
+def q_verhoeff(spark, sf_dir):
+    return values(spark, "raw string", [r[:1] for r in NUMBERS]).withColumn("valid", N.passes_verhoeff(F.col("raw")))
+
+
+@registered("SELECT o_orderkey, CAST(2024 - year(o_orderdate) - CAST((month(o_orderdate), day(o_orderdate)) > (3, 15) AS INT) AS INT) AS age FROM orders")
+def q_age(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", N.age(F.col("o_orderdate").cast("date"), F.lit("2024-03-15").cast("date")).alias("age"))
+
+
+@registered("""
+WITH w AS (SELECT o_orderkey, CAST(CAST(round(o_totalprice) AS BIGINT) AS VARCHAR) AS s FROM orders)
+SELECT o_orderkey, '₹' || CASE WHEN length(s) <= 3 THEN s WHEN length(s) <= 5 THEN s[:-4] || ',' || s[-3:] ELSE s[:-6] || ',' || s[-5:-4] || ',' || s[-3:] END AS inr FROM w
+""")
+def q_inr(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", N.format_inr(F.col("o_totalprice")).alias("inr"))
+
+
+PATTERNS = [("news", "active", "https://*.example.com/**"), ("news", "active", "http://*.example.com/en/*"), ("old", "draft", "http**"), ("net", "testing", "https://m.*.example.net/**"), ("gone", "deprecated", "**")]
+
+
+@registered("""
+WITH m AS (SELECT page_id, 3 AS s, 'news' AS slug, 25 AS len, CASE WHEN regexp_matches(url, '(?i)^http://[^/]*\\.example\\.com/en/[^/]*$') THEN 25 - 20 ELSE 24 - 30 END AS specificity FROM pages WHERE regexp_matches(url, '(?i)^https://[^/]*\\.example\\.com/.*$') OR regexp_matches(url, '(?i)^http://[^/]*\\.example\\.com/en/[^/]*$')
+UNION ALL SELECT page_id, 1, 'old', 6, 6 - 20 FROM pages WHERE regexp_matches(url, '(?i)^http.*$')
+UNION ALL SELECT page_id, 2, 'net', 26, 26 - 30 FROM pages WHERE regexp_matches(url, '(?i)^https://m\\.[^/]*\\.example\\.net/.*$'))
+SELECT page_id, slug, CAST(specificity AS INT) AS specificity FROM m QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY s DESC, specificity DESC, slug) = 1
+""")
+def q_url_match(spark, sf_dir):
+    """The adapter of each page."""
+    return forms.select_adapters(table(spark, sf_dir, "pages").select("page_id", "url"), values(spark, "slug string, status string, pattern string", PATTERNS))
+
+
+FIELDS = [("a", "state", None), ("a", "district", "state"), ("a", "block", "district"), ("a", "village", "block"), ("a", "x", "missing"), ("b", "p", "q"), ("b", "q", "p"), ("b", "r", "p")]
+
+
+@registered(f"""
+WITH RECURSIVE f(slug, key, dep) AS ({_rows(FIELDS)}), c(slug, key, up, seen, depth) AS (
+SELECT slug, key, dep, [key], 0 FROM f UNION ALL SELECT c.slug, c.key, f.dep, c.seen || [f.key], c.depth + 1 FROM c JOIN f ON c.slug = f.slug AND c.up = f.key WHERE NOT list_contains(c.seen, f.key))
+SELECT slug, key, CAST(max(depth) AS INT) AS depth FROM c GROUP BY ALL
+""")
+def q_dep_depth(spark, sf_dir):
+    """Depth of form fields in their chains of dependencies."""
+    return forms.dependency_depths(values(spark, "slug string, key string, depends_on string", FIELDS))
+
+
+@registered("""
+WITH f AS (SELECT p_partkey AS signature, p_size AS n FROM part),
+r AS (SELECT signature, n, CASE WHEN n % 11 = 0 THEN 'captcha' WHEN n % 7 = 0 THEN 'hidden' WHEN n % 13 = 0 THEN 'read_only' END AS skip FROM f),
+p AS (SELECT signature, n, skip, CASE WHEN skip IS NOT NULL THEN NULL WHEN n % 2 = 0 THEN 'adapter' WHEN n % 3 = 0 THEN 'override' WHEN n % 5 = 0 THEN 'history' WHEN n > 20 THEN 'dictionary' END AS source FROM r)
+SELECT signature, source, CASE source WHEN 'adapter' THEN 0.99 WHEN 'override' THEN 0.98 WHEN 'history' THEN round(least(0.95, 0.85 + 0.02 * n), 6) WHEN 'dictionary' THEN 0.8 END::DOUBLE AS confidence, coalesce(skip, CASE WHEN source IS NULL THEN 'no_mapping' END) AS skip_reason, coalesce(source IN ('history') AND 0.85 + 0.02 * n < 0.9 OR source = 'dictionary', false) AS review_required FROM p
+""")
+def q_map_proposal(spark, sf_dir):
+    """Field mappings by precedence."""
+    n, field = F.col("n"), lambda c: F.when(c, F.lit("k"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("signature"), F.col("p_size").alias("n"))
+    rows = rows.select("signature", F.when(n % 11 == 0, "captcha").otherwise("normal").alias("safety_class"), (n % 7 != 0).alias("visible"), (n % 13 == 0).alias("read_only"), field(n % 2 == 0).alias("adapter_field"), field(n % 3 == 0).alias("override_field"), field(n % 5 == 0).alias("history_field"), n.alias("history_count"), field(n > 20).alias("dictionary_field"), F.lit(0.8).alias("dictionary_score"))
+    return forms.resolve(rows).select("signature", "source", F.round("confidence", 6).alias("confidence"), "skip_reason", "review_required")
+
+
+@registered("SELECT event_id, v AS violation FROM (SELECT event_id, unnest(list_filter([CASE WHEN value < 10 THEN 'least_value' END, CASE WHEN event_type = 'error' AND value > 50 THEN 'error_value' END], lambda x: x IS NOT NULL)) AS v FROM events)")
+def q_constraints(spark, sf_dir):
+    """Rows that break named checks."""
+    value = F.col("value")
+    return quality.violations(table(spark, sf_dir, "events"), "event_id", least_value=value >= 10, error_value=(F.col("event_type") != "error") | (value <= 50))
+
+
+@registered("SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'P' AND o_custkey IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
+def q_unique_keys(spark, sf_dir):
+    """Keys that should be unique under a condition and are not."""
+    return quality.repeated_keys(table(spark, sf_dir, "orders"), ["o_custkey"], F.col("o_orderstatus") == "P")
+
+
+@registered()
+def q_customer_search(spark, sf_dir):
+    """Ranked search over customers."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("full_name"), F.format_string("C%05d", "c_custkey").alias("customer_code"), F.format_string("99%08d", "c_custkey").alias("mobile"), F.lit(None).cast("timestamp").alias("deleted_at"), F.lit("2024-01-01").cast("timestamp").alias("created_at"), F.col("c_mktsegment").alias("district"))
+    return search.search(rows, "Customer 000000012").select("id", "full_name", "rank")
+
+
+@registered()
+def q_redact_json(spark, sf_dir):
+    """Event properties with sensitive members described."""
+    return table(spark, sf_dir, "events").select("event_id", P.redact_json(F.col("props")).alias("props"))
+
+
+@registered("SELECT c_custkey, c_name AS opened, true AS sealed_differs, true AS wrong_context FROM customer")
+def q_seal(spark, sf_dir):
+    """Values sealed and opened again; the wrong context opens nothing."""
+    key, aad = F.lit("0123456789abcdef0123456789abcdef").cast("binary"), F.col("c_custkey").cast("string")
+    rows = table(spark, sf_dir, "customer").withColumn("s", P.seal(F.col("c_name"), key, aad))
+    return rows.select("c_custkey", P.unseal(F.col("s"), key, aad).alias("opened"), (F.col("s") != F.col("c_name")).alias("sealed_differs"), P.unseal(F.col("s"), key, F.lit("x")).isNull().alias("wrong_context"))
