@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import hashing
 from .components import components
-from .work import table
+from .work import release, table
 
 DEMOTE_ABOVE, DEMOTE_MOST = 32, 1_000_000
 GROUP_SIZE, QUERY_SIZE = 512, 512
@@ -53,6 +53,20 @@ def _node(keys: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(keys.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+#: Bytes of a token's key kept in the sets that are verified: two tokens of a pair of 10,000 each coincide with a chance of 1e-4.
+PACKED = 5
+
+
+def _packed(keys: np.ndarray) -> bytes:
+    return np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, :PACKED]).tobytes()
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    out = np.zeros((len(packed) // PACKED, 8), np.uint8)
+    out[:, :PACKED] = np.frombuffer(packed, np.uint8).reshape(-1, PACKED)
+    return out.view(np.int64)[:, 0]
+
+
 def _sets(docs: DataFrame, words: int, percent: int, late: np.ndarray, whole: bool) -> DataFrame:
     """doc_id, node, n and the head (or the whole set) of every text."""
     shared = docs.sparkSession.sparkContext.broadcast(late)
@@ -67,19 +81,21 @@ def _sets(docs: DataFrame, words: int, percent: int, late: np.ndarray, whole: bo
                 plain = (tokens >> np.uint64(2)).view(np.int64)
                 n = len(plain)
                 keys = _ordered(tokens, late)
-                rows.append((ids[i], _node(plain), n, keys if whole else keys[: n - -(-percent * n // 100) + 1 if n else 0]))
-                size += len(rows[-1][3])
+                rows.append((ids[i], _node(plain), n, _packed(keys) if whole else keys[: n - -(-percent * n // 100) + 1 if n else 0]))
+                size += n
                 if size > 500_000:
                     yield _batch(rows)
                     rows, size = [], 0
             if rows:
                 yield _batch(rows)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, node bigint, n int, keys array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id bigint, node bigint, n int, keys {'binary' if whole else 'array<bigint>'}")
 
 
 def _batch(rows: list) -> pa.RecordBatch:
     ids, nodes, counts, keys = zip(*rows, strict=True)
+    if isinstance(keys[0], bytes):
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nodes, pa.int64()), pa.array(counts, pa.int32()), pa.array(keys, pa.binary())], names=["doc_id", "node", "n", "keys"])
     offsets = np.zeros(len(keys) + 1, np.int32)
     np.cumsum([len(k) for k in keys], out=offsets[1:])
     lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys)))
@@ -101,7 +117,7 @@ def _opened(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """(members: node, gid) and (opened: node, gid): which groups each node has to be verified against."""
     by_token = Window.partitionBy("token")
     tokens = nodes.select(F.explode("keys").alias("token"), "node", "n", F.element_at("keys", -1).alias("end"))
-    tokens = table(tokens.withColumn("df", F.count("*").over(by_token)).where("df > 1"))
+    tokens = all_tokens = table(tokens.withColumn("df", F.count("*").over(by_token)).where("df > 1"))
     best = tokens.groupBy("node").agg(F.max(F.struct("df", "token")).alias("best"), F.first("n").alias("n"), F.first("end").alias("end"))
     place = F.row_number().over(Window.partitionBy("best.token").orderBy("n", "node"))
     members = table(best.select("node", "n", "end", F.xxhash64("best.token", F.floor((place - 1) / GROUP_SIZE)).alias("gid")))
@@ -117,7 +133,9 @@ def _opened(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     least = F.greatest(F.col("g_low"), F.ceil(F.col("n") * percent / 100))
     needed = F.ceil(percent * (F.col("n") + least) / (100 + percent))
     opened = bound.where(F.col("n") - F.greatest(F.lit(0), inside - F.col("shared")) >= needed).select("node", F.col("g").alias("gid"))
-    return members.select("node", "gid"), table(opened)
+    opened = table(opened)
+    release(all_tokens)
+    return members.select("node", "gid"), opened
 
 
 class _Forest:
@@ -141,12 +159,13 @@ def _verified(units: DataFrame, percent: int) -> DataFrame:
     def links(members: list, asking) -> list[tuple[int, int]]:
         sizes = np.array([m[1] for m in members])
         names = [m[0] for m in members]
-        every = np.concatenate([m[2] for m in members])
+        every = np.concatenate([_unpacked(m[2]) for m in members])
         owner = np.repeat(np.arange(len(members)), sizes)
         order = np.argsort(every, kind="stable")
         every, owner = every[order], owner[order]
         forest, found = _Forest(), []
-        for node, n, keys in asking:
+        for node, n, packed in asking:
+            keys = _unpacked(packed)
             low, high = np.searchsorted(every, keys), np.searchsorted(every, keys, "right")
             lengths = high - low
             at = np.repeat(low - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
@@ -159,14 +178,12 @@ def _verified(units: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         current, members, asking = None, [], []
         for batch in batches:
-            keys = batch.column("keys")
-            bounds, values = keys.offsets.to_numpy(), keys.values.to_numpy()
-            for i, (gid, part, asks, node, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("gid", "part", "asks", "node", "n")), strict=True)):
+            for gid, part, asks, node, n, keys in zip(*(batch.column(c).to_pylist() for c in ("gid", "part", "asks", "node", "n", "keys")), strict=True):
                 if (gid, part) != current:
                     if members and asking:
                         yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in links(members, asking)], schema=types)
                     current, members, asking = (gid, part), [], []
-                (asking if asks else members).append((node, n, values[bounds[i] : bounds[i + 1]].copy()))
+                (asking if asks else members).append((node, n, keys))
         if members and asking:
             yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in links(members, asking)], schema=types)
 
@@ -185,12 +202,16 @@ def _fetch(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def jaccard_links(docs: DataFrame, *, words: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sets: doc_id, node, n of every row; nodes: node, first_id; links: a, b between nodes, connecting every component)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = table(_sets(docs, words, percent, np.zeros(0, np.int64), False))
-    nodes = table(_nodes(sets))
-    late = _late(nodes)
+    heads = table(_sets(docs, words, percent, np.zeros(0, np.int64), False))
+    sets, headed = table(heads.drop("keys")), table(_nodes(heads))
+    release(heads)
+    late = _late(headed)
     if len(late):
-        nodes = table(_nodes(_sets(docs, words, percent, late, False)))
-    members, opened = _opened(nodes, percent)
+        release(headed)
+        headed = table(_nodes(_sets(docs, words, percent, late, False)))
+    members, opened = _opened(headed, percent)
+    nodes = table(headed.select("node", "first_id"))
+    release(headed)
     groups = opened.groupBy("gid").agg(F.ceil(F.count("*") / QUERY_SIZE).alias("parts"))
     asking = opened.join(groups, "gid").select("gid", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), F.lit(1).alias("asks"), "node")
     inside = members.join(groups, "gid").select("gid", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("asks"), "node")
@@ -200,7 +221,7 @@ def jaccard_links(docs: DataFrame, *, words: int, percent: int) -> tuple[DataFra
     whole = _sets(texts, words, percent, np.zeros(0, np.int64), True).join(wanted, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
     ready = units.join(whole, "node").select("gid", "part", "asks", "node", "n", "keys")
     ready = ready.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "gid", "part").sortWithinPartitions("gid", "part", "asks", "node")
-    return sets.drop("keys"), nodes.select("node", "first_id"), table(_verified(ready, percent))
+    return sets, nodes, table(_verified(ready, percent))
 
 
 def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
@@ -216,8 +237,13 @@ def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 80) ->
 
 
 def one_of_each_group(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the rows whose component has a smaller doc_id; of rows with the same id one stays. Rows without an id stay."""
-    kept = jaccard_components(docs, words=words, percent=percent).where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    joined = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return joined.withColumn("_nth", first).where("_nth = 1 or doc_id is null").drop("_nth")
+    """docs without the rows whose component has a smaller doc_id; of rows with the same id the first by text stays. Rows without an id stay."""
+    found = jaccard_components(docs, words=words, percent=percent).where("doc_id is not null").groupBy("doc_id")
+    found = table(found.agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")).where("component_id < doc_id or n > 1"))
+    ids = found.select(F.col("doc_id").alias("_id"), (F.col("component_id") < F.col("doc_id")).alias("_gone"))
+    if ids.count() <= MOST_BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    marked = docs.join(ids, F.col("doc_id") == F.col("_id"), "left")
+    single = marked.where("_id is null")
+    repeated = marked.where("not _gone").withColumn("_nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("_nth = 1")
+    return single.drop("_id", "_gone").unionByName(repeated.drop("_id", "_gone", "_nth"))

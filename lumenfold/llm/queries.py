@@ -95,16 +95,16 @@ WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(coalesce(translate(text, '{_UPPER}', '{_LOWER}'), ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
 ), sets AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - 2), i -> array_to_string(w[i:i+3], ' '))) END AS s FROM words
+    ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i+3], ' '))) END AS s FROM words
 ), items AS (
   SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets
 ), links AS (
   SELECT a.doc_id AS x, b.doc_id AS y FROM items a JOIN items b ON a.t = b.t AND a.doc_id < b.doc_id AND a.n * 100 >= b.n * 85 AND b.n * 100 >= a.n * 85
   GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
-), both AS (
+), edges AS (
   SELECT x, y FROM links UNION ALL SELECT y, x FROM links
 ), reach(x, y) AS (
-  SELECT doc_id, doc_id FROM documents UNION SELECT r.x, b.y FROM reach r JOIN both b ON r.y = b.x
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.x, b.y FROM reach r JOIN edges b ON r.y = b.x
 ), least AS (
   SELECT x, min(y) AS component_id FROM reach GROUP BY x
 )
