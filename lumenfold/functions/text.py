@@ -25,15 +25,18 @@ def confidence(score: Column) -> Column:
     return F.when(score <= 0, 0.0).otherwise(fixed3(score / (score + 2)))
 
 
-def name_similarity(a: Column, b: Column) -> Column:
-    """0 to 1: the larger of the edit similarity and 0.95 times the share of common words."""
-    x, y = name_key(F.coalesce(a, F.lit(""))), name_key(F.coalesce(b, F.lit("")))
-    words = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda w: w != ""))
+def key_similarity(x: Column, y: Column) -> Column:
+    """0 to 1, for keys that name_key() made: the larger of the edit similarity and 0.95 times the share of common words."""
+    words = lambda c: F.array_distinct(F.split(c, " "))
     edit = 1 - F.levenshtein(x, y) / F.greatest(F.length(x), F.length(y))
     common = F.size(F.array_intersect(words(x), words(y))) / F.least(F.size(words(x)), F.size(words(y)))
     return F.when((x == "") | (y == ""), 0.0).when(x == y, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.greatest(edit, common * 0.95))))
 
 
+def name_similarity(a: Column, b: Column) -> Column:
+    return key_similarity(name_key(F.coalesce(a, F.lit(""))), name_key(F.coalesce(b, F.lit(""))))
+
+
 def trigrams(c: Column) -> Column:
     """The distinct trigrams of a text's words, each padded with two blanks before and one after."""
     words = F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
