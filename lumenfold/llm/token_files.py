@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -55,21 +56,25 @@ class Encoder:
         self.memo: dict[str, bytes] = {}
 
     def _units(self, text: str) -> list[str]:
-        parts = self._LONE.split(text) if self._RUN.search(text) else text.split(" ")
-        return parts[:1] + [f" {p}" for p in parts[1:]] if len(parts) > 1 else parts
+        """The text's words; all but the first follow a blank, which is left out."""
+        return self._LONE.split(text) if self._RUN.search(text) else text.split(" ")
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def encode(self, texts: list) -> list[bytes]:
-        units = [self._units(t) if t else [] for t in texts]
-        memo = self.memo
-        missing = list({u for own in units for u in own if u not in memo})
-        if len(memo) + len(missing) > MEMO_WORDS:
-            memo.clear()
-            missing = list({u for own in units for u in own})
+        units = [self._units(t) if t else [""] for t in texts]
+        firsts, rest = [own[0] for own in units], [own[1:] for own in units]
+        asked = set().union(*rest)
+        missing = list(asked.difference(self.memo))
+        if len(self.memo) + len(missing) > MEMO_WORDS:
+            self.memo.clear()
+            missing = list(asked)
         for i in range(0, len(missing), 20_000):
             some = missing[i : i + 20_000]
-            for u, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                memo[u] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([memo[u] for u in own]) for own in units]
+            self.memo.update(zip(some, self._ids([f" {w}" for w in some]), strict=True))
+        of = self.memo.__getitem__
+        return [head + b"".join(map(of, own)) for head, own in zip(self._ids(firsts), rest, strict=True)]
 
 
 _encoders: dict[str, Encoder] = {}
