@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from .work import table
 
 BLANK = "▁"
-MEMO_WORDS = 700_000
+#: Words whose ids a task keeps; beyond it the memory starts afresh.
+MEMO_WORDS = 150_000
 
 
 class Model:
@@ -58,9 +59,9 @@ class Model:
         self.pieces = frozenset(normal)
         self.bytes_of = [bytes([int(p.piece[3:5], 16)]) if p.type == 6 else p.piece.replace(BLANK, " ").encode() if p.type == 1 else b"" for p in proto.pieces]
         self.memo: dict[str, bytes] = {}
-        self.ids_of = functools.lru_cache(1 << 18)(lambda token: tuple(self.raw.encode(token)))
-        self.own = functools.lru_cache(1 << 18)(lambda token: token in self.pieces and len(self.ids_of(token)) == 1 or len(token) == 1)
-        self.compatible = functools.lru_cache(1 << 18)(lambda a, b: tuple(self.raw.encode(a + b)) == self.ids_of(a) + self.ids_of(b))
+        self.ids_of = functools.lru_cache(1 << 16)(lambda token: tuple(self.raw.encode(token)))
+        self.own = functools.lru_cache(1 << 16)(lambda token: token in self.pieces and len(self.ids_of(token)) == 1 or len(token) == 1)
+        self.compatible = functools.lru_cache(1 << 16)(lambda a, b: tuple(self.raw.encode(a + b)) == self.ids_of(a) + self.ids_of(b))
 
     def _bytes(self, units: list[list[str]]) -> list[bytes]:
         memo = self.memo
@@ -308,4 +309,5 @@ def encode_digest(docs: DataFrame, *, model_path: str, chunk_chars: int = 1 << 1
     """doc_id, n_tokens, ids_crc32 and round_trip (decoding gives the text, U+2581 read as a blank)."""
     rows = decode(encode(docs.select("doc_id", "text"), model_path=model_path, chunk_chars=chunk_chars), model_path=model_path)
     same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), BLANK, " ")
-    return rows.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), same.alias("round_trip"))
+    # a few numbers a document, written while Python workers get small batches
+    return table(rows.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), same.alias("round_trip")))

@@ -17,19 +17,25 @@ def folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tables/{uuid.uuid4().hex}"
 
 
-#: Spark deletes an execution's shuffle files when it ends, not when the driver happens to collect its garbage.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is written, Spark deletes an execution's shuffle files when it ends, not when the driver happens to
+#: collect its garbage, and Python workers get few texts at a time.
+_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 def table(df: DataFrame) -> DataFrame:
     """df, written once and read from there: later jobs neither recompute it nor depend on an executor."""
     spark, path = df.sparkSession, folder(df.sparkSession)
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    before = {k: spark.conf.get(k, None) for k in _WHILE_WRITING}
+    for k, v in _WHILE_WRITING.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
