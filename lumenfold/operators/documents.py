@@ -21,6 +21,8 @@ def classify(documents: DataFrame, signals: DataFrame) -> DataFrame:
     """
     text = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), f"{WS}+", " ")
     name = F.regexp_replace(F.lower(F.coalesce("filename", F.lit(""))), r"[^a-z0-9\u0900-\u097f]", "")
+    # columns of their own: an expression repeated within a higher-order function is evaluated each time
+    documents, text, name = documents.withColumns({"_text": text, "_name": name}), F.col("_text"), F.col("_name")
     hits = lambda hay, words: sum((F.contains(hay, F.lit(w)).cast("int") for w in words), F.lit(0))
     classes = []
     for s in signals.orderBy("class_no").collect():
@@ -38,7 +40,7 @@ def classify(documents: DataFrame, signals: DataFrame) -> DataFrame:
     sure = F.when(bare & ~picture, 0.5).otherwise(F.coalesce(best, F.lit(0.0)))
     rows = rows.withColumns({"document_type": kind, "confidence": sure})
     others = F.slice(F.filter("_s", lambda x: x["t"] != F.col("document_type")), 1, 3)
-    return rows.withColumn("alternatives", F.transform(others, lambda x: F.struct(x["t"].alias("document_type"), (-x["c"]).alias("confidence")))).drop("_s")
+    return rows.withColumn("alternatives", F.transform(others, lambda x: F.struct(x["t"].alias("document_type"), (-x["c"]).alias("confidence")))).drop("_s", "_text", "_name")
 
 
 def lines(documents: DataFrame, text: str = "text") -> DataFrame:
