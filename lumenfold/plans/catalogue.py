@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import normalize as N
 from ..functions import privacy as P
 from ..functions import text as T
-from ..operators import dashboard, documents, duplicates, forms, lifecycle, metering, quality, search, security, snapshots
+from ..operators import dashboard, documents, duplicates, extraction, field_match, forms, lifecycle, metering, quality, search, security, snapshots
 from ..sources.tables import page, table, values
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -470,3 +470,63 @@ def q_seal(spark, sf_dir):
     key, aad = F.lit("0123456789abcdef0123456789abcdef").cast("binary"), F.col("c_custkey").cast("string")
     rows = table(spark, sf_dir, "customer").withColumn("s", P.seal(F.col("c_name"), key, aad))
     return rows.select("c_custkey", P.unseal(F.col("s"), key, aad).alias("opened"), (F.col("s") != F.col("c_name")).alias("sealed_differs"), P.unseal(F.col("s"), key, F.lit("x")).isNull().alias("wrong_context"))
+
+
+_FIELD_LABEL = "CASE c_custkey % 6 WHEN 0 THEN 'captcha_code' WHEN 1 THEN 'Enter OTP' WHEN 2 THEN 'adoption-status' WHEN 3 THEN 'Card Number' WHEN 4 THEN 'District' ELSE c_mktsegment END"
+_FIELD_COLUMNS = ("signature", "tag_name", "input_type", "name", "id", "placeholder", "label_text", "aria_label", "nearby_text", "section_heading", "class_name", "autocomplete")
+
+
+def _form_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form fields made of customers: the label by key, every seventh a submit control."""
+    own = {"signature": F.col("c_name"), "tag_name": F.lit("input"), "input_type": F.when(F.col("c_custkey") % 7 == 0, "submit").otherwise("text"), "label_text": F.expr(_FIELD_LABEL)}
+    return table(spark, sf_dir, "customer").select("c_custkey", *[own.get(c, F.lit(None).cast("string")).alias(c) for c in _FIELD_COLUMNS])
+
+
+@registered("SELECT c_custkey, CASE WHEN c_custkey % 6 = 3 THEN 'payment' WHEN c_custkey % 6 = 0 THEN 'captcha' WHEN c_custkey % 6 = 1 THEN 'otp' WHEN c_custkey % 7 = 0 THEN 'submit' ELSE 'normal' END AS safety_class FROM customer")
+def q_field_safety(spark, sf_dir):
+    """Which form fields a person has to fill."""
+    return field_match.safety_class(_form_fields(spark, sf_dir)).select("c_custkey", "safety_class")
+
+
+# Example entries: a segment's name as a label, another for one word of it, two that tie.
+FIELD_ENTRIES = [(1, "segment.building", ["building"], None, None, None, False, None), (2, "segment.household", ["household goods", "household"], None, None, ["number"], False, None), (3, "place.district", ["district"], None, None, None, False, None), (4, "place.home", ["district"], None, None, None, False, None), (5, "status.adoption", ["adoption"], None, ["captcha"], None, False, None)]
+
+
+@registered(f"""
+WITH f AS (SELECT c_custkey, {_FIELD_LABEL} AS l FROM customer)
+SELECT c_custkey, CASE l WHEN 'BUILDING' THEN 'segment.building' WHEN 'HOUSEHOLD' THEN 'segment.household' WHEN 'District' THEN 'place.district' WHEN 'adoption-status' THEN 'status.adoption' END AS dictionary_field,
+  CAST(CASE l WHEN 'BUILDING' THEN 1.0 WHEN 'HOUSEHOLD' THEN 0.5 WHEN 'District' THEN 0.65 WHEN 'adoption-status' THEN 0.8 END AS DOUBLE) AS dictionary_score FROM f
+""")
+def q_field_dictionary(spark, sf_dir):
+    """What each form field means by its best dictionary entry."""
+    return field_match.dictionary_match(_form_fields(spark, sf_dir), values(spark, field_match.ENTRIES, FIELD_ENTRIES)).select("c_custkey", "dictionary_field", "dictionary_score")
+
+
+@registered(f"""
+WITH f AS (SELECT c_custkey, {_FIELD_LABEL} AS l FROM customer)
+SELECT c_custkey, CASE l WHEN 'District' THEN 'place' WHEN 'Card Number' THEN 'card' END AS adapter_field, CAST(CASE l WHEN 'District' THEN 8 WHEN 'Card Number' THEN 4 END AS INTEGER) AS adapter_score FROM f
+""")
+def q_field_adapter(spark, sf_dir):
+    """What each form field means by the rules of an adapter."""
+    rules = [(1, "place", "place", None, ["dist", "District:"], None), (2, "card", "card", None, ["card"], ["captcha"])]
+    return field_match.adapter_match(_form_fields(spark, sf_dir), values(spark, field_match.ADAPTER_RULES, rules)).select("c_custkey", "adapter_field", "adapter_score")
+
+
+# Example rules: an order's printed lines.
+ORDER_RULES = [(1, "order.year", "year", ["year"], None, None, False), (2, "order.total", "number", ["total"], ["tax"], ["O", "F"], False), (3, "order.priority", "text", ["priority"], None, None, True)]
+
+
+@registered("""
+WITH o AS (SELECT o_orderkey AS document_id, o_orderstatus AS k, CAST(floor(o_totalprice) AS BIGINT) AS t, year(o_orderdate) AS y, o_orderpriority AS p FROM orders)
+SELECT document_id, 'order.year' AS key, CAST(y AS VARCHAR) AS value, CAST(0.95 AS DOUBLE) AS confidence, CAST(NULL AS VARCHAR) AS review_reason FROM o
+UNION ALL SELECT document_id, 'order.total', CAST(t AS VARCHAR), 0.88, 'medium_confidence' FROM o WHERE k IN ('O', 'F')
+UNION ALL SELECT document_id, 'order.priority', p, 0.8, 'high_risk_field' FROM o
+""")
+def q_extract_fields(spark, sf_dir):
+    """Fields of orders, printed as lines and read again by label rules."""
+    o = table(spark, sf_dir, "orders")
+    line = lambda no, label, value: F.struct(F.lit(no).alias("line_no"), F.lit(label).alias("label"), value.cast("string").alias("value"))
+    printed = F.array(line(0, "Year", F.year("o_orderdate")), line(1, "Grand Total", F.floor("o_totalprice").cast("bigint")), line(2, "Order Priority level", F.col("o_orderpriority")), line(3, "Tax total", F.lit(1)))
+    lines = o.select(F.col("o_orderkey").alias("document_id"), F.col("o_orderstatus").alias("document_type"), F.lit(1.0).alias("ocr_confidence"), F.explode(printed).alias("l")).select("document_id", "document_type", "ocr_confidence", "l.*")
+    lines = lines.withColumn("raw", F.concat_ws(": ", "label", "value"))
+    return extraction.extract_fields(lines, values(spark, extraction.RULES, ORDER_RULES)).select("document_id", "key", "value", "confidence", "review_reason")
