@@ -34,6 +34,8 @@ from .work import table
 BLANK = "▁"
 #: Words whose ids a task keeps; beyond it the memory starts afresh.
 MEMO_WORDS = 150_000
+#: Characters that a task splits into words at a time.
+SLICE_CHARS = 500_000
 
 
 class Model:
@@ -271,6 +273,19 @@ def _giant_ids(giants: DataFrame, path: str, chunk: int) -> DataFrame:
     return pieces.select("key", F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p["ids"])).alias("ids"))
 
 
+def slices(texts: list, limit: int = SLICE_CHARS):
+    """Consecutive runs of texts of about limit characters; a longer text is a run of its own."""
+    start, held = 0, 0
+    for i, text in enumerate(texts):
+        size = len(text) if text else 0
+        if i > start and held + size > limit:
+            yield texts[start:i]
+            start, held = i, 0
+        held += size
+    if start < len(texts):
+        yield texts[start:]
+
+
 def encode(docs: DataFrame, *, model_path: str, chunk_chars: int = 1 << 15) -> DataFrame:
     """docs with ids (binary, little-endian int32); a column of that name is replaced."""
     docs = docs.drop("ids")
@@ -281,10 +296,9 @@ def encode(docs: DataFrame, *, model_path: str, chunk_chars: int = 1 << 15) -> D
     def run(texts: pd.Series) -> pd.Series:
         out: list[bytes] = []
         m = model(model_path)
-        own = texts.tolist()
-        for i in range(0, len(own), 1000):
-            out += m.encode(own[i : i + 1000])
-        return pd.Series(out)
+        for some in slices(texts.tolist()):
+            out += m.encode(some)
+        return pd.Series(out, dtype=object)
 
     short = F.pandas_udf(run, "binary")
     small = docs.where(~giant | F.col("text").isNull())

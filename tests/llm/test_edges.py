@@ -63,3 +63,12 @@ def test_vectors(spark):
 def test_pipeline_keeps_columns(spark, sf):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["toxicity", "line_dedup", "near_copies", "mixing", "sentencepiece"] and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_sentencepiece_slices_keep_every_text_in_order():
+    from lumenfold.llm.sentencepiece_scan import slices
+
+    texts = ["ab", None, "", "abcdefgh", "a", "bc", "d"]
+    found = list(slices(texts, 3))
+    assert [t for own in found for t in own] == texts
+    assert found == [["ab", None, ""], ["abcdefgh"], ["a", "bc"], ["d"]] and list(slices([], 3)) == []
