@@ -1,160 +1,215 @@
 """Language-model scoring by cross-entropy difference.
 
 Two bigram models are counted over the corpus: the background over all documents, the target over the documents
-that are marked as such. They are matched: one vocabulary (words that make up at least WORD_SHARE of the corpus; all
-others are one unknown word), one set of bigrams (those that make up at least PAIR_SHARE of it), one interpolation.
+that are marked as such. They are matched: one vocabulary (words that occur LEAST_COUNT times in the corpus; all
+others are one unknown word), one set of bigrams (those that occur LEAST_COUNT times), one interpolation.
 A document's score is the mean over its words of the target's loss less the background's: lower reads more like the
 target.
 
-The shares bound the model whatever the corpus' size (at most 1 / WORD_SHARE words and 1 / PAIR_SHARE bigrams),
-so it is broadcast; counting covers every word of every document, summed in each task before the shuffle.
+The models are tables in the shared folder and grow with the corpus; nothing of them is collected or broadcast.
+
+1. Words are counted, summed in each task before the shuffle. A word that occurs once carries its only document
+   along, so a document's unknown words reach it as a list.
+2. Words and bigrams are counted over the texts with their unknown words replaced.
+3. A word's loss is the loss without its bigram plus what a counted bigram takes off it. Each document's own counts of
+   words and bigrams are joined with these tables and summed by document. A word or bigram that very many documents
+   share is a skewed key on the documents' side alone, which adaptive execution splits.
+
+Steps 2 and 3 take the words and bigrams in PARTS passes by hash, so that only one part's shuffle is on disk at a time.
 
 Defined results: A-Z are lowered, words are runs of non-blank characters; a text without words (or null) has
 n_tokens 0 and losses 0; target ids that are null or unknown are ignored; without target documents the target model
-is uniform.
+is uniform. Losses are sums of doubles in no fixed order: their last digits may differ between runs.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import functools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
+from .mixing import WORD
+from .work import release, table
 
-WORD_SHARE, PAIR_SHARE, LEAST_COUNT, MIXED_IN = 1e-6, 5e-7, 2, 0.7
+#: Step 1 rests on 2. The model is cut by no share of the corpus.
+LEAST_COUNT, MIXED_IN = 2, 0.7
+WORD_SHARE = PAIR_SHARE = 0.0
 #: Keys that a task holds before it sums them.
-HELD_KEYS = 2 << 20
-#: Target ids broadcast at most; beyond it the documents are joined by a shuffle.
-MOST_BROADCAST_IDS = 1_000_000
-
-_SHIFT = np.uint64(21)
-
-
-@dataclass
-class Pair:
-    """The two models: words (sorted hashes), counts of each (0: unknown word, 1: start), and bigrams (sorted keys) with counts; counts are (background, target)."""
-
-    words: np.ndarray
-    singles: np.ndarray
-    keys: np.ndarray
-    pairs: np.ndarray
-
-    def ids(self, w: hashing.Words) -> np.ndarray:
-        if not len(self.words):
-            return np.zeros(len(w.hashes), np.uint64)
-        at = np.minimum(np.searchsorted(self.words, w.hashes), len(self.words) - 1)
-        return np.where(self.words[at] == w.hashes, at + 2, 0).astype(np.uint64)
-
-    def pair_keys(self, w: hashing.Words) -> tuple[np.ndarray, np.ndarray]:
-        """The id before each word, with the word's own, as one key; and the words' ids."""
-        ids = self.ids(w)
-        before = np.concatenate([np.ones(1, np.uint64), ids[:-1]]) if len(ids) else ids
-        starts = w.first[:-1][np.diff(w.first) > 0]
-        before[starts] = 1
-        return (before << _SHIFT) | ids, ids
-
-    def losses(self, w: hashing.Words) -> np.ndarray:
-        """Minus the log probability of every word under (background, target)."""
-        keys, ids = self.pair_keys(w)
-        before = (keys >> _SHIFT).astype(np.int64)
-        found = np.zeros((len(keys), 2))
-        if len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            found = self.pairs[at] * (self.keys[at] == keys)[:, None]
-        single = (self.singles[ids.astype(np.int64)] + 0.5) / (self.singles[np.arange(len(self.singles)) != 1].sum(0) + 0.5 * (len(self.singles) - 1))
-        return -np.log(MIXED_IN * found / np.maximum(self.singles[before], 1) + (1 - MIXED_IN) * single)
-
-
-def _marked(docs: DataFrame, target: DataFrame) -> DataFrame:
-    """docs (doc_id, text) with in_target; target: (doc_id)."""
-    target = target.where("doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
-    if target.count() <= MOST_BROADCAST_IDS:
-        target = F.broadcast(target)
-    return docs.select("doc_id", "text").join(target, F.col("doc_id") == F.col("_id"), "left").select("text", F.col("_id").isNotNull().alias("in_target"))
-
-
-def _counts(marked: DataFrame, keys_of) -> DataFrame:
-    """How often each 64-bit key that keys_of(words) gives occurs in all texts and in those of the target."""
+HELD_KEYS = 1 << 20
+PARTS = 4
+
+#: Stand in for the unknown word, for what is before a text's first word, and for any word before.
+_UNKNOWN, _START, _ANY = (np.uint64(i) for i in range(3))
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """doc_id, text and row: a key that only rows with equal doc_id and text share (their losses are equal)."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.xxhash64(F.lit(1), F.isnull("doc_id"), "doc_id", F.isnull("text"), "text"))
+
+
+def _int64(values: np.ndarray) -> pa.Array:
+    return pa.array(values.view(np.int64))
+
+
+def _words_once(rows: DataFrame) -> DataFrame:
+    """(row, once): the hashes of the words that the row's text alone has, and once."""
 
     def run(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
         def summed():
-            keys = np.concatenate([k for k, _ in held])
-            flags = np.concatenate([f for _, f in held])
-            unique, place, n = np.unique(keys, return_inverse=True, return_counts=True)
-            inside = np.bincount(place, weights=flags, minlength=len(unique)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(unique.view(np.int64)), pa.array(n), pa.array(inside)], names=["key", "n", "n_target"])
+            words, names = (np.concatenate(x) for x in zip(*held, strict=True))
+            unique, at, n = np.unique(words, return_index=True, return_counts=True)
+            return pa.RecordBatch.from_arrays([_int64(unique), pa.array(n), pa.array(names[at])], names=["word", "n", "row"])
 
         for batch in batches:
-            flags = batch.column("in_target").to_numpy(zero_copy_only=False)
+            names = batch.column("row").to_numpy()
             for start, parts in hashing.batches(batch.column("text").to_pylist()):
                 w = hashing.words(parts)
-                keys = keys_of(w)
-                held.append((keys, flags[start + w.text[: len(keys)]].astype(np.float32)))
-                size += len(keys)
+                held.append((w.hashes, names[start + w.text]))
+                size += len(w.hashes)
                 if size >= HELD_KEYS:
                     yield summed()
                     held, size = [], 0
         if size:
             yield summed()
 
-    return marked.mapInArrow(run, "key bigint, n bigint, n_target bigint").groupBy("key").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
+    counts = rows.select("text", "row").mapInArrow(run, "word bigint, n bigint, row bigint").groupBy("word").agg(F.sum("n").alias("n"), F.min("row").alias("row"))
+    return counts.where(F.col("n") < LEAST_COUNT).groupBy("row").agg(F.collect_list("word").alias("once"))
+
 
+def _prepared(docs: DataFrame, target: DataFrame) -> DataFrame:
+    """row, doc_id, text, n_tokens, once and in_target of every row; target: (doc_id)."""
+    rows = _rows(docs)
+    target = target.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    inside = rows.select("row", "doc_id").join(target, "doc_id", "left_semi").select("row", F.lit(True).alias("in_target")).distinct()
+    marks = table(_words_once(rows).join(inside, "row", "full"))
+    found = rows.withColumn("n_tokens", F.regexp_count("text", F.lit(WORD)).cast("long")).join(marks, "row", "left")
+    made = table(found.withColumn("in_target", F.coalesce("in_target", F.lit(False))).withColumn("n_tokens", F.coalesce("n_tokens", F.lit(0))))
+    release(marks)
+    return made
 
-def _collected(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Keys in ascending order and their counts; the caller has bounded the rows."""
-    rows = counts.select("key", "n", "n_target").toArrow()
-    if not rows.num_rows:
-        return np.zeros(0, np.uint64), np.zeros((0, 2))
-    keys = rows.column("key").to_numpy().view(np.uint64)
-    order = np.argsort(keys)
-    return keys[order], np.stack([rows.column("n").to_numpy(), rows.column("n_target").to_numpy()], 1)[order].astype(np.float64)
 
+def _sequences(batch: pa.RecordBatch):
+    """The number of each text's first row in the batch, its words, and of each word the word before and its own; unknown words replaced."""
+    once = np.unique(batch.column("once").flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+    for start, parts in hashing.batches(batch.column("text").to_pylist()):
+        w = hashing.words(parts)
+        own = w.hashes
+        if len(once):
+            own = np.where(once[np.minimum(np.searchsorted(once, own), len(once) - 1)] == own, _UNKNOWN, own)
+        before = np.concatenate([[_START], own[:-1]]).astype(np.uint64)[: len(own)]
+        before[w.first[:-1][np.diff(w.first) > 0]] = _START
+        yield start, w, before, own
 
-def fit(docs: DataFrame, target: DataFrame) -> Pair:
-    """Count both models over docs (doc_id, text); target (doc_id) names the target's documents."""
-    from .work import table
 
-    marked = _marked(docs, target)
-    by_word = table(_counts(marked, lambda w: w.hashes))
-    total, total_target = by_word.agg(F.sum("n"), F.sum("n_target")).head()
-    total, total_target = total or 0, total_target or 0
-    words, singles = _collected(by_word.where(F.col("n") >= max(LEAST_COUNT, WORD_SHARE * total)))
-    known = singles.sum(0) if len(singles) else np.zeros(2)
-    starts = np.zeros(2)
-    vocabulary = Pair(words, np.concatenate([[np.array([total, total_target]) - known, starts], singles]), np.zeros(0, np.uint64), np.zeros((0, 2)))
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    by_pair = _counts(marked, lambda w: shared.value.pair_keys(w)[0])
-    keys, pairs = _collected(by_pair.where(F.col("n") >= max(LEAST_COUNT, PAIR_SHARE * total)))
-    first = (keys >> _SHIFT) == 1
-    vocabulary.singles[1] = pairs[first].sum(0) if len(keys) else 0
-    return Pair(words, vocabulary.singles, keys, pairs)
+def _joint(before: np.ndarray, own: np.ndarray) -> np.ndarray:
+    return hashing.mix(hashing.mix(before) + own)
 
 
-def score(docs: DataFrame, models: Pair) -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss and score (their difference) of every row; works in place, without a shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(models)
+def _of_part(before: np.ndarray, own: np.ndarray, part: int) -> tuple[np.ndarray, np.ndarray]:
+    """Joint hashes of the words and bigrams that are the part's, and their places."""
+    keys = _joint(before, own)
+    at = np.flatnonzero(keys % np.uint64(PARTS) == part)
+    return keys[at], at
+
+
+def _counts(prepared: DataFrame, part: int) -> DataFrame:
+    """(before, word, n, n_target): how often each word (before: any) and each bigram of the part occurs in all texts and in those of the target."""
 
     def run(batches):
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def summed():
+            keys, before, own, flags = (np.concatenate(x) for x in zip(*held, strict=True))
+            _, at, place, n = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
+            inside = np.bincount(place, weights=flags, minlength=len(at)).astype(np.int64)
+            return pa.RecordBatch.from_arrays([_int64(before[at]), _int64(own[at]), pa.array(n), pa.array(inside)], names=["before", "word", "n", "n_target"])
+
         for batch in batches:
-            out = np.zeros((batch.num_rows, 3))
-            for start, parts in hashing.batches(batch.column("text").to_pylist()):
-                w = hashing.words(parts)
-                loss = shared.value.losses(w)
-                n = np.diff(w.first)
-                for i in (0, 1):
-                    out[start : start + len(parts), i] = np.bincount(w.text, weights=loss[:, i], minlength=len(parts)) / np.maximum(n, 1)
-                out[start : start + len(parts), 2] = n
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(out[:, 2].astype(np.int64)), pa.array(out[:, 1]), pa.array(out[:, 0]), pa.array(out[:, 1] - out[:, 0])], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+            flags = batch.column("in_target").to_numpy(zero_copy_only=False).astype(np.float32)
+            for start, w, before, own in _sequences(batch):
+                for first in (before, np.full(len(own), _ANY)):
+                    keys, at = _of_part(first, own, part)
+                    held.append((keys, first[at], own[at], flags[start + w.text[at]]))
+                    size += len(at)
+                if size >= HELD_KEYS:
+                    yield summed()
+                    held, size = [], 0
+        if size:
+            yield summed()
+
+    found = prepared.select("text", "once", "in_target").mapInArrow(run, "before bigint, word bigint, n bigint, n_target bigint")
+    return found.groupBy("before", "word").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")).where((F.col("before") == int(_ANY)) | (F.col("n") >= LEAST_COUNT))
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, tables)
+
+
+def fit(prepared: DataFrame) -> DataFrame:
+    """Both models as (key, of_word, background, target): each word's loss without its bigram (of_word 1), and what each counted bigram adds to it (0 at most)."""
+    counts = _union([table(_counts(prepared, part)) for part in range(PARTS)])
+    of_word, of_start = F.col("before") == int(_ANY), F.col("before") == int(_START)
+    sums = counts.agg(*[F.coalesce(F.sum(F.when(c, F.col(n))), F.lit(0)) for c in (of_word, of_start) for n in ("n", "n_target")], F.count_if(of_word & (F.col("word") != int(_UNKNOWN)))).head()
+    totals, starts, known = sums[:2], sums[2:4], sums[4]
+    names = list(zip(("background", "target"), ("n", "n_target"), totals, starts, strict=True))
+
+    def share(n: Column, total: int) -> Column:
+        """A word's probability without its bigram, before it is mixed."""
+        return (n + F.lit(0.5)) / F.lit(total + 0.5 * (known + 1))
+
+    singles = counts.where(of_word).select("word", "n", "n_target")
+    words = singles.select(_key(F.lit(int(_ANY))).alias("key"), F.lit(1).alias("of_word"), *[(-F.log(F.lit(1 - MIXED_IN) * share(F.col(n), total))).alias(name) for name, n, total, _ in names])
+    pairs = counts.where(~of_word)
+    pairs = pairs.join(singles.select("word", F.col("n").alias("own_n"), F.col("n_target").alias("own_n_target")), "word")
+    pairs = pairs.join(singles.select(F.col("word").alias("before"), F.col("n").alias("before_n"), F.col("n_target").alias("before_n_target")), "before", "left")
+    added = [(-F.log1p(F.lit(MIXED_IN / (1 - MIXED_IN)) * F.col(n) / F.greatest(F.when(of_start, F.lit(start)).otherwise(F.col(f"before_{n}")), F.lit(1)) / share(F.col(f"own_{n}"), total))).alias(name) for name, n, total, start in names]
+    made = _union([table(words), table(pairs.select(_key(F.col("before")).alias("key"), F.lit(0).alias("of_word"), *added))])
+    release(counts)
+    return made
+
+
+def _key(before: Column) -> Column:
+    """A word (before: any) or bigram as one key."""
+    return F.xxhash64(before.cast("long"), "word")
+
+
+def _terms(prepared: DataFrame, part: int) -> DataFrame:
+    """(row, key, times): how often each row's text has each word and bigram of the part."""
+
+    def run(batches):
+        for batch in batches:
+            names = batch.column("row").to_numpy()
+            for start, w, before, own in _sequences(batch):
+                for first in (before, np.full(len(own), _ANY)):
+                    keys, place = _of_part(first, own, part)
+                    text = w.text[place]
+                    _, at, n = np.unique(hashing.mix(keys + hashing.mix(text.astype(np.uint64) + np.uint64(1))), return_index=True, return_counts=True)
+                    at, n = at[order := np.argsort(at)], n[order]
+                    yield pa.RecordBatch.from_arrays([pa.array(names[start + text[at]]), _int64(first[place[at]]), _int64(own[place[at]]), pa.array(n.astype(np.int32))], names=["row", "before", "word", "times"])
+
+    found = prepared.select("row", "text", "once").mapInArrow(run, "row bigint, before bigint, word bigint, times int")
+    return found.select("row", _key(F.col("before")).alias("key"), "times")
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, target_loss double, background_loss double, score double")
+def _summed(terms: DataFrame, losses: DataFrame) -> DataFrame:
+    """Of each row its words and losses, summed."""
+    sums = [F.sum(F.col("times") * F.col(name)).alias(name) for name in ("of_word", "background", "target")]
+    return table(terms.join(losses, "key").groupBy("row").agg(*sums))
 
 
 def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
-    return score(docs, fit(docs, target))
+    """doc_id, n_tokens, target_loss, background_loss and score (their difference) of every row of docs (doc_id, text); target (doc_id) names the target's documents."""
+    prepared = _prepared(docs, target)
+    losses = fit(prepared)
+    sums = _union([_summed(_terms(prepared, part), losses) for part in range(PARTS)]).groupBy("row").agg(*[F.sum(x).alias(x) for x in ("of_word", "background", "target")])
+    rows = prepared.select("row", "doc_id", "n_tokens").join(sums, "row", "left")
+    loss = {x: F.coalesce(F.col(x) / F.col("of_word"), F.lit(0.0)).alias(f"{x}_loss") for x in ("background", "target")}
+    return rows.select("doc_id", "n_tokens", loss["target"], loss["background"]).withColumn("score", F.col("target_loss") - F.col("background_loss"))

@@ -259,6 +259,17 @@ def test_lm_scoring(spark, docs):
         assert rows[d].score == pytest.approx(want[1] - want[0])
 
 
+def test_lm_scoring_knows_rare_words_of_a_large_corpus(spark):
+    own = [(1, "x y " * 800_000), (2, "x y " * 800_000), (3, "rare"), (4, "rare"), (5, "rare"), (6, "once")]
+    frame = spark.createDataFrame(own, "doc_id bigint, text string")
+    rows = {r.doc_id: r for r in lm_scoring.cross_entropy_difference(frame, spark.createDataFrame([(3,)], "doc_id bigint")).collect()}
+    # known are x, y and rare; of the first words, three times "rare" and twice "x" are counted (the unknown one comes once)
+    total, starts = 3_200_004, 5
+    assert rows[4].background_loss == pytest.approx(-np.log(0.7 * 3 / starts + 0.3 * 3.5 / (total + 2)))
+    assert rows[6].background_loss == pytest.approx(-np.log(0.3 * 1.5 / (total + 2)))
+    assert rows[4].target_loss == pytest.approx(-np.log(0.7 + 0.3 * 1.5 / 3)) and rows[6].target_loss == pytest.approx(-np.log(0.3 * 0.5 / 3))
+
+
 def within_one(a, b):
     if abs(len(a) - len(b)) > 1:
         return False
