@@ -24,7 +24,7 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without the lines that repeat an earlier line; n_chars follows the text where lines went."""
-    deduped = line_dedup.dedup_lines(docs)
+    deduped = line_dedup.dedup_lines(docs, min_words=1)
     n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return deduped.withColumn("n_chars", n_chars).select(*COLUMNS)
 

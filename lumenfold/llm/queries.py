@@ -73,7 +73,7 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that repeat an earlier line within one edit."""
-    return line_dedup.dedup_lines(read(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+    return line_dedup.dedup_lines(read(spark, sf_dir, "documents"), min_words=1).select("doc_id", "n_lines", "n_removed", "text")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

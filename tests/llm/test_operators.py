@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpus_pipeline import STAGES
 from lumenfold.llm import fingerprints, jaccard_join, line_dedup, lm_scoring, mixing, sentencepiece_scan, token_files, toxicity, vector_graph
 from lumenfold.llm.queries import queries, tokenizer_path
 
@@ -304,6 +305,15 @@ def test_line_dedup(spark, docs):
     assert {d: (got[d], want[d]) for d in want if got[d] != want[d]} == {}
 
 
+def test_line_dedup_takes_short_lines(spark, tmp_path):
+    own = [(1, "ok\n\nAll rights reserved.\n本製品は無断で複製することを禁じます"), (2, "All rights reserved.\n\nno\n本製品は無断で複製する事を禁じます\n本製品は無断で複製することを禁じまし"), (3, " ok \nAll right reserved.\noj")]
+    spark.createDataFrame(own, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.text for r in queries()["op10_line_dedup"](spark, str(tmp_path)).collect()}
+    assert got == {1: own[0][1], 2: "\nno\n本製品は無断で複製する事を禁じます", 3: "oj"}
+    docs = spark.createDataFrame([(*r, None, None, None) for r in own], DOCS)
+    assert {r.doc_id: r.text for r in dict(STAGES)["line_dedup"](spark, docs, "").collect()} == got
+
+
 def test_toxicity_features():
     lex = toxicity.Lexicon(np.zeros(0, np.uint64), np.zeros(0))
     out = toxicity.features(["", None, "You are GREAT!! f.o.o", "a b c d"], lex)
