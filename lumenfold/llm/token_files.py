@@ -43,16 +43,19 @@ _BLOCK_TYPES = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("start",
 
 
 class Encoder:
-    """Ids of whole texts as little-endian uint32 bytes, equal to the tokenizer's own."""
+    """Ids of whole texts as little-endian uint32 bytes, equal to the tokenizer's own.
+
+    literal: a special token's text is encoded as plain text, not as the token.
+    """
 
     _LONE = re.compile(r"(?<=\S) (?=\S)")
     _RUN = re.compile(r"\s | \s")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, literal: bool = True):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = literal
         self.memo: dict[str, bytes] = {}
 
     def _units(self, text: str) -> list[str]:
@@ -84,7 +87,7 @@ def _encoder(path: str) -> Encoder:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return _encoders.setdefault(path, None) or _encoders.update({path: Encoder(path)}) or _encoders[path]
+    return _encoders.setdefault(path, None) or _encoders.update({path: Encoder(path, literal=False)}) or _encoders[path]
 
 
 def _slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
@@ -114,7 +117,7 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int) -> bytes
 
     sample = docs.select(F.substring("text", 1, SAMPLE_CHARS).alias("text"), F.xxhash64(F.lit(3), "doc_id").alias("h")).orderBy("h", "text").limit(SAMPLE_DOCS)
     end = np.array([end_id], "<u4").tobytes()
-    serialized = [x + end for x in Encoder(tokenizer_path).encode([r.text for r in sample.collect()])]
+    serialized = [x + end for x in Encoder(tokenizer_path, literal=False).encode([r.text for r in sample.collect()])]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, serialized).as_bytes()
     except zstandard.ZstdError:  # too little to train on: the sample itself is the dictionary's content

@@ -102,6 +102,17 @@ def test_encoder_equals_library():
         assert np.frombuffer(raw, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
 
 
+def test_token_files_keep_special_tokens(spark):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    texts = [*ODD, "one <|endoftext|> two", "<|endoftext|>", "a<|endoftext|>b <|endoftext|>  c <|endoftext|>\n"]
+    rows = token_files.token_digest(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), tokenizer_path=path).collect()
+    want = [t.encode(x, add_special_tokens=False).ids + [2] for x in texts]
+    assert {r.doc_id: (r.n_tokens, r.ids_crc32) for r in rows} == {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in enumerate(want)}
+
+
 def test_read_document(spark, tmp_path, docs):
     frame = spark.createDataFrame([(d, t) for d, t, _ in docs[:50]], "doc_id bigint, text string")
     token_files.write_token_files(frame, str(tmp_path / "f"), tokenizer_path=tokenizer_path("byte_bpe_50k.json"))
