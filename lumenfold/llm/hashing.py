@@ -12,8 +12,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
-#: Text bytes hashed at once; one longer text makes a batch of its own.
-BATCH_BYTES = 4 << 20
+#: Text bytes hashed at once; one longer text makes a batch of its own and is hashed in pieces.
+BATCH_BYTES = 1 << 20
 
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
@@ -22,7 +22,8 @@ _TABLE = np.random.Generator(np.random.PCG64(20240229)).integers(0, 1 << 64, 256
 _FOLDED = _TABLE.copy()
 _FOLDED[65:91] = _TABLE[97:123]
 _SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BLANKS = (9, 10, 11, 12, 13, 32)
+_SPACE[list(_BLANKS)] = True
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -36,12 +37,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def _power(base: np.uint64, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1), kept between calls."""
+    """base ** 0 .. base ** (n - 1); as many as a batch needs are kept between calls."""
+    most = 2 * BATCH_BYTES
     have = _powers.get(int(base))
-    if have is None or len(have) < n:
-        seed = np.full(max(n, BATCH_BYTES + 1024), base, np.uint64)
+    if have is None or n > most:
+        seed = np.full(max(n, most), base, np.uint64)
         seed[0] = 1
-        have = _powers[int(base)] = np.cumprod(seed, dtype=np.uint64)
+        made = np.cumprod(seed, dtype=np.uint64)
+        if n > most:
+            return made
+        have = _powers[int(base)] = made
     return have[:n]
 
 
@@ -71,6 +76,18 @@ def batches(texts: list, limit: int = BATCH_BYTES) -> Iterator[tuple[int, list[b
         yield start, held
 
 
+def pieces(part: bytes, limit: int = BATCH_BYTES) -> Iterator[bytes]:
+    """part cut at blanks into pieces of at most limit bytes; a longer word stays whole."""
+    start = 0
+    while len(part) - start > limit:
+        cut = max(part.rfind(bytes([b]), start + 1, start + limit) for b in _BLANKS)
+        if cut < 0:
+            cut = min((i for i in (part.find(bytes([b]), start + limit) for b in _BLANKS) if i >= 0), default=len(part))
+        yield part[start:cut]
+        start = cut
+    yield part[start:]
+
+
 def spans(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The joined bytes, where words start and end in them, and where each text starts (one more at the end)."""
     data = np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)
@@ -95,6 +112,13 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bo
 
 
 def words(parts: list[bytes], fold: bool = True) -> Words:
+    if len(parts) == 1 and len(parts[0]) > BATCH_BYTES:
+        found = []
+        for piece in pieces(parts[0]):
+            data, starts, ends, _ = spans([piece])
+            found.append(span_hashes(data, starts, ends, fold))
+        hashes = np.concatenate(found)
+        return Words(hashes, np.zeros(len(hashes), np.int64), np.array([0, len(hashes)]))
     data, starts, ends, at = spans(parts)
     text = np.searchsorted(at, starts, "right") - 1
     first = np.searchsorted(text, np.arange(len(parts) + 1))

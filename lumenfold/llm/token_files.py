@@ -11,8 +11,9 @@ A short document is read by its block's row and the slice between two offsets. T
 dictionary hash is not that of the dictionary it holds.
 
 Encoding gives each task its share of the documents (range-partitioned by doc_id). Words repeat, and no pre-token
-crosses a blank that stands between two non-blank characters, so the tokenizer runs once per distinct blank-led
-word and task and the ids of a text are the joined ids of its words.
+crosses a blank that stands between two characters that are no white space, so the tokenizer runs once per distinct
+blank-led word and worker, for many words at a time, and the ids of a text are gathered from those of its words.
+Words are told apart by 64-bit hashes: among the MEMO_WORDS that a worker knows, two coincide with a chance of 1e-7.
 
 Defined results: a null text is empty; a document always ends with the end id; null ids come first, rows of one
 id in order of their text; an empty table gives an empty file set.
@@ -21,14 +22,13 @@ id in order of their text; an empty table gives an empty file set.
 from __future__ import annotations
 
 import hashlib
-import re
-from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import hashing
 from .work import folder
 
 BLOCK_BYTES = 2 << 20
@@ -36,7 +36,9 @@ BLOCK_DOCS = 2048
 #: Bounds of what the dictionary is trained on, and its size.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 1000, 4096, 112 << 10
 #: Words whose ids a task keeps; beyond it the memory starts afresh.
-MEMO_WORDS = 700_000
+MEMO_WORDS = 2_000_000
+#: Words that the tokenizer is given as one text.
+JOINED_WORDS = 2_000
 
 BLOCKS = "part int, block int, start bigint, dict_hash string, doc_ids array<bigint>, n_tokens array<int>, offsets array<bigint>, blob binary"
 _BLOCK_TYPES = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("start", pa.int64()), ("dict_hash", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int32())), ("offsets", pa.list_(pa.int64())), ("blob", pa.binary())])
@@ -48,36 +50,151 @@ class Encoder:
     literal: a special token's text is encoded as plain text, not as the token.
     """
 
-    _LONE = re.compile(r"(?<=\S) (?=\S)")
-    _RUN = re.compile(r"\s | \s")
-
     def __init__(self, path: str, literal: bool = True):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = literal
-        self.memo: dict[str, bytes] = {}
-
-    def _units(self, text: str) -> list[str]:
-        """The text's words; all but the first follow a blank, which is left out."""
-        return self._LONE.split(text) if self._RUN.search(text) else text.split(" ")
-
-    def _ids(self, words: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        #: Bytes that each id stands for: a byte-level vocabulary writes a byte as a character.
+        self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.width[i] = len(token)
+        for i, token in self.tokenizer.get_added_tokens_decoder().items():
+            self.width[i] = len(token.content.encode())
+        self._forget()
+
+    def _forget(self) -> None:
+        """The words known: hashes in order, and where the ids of each stand in pool."""
+        self.keys, self.begin, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def _plain(self, units: list[bytes]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast([u.decode("utf-8", "replace") for u in units], add_special_tokens=False)
+        return [np.array(e.ids, np.uint32) for e in found]
+
+    def _ids(self, units: list[bytes], joinable: np.ndarray) -> tuple[list[int], list[np.ndarray], list[np.ndarray]]:
+        """Numbers of units, in the order of what follows: their counts of ids, and their ids.
+
+        Those that begin with a lone blank and end with none are encoded many at a time and parted by the bytes that their ids stand for.
+        """
+        order, counts, flat, rest = [], [], [], np.flatnonzero(~joinable).tolist()
+        joined = np.flatnonzero(joinable).tolist()
+        for some in (joined[i : i + JOINED_WORDS] for i in range(0, len(joined), JOINED_WORDS)):
+            own = [units[i] for i in some]
+            ids = self._plain([b"".join(own)])[0]
+            bytes_to, ends = np.cumsum(self.width[ids]), np.cumsum(np.fromiter(map(len, own), np.int64, len(own)))
+            at = np.searchsorted(bytes_to, ends)
+            if at[-1] + 1 == len(ids) and (bytes_to[at] == ends).all():
+                order += some
+                counts.append(np.diff(at, prepend=-1))
+                flat.append(ids)
+            else:
+                rest += some
+        alone = self._plain([units[i] for i in rest])
+        return order + rest, [*counts, np.fromiter(map(len, alone), np.int64, len(alone))], flat + alone
+
+    def _learn(self, keys: np.ndarray, units: list[bytes], joinable: np.ndarray) -> None:
+        order, counts, ids = self._ids(units, joinable)
+        count, flat = np.concatenate(counts), np.concatenate(ids)
+        if self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(self.used, len(flat)) + (1 << 16), np.uint32)])
+        begin = self.used + np.cumsum(count) - count
+        self.pool[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+        all_keys = np.concatenate([self.keys, keys[order]])
+        order = np.argsort(all_keys, kind="stable")
+        self.keys, self.begin, self.count = all_keys[order], np.concatenate([self.begin, begin])[order], np.concatenate([self.count, count])[order]
+
+    def _known(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each of keys stands among the known words, and whether it does."""
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return at, self.keys[at] == keys
+
+    def _encode(self, parts: list[bytes]) -> list[bytes]:
+        data, starts, at, joinable = _units(parts)
+        if not len(starts):
+            return [b""] * len(parts)
+        ends = np.append(starts[1:], len(data))
+        keys, first, place = np.unique(hashing.span_hashes(data, starts, ends, False), return_index=True, return_inverse=True)
+        known, found = self._known(keys)
+        if not found.all():
+            if len(self.keys) + int((~found).sum()) > MEMO_WORDS:
+                self._forget()
+                found[:] = False
+            new = first[~found]
+            raw = data.tobytes()
+            self._learn(keys[~found], [raw[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)], joinable[new])
+            known, _ = self._known(keys)
+        begin, count = self.begin[known][place], self.count[known][place]
+        upto = np.zeros(len(count) + 1, np.int64)
+        np.cumsum(count, out=upto[1:])
+        ids = self.pool[np.repeat(begin - upto[:-1], count) + np.arange(upto[-1])]
+        raw, bounds = ids.astype("<u4", copy=False).tobytes(), (upto[np.searchsorted(starts, at)] * 4).tolist()
+        return [raw[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
     def encode(self, texts: list) -> list[bytes]:
-        units = [self._units(t) if t else [""] for t in texts]
-        firsts, rest = [own[0] for own in units], [own[1:] for own in units]
-        asked = set().union(*rest)
-        missing = list(asked.difference(self.memo))
-        if len(self.memo) + len(missing) > MEMO_WORDS:
-            self.memo.clear()
-            missing = list(asked)
-        for i in range(0, len(missing), 20_000):
-            some = missing[i : i + 20_000]
-            self.memo.update(zip(some, self._ids([f" {w}" for w in some]), strict=True))
-        of = self.memo.__getitem__
-        return [head + b"".join(map(of, own)) for head, own in zip(self._ids(firsts), rest, strict=True)]
+        out: list[bytes] = []
+        for _, parts in hashing.batches(texts):
+            if len(parts) == 1 and len(parts[0]) > hashing.BATCH_BYTES:
+                out.append(b"".join(x for piece in _long(parts[0]) for x in self._encode([piece])))
+            else:
+                out += self._encode(parts)
+        return out
+
+
+#: White space beyond ASCII: the bytes of U+0085, U+00A0, U+1680, U+2000 to U+200A, U+2028, U+2029, U+202F, U+205F, U+3000.
+_WIDE = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+_WIDE_CODES = np.sort(np.array([int.from_bytes(x.ljust(3, b"\0"), "big") for x in _WIDE]))
+_NARROW = np.zeros(256, bool)
+_NARROW[[*range(9, 14), *range(28, 33)]] = True
+_LEAD = np.zeros(256, bool)
+_LEAD[[x[0] for x in _WIDE]] = True
+
+
+def _spaces(data: np.ndarray) -> np.ndarray:
+    """Which bytes belong to white space of any kind."""
+    space = _NARROW[data]
+    lead = np.flatnonzero(_LEAD[data])
+    if len(lead):
+        padded = np.concatenate([data, np.zeros(2, np.uint8)]).astype(np.int64)
+        two = padded[lead] == 0xC2
+        code = padded[lead] << 16 | padded[lead + 1] << 8 | np.where(two, 0, padded[lead + 2])
+        lead, two = (x[np.isin(code, _WIDE_CODES)] for x in (lead, two))
+        space[lead] = space[lead + 1] = True
+        space[lead[~two] + 2] = True
+    return space
+
+
+def _units(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The joined texts, where their units start (a text's first, and every blank between two characters that are no white space), where texts start (one more at the end), and which units begin with such a blank and end with a character that is no white space."""
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    at = np.zeros(len(parts) + 1, np.int64)
+    np.cumsum([len(p) for p in parts], out=at[1:])
+    space = _spaces(data)
+    lone = np.zeros(len(data) + 1, bool)
+    lone[1:-2] = (data[1:-1] == 32) & ~space[:-2] & ~space[2:]
+    inside = np.ones(len(data) + 2, bool)  # a text's first and last bytes stand beside no other text
+    inside[at] = False
+    inside[at - 1] = False
+    lone &= inside[:-1]
+    begins = lone.copy()
+    begins[at[:-1][at[1:] > at[:-1]]] = True
+    starts = np.flatnonzero(begins)
+    ends = np.append(starts[1:], len(data))[: len(starts)]
+    return data, starts, at, lone[starts] & ~space[ends - 1] if len(starts) else np.zeros(0, bool)
+
+
+def _long(part: bytes):
+    """A long text in pieces that begin with units of its own; one without a place to cut stays whole."""
+    data, starts, _, _ = _units([part])
+    begun = 0
+    for i in starts[np.searchsorted(starts, np.arange(hashing.BATCH_BYTES, len(part), hashing.BATCH_BYTES)) % len(starts)].tolist() + [len(part)]:
+        if i > begun:
+            yield part[begun:i]
+            begun = i
 
 
 _encoders: dict[str, Encoder] = {}
@@ -87,7 +204,9 @@ def _encoder(path: str) -> Encoder:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return _encoders.setdefault(path, None) or _encoders.update({path: Encoder(path, literal=False)}) or _encoders[path]
+    if path not in _encoders:
+        _encoders[path] = Encoder(path, literal=False)
+    return _encoders[path]
 
 
 def _slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
@@ -115,7 +234,11 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int) -> bytes
     """A zstandard dictionary from the ids of a bounded, fixed sample (SAMPLE_DOCS documents, SAMPLE_CHARS of each)."""
     import zstandard
 
-    sample = docs.select(F.substring("text", 1, SAMPLE_CHARS).alias("text"), F.xxhash64(F.lit(3), "doc_id").alias("h")).orderBy("h", "text").limit(SAMPLE_DOCS)
+    h = F.xxhash64(F.lit(3), "doc_id")
+    chosen = docs.select(h.alias("h")).distinct().orderBy("h").limit(SAMPLE_DOCS)
+    last = chosen.agg(F.max("h")).head()[0]  # the numbers alone decide; texts are then read of the chosen ones only
+    chosen = docs.where(h <= F.lit(last)).select(h.alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    sample = chosen.groupBy("h").agg(F.min("text").alias("text")).orderBy("h")
     end = np.array([end_id], "<u4").tobytes()
     serialized = [x + end for x in Encoder(tokenizer_path, literal=False).encode([r.text for r in sample.collect()])]
     try:
