@@ -2,214 +2,241 @@
 
 Two bigram models are counted over the corpus: the background over all documents, the target over the documents
 that are marked as such. They are matched: one vocabulary (words that occur LEAST_COUNT times in the corpus; all
-others are one unknown word), one set of bigrams (those that occur LEAST_COUNT times), one interpolation.
-A document's score is the mean over its words of the target's loss less the background's: lower reads more like the
+others are one unknown word), one set of bigrams (those that occur LEAST_COUNT times), one interpolation. A
+document's score is the mean over its words of the target's loss less the background's: lower reads more like the
 target.
 
-The models are tables in the shared folder and grow with the corpus; nothing of them is collected or broadcast.
+The counts grow with the corpus. They are partitioned by key and looked up there; nothing of them is collected or
+broadcast but five totals.
 
-1. Words are counted, summed in each task before the shuffle. A word that occurs once carries its only document
-   along, so a document's unknown words reach it as a list.
-2. Words and bigrams are counted over the texts with their unknown words replaced.
-3. A word's loss is the loss without its bigram plus what a counted bigram takes off it. Each document's own counts of
-   words and bigrams are joined with these tables and summed by document. A word or bigram that very many documents
-   share is a skewed key on the documents' side alone, which adaptive execution splits.
-
-Steps 2 and 3 take the words and bigrams in PARTS passes by hash, so that only one part's shuffle is on disk at a time.
+1. Documents are read once into blocks of about BLOCK_WORDS words: a block's distinct words as hashes, and its word
+   sequence as numbers of them. A longer document runs over several blocks.
+2. A block sends each bucket of keys (words and bigrams, by hash) one row: its distinct keys there, ascending, and how
+   often they occur in the block and in its target documents. Whatever is frequent is one key a block.
+3. A bucket's task sums the counts and answers each block's row with the totals of its keys, in the same order. A
+   bucket holds about BUCKET_KEYS keys: their number follows from the blocks' own counts of distinct keys.
+4. A block meets the answers to its own rows and scores its documents.
 
 Defined results: A-Z are lowered, words are runs of non-blank characters; a text without words (or null) has
 n_tokens 0 and losses 0; target ids that are null or unknown are ignored; without target documents the target model
-is uniform. Losses are sums of doubles in no fixed order: their last digits may differ between runs.
+is uniform; rows with equal id are all scored, and all are the target's if their id is. Losses are sums of doubles:
+their last digits may differ between runs. Words and bigrams are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .mixing import WORD
 from .work import release, table
 
-#: Step 1 rests on 2. The model is cut by no share of the corpus.
 LEAST_COUNT, MIXED_IN = 2, 0.7
-WORD_SHARE = PAIR_SHARE = 0.0
-#: Keys that a task holds before it sums them.
-HELD_KEYS = 1 << 20
-PARTS = 4
-
-#: Stand in for the unknown word, for what is before a text's first word, and for any word before.
-_UNKNOWN, _START, _ANY = (np.uint64(i) for i in range(3))
-
+BLOCK_WORDS, BUCKET_KEYS = 1 << 19, 1 << 20
+#: Target ids broadcast at most; beyond it they are joined by a shuffle of ids.
+MOST_BROADCAST_IDS = 1_000_000
 
-def _rows(docs: DataFrame) -> DataFrame:
-    """doc_id, text and row: a key that only rows with equal doc_id and text share (their losses are equal)."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("row", F.xxhash64(F.lit(1), F.isnull("doc_id"), "doc_id", F.isnull("text"), "text"))
+_BLOCK = "block bigint, rows array<bigint>, doc_ids array<bigint>, first array<int>, lead int, vocabulary binary, sequence binary, n_keys bigint"
+#: The hash of what stands before a text's first word.
+_START = np.uint64(1)
+#: A key's last two bits say what it counts.
+_PAIR, _FIRST, _WORD = (np.uint64(i) for i in range(3))
+_NO_LEAD = -1
+#: What is summed over all distinct keys: words, unknown and known ones, and counted first words, in all texts and in the target's.
+_TOTALS = ("words", "words_target", "unknown", "unknown_target", "known", "first", "first_target")
 
 
-def _int64(values: np.ndarray) -> pa.Array:
-    return pa.array(values.view(np.int64))
+def _blocks(docs: DataFrame) -> DataFrame:
+    """Blocks of documents: their row numbers, ids and bounds, and their words.
 
-
-def _words_once(rows: DataFrame) -> DataFrame:
-    """(row, once): the hashes of the words that the row's text alone has, and once."""
+    lead is the number of the word that stands before the block in the first row's text, _NO_LEAD where that begins here.
+    """
 
     def run(batches):
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
-
-        def summed():
-            words, names = (np.concatenate(x) for x in zip(*held, strict=True))
-            unique, at, n = np.unique(words, return_index=True, return_counts=True)
-            return pa.RecordBatch.from_arrays([_int64(unique), pa.array(n), pa.array(names[at])], names=["word", "n", "row"])
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId() << 32
+        made = row = 0
+        rows: list[int] = []
+        ids: list = []
+        counts: list[int] = []
+        held: list[np.ndarray] = []
+        size, before = 0, None
+
+        def block():
+            hashes = np.concatenate(held) if held else np.zeros(0, np.uint64)
+            own = hashes if before is None else np.append(hashes, before)
+            vocabulary, sequence = np.unique(own, return_inverse=True)
+            lead = _NO_LEAD if before is None else int(sequence[-1])
+            sequence = sequence[: len(hashes)].astype(np.int32)
+            first = np.zeros(len(counts) + 1, np.int32)
+            np.cumsum(counts, out=first[1:])
+            n_keys = len(vocabulary) + len(np.unique(_pairs(sequence, first, lead, len(vocabulary))))
+            values = (part + made, rows, ids, first.tolist(), lead, vocabulary.tobytes(), sequence.tobytes(), n_keys)
+            return pa.RecordBatch.from_pylist([dict(zip(types.names, values, strict=True))], schema=types)
 
         for batch in batches:
-            names = batch.column("row").to_numpy()
+            doc_ids = batch.column("doc_id").to_pylist()
             for start, parts in hashing.batches(batch.column("text").to_pylist()):
                 w = hashing.words(parts)
-                held.append((w.hashes, names[start + w.text]))
-                size += len(w.hashes)
-                if size >= HELD_KEYS:
-                    yield summed()
-                    held, size = [], 0
-        if size:
-            yield summed()
-
-    counts = rows.select("text", "row").mapInArrow(run, "word bigint, n bigint, row bigint").groupBy("word").agg(F.sum("n").alias("n"), F.min("row").alias("row"))
-    return counts.where(F.col("n") < LEAST_COUNT).groupBy("row").agg(F.collect_list("word").alias("once"))
-
-
-def _prepared(docs: DataFrame, target: DataFrame) -> DataFrame:
-    """row, doc_id, text, n_tokens, once and in_target of every row; target: (doc_id)."""
-    rows = _rows(docs)
+                for i in range(len(parts)):
+                    own = w.hashes[w.first[i] : w.first[i + 1]]
+                    at = 0
+                    while True:
+                        piece = own[at : at + max(BLOCK_WORDS - size, 1)]
+                        rows.append(part + row)
+                        ids.append(doc_ids[start + i])
+                        counts.append(len(piece))
+                        held.append(piece)
+                        size, at = size + len(piece), at + len(piece)
+                        if size >= BLOCK_WORDS:
+                            yield block()
+                            made, rows, ids, counts, held, size = made + 1, [], [], [], [], 0
+                            before = own[at - 1] if at < len(own) else None
+                        if at >= len(own):
+                            break
+                    row += 1
+        if rows:
+            yield block()
+
+    types = pa.schema([("block", pa.int64()), ("rows", pa.list_(pa.int64())), ("doc_ids", pa.list_(pa.int64())), ("first", pa.list_(pa.int32())), ("lead", pa.int32()), ("vocabulary", pa.binary()), ("sequence", pa.binary()), ("n_keys", pa.int64())])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _BLOCK)
+
+
+def _pairs(sequence: np.ndarray, first: np.ndarray, lead: int, n: int) -> np.ndarray:
+    """Each word with the one before it in its text (n: none) as one number, before * (n + 1) + word."""
+    before = np.empty(len(sequence), np.int64)
+    before[1:] = sequence[:-1]
+    before[first[:-1][np.diff(first) > 0]] = n
+    if len(before) and lead != _NO_LEAD:
+        before[0] = lead
+    return before * (n + 1) + sequence
+
+
+class _Block:
+    """A block's words and bigrams: distinct ones by ascending key, and which of them each word is."""
+
+    def __init__(self, first, lead: int, vocabulary: bytes, sequence: bytes):
+        self.first = np.asarray(first, np.int32)
+        self.words, self.sequence = np.frombuffer(vocabulary, np.uint64), np.frombuffer(sequence, np.int32)
+        n = len(self.words)
+        pairs, self.pair_of = np.unique(_pairs(self.sequence, self.first, lead, n), return_inverse=True)
+        self.before, self.own = pairs // (n + 1), pairs % (n + 1)
+        hashes = np.append(self.words, _START)
+        pair_keys = hashing.mix(hashing.mix(hashes[self.before]) + hashes[self.own]) & ~np.uint64(3) | np.where(self.before == n, _FIRST, _PAIR)
+        keys = np.concatenate([hashing.mix(self.words) & ~np.uint64(3) | _WORD, pair_keys])
+        self.order = np.argsort(keys)
+        self.keys = keys[self.order]
+
+    def counts(self, weights: np.ndarray | None = None) -> np.ndarray:
+        """How often each key occurs; weights: of each word."""
+        n = np.concatenate([np.bincount(x, weights, k) for x, k in ((self.sequence, len(self.words)), (self.pair_of, len(self.own)))])
+        return n[self.order].astype(np.int32)
+
+    def bounds(self, buckets: int) -> np.ndarray:
+        """Where each bucket's keys begin: buckets are ranges of keys."""
+        edges = (np.arange(1, buckets, dtype=object) * (1 << 64) // buckets).astype(np.uint64)
+        return np.concatenate([[0], np.searchsorted(self.keys, edges), [len(self.keys)]])
+
+    def by_key(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values in the keys' order as those of the words and of the bigrams."""
+        out = np.empty_like(values)
+        out[self.order] = values
+        return out[: len(self.words)], out[len(self.words) :]
+
+
+def _marked(blocks: DataFrame, target: DataFrame) -> DataFrame:
+    """(block, inside): for each block with rows of the target, their places."""
     target = target.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    inside = rows.select("row", "doc_id").join(target, "doc_id", "left_semi").select("row", F.lit(True).alias("in_target")).distinct()
-    marks = table(_words_once(rows).join(inside, "row", "full"))
-    found = rows.withColumn("n_tokens", F.regexp_count("text", F.lit(WORD)).cast("long")).join(marks, "row", "left")
-    made = table(found.withColumn("in_target", F.coalesce("in_target", F.lit(False))).withColumn("n_tokens", F.coalesce("n_tokens", F.lit(0))))
-    release(marks)
-    return made
-
-
-def _sequences(batch: pa.RecordBatch):
-    """The number of each text's first row in the batch, its words, and of each word the word before and its own; unknown words replaced."""
-    once = np.unique(batch.column("once").flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
-    for start, parts in hashing.batches(batch.column("text").to_pylist()):
-        w = hashing.words(parts)
-        own = w.hashes
-        if len(once):
-            own = np.where(once[np.minimum(np.searchsorted(once, own), len(once) - 1)] == own, _UNKNOWN, own)
-        before = np.concatenate([[_START], own[:-1]]).astype(np.uint64)[: len(own)]
-        before[w.first[:-1][np.diff(w.first) > 0]] = _START
-        yield start, w, before, own
-
-
-def _joint(before: np.ndarray, own: np.ndarray) -> np.ndarray:
-    return hashing.mix(hashing.mix(before) + own)
-
-
-def _of_part(before: np.ndarray, own: np.ndarray, part: int) -> tuple[np.ndarray, np.ndarray]:
-    """Joint hashes of the words and bigrams that are the part's, and their places."""
-    keys = _joint(before, own)
-    at = np.flatnonzero(keys % np.uint64(PARTS) == part)
-    return keys[at], at
+    target = table(target)
+    few = target.count() <= MOST_BROADCAST_IDS
+    places = blocks.select("block", F.posexplode("doc_ids").alias("place", "doc_id"))
+    return places.join(F.broadcast(target) if few else target, "doc_id", "left_semi").groupBy("block").agg(F.collect_list("place").alias("inside"))
 
 
-def _counts(prepared: DataFrame, part: int) -> DataFrame:
-    """(before, word, n, n_target): how often each word (before: any) and each bigram of the part occurs in all texts and in those of the target."""
+def _sent(blocks: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, block, keys, n, n_target), packed, of every block and bucket."""
 
     def run(batches):
-        held: list[tuple[np.ndarray, ...]] = []
-        size = 0
-
-        def summed():
-            keys, before, own, flags = (np.concatenate(x) for x in zip(*held, strict=True))
-            _, at, place, n = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
-            inside = np.bincount(place, weights=flags, minlength=len(at)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([_int64(before[at]), _int64(own[at]), pa.array(n), pa.array(inside)], names=["before", "word", "n", "n_target"])
-
         for batch in batches:
-            flags = batch.column("in_target").to_numpy(zero_copy_only=False).astype(np.float32)
-            for start, w, before, own in _sequences(batch):
-                for first in (before, np.full(len(own), _ANY)):
-                    keys, at = _of_part(first, own, part)
-                    held.append((keys, first[at], own[at], flags[start + w.text[at]]))
-                    size += len(at)
-                if size >= HELD_KEYS:
-                    yield summed()
-                    held, size = [], 0
-        if size:
-            yield summed()
-
-    found = prepared.select("text", "once", "in_target").mapInArrow(run, "before bigint, word bigint, n bigint, n_target bigint")
-    return found.groupBy("before", "word").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target")).where((F.col("before") == int(_ANY)) | (F.col("n") >= LEAST_COUNT))
-
-
-def _union(tables: list[DataFrame]) -> DataFrame:
-    return functools.reduce(DataFrame.unionByName, tables)
-
-
-def fit(prepared: DataFrame) -> DataFrame:
-    """Both models as (key, of_word, background, target): each word's loss without its bigram (of_word 1), and what each counted bigram adds to it (0 at most)."""
-    counts = _union([table(_counts(prepared, part)) for part in range(PARTS)])
-    of_word, of_start = F.col("before") == int(_ANY), F.col("before") == int(_START)
-    sums = counts.agg(*[F.coalesce(F.sum(F.when(c, F.col(n))), F.lit(0)) for c in (of_word, of_start) for n in ("n", "n_target")], F.count_if(of_word & (F.col("word") != int(_UNKNOWN)))).head()
-    totals, starts, known = sums[:2], sums[2:4], sums[4]
-    names = list(zip(("background", "target"), ("n", "n_target"), totals, starts, strict=True))
-
-    def share(n: Column, total: int) -> Column:
-        """A word's probability without its bigram, before it is mixed."""
-        return (n + F.lit(0.5)) / F.lit(total + 0.5 * (known + 1))
-
-    singles = counts.where(of_word).select("word", "n", "n_target")
-    words = singles.select(_key(F.lit(int(_ANY))).alias("key"), F.lit(1).alias("of_word"), *[(-F.log(F.lit(1 - MIXED_IN) * share(F.col(n), total))).alias(name) for name, n, total, _ in names])
-    pairs = counts.where(~of_word)
-    pairs = pairs.join(singles.select("word", F.col("n").alias("own_n"), F.col("n_target").alias("own_n_target")), "word")
-    pairs = pairs.join(singles.select(F.col("word").alias("before"), F.col("n").alias("before_n"), F.col("n_target").alias("before_n_target")), "before", "left")
-    added = [(-F.log1p(F.lit(MIXED_IN / (1 - MIXED_IN)) * F.col(n) / F.greatest(F.when(of_start, F.lit(start)).otherwise(F.col(f"before_{n}")), F.lit(1)) / share(F.col(f"own_{n}"), total))).alias(name) for name, n, total, start in names]
-    made = _union([table(words), table(pairs.select(_key(F.col("before")).alias("key"), F.lit(0).alias("of_word"), *added))])
-    release(counts)
-    return made
-
-
-def _key(before: Column) -> Column:
-    """A word (before: any) or bigram as one key."""
-    return F.xxhash64(before.cast("long"), "word")
-
-
-def _terms(prepared: DataFrame, part: int) -> DataFrame:
-    """(row, key, times): how often each row's text has each word and bigram of the part."""
+            for r in batch.to_pylist():
+                b = _Block(r["first"], r["lead"], r["vocabulary"], r["sequence"])
+                flags = np.zeros(len(b.first) - 1)
+                flags[r["inside"] or []] = 1
+                n, inside = b.counts(), b.counts(np.repeat(flags, np.diff(b.first)))
+                at = b.bounds(buckets).tolist()
+                some = [i for i in range(buckets) if at[i + 1] > at[i]]
+                packed = [pa.array([x[at[i] : at[i + 1]].tobytes() for i in some], pa.binary()) for x in (b.keys, n, inside)]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([r["block"]] * len(some), pa.int64()), *packed], names=["bucket", "block", "keys", "n", "n_target"])
+
+    return blocks.select("block", "first", "lead", "vocabulary", "sequence", "inside").mapInArrow(run, "bucket int, block bigint, keys binary, n binary, n_target binary")
+
+
+def _answered(sent: DataFrame) -> DataFrame:
+    """(block, bucket, n, n_target): the totals of the keys that each block sent; with a null block, a bucket's _TOTALS."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        upto = np.concatenate([[0], np.cumsum(frame["keys"].map(len).to_numpy() // 8)]).tolist()
+        keys, place = np.unique(np.frombuffer(b"".join(frame["keys"]), np.uint64), return_inverse=True)
+        n, inside = (np.bincount(place, np.frombuffer(b"".join(frame[x]), np.int32), len(keys)).astype(np.int64) for x in ("n", "n_target"))
+        kind = keys & np.uint64(3)
+        word, first, known = kind == _WORD, (kind == _FIRST) & (n >= LEAST_COUNT), n >= LEAST_COUNT
+        sums = [n[word].sum(), inside[word].sum(), n[word & ~known].sum(), inside[word & ~known].sum(), (word & known).sum(), n[first].sum(), inside[first].sum()]
+        out = {"block": [*frame["block"], None], "bucket": frame["bucket"].iloc[0], "totals": [None] * len(frame) + [sums]}
+        for name, total in (("n", n), ("n_target", inside)):
+            own = total[place]
+            out[name] = [own[a:b].tobytes() for a, b in zip(upto, upto[1:], strict=False)] + [None]
+        return pd.DataFrame(out).astype({"block": "Int64"})
+
+    return sent.groupBy("bucket").applyInPandas(run, "block bigint, bucket int, n binary, n_target binary, totals array<bigint>")
+
+
+def _losses(block: dict, totals: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The losses of the block's documents, summed over their words, by the target and by the background."""
+    b = _Block(block["first"], block["lead"], block["vocabulary"], block["sequence"])
+    answers = sorted(block["answers"] or [], key=lambda a: a["bucket"])
+    counts = [b.by_key(np.frombuffer(b"".join(a[name] for a in answers), np.int64)) for name in ("n_target", "n")]
+    is_known, counted = counts[1][0] >= LEAST_COUNT, counts[1][1] >= LEAST_COUNT
+    out = []
+    for (single, pair), of in zip(counts, ("_target", ""), strict=True):
+        share = (np.where(is_known, single, totals[f"unknown{of}"]) + 0.5) / (totals[f"words{of}"] + 0.5 * (totals["known"] + 1))
+        context = np.append(single, totals[f"first{of}"])[np.where(b.before == len(b.words), len(single), b.before)]
+        loss = -np.log(MIXED_IN * np.where(counted, pair, 0) / np.maximum(context, 1) + (1 - MIXED_IN) * share[b.own])
+        upto = np.concatenate([[0.0], np.cumsum(loss[b.pair_of])])
+        out.append(upto[b.first[1:]] - upto[b.first[:-1]])
+    return tuple(out)
+
+
+def _scored(blocks: DataFrame, totals: dict[str, int]) -> DataFrame:
+    """(row, doc_id, n_tokens, target_loss, background_loss), sums, of every document of blocks with their answers."""
 
     def run(batches):
         for batch in batches:
-            names = batch.column("row").to_numpy()
-            for start, w, before, own in _sequences(batch):
-                for first in (before, np.full(len(own), _ANY)):
-                    keys, place = _of_part(first, own, part)
-                    text = w.text[place]
-                    _, at, n = np.unique(hashing.mix(keys + hashing.mix(text.astype(np.uint64) + np.uint64(1))), return_index=True, return_counts=True)
-                    at, n = at[order := np.argsort(at)], n[order]
-                    yield pa.RecordBatch.from_arrays([pa.array(names[start + text[at]]), _int64(first[place[at]]), _int64(own[place[at]]), pa.array(n.astype(np.int32))], names=["row", "before", "word", "times"])
-
-    found = prepared.select("row", "text", "once").mapInArrow(run, "row bigint, before bigint, word bigint, times int")
-    return found.select("row", _key(F.col("before")).alias("key"), "times")
-
+            for r in batch.to_pylist():
+                columns = [pa.array(r["rows"], pa.int64()), pa.array(r["doc_ids"], pa.int64()), pa.array(np.diff(r["first"]).astype(np.int64)), *(pa.array(x) for x in _losses(r, totals))]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "n_tokens", "target_loss", "background_loss"])
 
-def _summed(terms: DataFrame, losses: DataFrame) -> DataFrame:
-    """Of each row its words and losses, summed."""
-    sums = [F.sum(F.col("times") * F.col(name)).alias(name) for name in ("of_word", "background", "target")]
-    return table(terms.join(losses, "key").groupBy("row").agg(*sums))
+    return blocks.mapInArrow(run, "row bigint, doc_id bigint, n_tokens bigint, target_loss double, background_loss double")
 
 
 def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss and score (their difference) of every row of docs (doc_id, text); target (doc_id) names the target's documents."""
-    prepared = _prepared(docs, target)
-    losses = fit(prepared)
-    sums = _union([_summed(_terms(prepared, part), losses) for part in range(PARTS)]).groupBy("row").agg(*[F.sum(x).alias(x) for x in ("of_word", "background", "target")])
-    rows = prepared.select("row", "doc_id", "n_tokens").join(sums, "row", "left")
-    loss = {x: F.coalesce(F.col(x) / F.col("of_word"), F.lit(0.0)).alias(f"{x}_loss") for x in ("background", "target")}
-    return rows.select("doc_id", "n_tokens", loss["target"], loss["background"]).withColumn("score", F.col("target_loss") - F.col("background_loss"))
+    blocks = table(_blocks(docs))
+    buckets = max(1, -(-(blocks.agg(F.sum("n_keys")).head()[0] or 0) // BUCKET_KEYS))
+    marked = table(_marked(blocks, target))
+    asking = blocks.drop("rows", "doc_ids", "n_keys").join(marked, "block", "left")
+    answers = table(_answered(_sent(asking, buckets)))
+    sums = answers.where("block is null").select(*[F.sum(F.col("totals")[i]).alias(x) for i, x in enumerate(_TOTALS)]).head()
+    totals = {x: sums[x] or 0 for x in _TOTALS}
+    answered = answers.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("bucket", "n", "n_target")).alias("answers"))
+    parts = table(_scored(blocks.drop("n_keys").join(answered, "block", "left"), totals))
+    release(blocks)
+    release(marked)
+    release(answers)
+    # a document that runs over several blocks has a part in each
+    rows = parts.groupBy("row", "doc_id").agg(*[F.sum(x).alias(x) for x in ("n_tokens", "target_loss", "background_loss")])
+    rows = rows.select("doc_id", "n_tokens", *[(F.col(x) / F.greatest("n_tokens", F.lit(1))).alias(x) for x in ("target_loss", "background_loss")])
+    return rows.withColumn("score", F.col("target_loss") - F.col("background_loss"))

@@ -9,17 +9,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """A new path under spark.checkpoint.dir; where that is unset (tests), under a temporary folder."""
+    """A new path under spark.checkpoint.dir; where that is unset on one machine (tests), under a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="lumenfold-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tables/{uuid.uuid4().hex}"
 
 
 #: While a table is written, Spark deletes an execution's shuffle files when it ends, not when the driver happens to
-#: collect its garbage, and Python workers get few texts at a time.
-_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+#: collect its garbage, and Python workers get few bytes of text at a time (a longer row still comes whole).
+_WHILE_WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
+}
 
 
 def table(df: DataFrame) -> DataFrame:
