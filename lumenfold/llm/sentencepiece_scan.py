@@ -11,9 +11,12 @@ piece that begins last before it: (characters back to its start, its length). Ea
 the states at its two ends whose weight is 0; the matrices are multiplied along the document, which settles the
 state at every boundary; then each chunk traces its own pieces back. No piece crosses from a letter into a blank, so
 inside a chunk the lattice is built only up to its first such place and from its last one; between them, and in
-short documents, the words are encoded by the library once each per task. A chunk without such a place gets the
+short documents, the words are encoded by the library once each per worker. A chunk without such a place gets the
 whole lattice.
 
+The matrices are combined as a tree of FAN_IN branches: products go up level by level, and the states at each node's
+ends come down the same way, so a group holds FAN_IN small matrices however long the document is.
+
 Defined results: a null or empty text has no ids; equal giant texts are encoded once; the ids are the library's
 own for the whole text. Decoding is exact except that U+2581 in a text comes back as a blank.
 """
@@ -21,7 +24,7 @@ own for the whole text. Decoding is exact except that U+2581 in a text comes bac
 from __future__ import annotations
 
 import functools
-import re
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -29,20 +32,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .work import table
+from . import hashing
+from .word_ids import WordIds, gathered
+from .work import release, table
 
 BLANK = "▁"
-#: Words whose ids a task keeps; beyond it the memory starts afresh.
-MEMO_WORDS = 150_000
-#: Characters that a task splits into words at a time.
-SLICE_CHARS = 500_000
+#: Words whose ids a worker keeps; beyond it the memory starts afresh.
+MEMO_WORDS = 1_000_000
+FAN_IN = 64
 
 
 class Model:
     """A SentencePiece BPE model with identity normalisation, byte fallback and a dummy prefix."""
 
-    _EDGE = re.compile(f"(?<=[^ {BLANK}])(?=[ {BLANK}])")
-
     def __init__(self, path: str):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2
@@ -60,44 +62,66 @@ class Model:
         self.longest = max(map(len, normal))
         self.pieces = frozenset(normal)
         self.bytes_of = [bytes([int(p.piece[3:5], 16)]) if p.type == 6 else p.piece.replace(BLANK, " ").encode() if p.type == 1 else b"" for p in proto.pieces]
-        self.memo: dict[str, bytes] = {}
-        self.ids_of = functools.lru_cache(1 << 16)(lambda token: tuple(self.raw.encode(token)))
-        self.own = functools.lru_cache(1 << 16)(lambda token: token in self.pieces and len(self.ids_of(token)) == 1 or len(token) == 1)
-        self.compatible = functools.lru_cache(1 << 16)(lambda a, b: tuple(self.raw.encode(a + b)) == self.ids_of(a) + self.ids_of(b))
-
-    def _bytes(self, units: list[list[str]]) -> list[bytes]:
-        memo = self.memo
-        missing = list({u for own in units for u in own if u not in memo})
-        if len(memo) + len(missing) > MEMO_WORDS:
-            memo.clear()
-            missing = list({u for own in units for u in own})
-        for i in range(0, len(missing), 20_000):
-            some = missing[i : i + 20_000]
-            for u, ids in zip(some, self.raw.encode(some, num_threads=1), strict=True):
-                memo[u] = np.array(ids, "<i4").tobytes()
-        return [b"".join([memo[u] for u in own]) for own in units]
-
-    def encode_lattice(self, spans: list[str]) -> list[bytes]:
-        """Ids (little-endian int32) of spans of normalised text that begin and end where no piece crosses."""
-        return self._bytes([self._EDGE.split(s) if s else [] for s in spans])
+        self.width = np.array([len(x) for x in self.bytes_of], np.int64)
+        self.begin, self.all_bytes = np.cumsum(self.width) - self.width, np.frombuffer(b"".join(self.bytes_of), np.uint8)
+        self.words = WordIds(self.raw.encode, self.width, MEMO_WORDS)
+        self.ids_of = functools.lru_cache(1 << 14)(lambda token: tuple(self.raw.encode(token)))
+        self.own = functools.lru_cache(1 << 14)(lambda token: token in self.pieces and len(self.ids_of(token)) == 1 or len(token) == 1)
+        self.compatible = functools.lru_cache(1 << 14)(lambda a, b: tuple(self.raw.encode(a + b)) == self.ids_of(a) + self.ids_of(b))
+
+    def _encode(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The joined texts and where each begins, their ids and where those of each begin. Texts are normalised, with blanks as blanks.
+
+        No piece crosses from another character into a blank, so units begin with the first blank after one.
+        """
+        data = np.frombuffer(b"".join(parts), np.uint8)
+        at = np.zeros(len(parts) + 1, np.int64)
+        np.cumsum([len(p) for p in parts], out=at[1:])
+        begins = np.zeros(len(data), bool)
+        begins[1:] = (data[1:] == 32) & (data[:-1] != 32)
+        begins[at[:-1][at[1:] > at[:-1]]] = True
+        starts = np.flatnonzero(begins)
+        ends = np.append(starts[1:], len(data))[: len(starts)]
+        joinable = (data[starts] == 32) & (data[ends - 1] != 32) if len(starts) else np.zeros(0, bool)
+        return data, at, *self.words.encode(data, starts, joinable, at)
+
+    def _batches(self, texts: list):
+        """Whole texts, normalised, a batch at a time."""
+        for _, parts in hashing.batches([" " + t.replace(BLANK, " ") if t else None for t in texts]):
+            yield self._encode(parts)
+
+    def encode_lattice(self, span: str) -> bytes:
+        """Ids (little-endian int32) of a span of normalised text that begins and ends where no piece crosses."""
+        return self._encode([span.replace(BLANK, " ").encode()])[2].astype("<i4").tobytes()
 
     def encode(self, texts: list) -> list[bytes]:
         """Ids of whole texts."""
-        units = []
-        for t in texts:
-            if not t:
-                units.append([])
-            elif "  " in t or BLANK in t or t[0] == " " or t[-1] == " ":
-                units.append(self._EDGE.split(" " + t))
-            else:
-                units.append([" " + w for w in t.split(" ")])
-        return self._bytes(units)
+        out: list[bytes] = []
+        for _, _, ids, bounds in self._batches(texts):
+            raw, bounds = ids.astype("<i4").tobytes(), (bounds * 4).tolist()
+            out += [raw[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+        return out
+
+    def spelled(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes that ids stand for, and where those of each begin."""
+        return gathered(self.all_bytes, self.begin[ids], self.width[ids])
 
     def decode(self, ids: bytes) -> str:
-        table = self.bytes_of
-        text = b"".join([table[i] for i in np.frombuffer(ids, "<i4").tolist()]).decode("utf-8", "replace")
+        text = self.spelled(np.frombuffer(ids, "<i4"))[0].tobytes().decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
 
+    def digests(self, texts: list) -> list[tuple[int, int, bool]]:
+        """Of whole texts: their number of ids, the ids' crc32, and whether decoding them gives the text."""
+        out = []
+        for data, at, ids, bounds in self._batches(texts):
+            decoded, upto = self.spelled(ids)
+            raw, back, text, upto = ids.astype("<i4").tobytes(), decoded.tobytes(), data.tobytes(), upto[bounds].tolist()
+            bounds, at = bounds.tolist(), at.tolist()
+            for i in range(len(at) - 1):
+                a, b = bounds[i], bounds[i + 1]
+                out.append((b - a, zlib.crc32(raw[4 * a : 4 * b]), back[upto[i] : upto[i + 1]] == text[at[i] : at[i + 1]]))
+        return out
+
     def paths(self, text: str, begin: int, end: int, first: str | None) -> dict[int, tuple[int, int]]:
         """For each position up to end that the pieces after `first` (which ends at begin) reach: where its last piece starts and that piece's own end.
 
@@ -203,7 +227,7 @@ def trace(m: Model, window: str, left: int, right: int, begin: State, end: State
     head = walk(_from(m, window, left, right, begin, a), a)
     tail = walk(m.paths(window, b, right, None), right - end[0] + end[1]) if b < right else []
     ids = lambda tokens: np.array([i for t in tokens for i in m.ids_of(t)], "<i4").tobytes()
-    return ids(head) + m.encode_lattice([window[a:b]])[0] + ids(tail)
+    return ids(head) + m.encode_lattice(window[a:b]) + ids(tail)
 
 
 def multiply(x: list[tuple[State, State]], y: list[tuple[State, State]]) -> list[tuple[State, State]]:
@@ -214,22 +238,56 @@ def multiply(x: list[tuple[State, State]], y: list[tuple[State, State]]) -> list
     return sorted({(s, f) for s, e in x for f in after.get(e, ())})
 
 
-def settle(matrices: list[list[tuple[State, State]]]) -> list[tuple[State, State]]:
-    """The states at both ends of every chunk of a document, from the products of its matrices."""
-    prefix = [[(START, START)]]
+def product(matrices: list[list[tuple[State, State]]]) -> list[tuple[State, State]]:
+    return functools.reduce(multiply, matrices)
+
+
+def settle(matrices: list[list[tuple[State, State]]], begin: State, end: State) -> list[tuple[State, State]]:
+    """The states at both ends of every chunk of a run, given those at the run's ends."""
+    prefix = [[(begin, begin)]]
     for m in matrices:
         prefix.append(multiply(prefix[-1], m))
-    if not prefix[-1]:
-        raise ValueError("no path through the lattice")
-    state, out = prefix[-1][0][1], []
+    state, out = end, []
     for before, m in zip(reversed(prefix[:-1]), reversed(matrices), strict=True):
         reached = {e for _, e in before}
-        begin = next(s for s, e in m if e == state and s in reached)
-        out.append((begin, state))
-        state = begin
+        left = next(s for s, e in m if e == state and s in reached)
+        out.append((left, state))
+        state = left
     return out[::-1]
 
 
+def _pack(pairs: list[tuple[State, State]]) -> bytes:
+    return np.array(pairs, np.int32).tobytes()
+
+
+def _unpack(packed: bytes) -> list[tuple[State, State]]:
+    return [((a, b), (c, d)) for a, b, c, d in np.frombuffer(packed, np.int32).reshape(-1, 4).tolist()]
+
+
+def _settled(matrices: DataFrame) -> DataFrame:
+    """matrices: (key, number, pairs). Returns (key, number, ends): the states at each chunk's ends, packed."""
+
+    def up(key, frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"key": [key[0]], "number": [key[1]], "pairs": [_pack(product([_unpack(x) for x in frame.sort_values("number")["pairs"]]))]})
+
+    def down(key, children: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
+        children = children.sort_values("number")
+        ((begin, end),) = _unpack(nodes["ends"].iloc[0])
+        ends = settle([_unpack(x) for x in children["pairs"]], begin, end)
+        return pd.DataFrame({"key": children["key"], "number": children["number"], "ends": [_pack([x]) for x in ends]})
+
+    levels, most = [matrices], matrices.agg(F.max("number")).head()[0] or 0
+    branch = [F.col("key"), F.floor(F.col("number") / FAN_IN).cast("int").alias("branch")]
+    while most or len(levels) == 1:
+        levels.append(table(levels[-1].groupBy(*branch).applyInPandas(up, "key string, number int, pairs binary")))
+        most //= FAN_IN
+    # a document's product is the one pair of its start and of the state at its end
+    ends = levels[-1].select("key", "number", F.col("pairs").alias("ends"))
+    for level in reversed(levels[:-1]):
+        ends = level.groupBy(*branch).cogroup(ends.groupBy("key", "number")).applyInPandas(down, "key string, number int, ends binary")
+    return ends
+
+
 def _giant_ids(giants: DataFrame, path: str, chunk: int) -> DataFrame:
     """giants: (key, text), keys distinct. Returns (key, ids)."""
     partitions = int(giants.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -252,76 +310,80 @@ def _giant_ids(giants: DataFrame, path: str, chunk: int) -> DataFrame:
         m = model(path)
         for f in frames:
             rows = [transfer(m, r.window, r.left, r.right, r.number == 0, r.number == r.chunks - 1) for r in f.itertuples()]
-            yield pd.DataFrame({"key": f["key"], "number": f["number"], "pairs": [np.array(x, np.int32).tobytes() for x in rows]})
-
-    def scan(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("number")
-        pairs = [[((a, b), (c, d)) for a, b, c, d in np.frombuffer(x, np.int32).reshape(-1, 4).tolist()] for x in frame["pairs"]]
-        ends = settle(pairs)
-        return pd.DataFrame({"key": frame["key"], "number": frame["number"], "begin0": [s[0] for s, _ in ends], "begin1": [s[1] for s, _ in ends], "end0": [e[0] for _, e in ends], "end1": [e[1] for _, e in ends]})
+            yield pd.DataFrame({"key": f["key"], "number": f["number"], "pairs": [_pack(x) for x in rows]})
 
-    # a group holds the small matrices of one document, less than its text
-    settled = chunks.select("key", "number", "chunks", "left", "right", "window").mapInPandas(matrix, "key string, number int, pairs binary").groupBy("key").applyInPandas(scan, "key string, number int, begin0 int, begin1 int, end0 int, end1 int")
+    matrices = table(chunks.select("key", "number", "chunks", "left", "right", "window").mapInPandas(matrix, "key string, number int, pairs binary"))
 
     def back(frames):
         m = model(path)
         for f in frames:
-            yield pd.DataFrame({"key": f["key"], "number": f["number"], "ids": [trace(m, r.window, r.left, r.right, (r.begin0, r.begin1), (r.end0, r.end1)) for r in f.itertuples()]})
+            states = [_unpack(x)[0] for x in f["ends"]]
+            yield pd.DataFrame({"key": f["key"], "number": f["number"], "ids": [trace(m, r.window, r.left, r.right, *s) for r, s in zip(f.itertuples(), states, strict=True)]})
+
+    traced = chunks.join(_settled(matrices), ["key", "number"]).mapInPandas(back, "key string, number int, ids binary")
+    made = table(traced.groupBy("key").agg(F.expr("coalesce(listagg(ids) within group (order by number), x'')").alias("ids")))
+    release(chunks)
+    release(matrices)
+    return made
+
 
-    traced = chunks.join(settled, ["key", "number"]).mapInPandas(back, "key string, number int, ids binary")
-    pieces = traced.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("number", "ids"))).alias("parts"))
-    return pieces.select("key", F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p["ids"])).alias("ids"))
+def _giants(docs: DataFrame, chunk: int) -> DataFrame:
+    """(key, text): the distinct texts of more than chunk characters."""
+    return docs.where(F.length("text") > chunk).select(_key().alias("key"), "text").dropDuplicates(["key"])
 
 
-def slices(texts: list, limit: int = SLICE_CHARS):
-    """Consecutive runs of texts of about limit characters; a longer text is a run of its own."""
-    start, held = 0, 0
-    for i, text in enumerate(texts):
-        size = len(text) if text else 0
-        if i > start and held + size > limit:
-            yield texts[start:i]
-            start, held = i, 0
-        held += size
-    if start < len(texts):
-        yield texts[start:]
+def _key():
+    return F.sha2(F.col("text").cast("binary"), 256)
 
 
 def encode(docs: DataFrame, *, model_path: str, chunk_chars: int = 1 << 15) -> DataFrame:
     """docs with ids (binary, little-endian int32); a column of that name is replaced."""
-    docs = docs.drop("ids")
-    giant = F.length("text") > chunk_chars
-    keyed = docs.where(giant).select(F.sha2(F.col("text").cast("binary"), 256).alias("key"), "text").dropDuplicates(["key"])
-    giants = table(_giant_ids(keyed, model_path, chunk_chars))
+    rows = docs.drop("ids").select(F.struct("*").alias("row"), "text")
+    giants = _giant_ids(_giants(docs, chunk_chars), model_path, chunk_chars)
 
-    def run(texts: pd.Series) -> pd.Series:
-        out: list[bytes] = []
-        m = model(model_path)
-        for some in slices(texts.tolist()):
-            out += m.encode(some)
-        return pd.Series(out, dtype=object)
+    @F.pandas_udf("binary")
+    def short(texts: pd.Series) -> pd.Series:
+        return pd.Series(model(model_path).encode(texts.tolist()), dtype=object)
 
-    short = F.pandas_udf(run, "binary")
-    small = docs.where(~giant | F.col("text").isNull())
-    small = small.select(*[small[c] for c in small.columns], short(F.col("text")).alias("ids"))
-    large = docs.where(giant).withColumn("_key", F.sha2(F.col("text").cast("binary"), 256))
-    large = large.join(giants.select(F.col("key").alias("_key"), "ids"), "_key").drop("_key")
-    return small.unionByName(large.select(*small.columns))
+    giant = F.coalesce(F.length("text") > chunk_chars, F.lit(False))
+    small = rows.where(~giant).select("row", short(F.col("text")).alias("ids"))
+    large = rows.where(giant).select("row", _key().alias("key")).join(giants, "key").select("row", "ids")
+    return small.unionByName(large).select("row.*", "ids")
 
 
 def decode(rows: DataFrame, *, model_path: str) -> DataFrame:
-    """rows (with ids as encode makes them) with decoded (the text of the ids)."""
+    """rows (with ids as encode makes them) with decoded (the text of the ids); a column of that name is replaced."""
+
+    @F.pandas_udf("string")
+    def back(ids: pd.Series) -> pd.Series:
+        return ids.map(model(model_path).decode)
+
+    return rows.drop("decoded").withColumn("decoded", back(F.col("ids")))
 
-    def run(ids: pd.Series) -> pd.Series:
-        m = model(model_path)
-        return ids.map(m.decode)
 
-    back = F.pandas_udf(run, "string")
-    return rows.withColumn("decoded", back(F.col("ids")))
+_DIGEST = "n_tokens bigint, ids_crc32 bigint, round_trip boolean"
 
 
 def encode_digest(docs: DataFrame, *, model_path: str, chunk_chars: int = 1 << 15) -> DataFrame:
-    """doc_id, n_tokens, ids_crc32 and round_trip (decoding gives the text, U+2581 read as a blank)."""
-    rows = decode(encode(docs.select("doc_id", "text"), model_path=model_path, chunk_chars=chunk_chars), model_path=model_path)
-    same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), BLANK, " ")
+    """doc_id, n_tokens, ids_crc32 and round_trip (decoding gives the text, U+2581 read as a blank).
+
+    Short texts are encoded and decoded in one pass; a giant text's digest is made once for all its copies, which
+    meet it by their key alone.
+    """
+    docs = docs.select("doc_id", "text")
+    texts = table(_giants(docs, chunk_chars))
+    giants = _giant_ids(texts, model_path, chunk_chars)
+    same = F.col("decoded") == F.translate("text", BLANK, " ")
+    giants = decode(giants, model_path=model_path).join(texts, "key").select("key", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), same.alias("round_trip"))
+    giants = table(giants)
+    release(texts)
+
+    @F.pandas_udf(_DIGEST)
+    def short(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(model(model_path).digests(texts.tolist()), columns=["n_tokens", "ids_crc32", "round_trip"])
+
+    giant = F.coalesce(F.length("text") > chunk_chars, F.lit(False))
+    small = docs.where(~giant).select("doc_id", short(F.col("text")).alias("d")).select("doc_id", "d.*")
+    large = docs.where(giant).select("doc_id", _key().alias("key")).join(giants, "key").drop("key")
     # a few numbers a document, written while Python workers get small batches
-    return table(rows.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), same.alias("round_trip")))
+    return table(small.unionByName(large))

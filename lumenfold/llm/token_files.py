@@ -13,7 +13,6 @@ dictionary hash is not that of the dictionary it holds.
 Encoding gives each task its share of the documents (range-partitioned by doc_id). Words repeat, and no pre-token
 crosses a blank that stands between two characters that are no white space, so the tokenizer runs once per distinct
 blank-led word and worker, for many words at a time, and the ids of a text are gathered from those of its words.
-Words are told apart by 64-bit hashes: among the MEMO_WORDS that a worker knows, two coincide with a chance of 1e-7.
 
 Defined results: a null text is empty; a document always ends with the end id; null ids come first, rows of one
 id in order of their text; an empty table gives an empty file set.
@@ -29,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import hashing
+from .word_ids import WordIds
 from .work import folder
 
 BLOCK_BYTES = 2 << 20
@@ -37,8 +37,6 @@ BLOCK_DOCS = 2048
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 1000, 4096, 112 << 10
 #: Words whose ids a task keeps; beyond it the memory starts afresh.
 MEMO_WORDS = 2_000_000
-#: Words that the tokenizer is given as one text.
-JOINED_WORDS = 2_000
 
 BLOCKS = "part int, block int, start bigint, dict_hash string, doc_ids array<bigint>, n_tokens array<int>, offsets array<bigint>, blob binary"
 _BLOCK_TYPES = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("start", pa.int64()), ("dict_hash", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("n_tokens", pa.list_(pa.int32())), ("offsets", pa.list_(pa.int64())), ("blob", pa.binary())])
@@ -56,83 +54,20 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = literal
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        #: Bytes that each id stands for: a byte-level vocabulary writes a byte as a character.
-        self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
-        for token, i in vocabulary.items():
-            self.width[i] = len(token)
+        width = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():  # a byte-level vocabulary writes a byte as a character
+            width[i] = len(token)
         for i, token in self.tokenizer.get_added_tokens_decoder().items():
-            self.width[i] = len(token.content.encode())
-        self._forget()
-
-    def _forget(self) -> None:
-        """The words known: hashes in order, and where the ids of each stand in pool."""
-        self.keys, self.begin, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
-
-    def _plain(self, units: list[bytes]) -> list[np.ndarray]:
-        found = self.tokenizer.encode_batch_fast([u.decode("utf-8", "replace") for u in units], add_special_tokens=False)
-        return [np.array(e.ids, np.uint32) for e in found]
-
-    def _ids(self, units: list[bytes], joinable: np.ndarray) -> tuple[list[int], list[np.ndarray], list[np.ndarray]]:
-        """Numbers of units, in the order of what follows: their counts of ids, and their ids.
-
-        Those that begin with a lone blank and end with none are encoded many at a time and parted by the bytes that their ids stand for.
-        """
-        order, counts, flat, rest = [], [], [], np.flatnonzero(~joinable).tolist()
-        joined = np.flatnonzero(joinable).tolist()
-        for some in (joined[i : i + JOINED_WORDS] for i in range(0, len(joined), JOINED_WORDS)):
-            own = [units[i] for i in some]
-            ids = self._plain([b"".join(own)])[0]
-            bytes_to, ends = np.cumsum(self.width[ids]), np.cumsum(np.fromiter(map(len, own), np.int64, len(own)))
-            at = np.searchsorted(bytes_to, ends)
-            if at[-1] + 1 == len(ids) and (bytes_to[at] == ends).all():
-                order += some
-                counts.append(np.diff(at, prepend=-1))
-                flat.append(ids)
-            else:
-                rest += some
-        alone = self._plain([units[i] for i in rest])
-        return order + rest, [*counts, np.fromiter(map(len, alone), np.int64, len(alone))], flat + alone
-
-    def _learn(self, keys: np.ndarray, units: list[bytes], joinable: np.ndarray) -> None:
-        order, counts, ids = self._ids(units, joinable)
-        count, flat = np.concatenate(counts), np.concatenate(ids)
-        if self.used + len(flat) > len(self.pool):
-            self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(self.used, len(flat)) + (1 << 16), np.uint32)])
-        begin = self.used + np.cumsum(count) - count
-        self.pool[self.used : self.used + len(flat)] = flat
-        self.used += len(flat)
-        all_keys = np.concatenate([self.keys, keys[order]])
-        order = np.argsort(all_keys, kind="stable")
-        self.keys, self.begin, self.count = all_keys[order], np.concatenate([self.begin, begin])[order], np.concatenate([self.count, count])[order]
-
-    def _known(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where each of keys stands among the known words, and whether it does."""
-        if not len(self.keys):
-            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return at, self.keys[at] == keys
+            width[i] = len(token.content.encode())
+        self.words = WordIds(self._plain, width, MEMO_WORDS)
+
+    def _plain(self, texts: list[str]) -> list:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _encode(self, parts: list[bytes]) -> list[bytes]:
         data, starts, at, joinable = _units(parts)
-        if not len(starts):
-            return [b""] * len(parts)
-        ends = np.append(starts[1:], len(data))
-        keys, first, place = np.unique(hashing.span_hashes(data, starts, ends, False), return_index=True, return_inverse=True)
-        known, found = self._known(keys)
-        if not found.all():
-            if len(self.keys) + int((~found).sum()) > MEMO_WORDS:
-                self._forget()
-                found[:] = False
-            new = first[~found]
-            raw = data.tobytes()
-            self._learn(keys[~found], [raw[a:b] for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)], joinable[new])
-            known, _ = self._known(keys)
-        begin, count = self.begin[known][place], self.count[known][place]
-        upto = np.zeros(len(count) + 1, np.int64)
-        np.cumsum(count, out=upto[1:])
-        ids = self.pool[np.repeat(begin - upto[:-1], count) + np.arange(upto[-1])]
-        raw, bounds = ids.astype("<u4", copy=False).tobytes(), (upto[np.searchsorted(starts, at)] * 4).tolist()
+        ids, bounds = self.words.encode(data, starts, joinable, at)
+        raw, bounds = ids.astype("<u4", copy=False).tobytes(), (bounds * 4).tolist()
         return [raw[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
     def encode(self, texts: list) -> list[bytes]:
@@ -189,12 +124,13 @@ def _units(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 def _long(part: bytes):
     """A long text in pieces that begin with units of its own; one without a place to cut stays whole."""
-    data, starts, _, _ = _units([part])
+    starts = _units([part])[1]
     begun = 0
-    for i in starts[np.searchsorted(starts, np.arange(hashing.BATCH_BYTES, len(part), hashing.BATCH_BYTES)) % len(starts)].tolist() + [len(part)]:
+    for i in starts[np.searchsorted(starts, np.arange(hashing.BATCH_BYTES, starts[-1] + 1, hashing.BATCH_BYTES))].tolist():
         if i > begun:
             yield part[begun:i]
             begun = i
+    yield part[begun:]
 
 
 _encoders: dict[str, Encoder] = {}
