@@ -6,10 +6,11 @@ capitals, punctuation and obfuscation rates. Training rows are cross-fitted: tho
 the lexicon of the other folds, so the trees see the lexicon as it works on texts that it was not learnt from.
 The last fold calibrates the trees' output.
 
-Learning uses at most ``SAMPLE_ROWS`` labelled rows (those of least hash); the lexicon holds at most LEXICON_MOST
-entries. All else covers every row.
+Learning uses at most ``SAMPLE_ROWS`` labelled rows (those of least hash); the lexicon holds every word of theirs that
+marks label 1. All else covers every row.
 
-Defined results: a null or empty text has all features 0 and gets the score of that; labels that are null or
+Defined results: columns named score, held_out and predicted are replaced; a text of more than a megabyte is read in
+pieces cut at blanks, and nearness does not reach over a cut; a null or empty text has all features 0 and gets the score of that; labels that are null or
 without a document are ignored, of several labels for one id the largest holds; with no labelled rows, or only one
 class, every score is the share of label 1 among them (0 without rows).
 """
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from . import hashing
 from .work import table
 
-SAMPLE_ROWS, LEXICON_MOST, FOLDS = 20_000, 50_000, 4
+SAMPLE_ROWS, FOLDS = 20_000, 4
 LEAST_COUNT, LEAST_LOG_ODDS, NEAR = 3, 2.0, 4
 THRESHOLD = 0.7
 
@@ -96,45 +97,59 @@ def features(texts: list, lexicon: Lexicon) -> np.ndarray:
     """FEATURES of every text (None: empty), a row each."""
     out = np.zeros((len(texts), len(FEATURES)))
     for start, parts in hashing.batches(texts):
-        n = len(parts)
-        data, _, _, at = hashing.spans(parts)
-        text_of = np.repeat(np.arange(n), np.diff(at))
-        hashes, owner, begins, ends, prefix = _letter_words(data, at)
-        words = np.maximum(np.bincount(owner, minlength=n), 1)
-        odds, start_odds = lexicon.of(hashes), lexicon.of(prefix)
-        hits = odds > 0
-        you = _YOU[np.minimum(np.searchsorted(_YOU, hashes), len(_YOU) - 1)] == hashes
-        reach = np.zeros(len(hashes) + 1)
-        np.cumsum(you, out=reach[1:])
-        index = np.arange(len(hashes))
-        first = np.searchsorted(owner, np.arange(n + 1))
-        low, high = np.maximum(index - NEAR, first[owner]), np.minimum(index + NEAR + 1, first[owner + 1])
-        near = hits & (reach[high] - reach[low] > 0)
-        letters = np.maximum(_sum(_LETTER[data], text_of, n), 1)
-        chars = np.maximum(np.diff(at) - 1, 1)
-        capitals = np.zeros(len(data) + 1)
-        np.cumsum(_CAPITAL[data], out=capitals[1:])
-        shouted = (ends - begins >= 3) & (capitals[ends] - capitals[begins] == ends - begins)
-        marks = (data == 33) | (data == 63)
-        punctuation = ~_LETTER[data] & ~_BLANK[data] & ~((data >= 48) & (data <= 57))
-        mixed = ~_LETTER[data] & ~_BLANK[data]
-        inner = mixed[1:-1] & _LETTER[data[:-2]] & _LETTER[data[2:]]
-        solved = _SOLVED[data]
-        keep = _LETTER[solved] | _BLANK[data]
-        squeezed = np.ascontiguousarray(solved[keep])
-        at_squeezed = np.concatenate([[0], np.cumsum(np.add.reduceat(keep, at[:-1].astype(np.int64)))])
-        s, e = _runs(_LETTER[squeezed])
-        open_hits = _sum(lexicon.of(hashing.span_hashes(squeezed, s, e, True)) > 0, np.searchsorted(at_squeezed, s, "right") - 1, n)
-        plain_hits = _sum(hits, owner, n)
-        single = ends - begins == 1
-        spelled = np.zeros(len(single), bool)
-        if len(single) > 2:
-            spelled[1:-1] = single[1:-1] & single[:-2] & single[2:]
-        columns = (plain_hits / words, _sum(odds, owner, n) / words, np.log1p(plain_hits), _sum(start_odds > 0, owner, n) / words, _sum(start_odds, owner, n) / words, _sum(you, owner, n) / words, _sum(near, owner, n) / words, _sum(_CAPITAL[data], text_of, n) / letters, _sum(shouted, owner, n) / words, _sum(marks, text_of, n) / chars, _sum(punctuation, text_of, n) / chars, _sum(inner, text_of[1:-1], n) / words, np.maximum(open_hits - plain_hits, 0) / words, _sum(spelled, owner, n) / words, np.log1p(words * (np.bincount(owner, minlength=n) > 0)))
-        out[start : start + n] = np.stack(columns, 1)
+        if len(parts) == 1 and len(parts[0]) > hashing.BATCH_BYTES:
+            sums = sum(_sums([piece], lexicon) for piece in hashing.pieces(parts[0]))
+        else:
+            sums = _sums(parts, lexicon)
+        out[start : start + len(parts)] = _rates(sums)
     return out
 
 
+def _sums(parts: list[bytes], lexicon: Lexicon) -> np.ndarray:
+    """What the features are made of, summed over each text: words, letters, bytes, then what is counted in them."""
+    n = len(parts)
+    data, _, _, at = hashing.spans(parts)
+    text_of = np.repeat(np.arange(n), np.diff(at))
+    hashes, owner, begins, ends, prefix = _letter_words(data, at)
+    odds, start_odds = lexicon.of(hashes), lexicon.of(prefix)
+    hits = odds > 0
+    you = _YOU[np.minimum(np.searchsorted(_YOU, hashes), len(_YOU) - 1)] == hashes
+    reach = np.zeros(len(hashes) + 1)
+    np.cumsum(you, out=reach[1:])
+    index = np.arange(len(hashes))
+    first = np.searchsorted(owner, np.arange(n + 1))
+    low, high = np.maximum(index - NEAR, first[owner]), np.minimum(index + NEAR + 1, first[owner + 1])
+    near = hits & (reach[high] - reach[low] > 0)
+    capitals = np.zeros(len(data) + 1)
+    np.cumsum(_CAPITAL[data], out=capitals[1:])
+    shouted = (ends - begins >= 3) & (capitals[ends] - capitals[begins] == ends - begins)
+    marks = (data == 33) | (data == 63)
+    punctuation = ~_LETTER[data] & ~_BLANK[data] & ~((data >= 48) & (data <= 57))
+    mixed = ~_LETTER[data] & ~_BLANK[data]
+    inner = mixed[1:-1] & _LETTER[data[:-2]] & _LETTER[data[2:]]
+    solved = _SOLVED[data]
+    keep = _LETTER[solved] | _BLANK[data]
+    squeezed = np.ascontiguousarray(solved[keep])
+    at_squeezed = np.concatenate([[0], np.cumsum(np.add.reduceat(keep, at[:-1].astype(np.int64)))])
+    s, e = _runs(_LETTER[squeezed])
+    open_hits = _sum(lexicon.of(hashing.span_hashes(squeezed, s, e, True)) > 0, np.searchsorted(at_squeezed, s, "right") - 1, n)
+    single = ends - begins == 1
+    spelled = np.zeros(len(single), bool)
+    if len(single) > 2:
+        spelled[1:-1] = single[1:-1] & single[:-2] & single[2:]
+    of_words = [_sum(x, owner, n) for x in (hits, odds, start_odds > 0, start_odds, you, near, shouted, spelled)]
+    of_bytes = [_sum(x, text_of, n) for x in (_CAPITAL[data], marks, punctuation)]
+    return np.stack([np.bincount(owner, minlength=n), _sum(_LETTER[data], text_of, n), np.diff(at) - 1, *of_words, *of_bytes, _sum(inner, text_of[1:-1], n), open_hits], 1)
+
+
+def _rates(sums: np.ndarray) -> np.ndarray:
+    """FEATURES from _sums."""
+    words, letters, chars, hits, odds, starts, start_odds, you, near, shouted, spelled, capitals, marks, punctuation, inner, open_hits = sums.T
+    per_word, per_letter, per_char = np.maximum(words, 1), np.maximum(letters, 1), np.maximum(chars, 1)
+    columns = (hits / per_word, odds / per_word, np.log1p(hits), starts / per_word, start_odds / per_word, you / per_word, near / per_word, capitals / per_letter, shouted / per_word, marks / per_char, punctuation / per_char, inner / per_word, np.maximum(open_hits - hits, 0) / per_word, spelled / per_word, np.log1p(words))
+    return np.stack(columns, 1)
+
+
 def _word_counts(sample: DataFrame) -> DataFrame:
     """By hash and fold, in how many sampled texts of either label a word or a word's beginning occurs."""
 
@@ -154,20 +169,16 @@ def _word_counts(sample: DataFrame) -> DataFrame:
     return sample.select("text", "toxic", "fold").mapInArrow(run, "key bigint, fold bigint, marked bigint, seen bigint").groupBy("key", "fold").agg(F.sum("marked").alias("marked"), F.sum("seen").alias("seen"))
 
 
-def _lexicon(rows: list, totals: dict[int, tuple[int, int]], without: int | None) -> Lexicon:
+def _lexicon(counts: dict[str, np.ndarray], totals: dict[int, tuple[int, int]], without: int | None) -> Lexicon:
     folds = [f for f in totals if f != without]
     marked_all, all_ = (sum(totals[f][i] for f in folds) for i in (0, 1))
-    keys = np.array([r["key"] for r in rows], np.int64).view(np.uint64)
-    counts = np.zeros((len(rows), 2))
-    for i, r in enumerate(rows):
-        for f, m, s in r["by_fold"]:
-            if f != without:
-                counts[i] += m, s
-    marked, clean = counts[:, 0], counts[:, 1] - counts[:, 0]
+    marked, seen = (sum(counts[f"{x}{f}"] for f in folds) for x in ("marked", "seen"))
+    clean = seen - marked
     odds = np.log((marked + 0.5) / (marked_all - marked + 1)) - np.log((clean + 0.5) / (all_ - marked_all - clean + 1))
     keep = (marked >= LEAST_COUNT) & (odds >= LEAST_LOG_ODDS)
-    order = np.argsort(keys[keep])
-    return Lexicon(keys[keep][order], odds[keep][order])
+    keys = counts["key"][keep].view(np.uint64)
+    order = np.argsort(keys)
+    return Lexicon(keys[order], odds[keep][order])
 
 
 @dataclass
@@ -189,7 +200,7 @@ class ToxicityModel:
 
             return pd.Series(list(features(texts.tolist(), shared.value)))
 
-        own = docs.select(F.struct("*").alias("_row"), array_to_vector(featured(F.col("text"))).alias("features"))
+        own = docs.drop("score").select(F.struct("*").alias("_row"), array_to_vector(featured(F.col("text"))).alias("features"))
         return _calibrated(self.trees, self.calibration, own).select("_row.*", "score")
 
 
@@ -212,9 +223,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> T
     fit_on = {f: v for f, v in totals.items() if f != FOLDS - 1}
     if not 0 < marked < n or not 0 < sum(v[0] for v in fit_on.values()) < sum(v[1] for v in fit_on.values()):
         return ToxicityModel(Lexicon(np.zeros(0, np.uint64), np.zeros(0)), None, None, marked / n if n else 0.0)
-    counts = _word_counts(sample).groupBy("key").agg(F.sum("marked").alias("marked"), F.sum("seen").alias("seen"), F.collect_list(F.struct("fold", "marked", "seen")).alias("by_fold"))
-    rows = counts.where((F.col("marked") >= LEAST_COUNT) & (F.col("marked") * n > 2 * F.col("seen") * marked)).orderBy(F.desc("marked"), "key").limit(LEXICON_MOST).collect()
-    by_fold = {f: _lexicon(rows, totals, f) for f in totals}
+    sums = [F.sum(F.when(F.col("fold") == f, F.col(x)).otherwise(0)).alias(f"{x}{f}") for x in ("marked", "seen") for f in totals]
+    counts = _word_counts(sample).groupBy("key").agg(F.sum("marked").alias("marked"), F.sum("seen").alias("seen"), *sums)
+    # numbers of the words that mark label 1 in the sample, which is bounded
+    found = counts.where((F.col("marked") >= LEAST_COUNT) & (F.col("marked") * n > 2 * F.col("seen") * marked)).toArrow()
+    counts = {x: found.column(x).to_numpy() for x in found.column_names}
+    by_fold = {f: _lexicon(counts, totals, f) for f in totals}
 
     def run(batches):
         for batch in batches:
@@ -229,7 +243,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> T
     trees = GBTClassifier(maxIter=20, maxDepth=4, stepSize=0.2, maxBins=64, seed=1).fit(ready.where(F.col("fold") != FOLDS - 1))
     held = trees.transform(ready.where(F.col("fold") == FOLDS - 1)) if totals.get(FOLDS - 1, (0, 0))[0] else trees.transform(ready)
     calibration = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="calibrated").fit(held.select("label", vector_to_array("probability")[1].alias("raw")))
-    return ToxicityModel(_lexicon(rows, totals, None), trees, calibration, marked / n)
+    return ToxicityModel(_lexicon(counts, totals, None), trees, calibration, marked / n)
 
 
 def learnable(docs_id: Column) -> Column:
