@@ -2,8 +2,8 @@
 
 A line is dropped when an earlier line, of the same or another document, is within one edit (insertion, deletion or
 substitution of a code point) of it; the earliest always stays. Lines are compared without the blanks around them;
-those of fewer than ``min_words`` words are never dropped and never cause a drop (1: every line that is not blank takes
-part), and those of fewer than ``near_chars`` code points only as equal lines: one edit makes another word of a short
+those of fewer than ``min_words`` words are never dropped and never cause a drop (1, the default: every line that is not
+blank takes part), and those of fewer than ``near_chars`` code points only as equal lines: one edit makes another word of a short
 line. Earlier means: smaller doc_id (null
 last), then the text's hash, then the line's number; rows with equal doc_id and text are one document.
 
@@ -32,8 +32,8 @@ from . import hashing
 from .mixing import WORD
 from .work import table
 
-MIN_WORDS, SEGMENTS = 5, 8
-#: The least code points that MIN_WORDS words have.
+MIN_WORDS, SEGMENTS = 1, 8
+#: Five words have as many code points at least.
 NEAR_CHARS = 9
 #: Lines whose numbers are broadcast at most to the documents; beyond it the documents are joined by a shuffle.
 MOST_BROADCAST_LINES = 1_000_000
@@ -179,11 +179,13 @@ def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_chars: int
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_chars: int = NEAR_CHARS) -> DataFrame:
-    """docs (doc_id, text and any other columns) with text without its duplicate lines, n_lines and n_removed."""
+    """docs (doc_id, text and any other columns) with text without its duplicate lines, n_lines and n_removed (columns of these names are replaced)."""
     dropped = duplicate_lines(docs, min_words, near_chars)
-    own = docs.drop("n_lines", "n_removed").withColumn("thash", F.xxhash64(F.lit(1), "text"))
-    found = _with_numbers(own.withColumn("doc_id", F.col("doc_id").cast("long")), dropped, "_dropped")
+    docs = docs.drop("n_lines", "n_removed")
+    own = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.lit(1), "text").alias("thash"), "text")
+    found = _with_numbers(own, dropped, "dropped")
     parts = F.split("text", "\n")
-    kept = F.filter(F.transform(parts, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains("_dropped", s["i"]))
-    text = F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda s: s["x"]), "\n"))
-    return found.withColumn("n_lines", F.coalesce(F.size(parts), F.lit(0))).withColumn("n_removed", F.coalesce(F.size("_dropped"), F.lit(0))).withColumn("text", text).drop("_dropped", "thash")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("dropped"))
+    text = F.when(F.col("dropped").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
+    columns = [text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns]
+    return found.select(*columns, F.coalesce(F.size(parts), F.lit(0)).alias("n_lines"), F.coalesce(F.size("dropped"), F.lit(0)).alias("n_removed"))
