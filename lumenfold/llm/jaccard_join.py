@@ -11,7 +11,8 @@
    opened.
 5. Opened groups are verified on whole sets in tasks of at most QUERY_SIZE nodes against one group. Of the links
    found, a task returns a spanning forest: what is connected already needs no further link, so a group of
-   thousands of near copies yields as many rows as copies, not as pairs.
+   thousands of near copies yields as many rows as copies, not as pairs; and once a group's members are connected,
+   a node is compared with one of them before it is with all.
 6. The links' connected components are contracted by joins.
 
 Defined results: A-Z are lowered, words are runs of non-blank characters; a text with fewer words than a shingle has
@@ -33,6 +34,7 @@ from . import hashing
 from .components import components
 from .work import release, table
 
+#: Tokens put last, at most: they are broadcast. It changes the cost alone.
 DEMOTE_ABOVE, DEMOTE_MOST = 32, 1_000_000
 GROUP_SIZE, QUERY_SIZE = 512, 512
 #: Document ids broadcast at most to fetch texts; beyond it they are joined.
@@ -53,20 +55,6 @@ def _node(keys: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(keys.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-#: Bytes of a token's key kept in the sets that are verified: two tokens of a pair of 10,000 each coincide with a chance of 1e-4.
-PACKED = 5
-
-
-def _packed(keys: np.ndarray) -> bytes:
-    return np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, :PACKED]).tobytes()
-
-
-def _unpacked(packed: bytes) -> np.ndarray:
-    out = np.zeros((len(packed) // PACKED, 8), np.uint8)
-    out[:, :PACKED] = np.frombuffer(packed, np.uint8).reshape(-1, PACKED)
-    return out.view(np.int64)[:, 0]
-
-
 def _sets(docs: DataFrame, words: int, percent: int, late: np.ndarray, whole: bool) -> DataFrame:
     """doc_id, node, n and the head (or the whole set) of every text."""
     shared = docs.sparkSession.sparkContext.broadcast(late)
@@ -81,7 +69,7 @@ def _sets(docs: DataFrame, words: int, percent: int, late: np.ndarray, whole: bo
                 plain = (tokens >> np.uint64(2)).view(np.int64)
                 n = len(plain)
                 keys = _ordered(tokens, late)
-                rows.append((ids[i], _node(plain), n, _packed(keys) if whole else keys[: n - -(-percent * n // 100) + 1 if n else 0]))
+                rows.append((ids[i], _node(plain), n, keys.tobytes() if whole else keys[: n - -(-percent * n // 100) + 1 if n else 0]))
                 size += n
                 if size > 500_000:
                     yield _batch(rows)
@@ -153,39 +141,61 @@ class _Forest:
         return a != b
 
 
-def _verified(units: DataFrame, percent: int) -> DataFrame:
-    """units: (gid, part, asks, node, n, keys), sorted so; members of a group come before the nodes that ask. Links (a, b)."""
+class _Group:
+    """Members of a group and the links found between them and nodes that ask."""
 
-    def links(members: list, asking) -> list[tuple[int, int]]:
-        sizes = np.array([m[1] for m in members])
-        names = [m[0] for m in members]
-        every = np.concatenate([_unpacked(m[2]) for m in members])
-        owner = np.repeat(np.arange(len(members)), sizes)
+    def __init__(self, members: list[tuple[int, int, bytes]], percent: int):
+        self.percent = percent
+        self.names, sizes, keys = (list(x) for x in zip(*members, strict=True))
+        self.sizes, self.keys = np.array(sizes), [np.frombuffer(k, np.int64) for k in keys]
+        every, owner = np.concatenate(self.keys), np.repeat(np.arange(len(members)), self.sizes)
         order = np.argsort(every, kind="stable")
-        every, owner = every[order], owner[order]
-        forest, found = _Forest(), []
-        for node, n, packed in asking:
-            keys = _unpacked(packed)
-            low, high = np.searchsorted(every, keys), np.searchsorted(every, keys, "right")
-            lengths = high - low
-            at = np.repeat(low - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
-            common = np.bincount(owner[at], minlength=len(members))
-            for i in np.flatnonzero(100 * common >= percent * (n + sizes - common)).tolist():
-                if names[i] != node and forest.join(node, names[i]):
-                    found.append((node, names[i]))
+        self.every, self.owner = every[order], owner[order]
+        self.forest, self.joined, self.near = _Forest(), len(members) == 1, 0
+
+    def _links(self, n: int, sizes, common):
+        return 100 * common >= self.percent * (n + sizes - common)
+
+    def links(self, node: int, n: int, packed: bytes) -> list[tuple[int, int]]:
+        """Links of the node to members, as many as connect it to all that it is linked with; those that earlier links connect already are left out."""
+        keys, found = np.frombuffer(packed, np.int64), []
+        if self.joined:  # all members are connected: one link is enough, and the member that was linked last is likely to give it
+            if self.forest.root(node) == self.forest.root(self.names[0]):
+                return found
+            common = len(np.intersect1d(keys, self.keys[self.near], assume_unique=True))
+            if self._links(n, self.sizes[self.near], common):
+                self.forest.join(node, self.names[self.near])
+                return [(node, self.names[self.near])]
+        low, high = np.searchsorted(self.every, keys), np.searchsorted(self.every, keys, "right")
+        lengths = high - low
+        at = np.repeat(low - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths) + np.arange(lengths.sum())
+        common = np.bincount(self.owner[at], minlength=len(self.names))
+        for i in np.flatnonzero(self._links(n, self.sizes, common)).tolist():
+            if self.names[i] != node and self.forest.join(node, self.names[i]):
+                found.append((node, self.names[i]))
+                self.near = i
+        if found and not self.joined:
+            self.joined = len({self.forest.root(x) for x in self.names}) == 1
         return found
 
+
+def _verified(units: DataFrame, percent: int) -> DataFrame:
+    """units: (gid, part, asks, node, n, keys), sorted so; members of a group come before the nodes that ask. Links (a, b)."""
+
     def run(batches):
-        current, members, asking = None, [], []
+        current, members, group = None, [], None
         for batch in batches:
+            found: list[tuple[int, int]] = []
             for gid, part, asks, node, n, keys in zip(*(batch.column(c).to_pylist() for c in ("gid", "part", "asks", "node", "n", "keys")), strict=True):
                 if (gid, part) != current:
-                    if members and asking:
-                        yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in links(members, asking)], schema=types)
-                    current, members, asking = (gid, part), [], []
-                (asking if asks else members).append((node, n, keys))
-        if members and asking:
-            yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in links(members, asking)], schema=types)
+                    current, members, group = (gid, part), [], None
+                if not asks:
+                    members.append((node, n, keys))
+                elif members or group:
+                    group = group or _Group(members, percent)
+                    members = []
+                    found += group.links(node, n, keys)
+            yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in found], schema=types)
 
     types = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     return units.mapInArrow(run, "a bigint, b bigint")

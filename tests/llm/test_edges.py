@@ -18,6 +18,12 @@ def docs(spark, request):
     return spark.createDataFrame(ROWS if request.param == "full" else [], DOCS)
 
 
+def same_others(before, after, changed):
+    """Whether after has the columns and, but for those changed, the values of before."""
+    names = [c for c in before.columns if c not in changed]
+    return set(before.columns) <= set(after.columns) and sorted(map(str, before.select(names).collect())) == sorted(map(str, after.select(names).collect()))
+
+
 def test_documents(spark, docs):
     n = docs.count()
     labels = spark.createDataFrame([(1, 1), (2, None), (None, 1), (99, 0)], "doc_id bigint, toxic int")
@@ -26,7 +32,7 @@ def test_documents(spark, docs):
     assert mixing.mix(docs).count() == n
     assert mixing.mixed_documents(docs).columns == docs.columns
     assert token_files.token_digest(docs, tokenizer_path=tokenizer_path("byte_bpe_50k.json")).count() == n
-    assert toxicity.score_documents(docs.drop("score"), labels).where("score between 0 and 1").count() == n
+    assert toxicity.score_documents(docs, labels).where("score between 0 and 1").count() == n
     assert fingerprints.edited_fingerprints(docs).count() == n
     assert fingerprints.fingerprint_table(docs).count() == n
     assert sentencepiece_scan.encode_digest(docs, model_path=path).where("round_trip").count() == n
@@ -34,7 +40,9 @@ def test_documents(spark, docs):
     kept = jaccard_join.one_of_each_group(docs)
     assert kept.columns == docs.columns and kept.count() == max(n - 1, 0)
     assert lm_scoring.cross_entropy_difference(docs, target).count() == n
-    deduped = line_dedup.dedup_lines(docs)
+    assert same_others(docs, toxicity.score_documents(docs, labels), {"score"})
+    deduped = line_dedup.dedup_lines(docs, min_words=5)
+    assert same_others(docs, deduped, {"text"})
     assert deduped.count() == n and deduped.where("doc_id = 6 and text <> ''").count() == 0
 
 
@@ -63,12 +71,3 @@ def test_vectors(spark):
 def test_pipeline_keeps_columns(spark, sf):
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["toxicity", "line_dedup", "near_copies", "mixing", "sentencepiece"] and corpus_pipeline.ORACLE_SQL is None
-
-
-def test_sentencepiece_slices_keep_every_text_in_order():
-    from lumenfold.llm.sentencepiece_scan import slices
-
-    texts = ["ab", None, "", "abcdefgh", "a", "bc", "d"]
-    found = list(slices(texts, 3))
-    assert [t for own in found for t in own] == texts
-    assert found == [["ab", None, ""], ["abcdefgh"], ["a", "bc"], ["d"]] and list(slices([], 3)) == []

@@ -97,8 +97,9 @@ def test_encoder_equals_library():
     path = tokenizer_path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
-    got = token_files.Encoder(path).encode(ODD)
-    for text, raw in zip(ODD, got, strict=True):
+    texts = [*ODD, "wörd " * 300_000, "x" * 1_200_000, " ".join(f"{i} word{i % 977}.\n" * (i % 5 == 0) or f"w{i}" for i in range(250_000))]
+    got = token_files.Encoder(path).encode(texts)
+    for text, raw in zip(texts, got, strict=True):
         assert np.frombuffer(raw, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
 
 
@@ -243,30 +244,32 @@ def test_jaccard(spark, docs, n, percent, monkeypatch):
     assert got == brute_components(own, n, percent)
 
 
-def test_lm_scoring(spark, docs):
+@pytest.mark.parametrize("block", [50, 1 << 19])
+def test_lm_scoring(spark, docs, block, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "BLOCK_WORDS", block)
+    monkeypatch.setattr(lm_scoring, "BUCKET_KEYS", 5000)
     good = {d for d, _, _ in docs if d % 3 == 0}
-    own = [(d, t) for d, t, _ in docs][:200]
+    own = [(d, t) for d, t, _ in docs][: 200 if block > 50 else 30]
     frame = spark.createDataFrame(own, "doc_id bigint, text string")
     target = spark.createDataFrame([(d,) for d in good], "doc_id bigint")
     rows = {r.doc_id: r for r in lm_scoring.cross_entropy_difference(frame, target).collect()}
+    assert len(rows) == len(own)
     words = {d: WORD.findall((t or "").translate(fold)) for d, t in own}
     counts = [Counter(w for d in words if not k or d in good for w in words[d]) for k in (0, 1)]
-    total = sum(counts[0].values())
-    known = {w for w, c in counts[0].items() if c >= max(lm_scoring.LEAST_COUNT, lm_scoring.WORD_SHARE * total)}
-    seq = {d: ["<s>"] + [w if w in known else "<unk>" for w in words[d]] for d in words}
-    singles = [Counter(w for d in seq if not k or d in good for w in seq[d][1:]) for k in (0, 1)]
-    pairs = [Counter(p for d in seq if not k or d in good for p in zip(seq[d], seq[d][1:], strict=False)) for k in (0, 1)]
-    kept = {p for p, c in pairs[0].items() if c >= max(lm_scoring.LEAST_COUNT, lm_scoring.PAIR_SHARE * total)}
+    known = {w for w, c in counts[0].items() if c >= lm_scoring.LEAST_COUNT}
+    unknown = [sum(c for w, c in counts[k].items() if w not in known) for k in (0, 1)]
+    pairs = [Counter(p for d in words if not k or d in good for p in zip(["<s>", *words[d]], words[d], strict=False)) for k in (0, 1)]
+    kept = {p for p, c in pairs[0].items() if c >= lm_scoring.LEAST_COUNT}
     starts = [sum(c for p, c in pairs[k].items() if p[0] == "<s>" and p in kept) for k in (0, 1)]
 
     def loss(k, a, b):
-        before = starts[k] if a == "<s>" else singles[k][a]
-        uni = (singles[k][b] + 0.5) / (sum(singles[k].values()) + 0.5 * (len(known) + 1))
+        before = starts[k] if a == "<s>" else counts[k][a]
+        uni = ((counts[k][b] if b in known else unknown[k]) + 0.5) / (sum(counts[k].values()) + 0.5 * (len(known) + 1))
         return -np.log(lm_scoring.MIXED_IN * (pairs[k][a, b] if (a, b) in kept else 0) / max(before, 1) + (1 - lm_scoring.MIXED_IN) * uni)
 
     for d in words:
         n = len(words[d])
-        want = [np.mean([loss(k, a, b) for a, b in zip(seq[d], seq[d][1:], strict=False)]) if n else 0.0 for k in (0, 1)]
+        want = [np.mean([loss(k, a, b) for a, b in zip(["<s>", *words[d]], words[d], strict=False)]) if n else 0.0 for k in (0, 1)]
         assert rows[d].n_tokens == n and rows[d].background_loss == pytest.approx(want[0]) and rows[d].target_loss == pytest.approx(want[1])
         assert rows[d].score == pytest.approx(want[1] - want[0])
 
@@ -275,11 +278,12 @@ def test_lm_scoring_knows_rare_words_of_a_large_corpus(spark):
     own = [(1, "x y " * 800_000), (2, "x y " * 800_000), (3, "rare"), (4, "rare"), (5, "rare"), (6, "once")]
     frame = spark.createDataFrame(own, "doc_id bigint, text string")
     rows = {r.doc_id: r for r in lm_scoring.cross_entropy_difference(frame, spark.createDataFrame([(3,)], "doc_id bigint")).collect()}
-    # known are x, y and rare; of the first words, three times "rare" and twice "x" are counted (the unknown one comes once)
+    # known are x, y and rare; of the first words, three times "rare" and twice "x" are counted
     total, starts = 3_200_004, 5
     assert rows[4].background_loss == pytest.approx(-np.log(0.7 * 3 / starts + 0.3 * 3.5 / (total + 2)))
     assert rows[6].background_loss == pytest.approx(-np.log(0.3 * 1.5 / (total + 2)))
     assert rows[4].target_loss == pytest.approx(-np.log(0.7 + 0.3 * 1.5 / 3)) and rows[6].target_loss == pytest.approx(-np.log(0.3 * 0.5 / 3))
+    assert rows[1].n_tokens == 1_600_000
 
 
 def within_one(a, b):
@@ -291,14 +295,15 @@ def within_one(a, b):
     return a[i + (len(a) == len(b)) :] == b[i + 1 :]
 
 
-def brute_lines(docs, min_words=5):
+def brute_lines(docs, min_words=1, near_chars=9):
     lines = [(d, i, x.strip(" \t\r\v\f")) for d, t in sorted(docs, key=lambda r: r[0]) for i, x in enumerate((t or "").split("\n"))]
     lines = [x for x in lines if len(WORD.findall(x[2])) >= min_words]
-    seen, dropped = defaultdict(list), defaultdict(set)
+    seen, dropped = defaultdict(set), defaultdict(set)
     for d, i, x in lines:
-        if any(within_one(x, y) for n in (len(x) - 1, len(x), len(x) + 1) for y in seen[n]):
+        near = [n for n in (len(x) - 1, len(x), len(x) + 1) if min(n, len(x)) >= near_chars]
+        if x in seen[len(x)] or any(within_one(x, y) for n in near for y in seen[n]):
             dropped[d].add(i)
-        seen[len(x)].append(x)
+        seen[len(x)].add(x)
     return {d: None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in dropped[d]) for d, t in docs}
 
 
