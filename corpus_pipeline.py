@@ -19,12 +19,13 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without those that the toxicity model rejects (predicted 1)."""
     scored = toxicity.score_documents(docs, read(spark, sf_dir, "labels"))
-    return scored.where("predicted = 0").select(*COLUMNS)
+    # written while Python workers get small batches
+    return table(scored.where("predicted = 0").select(*COLUMNS))
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without the lines that repeat an earlier line; n_chars follows the text where lines went."""
-    deduped = line_dedup.dedup_lines(docs, min_words=1)
+    deduped = line_dedup.dedup_lines(docs)
     n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return deduped.withColumn("n_chars", n_chars).select(*COLUMNS)
 
