@@ -35,11 +35,11 @@ from . import hashing
 from .work import release, table
 
 LEAST_COUNT, MIXED_IN = 2, 0.7
-BLOCK_WORDS, BUCKET_KEYS = 1 << 19, 1 << 20
-#: Target ids broadcast at most; beyond it they are joined by a shuffle of ids.
+BLOCK_WORDS, BUCKET_KEYS = 1 << 18, 1 << 20
+#: Target ids broadcast at most; beyond it they are joined by a shuffle.
 MOST_BROADCAST_IDS = 1_000_000
 
-_BLOCK = "block bigint, rows array<bigint>, doc_ids array<bigint>, first array<int>, lead int, vocabulary binary, sequence binary, n_keys bigint"
+_BLOCK = "block bigint, rows array<bigint>, doc_ids array<bigint>, inside array<int>, first array<int>, lead int, vocabulary binary, sequence binary, n_keys bigint"
 #: The hash of what stands before a text's first word.
 _START = np.uint64(1)
 #: A key's last two bits say what it counts.
@@ -50,7 +50,7 @@ _TOTALS = ("words", "words_target", "unknown", "unknown_target", "known", "first
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
-    """Blocks of documents: their row numbers, ids and bounds, and their words.
+    """Blocks of documents (doc_id, text, in_target): their row numbers, ids, the places of those in the target, their bounds, and their words.
 
     lead is the number of the word that stands before the block in the first row's text, _NO_LEAD where that begins here.
     """
@@ -62,6 +62,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
         made = row = 0
         rows: list[int] = []
         ids: list = []
+        flags: list[bool] = []
         counts: list[int] = []
         held: list[np.ndarray] = []
         size, before = 0, None
@@ -75,11 +76,11 @@ def _blocks(docs: DataFrame) -> DataFrame:
             first = np.zeros(len(counts) + 1, np.int32)
             np.cumsum(counts, out=first[1:])
             n_keys = len(vocabulary) + len(np.unique(_pairs(sequence, first, lead, len(vocabulary))))
-            values = (part + made, rows, ids, first.tolist(), lead, vocabulary.tobytes(), sequence.tobytes(), n_keys)
+            values = (part + made, rows, ids, np.flatnonzero(flags).tolist(), first.tolist(), lead, vocabulary.tobytes(), sequence.tobytes(), n_keys)
             return pa.RecordBatch.from_pylist([dict(zip(types.names, values, strict=True))], schema=types)
 
         for batch in batches:
-            doc_ids = batch.column("doc_id").to_pylist()
+            doc_ids, in_target = batch.column("doc_id").to_pylist(), batch.column("in_target").to_pylist()
             for start, parts in hashing.batches(batch.column("text").to_pylist()):
                 w = hashing.words(parts)
                 for i in range(len(parts)):
@@ -89,12 +90,13 @@ def _blocks(docs: DataFrame) -> DataFrame:
                         piece = own[at : at + max(BLOCK_WORDS - size, 1)]
                         rows.append(part + row)
                         ids.append(doc_ids[start + i])
+                        flags.append(in_target[start + i])
                         counts.append(len(piece))
                         held.append(piece)
                         size, at = size + len(piece), at + len(piece)
                         if size >= BLOCK_WORDS:
                             yield block()
-                            made, rows, ids, counts, held, size = made + 1, [], [], [], [], 0
+                            made, rows, ids, flags, counts, held, size = made + 1, [], [], [], [], [], 0
                             before = own[at - 1] if at < len(own) else None
                         if at >= len(own):
                             break
@@ -102,8 +104,8 @@ def _blocks(docs: DataFrame) -> DataFrame:
         if rows:
             yield block()
 
-    types = pa.schema([("block", pa.int64()), ("rows", pa.list_(pa.int64())), ("doc_ids", pa.list_(pa.int64())), ("first", pa.list_(pa.int32())), ("lead", pa.int32()), ("vocabulary", pa.binary()), ("sequence", pa.binary()), ("n_keys", pa.int64())])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _BLOCK)
+    types = pa.schema([("block", pa.int64()), ("rows", pa.list_(pa.int64())), ("doc_ids", pa.list_(pa.int64())), ("inside", pa.list_(pa.int32())), ("first", pa.list_(pa.int32())), ("lead", pa.int32()), ("vocabulary", pa.binary()), ("sequence", pa.binary()), ("n_keys", pa.int64())])
+    return docs.mapInArrow(run, _BLOCK)
 
 
 def _pairs(sequence: np.ndarray, first: np.ndarray, lead: int, n: int) -> np.ndarray:
@@ -148,13 +150,12 @@ class _Block:
         return out[: len(self.words)], out[len(self.words) :]
 
 
-def _marked(blocks: DataFrame, target: DataFrame) -> DataFrame:
-    """(block, inside): for each block with rows of the target, their places."""
-    target = target.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
-    target = table(target)
+def _marked(docs: DataFrame, target: DataFrame) -> DataFrame:
+    """docs (doc_id, text) with in_target."""
+    target = table(target.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("_id")).distinct())
     few = target.count() <= MOST_BROADCAST_IDS
-    places = blocks.select("block", F.posexplode("doc_ids").alias("place", "doc_id"))
-    return places.join(F.broadcast(target) if few else target, "doc_id", "left_semi").groupBy("block").agg(F.collect_list("place").alias("inside"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return rows.join(F.broadcast(target) if few else target, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", F.isnotnull("_id").alias("in_target"))
 
 
 def _sent(blocks: DataFrame, buckets: int) -> DataFrame:
@@ -165,7 +166,7 @@ def _sent(blocks: DataFrame, buckets: int) -> DataFrame:
             for r in batch.to_pylist():
                 b = _Block(r["first"], r["lead"], r["vocabulary"], r["sequence"])
                 flags = np.zeros(len(b.first) - 1)
-                flags[r["inside"] or []] = 1
+                flags[r["inside"]] = 1
                 n, inside = b.counts(), b.counts(np.repeat(flags, np.diff(b.first)))
                 at = b.bounds(buckets).tolist()
                 some = [i for i in range(buckets) if at[i + 1] > at[i]]
@@ -176,7 +177,7 @@ def _sent(blocks: DataFrame, buckets: int) -> DataFrame:
 
 
 def _answered(sent: DataFrame) -> DataFrame:
-    """(block, bucket, n, n_target): the totals of the keys that each block sent; with a null block, a bucket's _TOTALS."""
+    """(block, bucket, size, n, n_target): the totals of the keys (size of them) that each block sent; with a null block, a bucket's _TOTALS."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         upto = np.concatenate([[0], np.cumsum(frame["keys"].map(len).to_numpy() // 8)]).tolist()
@@ -185,20 +186,22 @@ def _answered(sent: DataFrame) -> DataFrame:
         kind = keys & np.uint64(3)
         word, first, known = kind == _WORD, (kind == _FIRST) & (n >= LEAST_COUNT), n >= LEAST_COUNT
         sums = [n[word].sum(), inside[word].sum(), n[word & ~known].sum(), inside[word & ~known].sum(), (word & known).sum(), n[first].sum(), inside[first].sum()]
-        out = {"block": [*frame["block"], None], "bucket": frame["bucket"].iloc[0], "totals": [None] * len(frame) + [sums]}
+        out = {"block": [*frame["block"], None], "bucket": frame["bucket"].iloc[0], "size": [*np.diff(upto), 0], "totals": [None] * len(frame) + [sums]}
+        kind = np.uint32 if n.max() < 1 << 32 else np.uint64
         for name, total in (("n", n), ("n_target", inside)):
-            own = total[place]
+            own = total.astype(kind)[place]
             out[name] = [own[a:b].tobytes() for a, b in zip(upto, upto[1:], strict=False)] + [None]
         return pd.DataFrame(out).astype({"block": "Int64"})
 
-    return sent.groupBy("bucket").applyInPandas(run, "block bigint, bucket int, n binary, n_target binary, totals array<bigint>")
+    return sent.groupBy("bucket").applyInPandas(run, "block bigint, bucket int, size int, n binary, n_target binary, totals array<bigint>")
 
 
 def _losses(block: dict, totals: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
     """The losses of the block's documents, summed over their words, by the target and by the background."""
     b = _Block(block["first"], block["lead"], block["vocabulary"], block["sequence"])
     answers = sorted(block["answers"] or [], key=lambda a: a["bucket"])
-    counts = [b.by_key(np.frombuffer(b"".join(a[name] for a in answers), np.int64)) for name in ("n_target", "n")]
+    none = np.zeros(0, np.int64)
+    counts = [b.by_key(np.concatenate([none, *(np.frombuffer(a[name], f"<u{len(a[name]) // a['size']}").astype(np.int64) for a in answers)])) for name in ("n_target", "n")]
     is_known, counted = counts[1][0] >= LEAST_COUNT, counts[1][1] >= LEAST_COUNT
     out = []
     for (single, pair), of in zip(counts, ("_target", ""), strict=True):
@@ -224,17 +227,14 @@ def _scored(blocks: DataFrame, totals: dict[str, int]) -> DataFrame:
 
 def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss and score (their difference) of every row of docs (doc_id, text); target (doc_id) names the target's documents."""
-    blocks = table(_blocks(docs))
+    blocks = table(_blocks(_marked(docs, target)))
     buckets = max(1, -(-(blocks.agg(F.sum("n_keys")).head()[0] or 0) // BUCKET_KEYS))
-    marked = table(_marked(blocks, target))
-    asking = blocks.drop("rows", "doc_ids", "n_keys").join(marked, "block", "left")
-    answers = table(_answered(_sent(asking, buckets)))
+    answers = table(_answered(_sent(blocks, buckets)))
     sums = answers.where("block is null").select(*[F.sum(F.col("totals")[i]).alias(x) for i, x in enumerate(_TOTALS)]).head()
     totals = {x: sums[x] or 0 for x in _TOTALS}
-    answered = answers.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("bucket", "n", "n_target")).alias("answers"))
-    parts = table(_scored(blocks.drop("n_keys").join(answered, "block", "left"), totals))
+    answered = answers.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("bucket", "size", "n", "n_target")).alias("answers"))
+    parts = table(_scored(blocks.drop("n_keys", "inside").join(answered, "block", "left"), totals))
     release(blocks)
-    release(marked)
     release(answers)
     # a document that runs over several blocks has a part in each
     rows = parts.groupBy("row", "doc_id").agg(*[F.sum(x).alias(x) for x in ("n_tokens", "target_loss", "background_loss")])

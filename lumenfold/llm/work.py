@@ -35,7 +35,7 @@ def table(df: DataFrame) -> DataFrame:
     for k, v in _WHILE_WRITING.items():
         spark.conf.set(k, v)
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         for k, v in before.items():
             if v is None:
