@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .work import table
+from .work import scoped, table
 
 
+@scoped
 def components(links: DataFrame) -> DataFrame:
     """links: (a, b) of any orderable type. Returns (node, root), root being the least node of its component.
 

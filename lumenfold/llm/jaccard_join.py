@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import hashing
 from .components import components
-from .work import release, table
+from .work import release, scoped, table
 
 #: Tokens put last, at most: they are broadcast. It changes the cost alone.
 DEMOTE_ABOVE, DEMOTE_MOST = 32, 1_000_000
@@ -141,6 +141,10 @@ class _Forest:
         return a != b
 
 
+#: What a node is to a group: members come first.
+_MEMBER, _BOTH, _ASKS = range(3)
+
+
 class _Group:
     """Members of a group and the links found between them and nodes that ask."""
 
@@ -182,20 +186,32 @@ class _Group:
 def _verified(units: DataFrame, percent: int) -> DataFrame:
     """units: (gid, part, asks, node, n, keys), sorted so; members of a group come before the nodes that ask. Links (a, b)."""
 
+    def opened(members: list) -> tuple[_Group, list]:
+        """The group, and the links among its members."""
+        group = _Group([m[:3] for m in members], percent)
+        return group, [x for node, n, keys, asks in members if asks == _BOTH for x in group.links(node, n, keys)]
+
     def run(batches):
         current, members, group = None, [], None
         for batch in batches:
             found: list[tuple[int, int]] = []
             for gid, part, asks, node, n, keys in zip(*(batch.column(c).to_pylist() for c in ("gid", "part", "asks", "node", "n", "keys")), strict=True):
                 if (gid, part) != current:
+                    if members:
+                        found += opened(members)[1]
                     current, members, group = (gid, part), [], None
-                if not asks:
-                    members.append((node, n, keys))
-                elif members or group:
-                    group = group or _Group(members, percent)
+                if asks != _ASKS:
+                    members.append((node, n, keys, asks))
+                    continue
+                if members:
+                    group, links = opened(members)
+                    found += links
                     members = []
+                if group:
                     found += group.links(node, n, keys)
             yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in found], schema=types)
+        if members:
+            yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in opened(members)[1]], schema=types)
 
     types = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     return units.mapInArrow(run, "a bigint, b bigint")
@@ -223,9 +239,11 @@ def jaccard_links(docs: DataFrame, *, words: int, percent: int) -> tuple[DataFra
     nodes = table(headed.select("node", "first_id"))
     release(headed)
     groups = opened.groupBy("gid").agg(F.ceil(F.count("*") / QUERY_SIZE).alias("parts"))
-    asking = opened.join(groups, "gid").select("gid", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), F.lit(1).alias("asks"), "node")
-    inside = members.join(groups, "gid").select("gid", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("asks"), "node")
-    units = table(asking.unionByName(inside))
+    asking = opened.join(groups, "gid").select("gid", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), "node", F.lit(False).alias("inside"))
+    inside = members.join(groups, "gid").select("gid", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "node", F.lit(True).alias("inside"))
+    # a member that asks its own group is sent there once
+    code = F.when(~F.bool_or("inside"), _ASKS).when(F.bool_and("inside"), _MEMBER).otherwise(_BOTH)
+    units = table(asking.unionByName(inside).groupBy("gid", "part", "node").agg(code.alias("asks")))
     wanted = units.select("node").distinct()
     texts = _fetch(docs, nodes.join(wanted, "node", "left_semi").select(F.col("first_id").alias("doc_id")))
     whole = _sets(texts, words, percent, np.zeros(0, np.int64), True).join(wanted, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
@@ -234,6 +252,7 @@ def jaccard_links(docs: DataFrame, *, words: int, percent: int) -> tuple[DataFra
     return sets, nodes, table(_verified(ready, percent))
 
 
+@scoped
 def jaccard_components(docs: DataFrame, *, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (the least doc_id that links reach) for every row of docs (doc_id, text)."""
     sets, nodes, links = jaccard_links(docs, words=words, percent=percent)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import hashing
 from .mixing import WORD
-from .work import table
+from .work import scoped, table
 
 MIN_WORDS, SEGMENTS = 1, 8
 #: Five words have as many code points at least.
@@ -145,6 +145,7 @@ def _with_numbers(docs: DataFrame, lines: DataFrame, name: str) -> DataFrame:
     return found.drop("_id", "_thash")
 
 
+@scoped
 def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_chars: int = NEAR_CHARS) -> DataFrame:
     """The lines of docs (doc_id, text) to drop: doc_id, thash (of the text), line_no."""
     lines = _lines(docs.select("doc_id", "text"), min_words)
@@ -175,7 +176,7 @@ def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_chars: int
     text_of = asked.select("id", "line")
     checked = pairs.join(text_of, "id").join(text_of.select(F.col("id").alias("by_id"), F.col("line").alias("by_line")), "by_id").where(F.levenshtein("line", "by_line", 1) >= 0)
     changed = asked.join(checked.select("id").distinct(), "id", "left_semi").select("doc_id", "thash", "line_no")
-    return table(repeated.unionByName(changed).distinct())
+    return repeated.unionByName(changed).distinct()
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_chars: int = NEAR_CHARS) -> DataFrame:

@@ -14,7 +14,8 @@ broadcast but five totals.
 2. A block sends each bucket of keys (words and bigrams, by hash) one row: its distinct keys there, ascending, and how
    often they occur in the block and in its target documents. Whatever is frequent is one key a block.
 3. A bucket's task sums the counts and answers each block's row with the totals of its keys, in the same order. A
-   bucket holds about BUCKET_KEYS keys: their number follows from the blocks' own counts of distinct keys.
+   bucket holds about BUCKET_KEYS keys: their number follows from the blocks' own counts of distinct keys. Buckets are
+   asked in PARTS passes, so that only one pass's keys are on disk at a time.
 4. A block meets the answers to its own rows and scores its documents.
 
 Defined results: A-Z are lowered, words are runs of non-blank characters; a text without words (or null) has
@@ -25,6 +26,8 @@ their last digits may differ between runs. Words and bigrams are told apart by 6
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -32,10 +35,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .work import release, table
+from .work import scoped, table
 
 LEAST_COUNT, MIXED_IN = 2, 0.7
-BLOCK_WORDS, BUCKET_KEYS = 1 << 18, 1 << 20
+BLOCK_WORDS, BUCKET_KEYS, PARTS = 1 << 18, 1 << 20, 2
 #: Target ids broadcast at most; beyond it they are joined by a shuffle.
 MOST_BROADCAST_IDS = 1_000_000
 
@@ -158,8 +161,8 @@ def _marked(docs: DataFrame, target: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(target) if few else target, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", F.isnotnull("_id").alias("in_target"))
 
 
-def _sent(blocks: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, block, keys, n, n_target), packed, of every block and bucket."""
+def _sent(blocks: DataFrame, buckets: int, part: int) -> DataFrame:
+    """(bucket, block, keys, n, n_target), packed, of every block and bucket of the part."""
 
     def run(batches):
         for batch in batches:
@@ -169,13 +172,25 @@ def _sent(blocks: DataFrame, buckets: int) -> DataFrame:
                 flags[r["inside"]] = 1
                 n, inside = b.counts(), b.counts(np.repeat(flags, np.diff(b.first)))
                 at = b.bounds(buckets).tolist()
-                some = [i for i in range(buckets) if at[i + 1] > at[i]]
+                some = [i for i in range(part, buckets, PARTS) if at[i + 1] > at[i]]
                 packed = [pa.array([x[at[i] : at[i + 1]].tobytes() for i in some], pa.binary()) for x in (b.keys, n, inside)]
                 yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([r["block"]] * len(some), pa.int64()), *packed], names=["bucket", "block", "keys", "n", "n_target"])
 
     return blocks.select("block", "first", "lead", "vocabulary", "sequence", "inside").mapInArrow(run, "bucket int, block bigint, keys binary, n binary, n_target binary")
 
 
+def _narrow(counts: np.ndarray) -> bytes:
+    """Counts in a byte each; those of 255 and more follow in full."""
+    large = counts[counts >= 255]
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + large.tobytes()
+
+
+def _wide(packed: bytes, size: int) -> np.ndarray:
+    counts = np.frombuffer(packed, np.uint8, size).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(packed, np.int64, offset=size)
+    return counts
+
+
 def _answered(sent: DataFrame) -> DataFrame:
     """(block, bucket, size, n, n_target): the totals of the keys (size of them) that each block sent; with a null block, a bucket's _TOTALS."""
 
@@ -187,10 +202,9 @@ def _answered(sent: DataFrame) -> DataFrame:
         word, first, known = kind == _WORD, (kind == _FIRST) & (n >= LEAST_COUNT), n >= LEAST_COUNT
         sums = [n[word].sum(), inside[word].sum(), n[word & ~known].sum(), inside[word & ~known].sum(), (word & known).sum(), n[first].sum(), inside[first].sum()]
         out = {"block": [*frame["block"], None], "bucket": frame["bucket"].iloc[0], "size": [*np.diff(upto), 0], "totals": [None] * len(frame) + [sums]}
-        kind = np.uint32 if n.max() < 1 << 32 else np.uint64
         for name, total in (("n", n), ("n_target", inside)):
-            own = total.astype(kind)[place]
-            out[name] = [own[a:b].tobytes() for a, b in zip(upto, upto[1:], strict=False)] + [None]
+            own = total[place]
+            out[name] = [_narrow(own[a:b]) for a, b in zip(upto, upto[1:], strict=False)] + [None]
         return pd.DataFrame(out).astype({"block": "Int64"})
 
     return sent.groupBy("bucket").applyInPandas(run, "block bigint, bucket int, size int, n binary, n_target binary, totals array<bigint>")
@@ -201,7 +215,7 @@ def _losses(block: dict, totals: dict[str, int]) -> tuple[np.ndarray, np.ndarray
     b = _Block(block["first"], block["lead"], block["vocabulary"], block["sequence"])
     answers = sorted(block["answers"] or [], key=lambda a: a["bucket"])
     none = np.zeros(0, np.int64)
-    counts = [b.by_key(np.concatenate([none, *(np.frombuffer(a[name], f"<u{len(a[name]) // a['size']}").astype(np.int64) for a in answers)])) for name in ("n_target", "n")]
+    counts = [b.by_key(np.concatenate([none, *(_wide(a[name], a["size"]) for a in answers)])) for name in ("n_target", "n")]
     is_known, counted = counts[1][0] >= LEAST_COUNT, counts[1][1] >= LEAST_COUNT
     out = []
     for (single, pair), of in zip(counts, ("_target", ""), strict=True):
@@ -225,17 +239,16 @@ def _scored(blocks: DataFrame, totals: dict[str, int]) -> DataFrame:
     return blocks.mapInArrow(run, "row bigint, doc_id bigint, n_tokens bigint, target_loss double, background_loss double")
 
 
+@scoped
 def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss and score (their difference) of every row of docs (doc_id, text); target (doc_id) names the target's documents."""
     blocks = table(_blocks(_marked(docs, target)))
     buckets = max(1, -(-(blocks.agg(F.sum("n_keys")).head()[0] or 0) // BUCKET_KEYS))
-    answers = table(_answered(_sent(blocks, buckets)))
+    answers = functools.reduce(DataFrame.unionByName, [table(_answered(_sent(blocks, buckets, part))) for part in range(PARTS)])
     sums = answers.where("block is null").select(*[F.sum(F.col("totals")[i]).alias(x) for i, x in enumerate(_TOTALS)]).head()
     totals = {x: sums[x] or 0 for x in _TOTALS}
     answered = answers.where("block is not null").groupBy("block").agg(F.collect_list(F.struct("bucket", "size", "n", "n_target")).alias("answers"))
     parts = table(_scored(blocks.drop("n_keys", "inside").join(answered, "block", "left"), totals))
-    release(blocks)
-    release(answers)
     # a document that runs over several blocks has a part in each
     rows = parts.groupBy("row", "doc_id").agg(*[F.sum(x).alias(x) for x in ("n_tokens", "target_loss", "background_loss")])
     rows = rows.select("doc_id", "n_tokens", *[(F.col(x) / F.greatest("n_tokens", F.lit(1))).alias(x) for x in ("target_loss", "background_loss")])

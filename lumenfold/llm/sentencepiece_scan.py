@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import hashing
 from .word_ids import WordIds, gathered
-from .work import release, table
+from .work import scoped, table
 
 BLANK = "▁"
 #: Words whose ids a worker keeps; beyond it the memory starts afresh.
@@ -288,6 +288,7 @@ def _settled(matrices: DataFrame) -> DataFrame:
     return ends
 
 
+@scoped
 def _giant_ids(giants: DataFrame, path: str, chunk: int) -> DataFrame:
     """giants: (key, text), keys distinct. Returns (key, ids)."""
     partitions = int(giants.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -321,10 +322,7 @@ def _giant_ids(giants: DataFrame, path: str, chunk: int) -> DataFrame:
             yield pd.DataFrame({"key": f["key"], "number": f["number"], "ids": [trace(m, r.window, r.left, r.right, *s) for r, s in zip(f.itertuples(), states, strict=True)]})
 
     traced = chunks.join(_settled(matrices), ["key", "number"]).mapInPandas(back, "key string, number int, ids binary")
-    made = table(traced.groupBy("key").agg(F.expr("coalesce(listagg(ids) within group (order by number), x'')").alias("ids")))
-    release(chunks)
-    release(matrices)
-    return made
+    return traced.groupBy("key").agg(F.expr("coalesce(listagg(ids) within group (order by number), x'')").alias("ids"))
 
 
 def _giants(docs: DataFrame, chunk: int) -> DataFrame:
@@ -364,6 +362,7 @@ def decode(rows: DataFrame, *, model_path: str) -> DataFrame:
 _DIGEST = "n_tokens bigint, ids_crc32 bigint, round_trip boolean"
 
 
+@scoped
 def encode_digest(docs: DataFrame, *, model_path: str, chunk_chars: int = 1 << 15) -> DataFrame:
     """doc_id, n_tokens, ids_crc32 and round_trip (decoding gives the text, U+2581 read as a blank).
 
@@ -376,7 +375,6 @@ def encode_digest(docs: DataFrame, *, model_path: str, chunk_chars: int = 1 << 1
     same = F.col("decoded") == F.translate("text", BLANK, " ")
     giants = decode(giants, model_path=model_path).join(texts, "key").select("key", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"), same.alias("round_trip"))
     giants = table(giants)
-    release(texts)
 
     @F.pandas_udf(_DIGEST)
     def short(texts: pd.Series) -> pd.DataFrame:
@@ -385,5 +383,4 @@ def encode_digest(docs: DataFrame, *, model_path: str, chunk_chars: int = 1 << 1
     giant = F.coalesce(F.length("text") > chunk_chars, F.lit(False))
     small = docs.where(~giant).select("doc_id", short(F.col("text")).alias("d")).select("doc_id", "d.*")
     large = docs.where(giant).select("doc_id", _key().alias("key")).join(giants, "key").drop("key")
-    # a few numbers a document, written while Python workers get small batches
-    return table(small.unionByName(large))
+    return small.unionByName(large)

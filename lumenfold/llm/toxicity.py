@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .work import table
+from .work import scoped, table
 
 SAMPLE_ROWS, FOLDS = 20_000, 4
 LEAST_COUNT, LEAST_LOG_ODDS, NEAR = 3, 2.0, 4
@@ -211,6 +211,7 @@ def _calibrated(trees, calibration, rows: DataFrame) -> DataFrame:
     return rows.withColumn("score", F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.999 * F.col("calibrated") + 0.001 * F.col("raw"))))
 
 
+@scoped
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
     """Learn from docs (doc_id, text) and labels (doc_id, toxic): give only the rows that may be learnt from."""
     chosen = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .work import table
+from .work import scoped, table
 
 SHARD_NODES, DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA = 4096, 32, 64, 96, 1.2
 QUERY_BLOCK = 1024
@@ -126,6 +126,7 @@ def _valid(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+@scoped
 def nearest(vectors: DataFrame, queries: Column, k: int = 10, shard_nodes: int = SHARD_NODES) -> DataFrame:
     """vectors: (vec_id, embedding). Rows (query_id, rank, vec_id, score): the k nearest of every row that queries selects."""
     spark = vectors.sparkSession

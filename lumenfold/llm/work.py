@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +30,9 @@ _WHILE_WRITING = {
 }
 
 
+_made: ContextVar[list | None] = ContextVar("made", default=None)
+
+
 def table(df: DataFrame) -> DataFrame:
     """df, written once and read from there: later jobs neither recompute it nor depend on an executor."""
     spark, path = df.sparkSession, folder(df.sparkSession)
@@ -42,7 +47,31 @@ def table(df: DataFrame) -> DataFrame:
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    if _made.get() is not None:
+        _made.get().append(made)
+    return made
+
+
+def scoped(f):
+    """f with its result written as a table (if it is a DataFrame) and all other tables that it made deleted. Use it where the result is small beside them."""
+
+    @functools.wraps(f)
+    def run(*args, **options):
+        outer = _made.set(made := [])
+        try:
+            result = f(*args, **options)
+            result = table(result) if isinstance(result, DataFrame) else result
+        finally:
+            _made.reset(outer)
+        for t in made:
+            if t is not result:
+                release(t)
+        if isinstance(result, DataFrame) and _made.get() is not None:
+            _made.get().append(result)
+        return result
+
+    return run
 
 
 def release(df: DataFrame) -> None:
