@@ -38,15 +38,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _power(base: np.uint64, n: int) -> np.ndarray:
     """base ** 0 .. base ** (n - 1); as many as a batch needs are kept between calls."""
-    most = 2 * BATCH_BYTES
     have = _powers.get(int(base))
-    if have is None or n > most:
-        seed = np.full(max(n, most), base, np.uint64)
+    if have is None or n > len(have):
+        seed = np.full(max(n, min(2 * n, 2 * BATCH_BYTES)), base, np.uint64)
         seed[0] = 1
-        made = np.cumprod(seed, dtype=np.uint64)
-        if n > most:
-            return made
-        have = _powers[int(base)] = made
+        have = np.cumprod(seed, dtype=np.uint64)
+        if n <= 2 * BATCH_BYTES:
+            _powers[int(base)] = have
     return have[:n]
 
 
