@@ -245,18 +245,28 @@ def q_job_backoff(spark, sf_dir):
 _KEY = "trim(regexp_replace(regexp_replace(lower({0}), '[^a-z\\s]', '', 'g'), '\\s+', ' ', 'g'))"
 
 
+_SIMILAR = "CASE WHEN {0} = '' OR {1} = '' THEN 0.0 WHEN {0} = {1} THEN 1.0 ELSE greatest(1 - CAST(levenshtein({0}, {1}) AS DOUBLE) / greatest(length({0}), length({1})), 0.95 * len(list_intersect(string_split({0}, ' '), string_split({1}, ' '))) / least(len(list_distinct(string_split({0}, ' '))), len(list_distinct(string_split({1}, ' '))))) END"
+_MADE_NAME = "CASE WHEN p_partkey % 11 = 0 THEN p_name || ' kumar' WHEN p_partkey % 13 = 0 THEN substring(p_name, 1, length(p_name) - 1) ELSE p_name END"
+_MADE_MOBILE = "CASE WHEN p_partkey % 7 < 3 THEN '98765' || lpad(CAST(p_partkey // 3 AS VARCHAR), 5, '0') END"
+
+
 @registered(f"""
-WITH p AS (SELECT p_partkey AS id, p_name, {_KEY.format("p_name")} AS k, p_brand, p_size FROM part),
-m AS (SELECT a.id AS subject_id, b.id AS candidate_id, a.p_size = b.p_size AS born,
-  CASE WHEN a.k = '' OR b.k = '' THEN 0.0 WHEN a.k = b.k THEN 1.0 ELSE greatest(1 - CAST(levenshtein(a.k, b.k) AS DOUBLE) / greatest(length(a.k), length(b.k)), 0.95 * len(list_intersect(string_split(a.k, ' '), string_split(b.k, ' '))) / least(len(list_distinct(string_split(a.k, ' '))), len(list_distinct(string_split(b.k, ' '))))) END AS s
-  FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.id <> b.id),
-r AS (SELECT subject_id, candidate_id, greatest(CASE WHEN s >= 0.85 AND born THEN 0.95 ELSE 0 END, CASE WHEN s >= 0.8 THEN 0.72 ELSE 0 END) AS score FROM m)
-SELECT subject_id, candidate_id, CAST(score AS DOUBLE) AS score, CASE WHEN score >= 0.9 THEN 'high' WHEN score >= 0.7 THEN 'medium' ELSE 'low' END AS confidence FROM r WHERE score >= 0.6
+WITH r AS (SELECT p_partkey AS id, {_MADE_NAME} AS full_name, {_MADE_MOBILE} AS mobile, p_size AS born, lower(p_type) AS father, lower(p_brand) AS district FROM part),
+p AS (SELECT id, {_KEY.format("full_name")} AS k, mobile, born, father, district FROM r),
+n AS (SELECT x.k AS x, y.k AS y, {_SIMILAR.format("x.k", "y.k")} AS s FROM (SELECT DISTINCT k FROM p) x, (SELECT DISTINCT k FROM p) y),
+f AS (SELECT x.father AS x, y.father AS y, {_SIMILAR.format("x.father", "y.father")} >= 0.85 AS alike FROM (SELECT DISTINCT father FROM p) x, (SELECT DISTINCT father FROM p) y),
+m AS (SELECT a.id AS subject_id, b.id AS candidate_id, s, coalesce(a.mobile = b.mobile, false) AS mobile, s >= 0.85 AND a.born = b.born AS born, s >= 0.85 AND alike AS father, s >= 0.8 AND a.district = b.district AS district
+  FROM p a JOIN n ON n.x = a.k JOIN p b ON b.k = n.y AND a.id <> b.id JOIN f ON f.x = a.father AND f.y = b.father),
+t AS (SELECT *, greatest(CASE WHEN mobile THEN CASE WHEN s >= 0.7 THEN 0.97 ELSE 0.8 END ELSE 0 END, CASE WHEN born THEN 0.95 ELSE 0 END, CASE WHEN father THEN 0.88 ELSE 0 END, CASE WHEN district THEN 0.72 ELSE 0 END, CASE WHEN s >= 0.92 AND NOT (mobile OR born OR father OR district) THEN 0.65 ELSE 0 END) AS score FROM m)
+SELECT subject_id, candidate_id, CAST(score AS DOUBLE) AS score, CASE WHEN score >= 0.9 THEN 'high' WHEN score >= 0.7 THEN 'medium' ELSE 'low' END AS confidence,
+  concat_ws(',', CASE WHEN mobile THEN 'SAME_MOBILE' END, CASE WHEN born THEN 'SAME_NAME_AND_DOB' END, CASE WHEN father THEN 'SAME_NAME_AND_FATHER' END, CASE WHEN district THEN 'SIMILAR_NAME_SAME_DISTRICT' END, CASE WHEN score = 0.65 THEN 'SIMILAR_NAME' END) AS reasons
+FROM t WHERE score >= 0.6
 """)
 def q_dup_pairs(spark, sf_dir):
-    """Likely duplicates within a block."""
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("full_name"), F.lit(None).cast("string").alias("mobile"), F.col("p_size").cast("string").alias("date_of_birth"), F.lit(None).cast("string").alias("father_name"), F.col("p_brand").alias("district"))
-    return duplicates.find(rows, rows, F.col("district")).select("subject_id", "candidate_id", "score", "confidence")
+    """Likely duplicates by all five rules, among all records."""
+    made = lambda sql: F.expr(sql.replace("//", "div").replace("VARCHAR", "STRING"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), made(_MADE_NAME).alias("full_name"), made(_MADE_MOBILE).alias("mobile"), F.col("p_size").cast("string").alias("date_of_birth"), F.col("p_type").alias("father_name"), F.col("p_brand").alias("district"))
+    return duplicates.find(rows, rows).withColumn("reasons", F.array_join("reasons", ","))
 
 
 _TRI = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i, 3)))))"

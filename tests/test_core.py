@@ -82,10 +82,11 @@ def test_similarity(spark):
 
 def test_duplicates(spark):
     rows = spark.createDataFrame([(1, "Amit Kumar", "9876543210", "1990-01-01", "Ram", "X"), (2, "Amit Kumar", "+919876543210", None, None, None), (3, "Sita Devi", None, "1990-01-01", None, "X"), (4, "Amit Kumar", None, "1990-01-01", "Ram", "Y")], "id int, full_name string, mobile string, date_of_birth string, father_name string, district string")
-    found = {(r.subject_id, r.candidate_id): (r.score, r.confidence, r.reasons) for r in duplicates.find(rows, rows, N.normalize_mobile(F.col("mobile"))["value"], F.col("date_of_birth")).collect()}
+    found = {(r.subject_id, r.candidate_id): (r.score, r.confidence, r.reasons) for r in duplicates.find(rows, rows).collect()}
     assert found[1, 2] == (0.97, "high", ["SAME_MOBILE"])
     assert found[1, 4] == (0.95, "high", ["SAME_NAME_AND_DOB", "SAME_NAME_AND_FATHER"])
-    assert (1, 3) not in found and len(found) == 4
+    assert found[2, 4] == found[4, 2] == (0.65, "low", ["SIMILAR_NAME"])  # equal names, whatever else differs
+    assert (1, 3) not in found and len(found) == 6
 
 
 def test_snapshots(spark):
