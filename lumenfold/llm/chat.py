@@ -9,10 +9,13 @@ Messages are rows (conv_id, turn, role, text). A text may be a JSON object in pl
 Calls and results are joined by (conversation, identifier) with a hash join. Calls are ordered topologically: a
 call's level is one more than the highest level among the calls that it depends on, found in rounds of joins that
 touch only unsettled calls; results stand right after the calls that they answer. Arguments are checked against the
-schema of the tool's name (required, properties' type and enum, additionalProperties). Each conversation becomes
+schema of the tool's name at every level of nesting (type, one or a list; enum; minimum and maximum; required;
+properties; additionalProperties false; items), by rows of values joined to rows of schemas. Each conversation becomes
 one canonical JSON array: object keys sorted, no blanks, members without a value left out.
 
-Defined results: of calls with one id in a conversation the first holds and the others are duplicates, neither linked
+Defined results: missing arguments are an empty object; arguments that are no JSON stay as a JSON string and are not
+valid, nor are those that are no object where the tool has a schema; other members of such messages than those above
+are left out; of calls with one id in a conversation the first holds and the others are duplicates, neither linked
 nor answered; of several results for a call the first is linked; a result without a call is an orphan and keeps its
 place; a call whose dependency is missing ignores it; calls in a cycle get the level after all settled ones. A tool
 without a schema leaves its calls' validity null (left out of the JSON). A text that is no such object is plain content;
@@ -22,16 +25,17 @@ text. The number of rounds is at most the longest chain of dependencies.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .work import table
+from .work import scoped, table
 
 _CALL = "struct<content:string,tool_calls:array<struct<id:string,name:string,arguments:string,depends_on:array<string>>>,tool_call_id:string,tools:array<struct<name:string,parameters:string>>>"
-_SCHEMA = "struct<required:array<string>,properties:map<string,struct<type:string,enum:array<string>>>,additionalProperties:string>"
 
 # JSON Schema's type names, by what schema_of_variant says of a value.
-_TYPES = {"string": "^STRING$", "integer": "^BIGINT$", "number": "^(BIGINT|DOUBLE|FLOAT|DECIMAL)", "boolean": "^BOOLEAN$", "object": "^OBJECT", "array": "^ARRAY", "null": "^VOID$"}
+_TYPES = {"string": "^STRING$", "number": "^(BIGINT|DOUBLE|FLOAT|DECIMAL)", "boolean": "^BOOLEAN$", "object": "^OBJECT", "array": "^ARRAY", "null": "^VOID$"}
 
 
 def canonical(json: Column) -> Column:
@@ -51,7 +55,7 @@ def _messages(conversations: DataFrame) -> DataFrame:
 
 def _calls(messages: DataFrame) -> DataFrame:
     rows = messages.where("role = 'assistant' and p.tool_calls is not null").select("conv_id", "at", F.posexplode("p.tool_calls").alias("nth", "c"))
-    rows = rows.select("conv_id", "at", "nth", F.col("c.id").alias("id"), F.col("c.name").alias("name"), F.coalesce(canonical(F.col("c.arguments")), F.lit("{}")).alias("arguments"), F.col("c.depends_on").alias("depends_on"))
+    rows = rows.select("conv_id", "at", "nth", F.col("c.id").alias("id"), F.col("c.name").alias("name"), F.coalesce(canonical(F.col("c.arguments")), _string(F.col("c.arguments")), F.lit("{}")).alias("arguments"), (F.col("c.arguments").isNotNull() & canonical(F.col("c.arguments")).isNull()).alias("broken"), F.col("c.depends_on").alias("depends_on"))
     first = F.row_number().over(Window.partitionBy("conv_id", "id").orderBy("at", "nth"))
     return rows.withColumn("is_first", F.col("id").isNotNull() & (first == 1))
 
@@ -78,35 +82,64 @@ def _levels(calls: DataFrame) -> DataFrame:
     return settled
 
 
+def _is(value: Column, kind: str) -> Column:
+    """Whether a variant is of a JSON Schema type."""
+    of = F.schema_of_variant(value)
+    if kind == "integer":  # a number without a fraction, however it is written
+        number = F.try_variant_get(value, "$", "double")
+        return _is(value, "number") & (number == F.floor(number))
+    return of.rlike(_TYPES[kind])
+
+
+def _meets(value: Column, schema: Column) -> Column:
+    """Whether a variant meets a schema at its own level: type, enum, minimum, maximum, required, additionalProperties."""
+    kinds = F.coalesce(F.try_variant_get(schema, "$.type", "array<string>"), F.array(F.try_variant_get(schema, "$.type", "string")))
+    known = F.filter(kinds, lambda k: k.isin(*_TYPES, "integer"))
+    of_type = (F.size(known) == 0) | reduce(lambda x, y: x | y, [F.array_contains(known, k) & _is(value, k) for k in (*_TYPES, "integer")])
+    number = F.when(_is(value, "number"), F.try_variant_get(value, "$", "double"))
+    literals = F.from_json(F.to_json(F.try_variant_get(schema, "$.enum", "variant")), "array<variant>")
+    listed = F.exists(literals, lambda e: (F.to_json(e) == F.to_json(value)) | F.coalesce(_is(e, "number") & (F.try_variant_get(e, "$", "double") == number), F.lit(False)))
+    bounds = F.coalesce(number >= F.try_variant_get(schema, "$.minimum", "double"), F.lit(True)) & F.coalesce(number <= F.try_variant_get(schema, "$.maximum", "double"), F.lit(True))
+    none = F.array().cast("array<string>")
+    keys = F.coalesce(F.json_object_keys(F.to_json(value)), none)
+    required = F.coalesce(F.try_variant_get(schema, "$.required", "array<string>"), none)
+    own = F.coalesce(F.json_object_keys(F.to_json(F.try_variant_get(schema, "$.properties", "variant"))), none)
+    closed = F.coalesce(~F.try_variant_get(schema, "$.additionalProperties", "boolean"), F.lit(False))
+    shaped = ~_is(value, "object") | ((F.size(F.array_except(required, keys)) == 0) & (~closed | (F.size(F.array_except(keys, own)) == 0)))
+    return of_type & F.coalesce(listed, literals.isNull()) & bounds & shaped
+
+
+def _children(rows: DataFrame) -> DataFrame:
+    """rows: (call, value, schema). The members of objects and the elements of arrays that have a schema of their own."""
+    spark = rows.sparkSession
+    members = lambda df, c: df.lateralJoin(spark.tvf.variant_explode(F.col(c).outer()))
+    path = rows.select(F.monotonically_increasing_id().alias("at"), "call", "value", F.try_variant_get("schema", "$.properties", "variant").alias("properties"), F.try_variant_get("schema", "$.items", "variant").alias("items"))
+    path = table(path.where("properties is not null or items is not null"))
+    objects = path.where(F.col("properties").isNotNull() & _is(F.col("value"), "object")).select("at", "call", F.col("value").alias("v"), "properties")
+    values = members(objects.select("at", "call", "v"), "v").select("at", "call", F.col("key").alias("k"), "value")
+    schemas = members(objects.select("at", "properties"), "properties").select("at", F.col("key").alias("k"), F.col("value").alias("schema"))
+    arrays = path.where(F.col("items").isNotNull() & _is(F.col("value"), "array")).select("call", F.col("value").alias("v"), F.col("items").alias("schema"))
+    return values.join(schemas, ["at", "k"]).select("call", "value", "schema").unionByName(members(arrays, "v").select("call", "value", "schema"))
+
+
 def _validated(calls: DataFrame, messages: DataFrame) -> DataFrame:
-    """calls with valid: whether the arguments meet the tool's schema (null: it has none)."""
+    """calls with valid: whether the arguments are an object that meets the tool's schema (null: it has none). A round of joins for each level of nesting."""
     tools = messages.where("role = 'system' and p.tools is not null").select("conv_id", "at", F.posexplode("p.tools").alias("nth", "t"))
     last = F.row_number().over(Window.partitionBy("conv_id", "t.name").orderBy(F.desc("at"), F.desc("nth")))
-    tools = tools.withColumn("k", last).where("k = 1").select(F.col("conv_id").alias("c2"), F.col("t.name").alias("n2"), F.from_json("t.parameters", _SCHEMA).alias("s"))
-    rows = calls.join(tools, F.col("conv_id").eqNullSafe(F.col("c2")) & (F.col("name") == F.col("n2")), "left").drop("c2", "n2")
-    keys = F.coalesce(F.json_object_keys("arguments"), F.array().cast("array<string>"))
-    values = F.from_json("arguments", "map<string,string>")
-    required = F.size(F.array_except(F.coalesce("s.required", F.array().cast("array<string>")), keys)) == 0
-    extra = (F.col("s.additionalProperties") != "false") | F.col("s.additionalProperties").isNull() | (F.size(F.array_except(keys, F.coalesce(F.map_keys("s.properties"), F.array().cast("array<string>")))) == 0)
-
-    def _member(k: Column) -> Column:
-        # from_json drops the quotes of strings: put them back where the raw member has them
-        raw = F.element_at(values, k)
-        quoted = F.to_json(F.struct(raw.alias("v")))
-        string = F.regexp_replace(quoted, r'^\{"v":(.*)\}$', "$1")
-        return F.when(F.contains("arguments", F.concat(F.to_json(F.array(k)).substr(F.lit(2), F.length(F.to_json(F.array(k))) - 2), F.lit(":"), string)), string).otherwise(F.coalesce(raw, F.lit("null")))
-
-    def fits(k: Column) -> Column:
-        p = F.element_at("s.properties", k)
-        kind = F.schema_of_variant(F.try_parse_json(F.concat(F.lit('{"v":'), _member(k), F.lit("}"))))
-        want = F.element_at(F.create_map(*[F.lit(x) for t, r in _TYPES.items() for x in (t, r)]), p["type"])
-        of_type = p["type"].isNull() | want.isNull() | F.coalesce(F.rlike(F.regexp_replace(kind, r"^OBJECT<v: (.*)>$", "$1"), want), F.lit(False))
-        return of_type & (p["enum"].isNull() | F.array_contains(p["enum"], F.element_at(values, k)))
-
-    proper = F.forall(F.filter(keys, lambda k: F.array_contains(F.coalesce(F.map_keys("s.properties"), F.array().cast("array<string>")), k)), fits)
-    return rows.withColumn("valid", F.when(F.col("s").isNotNull(), required & extra & proper)).drop("s")
-
-
+    tools = tools.withColumn("k", last).where("k = 1").select(F.col("conv_id").alias("c2"), F.col("t.name").alias("n2"), F.try_parse_json("t.parameters").alias("schema")).where("schema is not null")
+    call = F.struct("conv_id", "at", "nth")
+    rows = calls.join(tools, F.col("conv_id").eqNullSafe(F.col("c2")) & (F.col("name") == F.col("n2"))).select(call.alias("call"), F.try_parse_json("arguments").alias("value"), "schema")
+    checked, level = [], table(rows)
+    checked.append(level.select("call", (_is(F.col("value"), "object") & _meets(F.col("value"), F.col("schema"))).alias("ok")))
+    while level.where("cast(schema:properties as variant) is not null or cast(schema:items as variant) is not null").take(1):
+        level = table(_children(level))
+        checked.append(level.select("call", _meets(F.col("value"), F.col("schema")).alias("ok")))
+    verdicts = reduce(DataFrame.unionByName, checked).groupBy("call").agg(F.bool_and(F.coalesce("ok", F.lit(False))).alias("meets"))
+    found = calls.join(verdicts, F.col("conv_id").eqNullSafe(F.col("call.conv_id")) & (F.col("at") == F.col("call.at")) & (F.col("nth") == F.col("call.nth")), "left").drop("call")
+    return found.withColumn("valid", F.when(F.col("broken"), F.lit(False)).otherwise(F.col("meets"))).drop("meets", "broken")
+
+
+@scoped
 def format_chat(conversations: DataFrame) -> DataFrame:
     """A row per conversation: conv_id, n_messages, n_calls, n_linked, n_orphans, n_invalid and chat (canonical JSON)."""
     messages = table(_messages(conversations))
@@ -122,7 +155,7 @@ def format_chat(conversations: DataFrame) -> DataFrame:
 
     answered = linked.where("is_linked").select(F.col("conv_id").alias("c3"), F.col("call_at").alias("a3"), F.col("call_nth").alias("n3"))
     calls = calls.join(answered, F.col("conv_id").eqNullSafe(F.col("c3")) & (F.col("at") == F.col("a3")) & (F.col("nth") == F.col("n3")), "left").withColumn("is_answered", F.col("c3").isNotNull() | F.col("a3").isNotNull())
-    call_json = F.concat(F.lit('{"arguments":'), F.col("arguments"), F.when(F.length(F.to_json(F.struct("id", "name", "valid"))) > 2, F.concat(F.lit(","), F.substring(F.to_json(F.struct("id", "name", "valid")), F.lit(2), F.length(F.to_json(F.struct("id", "name", "valid")))))).otherwise(F.lit("}")))
+    call_json = F.concat(F.lit('{"arguments":'), F.col("arguments"), F.when(F.length(F.to_json(F.struct("depends_on", "id", "name", "valid"))) > 2, F.concat(F.lit(","), F.substring(F.to_json(F.struct("depends_on", "id", "name", "valid")), F.lit(2), F.length(F.to_json(F.struct("depends_on", "id", "name", "valid")))))).otherwise(F.lit("}")))
     of_message = calls.groupBy("conv_id", "at").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("level", F.lit(1 << 30)).alias("level"), "nth", call_json.alias("json")))).alias("own"), F.count("*").alias("calls"), F.count_if(~F.coalesce("valid", F.lit(True))).alias("invalid"))
     of_message = of_message.withColumnsRenamed({"conv_id": "c4", "at": "a4"})
     linked = linked.withColumnsRenamed({"conv_id": "c5", "at": "a5"})

@@ -1,5 +1,8 @@
 """Nulls, empty and long texts, repeated rows, empty tables and extra columns with clashing names."""
 
+import json
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,10 +59,73 @@ def test_chat(spark):
     assert (got[1].n_messages, got[1].n_calls, got[1].n_linked, got[1].n_orphans, got[1].n_invalid) == (5, 2, 2, 1, 1)
     text = got[1].chat
     assert text.index('"id":"a"') < text.index('"id":"b"') < text.index('"ra"') < text.index('"rb"') < text.index('"o"')
-    assert '{"arguments":{"x":"s","y":1},"id":"b","name":"f","valid":false}' in text
+    assert '{"arguments":{"x":"s","y":1},"depends_on":["a"],"id":"b","name":"f","valid":false}' in text
     assert got[None].chat == "[{}]" and got[2].n_messages == 2 and got[2].n_calls == 0
 
 
+def meets(value, schema):
+    """A plain validator of what the operator checks."""
+    kinds = schema.get("type", [])
+    kinds = kinds if isinstance(kinds, list) else [kinds]
+    number = isinstance(value, (int, float)) and not isinstance(value, bool)
+    of = {"string": isinstance(value, str), "number": number, "integer": number and value == int(value), "boolean": isinstance(value, bool), "object": isinstance(value, dict), "array": isinstance(value, list), "null": value is None}
+    if kinds and not any(of[k] for k in kinds):
+        return False
+    if "enum" in schema and not any(type(value) is type(e) and value == e for e in schema["enum"]):
+        return False
+    if number and not schema.get("minimum", value) <= value <= schema.get("maximum", value):
+        return False
+    if isinstance(value, dict):
+        own = schema.get("properties", {})
+        if set(schema.get("required", [])) - set(value) or (schema.get("additionalProperties") is False and set(value) - set(own)):
+            return False
+        return all(meets(v, own[k]) for k, v in value.items() if k in own)
+    return all(meets(v, schema["items"]) for v in value) if isinstance(value, list) and "items" in schema else True
+
+
+def test_chat_validates_and_orders_generated_calls(spark):
+    rng = random.Random(4)
+    types = ["string", "number", "integer", "boolean", "object", "array", "null"]
+
+    def value(depth):
+        kinds = [lambda: rng.choice(["1", "x", ""]), lambda: rng.randint(0, 3), lambda: 1.5, lambda: rng.random() < 0.5, lambda: None]
+        if depth:
+            kinds += [lambda: {k: value(depth - 1) for k in rng.sample("xyz", 2)}, lambda: [value(depth - 1) for _ in range(2)]] * 2
+        return rng.choice(kinds)()
+
+    def schema(depth):
+        s = {}
+        if rng.random() < 0.5:
+            s["type"] = rng.choice([rng.choice(types), rng.sample(types, 3)])
+        if rng.random() < 0.15:
+            s["enum"] = [value(0) for _ in range(3)]
+        if rng.random() < 0.2:
+            s["minimum"] = 1
+        if depth:
+            s |= rng.choice([{}, {"properties": {k: schema(depth - 1) for k in "xy"}}, {"items": schema(depth - 1)}, {"properties": {"x": schema(depth - 1)}, "required": ["x"], "additionalProperties": False}])
+        return s
+
+    rows, want = [], {}
+    for conv in range(120):
+        tool = {"properties": {k: schema(2) for k in "xyz"}} | rng.choice([{}, {"required": ["x"]}, {"additionalProperties": False}])
+        args = {k: value(2) for k in rng.sample("xyzw", 2)}
+        ids = [f"c{i}" for i in range(4)]
+        needs = {i: rng.sample(ids[:n], min(n, 1)) for n, i in enumerate(ids)}
+        calls = [{"id": i, "name": "f", "arguments": args, "depends_on": needs[i]} for i in rng.sample(ids, 4)]
+        rows += [(conv, 0, "system", json.dumps({"tools": [{"name": "f", "parameters": tool}]})), (conv, 1, "assistant", json.dumps({"content": "", "tool_calls": calls}))]
+        want[conv] = (meets(args, tool), needs)
+    rows.append((500, 0, "assistant", '{"tool_calls":[{"id":"a","name":"g","arguments":"{\\"x\\": 1"}]}'))
+    for r in chat.format_chat(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect():
+        calls = [c for m in json.loads(r.chat) for c in m.get("tool_calls", [])]
+        if r.conv_id == 500:
+            assert calls == [{"id": "a", "name": "g", "arguments": '{"x": 1', "valid": False}]
+            continue
+        ok, needs = want[r.conv_id]
+        assert [c["valid"] for c in calls] == [ok] * 4, rows[2 * r.conv_id : 2 * r.conv_id + 2]
+        place = {c["id"]: i for i, c in enumerate(calls)}
+        assert len(place) == 4 and all(place[n] < place[i] for i in needs for n in needs[i])
+
+
 def test_vectors(spark):
     schema = "vec_id bigint, embedding array<float>, dim string, ids string"
     assert vector_graph.nearest(spark.createDataFrame([], schema), F.lit(True)).count() == 0
