@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.normalize import WS, trim
 from ..functions.text import confidence
 
+#: White space as browsers see it, character by character.
+BLANKS = "\t\n\v\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 STRONG, WEAK, FILENAME, HINT = 3, 1, 2, 2
 FLOOR, CLOSE, SHORT = 0.45, 0.05, 24
 
@@ -24,39 +26,39 @@ def classify(documents: DataFrame, signals: DataFrame) -> DataFrame:
     # columns of their own: an expression repeated within a higher-order function is evaluated each time
     documents, text, name = documents.withColumns({"_text": text, "_name": name}), F.col("_text"), F.col("_name")
     hits = lambda hay, words: sum((F.contains(hay, F.lit(w)).cast("int") for w in words), F.lit(0))
-    classes = []
+    classes, raws = [], {}
     for s in signals.orderBy("class_no").collect():
         raw = hits(text, s["strong"]) * STRONG + hits(text, s["weak"]) * WEAK + hits(name, s["filename_words"]) * FILENAME
         raw += F.when(F.col("hinted_type") == s["document_type"], HINT).otherwise(0)
-        classes.append(F.struct((-confidence(raw)).alias("c"), F.lit(s["class_no"]).alias("n"), F.lit(s["document_type"]).alias("t")))
+        raws[f"_raw{len(raws)}"] = raw  # in a column of its own, as what is made of it names it twice
+        classes.append(F.struct((-confidence(F.col(list(raws)[-1]))).alias("c"), F.lit(s["class_no"]).alias("n"), F.lit(s["document_type"]).alias("t")))
     scored = F.array_sort(F.filter(F.array(*classes), lambda x: x["c"] < 0))
-    rows = documents.withColumn("_s", scored)
+    rows = documents.withColumns(raws).withColumn("_s", scored)
     at = lambda i: F.get("_s", F.lit(i))
     best, second = -at(0)["c"], -at(1)["c"]
-    bare = (F.length(trim(F.coalesce("text", F.lit("")))) < SHORT) & ~F.col("mime_type").eqNullSafe(F.lit("application/pdf"))
+    bare = (F.length(F.btrim(F.coalesce("text", F.lit("")), F.lit(BLANKS))) < SHORT) & ~F.col("mime_type").eqNullSafe(F.lit("application/pdf"))
     picture = F.coalesce(at(0)["t"].isin("photo", "signature"), F.lit(False))
     unsure = best.isNull() | (best < FLOOR) | F.coalesce(best - second < CLOSE, F.lit(False))
     kind = F.when(bare, F.when(picture, at(0)["t"]).otherwise("photo")).when(unsure, "unknown").otherwise(at(0)["t"])
     sure = F.when(bare & ~picture, 0.5).otherwise(F.coalesce(best, F.lit(0.0)))
     rows = rows.withColumns({"document_type": kind, "confidence": sure})
     others = F.slice(F.filter("_s", lambda x: x["t"] != F.col("document_type")), 1, 3)
-    return rows.withColumn("alternatives", F.transform(others, lambda x: F.struct(x["t"].alias("document_type"), (-x["c"]).alias("confidence")))).drop("_s", "_text", "_name")
+    return rows.withColumn("alternatives", F.transform(others, lambda x: F.struct(x["t"].alias("document_type"), (-x["c"]).alias("confidence")))).drop("_s", "_text", "_name", *raws)
+
+
+#: A label of 2 to 60 characters, then a colon, an equals sign, two blanks or a dash between blanks, then a value.
+LABEL_VALUE = rf"^(.{{2,60}}?){WS}*(?::|=|{WS}{{2,}}|{WS}[-–—]{WS}){WS}*(.+)$"
 
 
 def lines(documents: DataFrame, text: str = "text") -> DataFrame:
-    """documents: (document_id, text). A row per line that is not empty: document_id, line_no, raw, label and value (null without a colon)."""
-    rows = documents.select("document_id", F.posexplode(F.split(text, "\n")).alias("line_no", "raw"))
-    rows = rows.withColumn("raw", F.trim("raw")).where("raw <> ''")
-    at = F.instr("raw", ":")
-    return rows.withColumn("label", F.when(at > 1, F.trim(F.substring(F.col("raw"), F.lit(1), at - 1)))).withColumn("value", F.when(at > 1, F.trim(F.substring(F.col("raw"), at + 1, F.length("raw")))))
+    """documents: (document_id, text). A row per line that is not empty: document_id, line_no, raw, label and value (null where the line is no pair)."""
+    rows = documents.select("document_id", F.posexplode(F.split(text, "\r?\n")).alias("line_no", "raw"))
+    rows = rows.withColumn("raw", trim(F.col("raw"))).where("raw <> ''").withColumn("_pair", F.col("raw").rlike(LABEL_VALUE))
+    part = lambda i: F.when(F.col("_pair"), trim(F.regexp_extract("raw", LABEL_VALUE, i)))
+    return rows.withColumns({"label": part(1), "value": part(2)}).drop("_pair")
 
 
 def best_by_key(fields: DataFrame) -> DataFrame:
     """fields: (document_id, key, confidence, line_no, ...). The most confident field of each key, the earliest line among equals."""
     order = Window.partitionBy("document_id", "key").orderBy(F.desc("confidence"), "line_no")
     return fields.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
-
-
-def review_reason(confidence: Column, valid: Column, high_risk: Column, ambiguous: Column) -> Column:
-    """Why a person has to look at a field; null: nobody has to."""
-    return F.when(ambiguous, "ambiguous").when(~valid, "invalid_format").when(high_risk, "high_risk_field").when(confidence < 0.7, "low_confidence").when(confidence < 0.9, "check_value")

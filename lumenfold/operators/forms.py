@@ -1,8 +1,8 @@
-"""Forms: adapters by page address, dependency depth, field mapping by precedence."""
+"""Forms: adapters by page address, dependency depth."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import url_pattern
@@ -47,29 +47,3 @@ def dependency_depths(fields: DataFrame) -> DataFrame:
           SELECT c.slug, c.key, p.pp, concat(c.seen, array(p.p)), c.depth + 1
           FROM chain c JOIN _parents p ON c.slug = p.slug AND c.at = p.p WHERE NOT array_contains(c.seen, p.p)
         ) SELECT slug, key, max(depth) AS depth FROM chain GROUP BY slug, key""")
-
-
-def argmax_rule(fields: DataFrame, rules: DataFrame, score: Column, keys: list[str]) -> DataFrame:
-    """The best rule of each field by score (a Column over both; 0: no match), the first rule among equals; rules are rows of constants."""
-    met = fields.join(F.broadcast(rules), F.lit(True)).withColumn("score", score).where("score > 0")
-    order = Window.partitionBy(*keys).orderBy(F.desc("score"), "rule_no")
-    return met.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
-
-
-def resolve(fields: DataFrame) -> DataFrame:
-    """fields: (signature, safety_class, visible, read_only, adapter_field, override_field, history_field, history_count, dictionary_field, dictionary_score).
-
-    Adds customer_field, source, confidence, skip_reason and review_required: unsafe and ineligible fields are skipped;
-    else adapter, override, history and dictionary come in that order.
-    """
-    skip = F.when(F.col("safety_class") != "normal", F.col("safety_class")).when(~F.col("visible"), "hidden").when(F.col("read_only"), "read_only")
-    choice = lambda field, source, sure: F.when(F.col(field).isNotNull(), F.struct(F.col(field).alias("customer_field"), F.lit(source).alias("source"), sure.cast("double").alias("confidence")))
-    picked = F.coalesce(choice("adapter_field", "adapter", F.lit(0.99)), choice("override_field", "override", F.lit(0.98)), choice("history_field", "history", F.least(F.lit(0.95), 0.85 + 0.02 * F.col("history_count"))), choice("dictionary_field", "dictionary", F.col("dictionary_score")))
-    rows = fields.withColumn("skip_reason", skip).withColumn("_p", F.when(skip.isNull(), picked))
-    rows = rows.select(*fields.columns, F.coalesce("skip_reason", F.when(F.col("_p").isNull(), "no_mapping")).alias("skip_reason"), "_p.*")
-    return rows.withColumn("review_required", F.coalesce(F.col("confidence") < 0.9, F.lit(False)))
-
-
-def summary(mappings: DataFrame) -> DataFrame:
-    """Counts of mappings by page: total, mapped, skipped, for review, unsafe."""
-    return mappings.groupBy("page_id").agg(F.count("*").alias("total"), F.count("customer_field").alias("mapped"), F.count("skip_reason").alias("skipped"), F.count_if("review_required").alias("review"), F.count_if(F.col("safety_class") != "normal").alias("unsafe"))

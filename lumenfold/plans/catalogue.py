@@ -125,24 +125,25 @@ def q_recent_orders(spark, sf_dir):
 
 
 @registered("""
-WITH c AS (SELECT o_custkey AS k, o_orderkey AS v, o_totalprice AS amount FROM orders WHERE o_orderkey % 3 = 0 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1),
-n AS (SELECT o_custkey AS k, o_orderkey AS v, o_totalprice AS amount FROM orders WHERE o_orderkey % 3 = 1 QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1)
+WITH c AS (SELECT o_custkey AS k, o_orderkey AS v, o_totalprice AS amount FROM orders WHERE o_orderstatus <> 'O' QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1),
+n AS (SELECT o_custkey AS k, o_orderkey AS v, o_totalprice AS amount FROM orders WHERE o_orderstatus = 'O' QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) = 1)
 SELECT * FROM n UNION ALL SELECT * FROM c WHERE k NOT IN (SELECT k FROM n)
 """)
 def q_upsert(spark, sf_dir):
     """Changes merged into a snapshot by key; the last write wins."""
-    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("v"), F.col("o_totalprice").alias("amount"))
-    current = snapshots.keep_latest(rows.where("v % 3 = 0"), ["k"], F.desc("v"))
-    return snapshots.upsert(current, rows.where("v % 3 = 1"), ["k"], "v")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("v"), F.col("o_totalprice").alias("amount"), (F.col("o_orderstatus") == "O").alias("open"))
+    current = snapshots.keep_latest(rows.where("not open"), ["k"], F.desc("v"))
+    return snapshots.upsert(current, rows.where("open"), ["k"], "v").drop("open")
 
 
 @registered("""
-SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey % 2 = 0 UNION ALL SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)
+SELECT c_custkey AS id, c_name AS name FROM customer UNION ALL SELECT s_suppkey + 1000000000, s_name FROM supplier UNION ALL SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT c_custkey FROM customer)
 """)
 def q_insert_missing(spark, sf_dir):
     """Rows appended where their key is not taken."""
-    current = table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    return snapshots.insert_missing(current, table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name")), ["id"])
+    of = lambda name, c, shift=0: table(spark, sf_dir, name).select((F.col(f"{c}key") + shift).alias("id"), F.col(f"{c[0]}_name").alias("name"))
+    new = of("supplier", "s_supp", 1_000_000_000).unionByName(of("part", "p_part"))
+    return snapshots.insert_missing(of("customer", "c_cust"), new, ["id"])
 
 
 @registered("SELECT o_orderstatus, count(*) AS n, count(CASE WHEN o_totalprice < 1000 THEN 1 END) AS gone FROM orders GROUP BY 1")
@@ -299,11 +300,11 @@ SIGNALS = [(0, "english", ["that the", "of the"], ["the", "and"], ["en"]), (1, "
 
 
 def _class_sql() -> str:
-    text, name = "regexp_replace(lower(text), '\\s+', ' ', 'g')", "lower(source)"
+    text, name = "regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g')", "lower(coalesce(source, ''))"
     hit = lambda hay, words, w: " + ".join([f"{w} * CAST(contains({hay}, '{x}') AS INT)" for x in words] or ["0"])
     raws = ", ".join(f"{{'n': {n}, 't': '{t}', 'r': {hit(text, s, 3)} + {hit(text, w, 1)} + {hit(name, f, 2)}}}" for n, t, s, w, f in SIGNALS)
     return f"""
-WITH a AS (SELECT doc_id, list_filter([{raws}], lambda x: x.r > 0) AS c, length(trim(text)) AS n FROM documents WHERE text IS NOT NULL),
+WITH a AS (SELECT doc_id, list_filter([{raws}], lambda x: x.r > 0) AS c, length(trim(coalesce(text, ''))) AS n FROM documents),
 b AS (SELECT doc_id, n, list_sort(list_transform(c, lambda x: {{'r': -x.r, 'n': x.n, 't': x.t}})) AS s FROM a),
 d AS (SELECT doc_id, n, s[1].t AS t, round(-s[1].r / (2.0 - s[1].r), 3) AS c1, round(-s[2].r / (2.0 - s[2].r), 3) AS c2 FROM b)
 SELECT doc_id, CASE WHEN n < 24 THEN 'photo' WHEN t IS NULL OR c1 < 0.45 OR (c2 IS NOT NULL AND c1 - c2 < 0.05) THEN 'unknown' ELSE t END AS document_type FROM d"""
@@ -313,18 +314,25 @@ SELECT doc_id, CASE WHEN n < 24 THEN 'photo' WHEN t IS NULL OR c1 < 0.45 OR (c2
 def q_doc_class(spark, sf_dir):
     """Documents by signal phrases."""
     signals = values(spark, "class_no int, document_type string, strong array<string>, weak array<string>, filename_words array<string>", SIGNALS)
-    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text", F.col("source").alias("filename"), F.lit("text/plain").alias("mime_type"), F.lit(None).cast("string").alias("hinted_type"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("filename"), F.lit("text/plain").alias("mime_type"), F.lit(None).cast("string").alias("hinted_type"))
     return documents.classify(docs, signals).select("doc_id", "document_type")
 
 
-@registered("""
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw FROM documents), t AS (SELECT doc_id, trim(raw, ' ') AS raw FROM l WHERE trim(raw, ' ') <> '')
-SELECT doc_id, count(*) AS n_lines, count(CASE WHEN instr(raw, ':') > 1 THEN 1 END) AS n_pairs, CAST(coalesce(sum(CASE WHEN instr(raw, ':') > 1 THEN length(trim(substring(raw, 1, instr(raw, ':') - 1), ' ')) END), 0) AS BIGINT) AS label_chars FROM t GROUP BY doc_id
+_BLANK = r"[\s\x0B\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+_PAIR = rf"^(.{{2,60}}?){_BLANK}*(?::|=|{_BLANK}{{2,}}|{_BLANK}[-–—]{_BLANK}){_BLANK}*(.+)$"
+_trimmed = lambda c: f"regexp_replace({c}, '^{_BLANK}+|{_BLANK}+$', '', 'g')"
+
+
+@registered(f"""
+WITH l AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\r?\n')) AS raw FROM documents), t AS (SELECT doc_id, {_trimmed("raw")} AS raw FROM l),
+p AS (SELECT doc_id, regexp_matches(raw, '{_PAIR}') AS pair, {_trimmed(f"regexp_extract(raw, '{_PAIR}', 1)")} AS label, {_trimmed(f"regexp_extract(raw, '{_PAIR}', 2)")} AS value FROM t WHERE raw <> '')
+SELECT doc_id, count(*) AS n_lines, count(CASE WHEN pair THEN 1 END) AS n_pairs, CAST(coalesce(sum(CASE WHEN pair THEN length(label) END), 0) AS BIGINT) AS label_chars, CAST(coalesce(sum(CASE WHEN pair THEN length(value) END), 0) AS BIGINT) AS value_chars FROM p GROUP BY doc_id
 """)
 def q_lines(spark, sf_dir):
     """Lines and label-value pairs of documents."""
     rows = documents.lines(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "text"))
-    return rows.groupBy(F.col("document_id").alias("doc_id")).agg(F.count("*").alias("n_lines"), F.count("label").alias("n_pairs"), F.coalesce(F.sum(F.length("label")), F.lit(0)).cast("long").alias("label_chars"))
+    chars = lambda c: F.coalesce(F.sum(F.length(c)), F.lit(0)).cast("long").alias(f"{c}_chars")
+    return rows.groupBy(F.col("document_id").alias("doc_id")).agg(F.count("*").alias("n_lines"), F.count("label").alias("n_pairs"), chars("label"), chars("value"))
 
 
 @registered("SELECT lang, round(avg(quality), 6) AS mean_quality, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY lang")
@@ -434,20 +442,6 @@ def q_dep_depth(spark, sf_dir):
     return forms.dependency_depths(values(spark, "slug string, key string, depends_on string", FIELDS))
 
 
-@registered("""
-WITH f AS (SELECT p_partkey AS signature, p_size AS n FROM part),
-r AS (SELECT signature, n, CASE WHEN n % 11 = 0 THEN 'captcha' WHEN n % 7 = 0 THEN 'hidden' WHEN n % 13 = 0 THEN 'read_only' END AS skip FROM f),
-p AS (SELECT signature, n, skip, CASE WHEN skip IS NOT NULL THEN NULL WHEN n % 2 = 0 THEN 'adapter' WHEN n % 3 = 0 THEN 'override' WHEN n % 5 = 0 THEN 'history' WHEN n > 20 THEN 'dictionary' END AS source FROM r)
-SELECT signature, source, CASE source WHEN 'adapter' THEN 0.99 WHEN 'override' THEN 0.98 WHEN 'history' THEN round(least(0.95, 0.85 + 0.02 * n), 6) WHEN 'dictionary' THEN 0.8 END::DOUBLE AS confidence, coalesce(skip, CASE WHEN source IS NULL THEN 'no_mapping' END) AS skip_reason, coalesce(source IN ('history') AND 0.85 + 0.02 * n < 0.9 OR source = 'dictionary', false) AS review_required FROM p
-""")
-def q_map_proposal(spark, sf_dir):
-    """Field mappings by precedence."""
-    n, field = F.col("n"), lambda c: F.when(c, F.lit("k"))
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("signature"), F.col("p_size").alias("n"))
-    rows = rows.select("signature", F.when(n % 11 == 0, "captcha").otherwise("normal").alias("safety_class"), (n % 7 != 0).alias("visible"), (n % 13 == 0).alias("read_only"), field(n % 2 == 0).alias("adapter_field"), field(n % 3 == 0).alias("override_field"), field(n % 5 == 0).alias("history_field"), n.alias("history_count"), field(n > 20).alias("dictionary_field"), F.lit(0.8).alias("dictionary_score"))
-    return forms.resolve(rows).select("signature", "source", F.round("confidence", 6).alias("confidence"), "skip_reason", "review_required")
-
-
 @registered("SELECT event_id, v AS violation FROM (SELECT event_id, unnest(list_filter([CASE WHEN value < 10 THEN 'least_value' END, CASE WHEN event_type = 'error' AND value > 50 THEN 'error_value' END], lambda x: x IS NOT NULL)) AS v FROM events)")
 def q_constraints(spark, sf_dir):
     """Rows that break named checks."""

@@ -36,6 +36,13 @@ def page(df: DataFrame, *order: Column, limit: int | None = None, offset: int |
     return df.orderBy(*order).offset(max(offset or 0, 0)).limit(max(n, 0))
 
 
+def page_with_total(df: DataFrame, *order: Column, limit: int | None = None, offset: int | None = None, most: int = 100) -> DataFrame:
+    """A page as page() gives it, with total (the number of all rows) and has_more (whether rows follow the page)."""
+    end = max(offset or 0, 0) + max(min(25 if limit is None else limit, most), 0)
+    total = df.agg(F.count("*").alias("total"))  # one row
+    return page(df, *order, limit=limit, offset=offset, most=most).join(F.broadcast(total)).withColumn("has_more", F.col("total") > end)
+
+
 def given(**filters) -> Column:
     """Equality with every parameter that is not None."""
     out = F.lit(True)
