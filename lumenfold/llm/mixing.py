@@ -28,6 +28,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Beyond this many sources their table is joined with salted keys instead of being broadcast.
 MOST_BROADCAST_SOURCES = 100_000
 _SALTS = 64
+#: Output shards unless told otherwise: about SHARD_WORDS words each, LEAST_SHARDS at least (as a power of two).
+LEAST_SHARDS, SHARD_WORDS = 64, 1 << 26
 
 
 def word_count(text: Column) -> Column:
@@ -106,7 +108,7 @@ def _with_sources(rows: DataFrame, sources: DataFrame, count: int) -> DataFrame:
     return rows.join(salted, F.col("source").eqNullSafe(F.col("_own_source")) & (F.col("_own_salt") == F.col("_salt"))).drop("_own_source", "_salt", "_own_salt")
 
 
-def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, block_words: int = 1 << 18, shards: int = 64, seed: int = 7, carry: bool = False) -> DataFrame:
+def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, block_words: int = 1 << 18, shards: int | None = None, seed: int = 7, carry: bool = False) -> DataFrame:
     """What a mix takes of each row of docs (doc_id, text, source; other columns are ignored).
 
     Returns one row for each input row: doc_id, source, size, source_size, target, taken (words, repeats counted)
@@ -114,12 +116,13 @@ def mix(docs: DataFrame, *, weights: tuple[float, ...] = (5, 2, 1), share: float
     Within a pass a row gives all its words, except the one row at the end of its source's target. With carry,
     the input row comes too, as struct _row.
     """
-    levels = max(0, math.ceil(math.log2(max(1, shards))))
     measured = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *([F.struct("*").alias("_row")] if carry else []))
     measured = measured.withColumn("h", F.xxhash64(F.lit(seed), "source", "doc_id", "size"))
     rows = table(measured.drop("_row"))
     sources = table(source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap))
-    count = sources.count()
+    count, words = sources.agg(F.count("*"), F.coalesce(F.sum("source_size"), F.lit(0))).head()
+    shards = shards or max(LEAST_SHARDS, math.ceil(share * words / SHARD_WORDS))
+    levels = math.ceil(math.log2(shards))
     sources = sources.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / block_words)).cast("long"))
     placed = lambda df: _with_sources(df, sources, count).withColumn("block", F.pmod(F.xxhash64(F.lit(seed + 1), "h"), F.col("blocks")))
 
@@ -151,4 +154,5 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     plan = mix(docs, carry=True, **options)
     copies = plan.select("_row", "size", "doc_id", F.explode("draws").alias("d")).where("d.words * 2 >= size")
     spread = copies.withColumn("_order", F.xxhash64(F.lit(11), "doc_id", "size", "d.pass"))
-    return spread.repartition(F.col("d.shard")).sortWithinPartitions("d.shard", "_order").select("_row.*")
+    shards = (copies.agg(F.max("d.shard")).head()[0] or 0) + 1
+    return spread.repartition(shards, F.col("d.shard")).sortWithinPartitions("d.shard", "_order").select("_row.*")

@@ -10,8 +10,9 @@ Equal vectors share a node, which keeps the k + 1 least ids: no query can need m
 least id. Every row is indexed; nothing is sampled.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no part; vectors
-are compared with those of their own length only; rows of the query's own id are never its neighbours; fewer
-candidates than k give as many rows.
+are compared with those of their own length only; rows of the query's own id are never its neighbours; an id with
+several vectors is near by the nearest of them, as a neighbour and as a query, and is returned once (then there may be
+fewer than k rows); fewer candidates than k give as many rows.
 """
 
 from __future__ import annotations
@@ -145,7 +146,9 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, shard_nodes: int =
         sizes = np.cumsum([0, *map(len, frame["ids"])])
         return pd.DataFrame({"dim": [key[0]], "shard": [key[1]], "entry": [entry], "exact": [exact.tobytes()], "graph": [graph.astype(np.int32).tobytes()], "ids": [np.concatenate(frame["ids"].to_numpy()).astype(np.int64).tobytes()], "bounds": [sizes.astype(np.int64).tobytes()]})
 
-    index = nodes.withColumn("shard", F.pmod(F.xxhash64("embedding"), shards).cast("int")).groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, entry int, exact binary, graph binary, ids binary, bounds binary")
+    # a task for each shard and, below, for each shard and block: their work does not follow their bytes
+    tasks = max(sum(dims.values()), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    index = nodes.withColumn("shard", F.pmod(F.xxhash64("embedding"), shards).cast("int")).repartition(tasks, "dim", "shard").groupBy("dim", "shard").applyInPandas(build, "dim int, shard int, entry int, exact binary, graph binary, ids binary, bounds binary")
     index = table(index)
     asked = good.where(queries).withColumn("dim", F.size("embedding")).distinct()
     blocks = max(1, asked.count() // QUERY_BLOCK)
@@ -177,6 +180,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 10, shard_nodes: int =
                     out += [(int(own[j]), x, s) for s, x in near[:k]]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
-    met = asked.join(index, ["dim", "shard"]).groupBy("dim", "shard", "block").applyInPandas(search, "query_id bigint, vec_id bigint, score double")
+    met = asked.join(index, ["dim", "shard"]).repartition(tasks * blocks, "dim", "shard", "block").groupBy("dim", "shard", "block").applyInPandas(search, "query_id bigint, vec_id bigint, score double")
+    met = met.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

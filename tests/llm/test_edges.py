@@ -4,6 +4,7 @@ import json
 import random
 
 import pytest
+import sentencepiece
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -132,8 +133,31 @@ def test_vectors(spark):
     rows = [(0, [1.0, 0.0], "x", "y"), (1, [1.0, 0.0], "x", "y"), (2, None, "x", "y"), (3, [0.0, 0.0], "x", "y"), (4, [float("nan"), 1.0], "x", "y"), (5, [None, 1.0], "x", "y"), (None, [2.0, 1.0], "x", "y"), (6, [0.0, 3.0], "x", "y"), (7, [1.0], "x", "y"), (6, [0.0, 3.0], "x", "y")]
     got = [tuple(r) for r in vector_graph.nearest(spark.createDataFrame(rows, schema), F.col("vec_id") == 0).orderBy("rank").collect()]
     assert [(q, r, v) for q, r, v, _ in got] == [(0, 1, 1), (0, 2, 6)]
+    # an id with several vectors counts once, by the nearest
+    twice = [(0, [0.0, 1.0], "x", "y"), (0, [9.0, 1.0], "x", "y"), (1, [0.0, 2.0], "x", "y"), (1, [8.0, 1.0], "x", "y"), (2, [0.0, 4.0], "x", "y")]
+    got = vector_graph.nearest(spark.createDataFrame(twice, schema), F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [(r["rank"], r.vec_id, r.score) for r in got] == [(1, 1, 1.0), (2, 2, 3.0)]
 
 
-def test_pipeline_keeps_columns(spark, sf):
+def test_pipeline_stages(spark):
+    """Every stage against a plain version of what it decides, on what the one before it kept."""
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["toxicity", "line_dedup", "near_copies", "mixing", "sentencepiece"] and corpus_pipeline.ORACLE_SQL is None
+    stages = dict(corpus_pipeline.STAGES)
+    rng = random.Random(8)
+    prose = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    rows = [(i, prose(60), "en", "ab"[i % 2], 1) for i in range(40)]
+    base = rows[3][1].split()
+    rows += [(50, " ".join(base[:-1] + ["other"]), "en", "a", 1), (51, rows[4][1], "en", "b", 1), (52, "first of mine\n" + prose(30) + "\nshared line of some words", "en", "a", 1), (53, "shared line of some words\n" + prose(30), "en", "b", 1), (54, None, "en", "a", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    text = {r[0]: r[1] for r in rows}
+    got = {r.doc_id: r for r in stages["line_dedup"](spark, docs, "").collect()}
+    want = {**text, 51: "", 53: text[53].split("\n")[1]}
+    assert {d: r.text for d, r in got.items()} == want and got[53].n_chars == len(want[53]) and got[52].n_chars == 1
+    kept = stages["near_copies"](spark, docs, "")
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(text) - {50, 51}
+    mixed = stages["mixing"](spark, kept, "")
+    assert mixed.columns == docs.columns and {(r.doc_id, r.text) for r in mixed.collect()} <= set(text.items())
+    out = stages["sentencepiece"](spark, kept, "").collect()
+    processor = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+    assert len(out) == kept.count() and all(r.n_tokens == len(processor.encode(text[r.doc_id] or "")) and r.round_trip for r in out)
