@@ -81,11 +81,12 @@ def url_pattern(glob: str) -> str:
     return "(?i)^" + "".join(wild.get(p) or re.sub(r"([.+?^${}()|\[\]\\])", r"\\\1", p) for p in re.split(r"(\*\*|\*)", glob)) + "$"
 
 
-def pasted_lines(c: Column) -> Column:
-    """Lines of pasted text, run-on pairs split at separators that a label follows; MOST_LINES at most."""
+def pasted_lines(c: Column, most: int | None = MOST_LINES) -> Column:
+    """Lines of pasted text, run-on pairs split at separators that a label follows; `most` at most."""
     raw = F.split(F.regexp_replace(c, r"\r\n?", "\n"), "\n")
     cut = F.flatten(F.transform(raw, lambda x: F.split(trim(F.regexp_replace(x, ZERO_WIDTH, "")), _INLINE)))
-    return F.slice(F.filter(F.transform(cut, trim), lambda x: x != ""), 1, MOST_LINES)
+    rows = F.filter(F.transform(cut, trim), lambda x: x != "")
+    return rows if most is None else F.slice(rows, 1, most)
 
 
 def mime_type(content: Column) -> Column:

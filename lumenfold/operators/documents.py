@@ -50,9 +50,9 @@ def classify(documents: DataFrame, signals: DataFrame) -> DataFrame:
 LABEL_VALUE = rf"^(.{{2,60}}?){WS}*(?::|=|{WS}{{2,}}|{WS}[-–—]{WS}){WS}*(.+)$"
 
 
-def lines(documents: DataFrame, text: str = "text") -> DataFrame:
-    """documents: (document_id, text). A row per line that is not empty: document_id, line_no, raw, label and value (null where the line is no pair)."""
-    rows = documents.select("document_id", F.posexplode(F.split(text, "\r?\n")).alias("line_no", "raw"))
+def lines(documents: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """documents: (document_id, text). A row per line that is not empty: document_id, line_no, raw, label and value (null where the line is no pair), and the columns to keep."""
+    rows = documents.select("document_id", *keep, F.posexplode(F.split(text, "\r?\n")).alias("line_no", "raw"))
     rows = rows.withColumn("raw", trim(F.col("raw"))).where("raw <> ''").withColumn("_pair", F.col("raw").rlike(LABEL_VALUE))
     part = lambda i: F.when(F.col("_pair"), trim(F.regexp_extract("raw", LABEL_VALUE, i)))
     return rows.withColumns({"label": part(1), "value": part(2)}).drop("_pair")

@@ -52,6 +52,11 @@ def _collapsed(c: Column) -> Column:
     return N.trim(F.regexp_replace(c, f"{N.WS}+", " "))
 
 
+def plain_label(c: Column) -> Column:
+    """A printed label in lower case, without marks."""
+    return _collapsed(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[*_|]", " "))
+
+
 def label_score(label: Column, labels: list[str], negatives: list[str] | None) -> Column:
     """How well a label (lower case, blanks collapsed) meets a rule; 0 where it does not or where a negative word occurs."""
     words = sorted({x for x in labels if x}, key=len, reverse=True)
@@ -94,8 +99,7 @@ def matched_lines(lines: DataFrame, rules: DataFrame) -> DataFrame:
     A rule holds for documents of its document_types, or for all where that is null. The best rule claims a line, the
     first of equals; a second one as good makes it ambiguous. value is null where it was not understood.
     """
-    label = _collapsed(F.regexp_replace(F.lower(F.coalesce("label", F.lit(""))), "[*_|]", " "))
-    rows = lines.withColumn("_label", label).where("_label <> '' and value <> ''")
+    rows = lines.withColumn("_label", plain_label(F.col("label"))).where("_label <> '' and value <> ''")
     claims = []
     for r in rules.orderBy("rule_no").collect():
         score = label_score(F.col("_label"), r["labels"], r["negatives"])
@@ -107,14 +111,15 @@ def matched_lines(lines: DataFrame, rules: DataFrame) -> DataFrame:
     rows = rows.withColumn("_claims", F.slice(F.array_sort(F.filter(F.array(*claims), lambda x: x["s"] < 0)), 1, 2)).where("size(_claims) > 0")
     top, next_one = F.get("_claims", F.lit(0)), F.get("_claims", F.lit(1))
     rows = rows.withColumns({"_top": top, "_ambiguous": F.coalesce(next_one["s"] - top["s"] < SAME, F.lit(False))})
-    rows = rows.withColumn("_v", normalize_value(F.col("value"), F.col("_top.kind")))
+    # exploded, as the optimizer would else repeat the whole expression wherever it is named
+    rows = rows.withColumn("_value", F.explode(F.array(normalize_value(F.col("value"), F.col("_top.kind"))["value"]))).withColumn("_valid", F.col("_value").isNotNull())
     bounded = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(c, F.lit(0.0))))
-    sure = -F.col("_top.s") * bounded(F.col("ocr_confidence")) * F.when(F.col("_ambiguous"), AMBIGUOUS).otherwise(1.0) * F.when(F.col("_v.valid"), 1.0).otherwise(INVALID)
+    sure = -F.col("_top.s") * bounded(F.col("ocr_confidence")) * F.when(F.col("_ambiguous"), AMBIGUOUS).otherwise(1.0) * F.when(F.col("_valid"), 1.0).otherwise(INVALID)
     rows = rows.withColumn("confidence", fixed3(bounded(sure)))
-    reason = review_reason(F.col("confidence"), F.col("_v.valid"), F.col("_top.risk"), F.col("_ambiguous"))
+    reason = review_reason(F.col("confidence"), F.col("_valid"), F.col("_top.risk"), F.col("_ambiguous"))
     rows = rows.withColumn("review_reason", reason)
     status = F.when(F.col("review_reason").isNull(), "ok").otherwise("needs_review")
-    return rows.select("document_id", "line_no", F.col("_top.key").alias("key"), F.left("label", F.lit(MOST_LABEL)).alias("label"), F.col("_v.value").alias("value"), "confidence", F.left("raw", F.lit(MOST_SOURCE)).alias("source_text"), status.alias("status"), "review_reason")
+    return rows.select("document_id", "line_no", F.col("_top.key").alias("key"), F.left("label", F.lit(MOST_LABEL)).alias("label"), F.col("_value").alias("value"), "confidence", F.left("raw", F.lit(MOST_SOURCE)).alias("source_text"), status.alias("status"), "review_reason")
 
 
 def unlabelled_identifiers(lines: DataFrame) -> DataFrame:
