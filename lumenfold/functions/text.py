@@ -83,9 +83,9 @@ def url_pattern(glob: str) -> str:
 
 def pasted_lines(c: Column, most: int | None = MOST_LINES) -> Column:
     """Lines of pasted text, run-on pairs split at separators that a label follows; `most` at most."""
-    raw = F.split(F.regexp_replace(c, r"\r\n?", "\n"), "\n")
-    cut = F.flatten(F.transform(raw, lambda x: F.split(trim(F.regexp_replace(x, ZERO_WIDTH, "")), _INLINE)))
-    rows = F.filter(F.transform(cut, trim), lambda x: x != "")
+    own = lambda parts: F.filter(F.transform(parts, trim), lambda x: x != "")
+    raw = own(F.split(F.regexp_replace(F.regexp_replace(c, ZERO_WIDTH, ""), r"\r\n?", "\n"), "\n"))
+    rows = own(F.flatten(F.transform(raw, lambda x: F.split(x, _INLINE))))
     return rows if most is None else F.slice(rows, 1, most)
 
 

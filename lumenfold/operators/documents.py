@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.normalize import WS, trim
 from ..functions.text import confidence
+from ..sources.tables import constants
 
-#: White space as browsers see it, character by character.
-BLANKS = "\t\n\v\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 STRONG, WEAK, FILENAME, HINT = 3, 1, 2, 2
 FLOOR, CLOSE, SHORT = 0.45, 0.05, 24
 
@@ -27,7 +26,7 @@ def classify(documents: DataFrame, signals: DataFrame) -> DataFrame:
     documents, text, name = documents.withColumns({"_text": text, "_name": name}), F.col("_text"), F.col("_name")
     hits = lambda hay, words: sum((F.contains(hay, F.lit(w)).cast("int") for w in words), F.lit(0))
     classes, raws = [], {}
-    for s in signals.orderBy("class_no").collect():
+    for s in sorted(constants(signals), key=lambda s: s["class_no"]):
         raw = hits(text, s["strong"]) * STRONG + hits(text, s["weak"]) * WEAK + hits(name, s["filename_words"]) * FILENAME
         raw += F.when(F.col("hinted_type") == s["document_type"], HINT).otherwise(0)
         raws[f"_raw{len(raws)}"] = raw  # in a column of its own, as what is made of it names it twice
@@ -36,7 +35,7 @@ def classify(documents: DataFrame, signals: DataFrame) -> DataFrame:
     rows = documents.withColumns(raws).withColumn("_s", scored)
     at = lambda i: F.get("_s", F.lit(i))
     best, second = -at(0)["c"], -at(1)["c"]
-    bare = (F.length(F.btrim(F.coalesce("text", F.lit("")), F.lit(BLANKS))) < SHORT) & ~F.col("mime_type").eqNullSafe(F.lit("application/pdf"))
+    bare = (F.length(trim(F.coalesce("text", F.lit("")))) < SHORT) & ~F.col("mime_type").eqNullSafe(F.lit("application/pdf"))
     picture = F.coalesce(at(0)["t"].isin("photo", "signature"), F.lit(False))
     unsure = best.isNull() | (best < FLOOR) | F.coalesce(best - second < CLOSE, F.lit(False))
     kind = F.when(bare, F.when(picture, at(0)["t"]).otherwise("photo")).when(unsure, "unknown").otherwise(at(0)["t"])

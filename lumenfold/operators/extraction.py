@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
 from ..functions.privacy import mask_identifiers
 from ..functions.text import fixed3
+from ..sources.tables import constants
 from .documents import best_by_key
 
 RULES = "rule_no int, key string, kind string, labels array<string>, negatives array<string>, document_types array<string>, high_risk boolean"
@@ -41,6 +42,11 @@ CATEGORIES = {
 _LETTER = r"a-zऀ-ॿ"
 
 
+def rule_rows(rules: DataFrame | list[Row]) -> list[Row]:
+    """The rules in their order, read once; rows that were read already stay."""
+    return rules if isinstance(rules, list) else sorted(constants(rules), key=lambda r: r["rule_no"])
+
+
 def _named(c: Column, names: dict[str, tuple[str, ...]]) -> Column:
     out = F.lit(None).cast("string")
     for name, words in names.items():
@@ -73,6 +79,15 @@ def label_score(label: Column, labels: list[str], negatives: list[str] | None) -
 def normalize_value(raw: Column, kind: Column) -> Column:
     """struct(value, valid) of a raw value by kind: name, date, mobile, pincode, pan, aadhaar (last four digits), number, year, gender, category, longtext; else text."""
     t = N.trim(F.coalesce(raw, F.lit("")))
+    value = F.left(t, F.lit(MOST_TEXT))
+    for name, own in _by_kind(t).items():
+        value = F.when(kind == name, own).otherwise(value)
+    value = F.when(t != "", value)
+    return F.struct(value.alias("value"), value.isNotNull().alias("valid"))
+
+
+def _by_kind(t: Column) -> dict[str, Column]:
+    """The value of a trimmed text for each kind but plain text."""
     name = N.normalize_name(t)["value"]
     amount = F.regexp_replace(F.regexp_replace(t, rf"(?:[,₹]|{N.WS})", ""), "/-$", "")
     found = lambda c, pattern: F.nullif(F.regexp_extract(c, pattern, 0), F.lit(""))
@@ -80,12 +95,22 @@ def normalize_value(raw: Column, kind: Column) -> Column:
     whole = {"name": F.when(~name.rlike("[0-9]{3}"), name), "mobile": N.normalize_mobile(t)["value"], "pincode": N.normalize_pincode(t)["value"], "pan": N.normalize_pan(t)["value"]}
     whole |= {"date": N.parse_date(t)["value"], "aadhaar": N.last_four(t), "number": found(amount, r"^[0-9]+(?:\.[0-9]+)?$"), "year": found(t, r"(?<![0-9A-Za-z_])(?:19|20)[0-9]{2}(?![0-9A-Za-z_])")}
     whole |= {"gender": _named(F.regexp_replace(F.lower(t), f"[^{_LETTER}]", ""), GENDERS), "category": F.coalesce(_named(category, CATEGORIES), _named(F.replace(category, F.lit(" ")), CATEGORIES))}
-    whole |= {"longtext": F.left(t, F.lit(MOST_LONG_TEXT))}
-    value = F.left(t, F.lit(MOST_TEXT))
-    for name_of, own in whole.items():
-        value = F.when(kind == name_of, own).otherwise(value)
-    value = F.when(t != "", value)
-    return F.struct(value.alias("value"), value.isNotNull().alias("valid"))
+    return whole | {"longtext": F.left(t, F.lit(MOST_LONG_TEXT))}
+
+
+def _with_value(rows: DataFrame, kinds: set[str]) -> DataFrame:
+    """rows with _value, the value of their kind (_top.kind), for rules of the given kinds only.
+
+    Each kind has a column of its own, so that its expression stands once in the plan and is compiled; the value
+    passes through explode, as the optimizer would else repeat those expressions in every filter on it.
+    """
+    kind, text = F.col("_top.kind"), F.left("_trimmed", F.lit(MOST_TEXT))
+    own = {f"_as_{k}": (k, v) for k, v in _by_kind(F.col("_trimmed")).items() if k in kinds}
+    rows = rows.withColumn("_trimmed", N.trim(F.coalesce("value", F.lit(""))))
+    rows = rows.withColumns({c: F.when(kind == k, v) for c, (k, v) in own.items()})
+    plain = F.when(~kind.isin(*[k for k, _ in own.values()]), text) if own else text
+    value = F.when(F.col("_trimmed") != "", F.coalesce(*own, plain))
+    return rows.withColumn("_value", F.explode(F.array(value))).drop("_trimmed", *own)
 
 
 def review_reason(confidence: Column, valid: Column, high_risk: Column, ambiguous: Column) -> Column:
@@ -93,15 +118,15 @@ def review_reason(confidence: Column, valid: Column, high_risk: Column, ambiguou
     return F.when(ambiguous, "ambiguous_match").when(~valid, "format_invalid").when(high_risk, "high_risk_field").when(confidence < MEDIUM, "low_confidence").when(confidence < HIGH, "medium_confidence")
 
 
-def matched_lines(lines: DataFrame, rules: DataFrame) -> DataFrame:
+def matched_lines(lines: DataFrame, rules: DataFrame | list[Row]) -> DataFrame:
     """lines: (document_id, line_no, raw, label, value, document_type, ocr_confidence). Every line that a rule claims, as a field.
 
     A rule holds for documents of its document_types, or for all where that is null. The best rule claims a line, the
     first of equals; a second one as good makes it ambiguous. value is null where it was not understood.
     """
     rows = lines.withColumn("_label", plain_label(F.col("label"))).where("_label <> '' and value <> ''")
-    claims = []
-    for r in rules.orderBy("rule_no").collect():
+    claims, known = [], rule_rows(rules)
+    for r in known:
         score = label_score(F.col("_label"), r["labels"], r["negatives"])
         if r["document_types"] is not None:
             score = F.when(F.col("document_type").isin(*r["document_types"]), score).otherwise(0.0) if r["document_types"] else F.lit(0.0)
@@ -111,8 +136,7 @@ def matched_lines(lines: DataFrame, rules: DataFrame) -> DataFrame:
     rows = rows.withColumn("_claims", F.slice(F.array_sort(F.filter(F.array(*claims), lambda x: x["s"] < 0)), 1, 2)).where("size(_claims) > 0")
     top, next_one = F.get("_claims", F.lit(0)), F.get("_claims", F.lit(1))
     rows = rows.withColumns({"_top": top, "_ambiguous": F.coalesce(next_one["s"] - top["s"] < SAME, F.lit(False))})
-    # exploded, as the optimizer would else repeat the whole expression wherever it is named
-    rows = rows.withColumn("_value", F.explode(F.array(normalize_value(F.col("value"), F.col("_top.kind"))["value"]))).withColumn("_valid", F.col("_value").isNotNull())
+    rows = _with_value(rows, {r["kind"] for r in known}).withColumn("_valid", F.col("_value").isNotNull())
     bounded = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(c, F.lit(0.0))))
     sure = -F.col("_top.s") * bounded(F.col("ocr_confidence")) * F.when(F.col("_ambiguous"), AMBIGUOUS).otherwise(1.0) * F.when(F.col("_valid"), 1.0).otherwise(INVALID)
     rows = rows.withColumn("confidence", fixed3(bounded(sure)))
@@ -141,14 +165,15 @@ def sanitize(fields: DataFrame, forbidden: tuple[str, ...] = ("customer.aadhaar"
     return kept.withColumns({"value": value, "source_text": mask_identifiers(F.col("source_text"))}).where(N.trim(F.col("value")) != "")
 
 
-def extract_fields(lines: DataFrame, rules: DataFrame) -> DataFrame:
+def extract_fields(lines: DataFrame, rules: DataFrame | list[Row]) -> DataFrame:
     """One field of each key of a document (FIELDS): the most confident line, else an identifier found without a label.
 
     Identifiers are sought only for keys that some rule allows in the document's class. Empty tables give no rows.
     """
+    rules = rule_rows(rules)
     named = best_by_key(matched_lines(lines, rules).where("value is not null"))
     allowed = F.lit(False)
-    for r in rules.where(F.col("key").isin("customer.pan", "customer.aadhaar_last4")).collect():
+    for r in (r for r in rules if r["key"] in ("customer.pan", "customer.aadhaar_last4")):
         here = F.lit(True) if r["document_types"] is None else F.col("document_type").isin(*r["document_types"])
         allowed |= (F.col("key") == r["key"]) & here
     kinds = lines.groupBy("document_id").agg(F.first("document_type", ignorenulls=True).alias("document_type"))
@@ -157,7 +182,7 @@ def extract_fields(lines: DataFrame, rules: DataFrame) -> DataFrame:
     return sanitize(named.select(*FIELDS).unionByName(found.select(*FIELDS)))
 
 
-def warnings(lines: DataFrame, rules: DataFrame) -> DataFrame:
+def warnings(lines: DataFrame, rules: DataFrame | list[Row]) -> DataFrame:
     """(document_id, code, key): lines whose value was not understood."""
     return matched_lines(lines, rules).where("value is null").select("document_id", F.lit("VALUE_NOT_UNDERSTOOD").alias("code"), "key")
 

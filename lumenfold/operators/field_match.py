@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.normalize import WS, trim
 from ..functions.text import fixed3, normalize_label
+from ..sources.tables import constants
 
 # Words that mark a field as one that a person has to fill.
 CAPTCHA = ("captcha", "recaptcha", "hcaptcha", "h captcha", "turnstile", "funcaptcha", "arkose", "securimage", "image code", "code shown", "code in the image", "code from image", "text shown", "verification image", "i am not a robot", "not a robot", "कैप्चा", "चित्र में दिया कोड", "सुरक्षा कोड")
@@ -102,7 +103,7 @@ def dictionary_match(fields: DataFrame, entries: DataFrame) -> DataFrame:
     rows = fields.withColumns(texts).withColumns({"_label_words": tokens(F.col("_label")), "_attribute_words": tokens(F.col("_attributes")), "_own": F.concat_ws(" ", "_label", "_aria", "_placeholder", "_attributes")})
     clean = lambda c: F.transform(c, normalize_label)
     found = []
-    for e in entries.withColumns({c: clean(F.col(c)) for c in ("synonyms", "attributes", "negative")}).orderBy("entry_no").collect():
+    for e in sorted(constants(entries.withColumns({c: clean(F.col(c)) for c in ("synonyms", "attributes", "negative")})), key=lambda e: e["entry_no"]):
         score = _entry_score(e)
         found.append(F.when(score.isNotNull(), F.struct((-score).alias("s"), F.lit(e["entry_no"]).alias("n"), F.lit(e["customer_field"]).alias("field"), F.lit(e["transform"]).cast("string").alias("transform"))))
     if not found:
@@ -132,9 +133,9 @@ def adapter_match(fields: DataFrame, rules: DataFrame) -> DataFrame:
     """
     rows = fields.withColumns({"_hay": _plain(F.concat_ws(" ", *[F.nullif(F.col(c), F.lit("")) for c in ("name", "id", "label_text", "placeholder", "aria_label")])), "_name": _split_name(F.col("name")), "_id": _split_name(F.col("id"))})
     clean = lambda c: F.filter(F.transform(c, _plain), lambda x: x != "")
-    constants = rules.withColumns({"label_patterns": clean(F.col("label_patterns")), "negative_patterns": clean(F.col("negative_patterns")), "key": _split_name(F.col("key"))})
+    ready = rules.withColumns({"label_patterns": clean(F.col("label_patterns")), "negative_patterns": clean(F.col("negative_patterns")), "key": _split_name(F.col("key"))})
     found = []
-    for r in constants.orderBy("rule_no").collect():
+    for r in sorted(constants(ready), key=lambda r: r["rule_no"]):
         score = F.when((F.col("_hay") == "") | _has_any(F.col("_hay"), r["negative_patterns"] or []), F.lit(None).cast("int"))
         if r["selector"]:
             score = score.when(F.contains("signature", F.lit(r["selector"])), SELECTOR)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import url_pattern
+from ..sources.tables import constants
 
 # Adapters of which status win.
 STATUS_RANK = {"active": 3, "testing": 2, "draft": 1}
@@ -18,7 +19,7 @@ def select_adapters(pages: DataFrame, patterns: DataFrame) -> DataFrame:
     patterns become expressions of a projection, so pages are neither joined nor shuffled.
     """
     found = []
-    for r in patterns.collect():
+    for r in constants(patterns):
         if r["status"] in STATUS_RANK:
             length, wild = len(r["pattern"]), r["pattern"].count("*")
             hit = F.col("url").rlike(url_pattern(r["pattern"]))

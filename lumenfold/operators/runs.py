@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions.privacy import has_identifier, mask_identifiers
@@ -16,9 +16,9 @@ MOST_PASTED, LONGEST_LABEL, SURE_LABEL = 20_000, 60, extraction.EDGE
 NAME = "customer.full_name"
 
 
-def known_label(rules: DataFrame) -> Callable[[Column], Column]:
+def known_label(rules: DataFrame | list[Row]) -> Callable[[Column], Column]:
     """Whether a line by itself reads as a label of some rule."""
-    own = [(r["labels"], r["negatives"]) for r in rules.collect()]
+    own = [(r["labels"], r["negatives"]) for r in extraction.rule_rows(rules)]
 
     def known(c: Column) -> Column:
         scores = [extraction.label_score(extraction.plain_label(c), *o) >= SURE_LABEL for o in own]
@@ -45,7 +45,7 @@ def paired(rows: DataFrame, column: str, known: Callable[[Column], Column]) -> D
     return out.drop("_told", "_pairs")
 
 
-def _outcome(rows: DataFrame, lines: DataFrame, rules: DataFrame, fields: DataFrame) -> DataFrame:
+def _outcome(rows: DataFrame, lines: DataFrame, rules: list[Row], fields: DataFrame) -> DataFrame:
     """rows (document_id, early: warnings so far, wants_name, no_text, ...) with warnings, confidence and status; a document without text has no further warnings."""
     of_fields = fields.groupBy("document_id").agg(F.count("*").alias("_n"), fixed3(F.avg("confidence")).alias("confidence"), F.bool_or(F.col("key") == NAME).alias("_named"), F.bool_or(F.col("status") == "needs_review").alias("_doubt"))
     misread = extraction.matched_lines(lines, rules).where("value is null")
@@ -66,9 +66,8 @@ def pasted(texts: DataFrame, rules: DataFrame, allowed: list[str] | None = None)
     Every rule takes part, or those of the allowed keys; nothing was read off a page, so confidence is the label's own.
     Text beyond MOST_PASTED code points is not read, which a warning tells, as does one of a twelve-digit number.
     """
-    own = rules.withColumn("document_types", F.lit(None).cast("array<string>"))
-    if allowed is not None:
-        own = own.where(F.col("key").isin(allowed)) if allowed else own.limit(0)
+    rules = extraction.rule_rows(rules)
+    own = [Row(**(r.asDict() | {"document_types": None})) for r in rules if allowed is None or r["key"] in allowed]
     text = F.coalesce("text", F.lit(""))
     cut = texts.select("document_id", F.left(text, F.lit(MOST_PASTED)).alias("text"), (F.length(text) > MOST_PASTED).alias("_long"))
     cut = paired(cut.withColumn("_lines", pasted_lines(F.col("text"), None)), "_lines", known_label(rules))
@@ -76,7 +75,7 @@ def pasted(texts: DataFrame, rules: DataFrame, allowed: list[str] | None = None)
     fields = extraction.extract_fields(lines, own)
     empty = F.size("_lines") == 0
     early = F.array_compact(F.array(F.when(F.col("_long"), "TEXT_TRUNCATED"), F.when(has_identifier(F.col("text")), "AADHAAR_REMOVED"), F.when(empty, "NO_TEXT")))
-    wants = F.lit(bool(own.where(F.col("key") == NAME).head(1)))
+    wants = F.lit(any(r["key"] == NAME for r in own))
     rows = cut.select("document_id", F.size("_lines").alias("line_count"), early.alias("early"), wants.alias("wants_name"), empty.alias("no_text"))
     return fields, _outcome(rows, lines, own, fields).drop("document_status")
 
@@ -87,6 +86,7 @@ def extracted(stored: DataFrame, signals: DataFrame, rules: DataFrame, local: Ca
     local and remote read a text from content. A remote reader gets null, not the content, where the organisation has
     not agreed (ai_enabled is not true); the local one takes its place and a warning says so. raw_text has identifiers masked.
     """
+    rules = extraction.rule_rows(rules)
     agreed = F.coalesce("ai_enabled", F.lit(False))
     text = local(F.col("content"))
     if remote is not None:
@@ -97,7 +97,7 @@ def extracted(stored: DataFrame, signals: DataFrame, rules: DataFrame, local: Ca
     fields = extraction.extract_fields(lines, rules)
     early = F.array_compact(F.array(F.when(F.col("_kept_here"), "AI_PROCESSING_NOT_ENABLED"), F.when(F.col("document_type") == "unknown", "UNKNOWN_DOCUMENT_TYPE")))
     wants = F.lit(False)
-    for r in rules.where(F.col("key") == NAME).collect():
+    for r in (r for r in rules if r["key"] == NAME):
         wants |= F.lit(True) if r["document_types"] is None else F.col("document_type").isin(*r["document_types"])
     rows = typed.select("document_id", "document_type", F.col("confidence").alias("classification_confidence"), mask_identifiers(F.coalesce("text", F.lit(""))).alias("raw_text"), early.alias("early"), wants.alias("wants_name"), F.lit(False).alias("no_text"))
     return fields, _outcome(rows, lines, rules, fields)

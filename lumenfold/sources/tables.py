@@ -15,6 +15,18 @@ def values(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
+#: The most rows of a table of constants that becomes expressions of a plan.
+MOST_CONSTANTS = 10_000
+
+
+def constants(df: DataFrame, most: int = MOST_CONSTANTS) -> list:
+    """The rows of a table of constants, such as rules, in the driver; an error if there are more than `most`."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows of constants")
+    return rows
+
+
 def maybe_one(df: DataFrame):
     """The only row, or None; an error if there are two."""
     rows = df.limit(2).collect()

@@ -1,8 +1,11 @@
 """Field extraction and form fields: cases of single rules, nulls and empty tables."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
+from lumenfold.functions import normalize as N
 from lumenfold.operators import extraction as X
 from lumenfold.operators import field_match as M
 
@@ -134,3 +137,19 @@ def test_instructions_and_edits(spark):
     kept = spark.createDataFrame([(7, "a", "1", False), (7, "b", "1", False), (7, "c", "1", True), (7, "d", None, False)], "customer_id int, key string, value string, encrypted boolean")
     form = spark.createDataFrame([(7, "a", " 1 "), (7, "b", "2"), (7, "c", "1"), (7, "d", "  ")], "customer_id int, key string, value string")
     assert sorted((r.key, r.value) for r in M.edit_decisions(kept, form).collect()) == [("b", "2"), ("c", "1")]
+
+
+def test_constants_are_few(spark):
+    from lumenfold.sources.tables import constants
+
+    assert len(constants(spark.range(3), 3)) == 3
+    with pytest.raises(ValueError):
+        constants(spark.range(4), 3)
+
+
+def test_trim_as_patterns_do(spark):
+    cases = ["", " ", "﻿ a b 　", " x", "y \n", None, "​z", "é  "]
+    rows = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, c string")
+
+    plain = lambda c: None if c is None else re.sub("^[%s]+|[%s]+$" % (N.BLANKS, N.BLANKS), "", c)
+    assert [r.t for r in rows.select("i", N.trim(F.col("c")).alias("t")).orderBy("i").collect()] == [plain(c) for c in cases]
