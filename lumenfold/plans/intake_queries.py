@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import extraction, inputs, policies, runs
+from ..operators import extraction, form_fields, inputs, policies, runs
 from ..sources.tables import table, values
 from .catalogue import registered
 
@@ -126,3 +126,20 @@ def q_extraction_runs(spark, sf_dir):
     out = runs.extracted(stored, signals, values(spark, extraction.RULES, RUN_RULES), read, read)[1]
     said = F.array_join(F.transform("warnings", lambda w: F.concat_ws(":", w["code"], w["key"])), ";")
     return out.select("document_id", "document_type", "classification_confidence", "raw_text", "confidence", said.alias("warnings"), "status", "document_status")
+
+
+@registered("""
+WITH c AS (SELECT c_custkey AS page_id, c_name AS n, c_mktsegment AS m FROM customer)
+SELECT page_id, 0 AS field_order, 'full' AS name, 'input' AS tag_name, 'text' AS input_type, 'Name of customer' AS label_text, 'Customer ' || page_id AS section_heading, 'Customer ' || page_id || ' Name of customer Segment' AS nearby_text, '' AS options, true AS has_value, true AS visible, true AS required, 25 AS max_length FROM c
+UNION ALL SELECT page_id, 1, 'segment', 'select', 'select-one', 'Segment ' || m || ' Other', 'Customer ' || page_id, 'Segment', '=' || m || ';o=Other', page_id % 2 = 0, page_id % 3 <> 0, false, NULL FROM c
+UNION ALL SELECT page_id, 2, 'search', 'input', 'search', NULL, NULL, NULL, '', false, true, false, NULL FROM c WHERE page_id % 5 = 0
+""")
+def q_form_fields(spark, sf_dir):
+    """Fields of a form page for each customer, every fifth with a second frame."""
+    key = F.col("c_custkey")
+    html = F.concat(F.lit("<!DOCTYPE html><form><h2>Customer <i>"), key, F.lit('</i></h2> <label for="n">Name of\n customer</label> <input id="n" name="full" required maxlength="25" value="'), "c_name", F.lit('"> <label'), F.when(key % 3 == 0, ' style="display: none"').otherwise(""), F.lit('>Segment <select name="segment"><option value="">'), "c_mktsegment", F.lit(' <option value="o"'), F.when(key % 2 == 0, " selected").otherwise(""), F.lit('>Other</select></label><input type="hidden" name="h"></form>'))
+    frames = F.array_compact(F.array(html, F.when(key % 5 == 0, '<input type="Search" name="search"><input type="submit">')))
+    pages = table(spark, sf_dir, "customer").select(key.alias("page_id"), F.posexplode(frames).alias("frame", "html"))
+    options = F.array_join(F.transform("options", lambda o: F.concat_ws("=", o["value"], o["label"])), ";")
+    found = form_fields.detect_fields(pages)
+    return found.select("page_id", "field_order", "name", "tag_name", "input_type", "label_text", "section_heading", "nearby_text", F.coalesce(options, F.lit("")).alias("options"), "has_value", "visible", "required", "max_length")
