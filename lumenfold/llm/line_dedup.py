@@ -3,8 +3,7 @@
 A line is dropped when an earlier line, of the same or another document, is within one edit (insertion, deletion or
 substitution of a code point) of it; the earliest always stays. Lines are compared without the blanks around them;
 those of fewer than ``min_words`` words are never dropped and never cause a drop (1, the default: every line that is not
-blank takes part), and those of fewer than ``near_chars`` code points only as equal lines: one edit makes another word of a short
-line. Earlier means: smaller doc_id (null
+blank takes part, however short). Earlier means: smaller doc_id (null
 last), then the text's hash, then the line's number; rows with equal doc_id and text are one document.
 
 1. Equal lines form classes by a 128-bit hash; all but a class's first line go.
@@ -33,8 +32,6 @@ from .mixing import WORD
 from .work import scoped, table
 
 MIN_WORDS, SEGMENTS = 1, 8
-#: Five words have as many code points at least.
-NEAR_CHARS = 9
 #: Lines whose numbers are broadcast at most to the documents; beyond it the documents are joined by a shuffle.
 MOST_BROADCAST_LINES = 1_000_000
 
@@ -146,10 +143,10 @@ def _with_numbers(docs: DataFrame, lines: DataFrame, name: str) -> DataFrame:
 
 
 @scoped
-def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_chars: int = NEAR_CHARS) -> DataFrame:
+def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The lines of docs (doc_id, text) to drop: doc_id, thash (of the text), line_no."""
     lines = _lines(docs.select("doc_id", "text"), min_words)
-    lines = lines.select("doc_id", "thash", "line_no", F.xxhash64(F.lit(2), "line").alias("a"), F.xxhash64(F.lit(3), "line").alias("b"), F.when(F.char_length("line") >= near_chars, _half_keys()).alias("halves"))
+    lines = lines.select("doc_id", "thash", "line_no", F.xxhash64(F.lit(2), "line").alias("a"), F.xxhash64(F.lit(3), "line").alias("b"), _half_keys().alias("halves"))
     lines = table(lines)
     order = F.struct(*_line_columns())
     classes = lines.groupBy("a", "b").agg(F.min(order).alias("first"), F.count("*").alias("count"), F.first("halves").alias("halves"))
@@ -179,9 +176,9 @@ def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_chars: int
     return repeated.unionByName(changed).distinct()
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, near_chars: int = NEAR_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs (doc_id, text and any other columns) with text without its duplicate lines, n_lines and n_removed (columns of these names are replaced)."""
-    dropped = duplicate_lines(docs, min_words, near_chars)
+    dropped = duplicate_lines(docs, min_words)
     docs = docs.drop("n_lines", "n_removed")
     own = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.lit(1), "text").alias("thash"), "text")
     found = _with_numbers(own, dropped, "dropped")

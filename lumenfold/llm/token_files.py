@@ -167,13 +167,15 @@ def _lengths(texts: pa.Array) -> np.ndarray:
 
 
 def train_dictionary(docs: DataFrame, tokenizer_path: str, end_id: int) -> bytes:
-    """A zstandard dictionary from the ids of a bounded, fixed sample (SAMPLE_DOCS documents, SAMPLE_CHARS of each)."""
+    """A zstandard dictionary from the ids of a bounded, fixed sample (SAMPLE_DOCS documents, a window of SAMPLE_CHARS of each)."""
     import zstandard
 
     h = F.xxhash64(F.lit(3), "doc_id")
     chosen = docs.select(h.alias("h")).distinct().orderBy("h").limit(SAMPLE_DOCS)
     last = chosen.agg(F.max("h")).head()[0]  # the numbers alone decide; texts are then read of the chosen ones only
-    chosen = docs.where(h <= F.lit(last)).select(h.alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    # anywhere in the text
+    window = F.pmod(F.xxhash64(F.lit(4), "doc_id"), F.greatest(F.char_length("text") - SAMPLE_CHARS, F.lit(0)) + 1).cast("int") + 1
+    chosen = docs.where(h <= F.lit(last)).select(h.alias("h"), F.substring("text", window, F.lit(SAMPLE_CHARS)).alias("text"))
     sample = chosen.groupBy("h").agg(F.min("text").alias("text")).orderBy("h")
     end = np.array([end_id], "<u4").tobytes()
     serialized = [x + end for x in Encoder(tokenizer_path, literal=False).encode([r.text for r in sample.collect()])]

@@ -9,8 +9,7 @@ The last fold calibrates the trees' output.
 Learning uses at most ``SAMPLE_ROWS`` labelled rows (those of least hash); the lexicon holds every word of theirs that
 marks label 1. All else covers every row.
 
-Defined results: columns named score, held_out and predicted are replaced; a text of more than a megabyte is read in
-pieces cut at blanks, and nearness does not reach over a cut; a null or empty text has all features 0 and gets the score of that; labels that are null or
+Defined results: columns named score, held_out and predicted are replaced; a null or empty text has all features 0 and gets the score of that; labels that are null or
 without a document are ignored, of several labels for one id the largest holds; with no labelled rows, or only one
 class, every score is the share of label 1 among them (0 without rows).
 """
@@ -98,7 +97,7 @@ def features(texts: list, lexicon: Lexicon) -> np.ndarray:
     out = np.zeros((len(texts), len(FEATURES)))
     for start, parts in hashing.batches(texts):
         if len(parts) == 1 and len(parts[0]) > hashing.BATCH_BYTES:
-            sums = sum(_sums([piece], lexicon) for piece in hashing.pieces(parts[0]))
+            sums = _long_sums(parts[0], lexicon)
         else:
             sums = _sums(parts, lexicon)
         out[start : start + len(parts)] = _rates(sums)
@@ -142,6 +141,24 @@ def _sums(parts: list[bytes], lexicon: Lexicon) -> np.ndarray:
     return np.stack([np.bincount(owner, minlength=n), _sum(_LETTER[data], text_of, n), np.diff(at) - 1, *of_words, *of_bytes, _sum(inner, text_of[1:-1], n), open_hits], 1)
 
 
+#: What _sums counts over several words.
+_OVER_WORDS = [8, 10]
+
+
+def _long_sums(part: bytes, lexicon: Lexicon) -> np.ndarray:
+    """_sums of one long text, taken in pieces. What a cut between words hides is counted again over the words around it."""
+    total, before, reach = np.zeros(1), None, 2 * NEAR
+    for piece in hashing.pieces(part):
+        total = total + _sums([piece], lexicon)
+        starts, ends = _runs(_LETTER[np.frombuffer(piece, np.uint8)])
+        if before is not None:
+            after = piece[: ends[reach - 1]] if len(ends) >= reach else piece
+            seam = _sums([before + after], lexicon) - _sums([before], lexicon) - _sums([after], lexicon)
+            total[:, _OVER_WORDS] += seam[:, _OVER_WORDS]
+        before = piece[starts[-reach] :] if len(starts) >= reach else (before or b"") + piece
+    return total
+
+
 def _rates(sums: np.ndarray) -> np.ndarray:
     """FEATURES from _sums."""
     words, letters, chars, hits, odds, starts, start_odds, you, near, shouted, spelled, capitals, marks, punctuation, inner, open_hits = sums.T

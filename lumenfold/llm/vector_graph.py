@@ -26,6 +26,8 @@ from .work import scoped, table
 
 SHARD_NODES, DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA = 4096, 32, 64, 96, 1.2
 QUERY_BLOCK = 1024
+#: Edges back to one node that are pruned at once; all are, in rounds.
+BACK_EDGES = 64
 
 
 def _distances(points: np.ndarray, rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
@@ -115,10 +117,12 @@ def build_graph(points: np.ndarray, seed: int = 0) -> tuple[np.ndarray, int]:
         source, target = source[order], target[order]
         nodes, first, count = np.unique(target, return_index=True, return_counts=True)
         place = np.arange(len(target)) - np.repeat(first, count)
-        added = np.full((len(nodes), max(1, min(int(count.max(initial=1)), 64))), -1)
-        ok = place < added.shape[1]
-        added[np.repeat(np.arange(len(nodes)), count)[ok], place[ok]] = source[ok]
-        graph[nodes] = robust_prune(points, nodes, np.concatenate([graph[nodes], added], 1), degree, ALPHA)
+        for low in range(0, int(count.max(initial=0)), BACK_EDGES):
+            more = count > low
+            ok = (place >= low) & (place < low + BACK_EDGES)
+            added = np.full((int(more.sum()), BACK_EDGES), -1)
+            added[np.repeat(np.cumsum(more) - 1, count)[ok], place[ok] - low] = source[ok]
+            graph[nodes[more]] = robust_prune(points, nodes[more], np.concatenate([graph[nodes[more]], added], 1), degree, ALPHA)
     return graph, entry
 
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpus_pipeline import STAGES
-from lumenfold.llm import fingerprints, jaccard_join, line_dedup, lm_scoring, mixing, sentencepiece_scan, token_files, toxicity, vector_graph
+from lumenfold.llm import fingerprints, hashing, jaccard_join, line_dedup, lm_scoring, mixing, sentencepiece_scan, token_files, toxicity, vector_graph
 from lumenfold.llm.queries import queries, tokenizer_path
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -172,6 +172,30 @@ def test_graph_shards(spark):
     assert hit / 300 >= 0.9
 
 
+@pytest.mark.parametrize("dim", [128, 256])
+def test_recall_of_a_whole_shard(dim):
+    rng = np.random.default_rng(dim)
+    points = rng.normal(size=(vector_graph.SHARD_NODES, dim)).astype(np.float32)
+    graph, entry = vector_graph.build_graph(points)
+    own = np.arange(0, len(points), 64)
+    found, _ = vector_graph.beam_search(points, graph, entry, points[own], vector_graph.SEARCH_BEAM)
+    far = ((points[None, :, :] - points[own][:, None, :]) ** 2).sum(2) if dim < 200 else np.stack([((points - points[i]) ** 2).sum(1) for i in own])
+    far[np.arange(len(own)), own] = np.inf
+    best = np.argsort(far, 1)[:, :10]
+    found = [[x for x in row if x != i][:10] for i, row in zip(own, found.tolist(), strict=True)]
+    assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(best.tolist(), found, strict=True)]) >= 0.9
+
+
+def test_back_edges_beyond_one_round_are_pruned_in(monkeypatch):
+    points = np.random.default_rng(1).normal(size=(600, 8)).astype(np.float32)
+    points[0] = 0
+    monkeypatch.setattr(vector_graph, "BACK_EDGES", 7)
+    graph, entry = vector_graph.build_graph(points)
+    found, _ = vector_graph.beam_search(points, graph, entry, points, 96)
+    best = np.argsort(((points[None] - points[:, None]) ** 2).sum(2), 1)[:, :10]
+    assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(best.tolist(), found[:, :10].tolist(), strict=True)]) >= 0.97
+
+
 def test_fingerprints(spark, sf, docs):
     rows = {r.doc_id: r for r in queries()["op6_fingerprints"](spark, sf).collect()}
     order = sorted(docs, reverse=True)
@@ -295,13 +319,12 @@ def within_one(a, b):
     return a[i + (len(a) == len(b)) :] == b[i + 1 :]
 
 
-def brute_lines(docs, min_words=1, near_chars=9):
+def brute_lines(docs, min_words=1):
     lines = [(d, i, x.strip(" \t\r\v\f")) for d, t in sorted(docs, key=lambda r: r[0]) for i, x in enumerate((t or "").split("\n"))]
     lines = [x for x in lines if len(WORD.findall(x[2])) >= min_words]
     seen, dropped = defaultdict(set), defaultdict(set)
     for d, i, x in lines:
-        near = [n for n in (len(x) - 1, len(x), len(x) + 1) if min(n, len(x)) >= near_chars]
-        if x in seen[len(x)] or any(within_one(x, y) for n in near for y in seen[n]):
+        if x in seen[len(x)] or any(within_one(x, y) for n in (len(x) - 1, len(x), len(x) + 1) for y in seen[n]):
             dropped[d].add(i)
         seen[len(x)].add(x)
     return {d: None if t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in dropped[d]) for d, t in docs}
@@ -321,15 +344,47 @@ def test_line_dedup(spark, docs):
     assert {d: (got[d], want[d]) for d in want if got[d] != want[d]} == {}
 
 
+def test_line_dedup_of_lines_of_any_length(spark):
+    rng = np.random.default_rng(6)
+    line = lambda n: "".join(rng.choice(list("abcé 😀"), n))
+    own = [(i, "\n".join(line(int(rng.integers(0, 12))) for _ in range(4))) for i in range(60)]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(own, "doc_id bigint, text string")).collect()}
+    assert got == brute_lines(own)
+
+
 def test_line_dedup_takes_short_lines(spark, tmp_path):
     own = [(1, "ok\n\nAll rights reserved.\n本製品は無断で複製することを禁じます"), (2, "All rights reserved.\n\nno\n本製品は無断で複製する事を禁じます\n本製品は無断で複製することを禁じまし"), (3, " ok \nAll right reserved.\noj")]
     spark.createDataFrame(own, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r.text for r in queries()["op10_line_dedup"](spark, str(tmp_path)).collect()}
-    assert got == {1: own[0][1], 2: "\nno\n本製品は無断で複製する事を禁じます", 3: "oj"}
+    assert got == {1: own[0][1], 2: "\nno\n本製品は無断で複製する事を禁じます", 3: ""}
     docs = spark.createDataFrame([(*r, None, None, None) for r in own], DOCS)
     assert {r.doc_id: r.text for r in dict(STAGES)["line_dedup"](spark, docs, "").collect()} == got
 
 
+def test_features_of_a_long_text_do_not_depend_on_cuts(monkeypatch):
+    rng = np.random.default_rng(4)
+    words = ["you", "vile", "w", "x", "PLAIN", "v1le", "deine", "12345", "...", "ünder"]
+    text = " ".join(rng.choice(words, 40_000)) + " " + "7 " * 5000 + "vile " + "8 " * 3000 + "you w x y z"
+    lowered = toxicity._letter_words(*(lambda p: (p[0], p[3]))(hashing.spans([b"vile"])))[0]
+    lex = toxicity.Lexicon(lowered, np.array([2.5]))
+    whole = toxicity.features([text], lex)
+    monkeypatch.setattr(hashing, "BATCH_BYTES", 4096)
+    monkeypatch.setattr(hashing.pieces, "__defaults__", (4096,))
+    cut = toxicity.features([text], lex)
+    assert np.allclose(whole, cut) and whole[0][toxicity.FEATURES.index("near_second_person")] > 0 and whole[0][toxicity.FEATURES.index("spelled_out")] > 0
+
+
+def test_toxicity_feature_values():
+    """Some values by hand: hits, nearness, capitals, marks, inner marks, disguise and spelling."""
+    lowered = toxicity._letter_words(*(lambda p: (p[0], p[3]))(hashing.spans([b"vile"])))[0]
+    lex = toxicity.Lexicon(lowered, np.array([2.0]))
+    row = dict(zip(toxicity.FEATURES, toxicity.features(["You VILE one! v1le f.o.o a b c d vile"], lex)[0], strict=True))
+    # letter words: You VILE one v le f o o a b c d vile
+    assert row["lexicon_density"] == pytest.approx(2 / 13) and row["lexicon_mean"] == pytest.approx(4 / 13) and row["lexicon_hits"] == pytest.approx(np.log1p(2))
+    assert row["second_person"] == pytest.approx(1 / 13) and row["near_second_person"] == pytest.approx(1 / 13) and row["shouted"] == pytest.approx(1 / 13)
+    assert row["disguised"] == pytest.approx(1 / 13) and row["obfuscated"] == pytest.approx(3 / 13) and row["spelled_out"] == pytest.approx(5 / 13) and row["words"] == pytest.approx(np.log1p(13))
+
+
 def test_toxicity_features():
     lex = toxicity.Lexicon(np.zeros(0, np.uint64), np.zeros(0))
     out = toxicity.features(["", None, "You are GREAT!! f.o.o", "a b c d"], lex)
