@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .json_text import let, parsed, quote
 from .normalize import WS, digits, last_four, trim
 
 BULLET = "•"
@@ -90,42 +88,57 @@ def has_identifier(c: Column) -> Column:
     return c.rlike(rf"(?<![0-9])[0-9]{{4}}{_SEP}[0-9]{{4}}{_SEP}[0-9]{{4}}(?![0-9])")
 
 
-def _redacted(value, depth: int):
-    import re
+_SENSITIVE = "(?i)" + "|".join(SENSITIVE)
 
-    if isinstance(value, str):
-        for pattern, label in SCRUBS:
-            value = re.sub(pattern, label, value)
-        return value if len(value) <= MOST_CHARS else f"{value[:MOST_CHARS]}…[+{len(value) - MOST_CHARS}]"
-    if value is None or isinstance(value, (bool, int, float)):
-        return value
-    if depth >= MOST_DEPTH:
-        return "[redacted:depth]"
-    if isinstance(value, list):
-        more = [f"[+{len(value) - MOST_ITEMS} more]"] if len(value) > MOST_ITEMS else []
-        return [_redacted(x, depth + 1) for x in value[:MOST_ITEMS]] + more
-    sensitive = lambda k: k not in KEPT and any(s in k.lower() for s in SENSITIVE)
-    return {k: _described(x) if sensitive(k) else _redacted(x, depth + 1) for k, x in value.items()}
 
+def _kind(value: Column) -> Column:
+    """What a variant is: OBJECT, ARRAY, STRING, BOOLEAN, VOID, else a number."""
+    return F.regexp_extract(F.coalesce(F.schema_of_variant(value), F.lit("VOID")), "^[A-Z]+", 0)
 
-def _described(value) -> str:
-    kind = "null" if value is None else "boolean" if isinstance(value, bool) else "number" if isinstance(value, (int, float)) else f"string:{len(value)}" if isinstance(value, str) else f"array:{len(value)}" if isinstance(value, list) else "object"
-    return f"[redacted:{kind}]"
 
+def _described(kind: Column, raw: Column) -> Column:
+    words = {"VOID": F.lit("null"), "BOOLEAN": F.lit("boolean"), "STRING": F.concat(F.lit("string:"), F.length(raw)), "ARRAY": F.concat(F.lit("array:"), F.json_array_length(raw)), "OBJECT": F.lit("object")}
+    found = F.coalesce(*[F.when(kind == k, v) for k, v in words.items()], F.lit("number"))
+    return F.concat(F.lit('"[redacted:'), found, F.lit(']"'))
 
-def redact_json(c: Column) -> Column:
-    """JSON text with sensitive members described and strings scrubbed; null where it is no JSON."""
 
-    def one(text):
-        try:
-            return None if text is None else json.dumps(_redacted(json.loads(text), 0), ensure_ascii=False, separators=(",", ":"))
-        except ValueError:
-            return None
+def _redacted(value: Column, raw: Column, depth: int) -> Column:
+    """JSON text of a variant without secrets; raw: a string itself, of all else the JSON text."""
+
+    def whole(s: Column) -> Column:
+        kind, raw, value = s["kind"], s["raw"], s["value"]
+        leaf = F.when(kind == "STRING", quote(scrub(raw))).when(kind == "VOID", "null").otherwise(F.to_json(value))
+        nested = kind.isin("OBJECT", "ARRAY")
+        if depth == MOST_DEPTH:
+            return F.when(nested, '"[redacted:depth]"').otherwise(leaf)
+        pair = lambda name, text, item: F.struct(name.alias("name"), text.alias("raw"), item.alias("value"))
+        named = F.zip_with(F.map_entries(F.from_json(raw, "map<string,string>")), F.map_values(F.from_json(raw, "map<string,variant>")), lambda e, v: pair(e["key"], e["value"], v))
+        items = F.zip_with(F.slice(F.from_json(raw, "array<string>"), 1, MOST_ITEMS), F.slice(F.from_json(raw, "array<variant>"), 1, MOST_ITEMS), lambda t, v: pair(F.lit(None).cast("string"), t, v))
+        more = F.json_array_length(raw) - MOST_ITEMS
+
+        def one(x: Column) -> Column:
+            hidden = x["name"].rlike(_SENSITIVE) & ~x["name"].isin(*KEPT)
+            text = F.when(hidden, _described(_kind(x["value"]), x["raw"])).otherwise(_redacted(x["value"], x["raw"], depth + 1))
+            return F.concat(F.when(x["name"].isNull(), "").otherwise(F.concat(quote(x["name"]), F.lit(":"))), text)
 
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(one)
+        def joined(texts: Column) -> Column:
+            list_ = F.concat(texts, F.when(more > 0, F.array(F.concat(F.lit('"[+'), more, F.lit(' more]"')))).otherwise(F.array().cast("array<string>")))
+            return F.when(kind == "OBJECT", F.concat(F.lit("{"), F.array_join(texts, ","), F.lit("}"))).otherwise(F.concat(F.lit("["), F.array_join(list_, ","), F.lit("]")))
 
-    return F.pandas_udf(run, "string")(c)
+        return F.when(nested, let(F.transform(F.when(kind == "OBJECT", named).otherwise(items), one), joined)).otherwise(leaf)
+
+    return let(F.struct(_kind(value).alias("kind"), raw.alias("raw"), value.alias("value")), whole)
+
+
+def redact_json(c: Column) -> Column:
+    """JSON text with sensitive members described and strings scrubbed, below MOST_DEPTH levels cut off; null where it is no JSON.
+
+    Members keep their order. Nothing recurses with the text: what nests deeper than Spark reads JSON, or names a member
+    twice, or has more after it, is no JSON. Numbers are written as Spark writes them; a lone surrogate becomes a question mark.
+    """
+    value = parsed(c)
+    text = F.when(_kind(value) == "STRING", F.try_variant_get(value, "$", "string")).otherwise(c)
+    return F.when(value.isNotNull(), _redacted(value, text, 0))
 
 
 def sha256(c: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import url_pattern
+from ..sources.stored import dropped, stored
 from ..sources.tables import constants
 
 # Adapters of which status win.
@@ -31,20 +32,71 @@ def select_adapters(pages: DataFrame, patterns: DataFrame) -> DataFrame:
     return pages.select("page_id", "url", best.alias("b")).where("b is not null").select("page_id", F.col("b.slug").alias("slug"), (-F.col("b.p")).alias("specificity"))
 
 
+def _jumped(chain: DataFrame) -> DataFrame:
+    """chain: (slug, key, at, steps, root), at being the node that steps lead to, null beyond the root. One doubling: every pointer follows that of the node it points at."""
+    ahead = chain.select("slug", F.col("key").alias("at"), F.col("at").alias("_at"), F.col("steps").alias("_steps"), F.col("root").alias("_root"))
+    going = chain.where("at is not null").join(ahead, ["slug", "at"])
+    going = going.select("slug", "key", F.col("_at").alias("at"), (F.col("steps") + F.col("_steps")).alias("steps"), F.col("_root").alias("root"))
+    return chain.where("at is null").unionByName(going)
+
+
+def _walked(parents: DataFrame, most: int) -> DataFrame:
+    """parents: (slug, key, up: an existing key or null). (slug, key, at, steps, root): the steps to the root, or with at the node after at least `most` steps, where there is none.
+
+    Pointers double their reach in each round, so a chain of n fields takes the logarithm of n rounds, each an
+    equi-join of the fields with themselves; a field that many depend on is one row on one side.
+    """
+    one = F.when(F.col("up").isNull(), 0).otherwise(1).cast("long")
+    chain, reach = stored(parents.select("slug", "key", F.col("up").alias("at"), one.alias("steps"), F.when(F.col("up").isNull(), F.col("key")).alias("root"))), 1
+    while reach < most and not chain.where("at is not null").isEmpty():
+        before, chain, reach = chain, stored(_jumped(chain)), 2 * reach
+        dropped(before)
+    return chain
+
+
 def dependency_depths(fields: DataFrame) -> DataFrame:
-    """fields: (slug, key, depends_on). Adds depth in the chain of dependencies; a missing or cyclic parent ends the chain.
+    """fields: (slug, key, depends_on). (slug, key, depth): how many fields each one depends on, one after the other.
 
-    Chains are short: each round joins the fields that still have a parent, until none is left or all that are left are cyclic.
+    A parent that is missing ends the chain. Fields that depend on each other in a cycle have all others of the cycle
+    before them, and those that lead into a cycle come after all of it. Of several rows with one slug and key the greatest
+    depends_on holds. Chains may be of any length; slugs may be null.
     """
-    spark = fields.sparkSession
-    rows = fields.select("slug", "key", "depends_on")
-    parents = rows.select("slug", F.col("key").alias("p"), F.col("depends_on").alias("pp"))
-    rows.createOrReplaceTempView("_fields")
-    parents.createOrReplaceTempView("_parents")
-    return spark.sql("""
-        WITH RECURSIVE chain(slug, key, at, seen, depth) AS (
-          SELECT slug, key, depends_on, array(key), 0 FROM _fields
-          UNION ALL
-          SELECT c.slug, c.key, p.pp, concat(c.seen, array(p.p)), c.depth + 1
-          FROM chain c JOIN _parents p ON c.slug = p.slug AND c.at = p.p WHERE NOT array_contains(c.seen, p.p)
-        ) SELECT slug, key, max(depth) AS depth FROM chain GROUP BY slug, key""")
+    slug = F.coalesce("slug", F.lit(""))
+    rows = fields.groupBy("slug", "key").agg(F.max("depends_on").alias("up")).where("key is not null")
+    rows = rows.select(F.struct(F.isnull("slug").alias("none"), slug.alias("slug")).alias("slug"), "key", "up")
+    known = rows.select("slug", F.col("key").alias("up"), F.lit(True).alias("known"))
+    parents = stored(rows.join(known, ["slug", "up"], "left").select("slug", "key", F.when(F.col("known"), F.col("up")).alias("up")))
+    most = parents.groupBy("slug").count().agg(F.max("count")).head()[0] or 1
+    chain = _walked(parents, most)
+    depths, made = chain.where("at is null").select("slug", "key", "steps"), [parents, chain]
+    if not chain.where("at is not null").isEmpty():
+        # after as many steps as there are fields every pointer stands on a cycle, and every field of one is pointed at
+        rings = stored(chain.where("at is not null").select("slug", F.col("at").alias("key")).distinct())
+        open_ = parents.join(chain.where("at is not null").select("slug", "key"), ["slug", "key"])
+        # a ring is cut before its least field: that field is as many steps from the root as the ring has others
+        least = _ring_least(parents.join(rings, ["slug", "key"]), most)
+        size = least.groupBy("slug", "least").agg(F.count("*").alias("size"))
+        sizes = stored(least.join(size, ["slug", "least"]).select("slug", "key", "size"))
+        # from outside, the chain leads to its first field on the ring
+        cut = open_.join(sizes, ["slug", "key"], "left").select("slug", "key", F.when(F.col("size").isNull(), F.col("up")).alias("up"))
+        outside = _walked(cut, most + 1)
+        ended = outside.select("slug", "key", "root", F.col("steps").alias("s")).join(sizes.select("slug", F.col("key").alias("root"), "size"), ["slug", "root"])
+        depths = depths.unionByName(ended.select("slug", "key", (F.col("s") + F.col("size") - 1).alias("steps")))
+        made += [rings, least, sizes, outside]
+    found = stored(depths.select(F.when(~F.col("slug.none"), F.col("slug.slug")).alias("slug"), "key", F.col("steps").cast("int").alias("depth")))
+    dropped(*made)
+    return found
+
+
+def _ring_least(ring: DataFrame, most: int) -> DataFrame:
+    """ring: (slug, key, up) of fields on cycles. (slug, key, least): the least field of each one's cycle."""
+    chain, reach = stored(ring.select("slug", "key", F.col("up").alias("at"), F.least("key", "up").alias("least"))), 1
+    while reach < most:
+        ahead = chain.select("slug", F.col("key").alias("at"), F.col("at").alias("_at"), F.col("least").alias("_least"))
+        before, chain = chain, stored(chain.join(ahead, ["slug", "at"]).select("slug", "key", F.col("_at").alias("at"), F.least("least", "_least").alias("least")))
+        done = chain.select("slug", "key", "least").exceptAll(before.select("slug", "key", "least")).isEmpty()
+        dropped(before)
+        reach *= 2
+        if done:
+            break
+    return chain

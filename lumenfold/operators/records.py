@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.json_text import quote, with_values
 from ..functions.normalize import trim
 from ..functions.privacy import redact_json
 
@@ -37,12 +38,17 @@ def patched(profiles: DataFrame, changes: DataFrame, columns: list[str]) -> Data
 
 
 def json_patched(profiles: DataFrame, changes: DataFrame, column: str) -> DataFrame:
-    """profiles with one-level members of a JSON column set by routed() changes; members that no change names stay."""
-    to_map = lambda c: F.from_json(c, "map<string,string>")
-    news = changes.where(f"patch = 'json' and target = '{column}'").groupBy("customer_id").agg(F.map_from_entries(F.collect_list(F.struct("path", "value"))).alias("_new"))
+    """profiles with members of a JSON column set by routed() changes at dotted paths of any length.
+
+    Changes are made in the order of their keys, those of one key in that of their values. Members that no change names
+    keep their bytes; a column that no change names stays as it is; one that is no JSON object counts as an empty one.
+    """
+    own = changes.where((F.col("patch") == "json") & (F.col("target") == column)).select("customer_id", "key", F.split("path", r"\.").alias("path"), quote(F.col("value")).alias("raw"))
+    levels = own.agg(F.max(F.size("path"))).head()[0] or 1
+    # as many as the registry has fields
+    news = own.groupBy("customer_id").agg(F.array_sort(F.collect_list(F.struct("key", "path", "raw"))).alias("_new"))
     rows = profiles.join(news, "customer_id", "left")
-    kept = F.map_filter(F.coalesce(to_map(F.col(column)), F.create_map().cast("map<string,string>")), lambda k, _: ~F.map_contains_key("_new", k))
-    return rows.withColumn(column, F.when(F.col("_new").isNull(), F.col(column)).otherwise(F.to_json(F.map_concat(kept, F.col("_new"))))).drop("_new")
+    return rows.withColumn(column, F.when(F.col("_new").isNull(), F.col(column)).otherwise(with_values(F.col(column), F.col("_new"), levels))).drop("_new")
 
 
 def provenance(decisions: DataFrame, encrypted: list[str], seal, masks: dict[str, object], user: str) -> DataFrame:

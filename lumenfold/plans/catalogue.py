@@ -429,17 +429,21 @@ def q_url_match(spark, sf_dir):
     return forms.select_adapters(table(spark, sf_dir, "pages").select("page_id", "url"), values(spark, "slug string, status string, pattern string", PATTERNS))
 
 
-FIELDS = [("a", "state", None), ("a", "district", "state"), ("a", "block", "district"), ("a", "village", "block"), ("a", "x", "missing"), ("b", "p", "q"), ("b", "q", "p"), ("b", "r", "p")]
+# Fields made of parts: two forms with one long chain each, one of rings of seven with fields that lead into them.
+_DEPENDS = "CASE WHEN p_partkey % 3 < 2 THEN p_partkey - 3 WHEN p_partkey % 5 = 0 THEN p_partkey + 3 WHEN (p_partkey // 3) % 7 = 6 THEN p_partkey - 18 ELSE p_partkey + 3 END"
 
 
 @registered(f"""
-WITH RECURSIVE f(slug, key, dep) AS ({_rows(FIELDS)}), c(slug, key, up, seen, depth) AS (
-SELECT slug, key, dep, [key], 0 FROM f UNION ALL SELECT c.slug, c.key, f.dep, c.seen || [f.key], c.depth + 1 FROM c JOIN f ON c.slug = f.slug AND c.up = f.key WHERE NOT list_contains(c.seen, f.key))
-SELECT slug, key, CAST(max(depth) AS INT) AS depth FROM c GROUP BY ALL
+WITH RECURSIVE f AS (SELECT p_partkey % 3 AS form, p_partkey AS key, {_DEPENDS} AS dep FROM part),
+down(form, key, depth) AS (SELECT form, key, 0 FROM f WHERE form < 2 AND dep NOT IN (SELECT key FROM f) UNION ALL SELECT f.form, f.key, d.depth + 1 FROM down d JOIN f ON f.form = d.form AND f.dep = d.key),
+up(form, key, above, seen) AS (SELECT form, key, dep, [key] FROM f WHERE form = 2 UNION ALL SELECT u.form, u.key, f.dep, u.seen || [f.key] FROM up u JOIN f ON f.form = 2 AND f.key = u.above WHERE NOT list_contains(u.seen, f.key))
+SELECT CAST(form AS VARCHAR) AS slug, key, CAST(depth AS INT) AS depth FROM down UNION ALL SELECT CAST(form AS VARCHAR), key, CAST(max(len(seen)) - 1 AS INT) FROM up GROUP BY ALL
 """)
 def q_dep_depth(spark, sf_dir):
     """Depth of form fields in their chains of dependencies."""
-    return forms.dependency_depths(values(spark, "slug string, key string, depends_on string", FIELDS))
+    key = F.col("p_partkey")
+    fields = table(spark, sf_dir, "part").select((key % 3).cast("string").alias("slug"), key.alias("key"), F.expr(_DEPENDS.replace("//", "div")).alias("depends_on"))
+    return forms.dependency_depths(fields)
 
 
 @registered("SELECT event_id, v AS violation FROM (SELECT event_id, unnest(list_filter([CASE WHEN value < 10 THEN 'least_value' END, CASE WHEN event_type = 'error' AND value > 50 THEN 'error_value' END], lambda x: x IS NOT NULL)) AS v FROM events)")
@@ -462,10 +466,21 @@ def q_customer_search(spark, sf_dir):
     return search.search(rows, "Customer 000000012").select("id", "full_name", "rank")
 
 
-@registered()
+_KEPT_LIST = "list_transform(range(0, least(20, event_id % 30)), lambda x: CAST(x AS VARCHAR))"
+
+
+@registered(f"""
+SELECT event_id, CASE WHEN event_id % 50 = 7 THEN NULL ELSE '{{"event":' || event_id || ',"props":' || replace(props, ' ', '') || ',"user_email":"[redacted:string:' || length('u' || user_id || '@example.test') || ']","note":"' || CASE event_id % 3 WHEN 0 THEN 'call [redacted:mobile] "now"' WHEN 1 THEN 'id [redacted:id12] and [redacted:pan]' ELSE 'mail [redacted:email] to [redacted:digits]' END ||
+  '","list":[' || array_to_string({_KEPT_LIST}, ',') || CASE WHEN event_id % 30 > 20 THEN ',"[+' || (event_id % 30 - 20) || ' more]"' ELSE '' END || '],"tokens":"[redacted:array:2]","sessionId":null,"a":{{"b":{{"c":{{"d":{{"e":{{"f":"[redacted:depth]"}}}}}}}}}}}}' END AS props FROM events
+""".replace('"now"', '\\"now\\"'))
 def q_redact_json(spark, sf_dir):
-    """Event properties with sensitive members described."""
-    return table(spark, sf_dir, "events").select("event_id", P.redact_json(F.col("props")).alias("props"))
+    """JSON made of events with sensitive members described, strings scrubbed, long lists and deep members cut."""
+    key, user = F.col("event_id"), F.col("user_id").cast("string")
+    note = F.when(key % 3 == 0, 'call 98765 43210 \\"now\\"'.replace(" 43", "43")).when(key % 3 == 1, "id 1234 5678 9012 and ABCDE1234F").otherwise("mail a.b@example.test to 123456789")
+    items = F.when(key % 30 == 0, F.array().cast("array<string>")).otherwise(F.sequence(F.lit(0), (key % 30 - 1).cast("int")).cast("array<string>"))
+    text = F.concat(F.lit('{"event": '), key, F.lit(', "props": '), "props", F.lit(', "user_email": "u'), user, F.lit('@example.test", "note": "'), note, F.lit('", "list": ['), F.array_join(items, ", "), F.lit('], "tokens": [1, 2], "sessionId": null, "a": {"b": {"c": {"d": {"e": {"f": ['), user, F.lit("]}}}}}}"))
+    text = F.when(key % 50 == 7, F.concat("props", F.lit("}"))).otherwise(text)
+    return table(spark, sf_dir, "events").select("event_id", P.redact_json(text).alias("props"))
 
 
 @registered("SELECT c_custkey, c_name AS opened, true AS sealed_differs, true AS wrong_context FROM customer")

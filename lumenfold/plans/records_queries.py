@@ -115,18 +115,25 @@ def q_page_total(spark, sf_dir):
     return page_with_total(rows.select("c_custkey", "c_name", "c_acctbal"), F.desc("c_acctbal"), F.asc("c_custkey"), limit=10, offset=5).select("c_custkey", "c_name", "total", "has_more")
 
 
-@registered("""
-SELECT c_custkey AS customer_id, c_name AS full_name, CASE WHEN c_custkey % 4 = 0 THEN 'x' ELSE c_mktsegment END AS segment, CASE WHEN c_custkey % 3 = 0 THEN 'new' ELSE 'D' || c_nationkey END AS district, 'keep' AS state FROM customer
+_PROFILE = """'{"age": ' || (c_custkey % 90) || ', "balance": ' || (c_custkey % 7) || '.50, "ok": ' || CASE WHEN c_custkey % 2 = 0 THEN 'true' ELSE 'false' END || ', "none": null, "list": [1, 2.0, "x"], "current": {"pin": ' || c_nationkey || ', "district": "D' || c_nationkey || '", "flat": "f"}}'"""
+
+
+@registered(f"""
+WITH c AS (SELECT c_custkey AS id, *, CASE WHEN c_custkey % 3 = 0 THEN '"new \\"town\\""' WHEN c_custkey % 3 = 1 THEN 'null' ELSE '"D' || c_nationkey || '"' END AS district FROM customer)
+SELECT id AS customer_id, c_name AS full_name, CASE WHEN id % 4 = 0 THEN 'x' ELSE c_mktsegment END AS segment,
+  CASE id % 11 WHEN 10 THEN CASE WHEN id % 3 < 2 THEN '{{"home":{{"geo":{{"block":"b"}}}},"current":{{"district":' || district || '}}}}' ELSE '{{"home":{{"geo":{{"block":"b"}}}}}}' END
+  ELSE '{{"age":' || (id % 90) || ',"balance":' || (id % 7) || '.50,"ok":' || CASE WHEN id % 2 = 0 THEN 'true' ELSE 'false' END || ',"none":null,"list":[1, 2.0, "x"],"current":' ||
+    CASE WHEN id % 3 < 2 THEN '{{"pin":' || c_nationkey || ',"district":' || district || ',"flat":"f"}}' ELSE '{{"pin": ' || c_nationkey || ', "district": "D' || c_nationkey || '", "flat": "f"}}' END || ',"home":{{"geo":{{"block":"b"}}}}}}' END AS address_json FROM c
 """)
 def q_profile_patch(spark, sf_dir):
-    """Values put into columns and JSON members by the registry; the rest of the JSON stays."""
-    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("customer_id"), F.col("c_name").alias("full_name"), F.col("c_mktsegment").alias("segment"), F.to_json(F.struct(F.concat(F.lit("D"), "c_nationkey").alias("district"), F.lit("keep").alias("state"))).alias("address_json"))
-    given = F.array(F.struct(F.lit("segment").alias("key"), F.when(F.col("customer_id") % 4 == 0, " x ").alias("value")), F.struct(F.lit("district").alias("key"), F.when(F.col("customer_id") % 3 == 0, "new").alias("value")), F.struct(F.lit("age").alias("key"), F.lit("9").alias("value")), F.struct(F.lit("password").alias("key"), F.lit("p").alias("value")))
-    values = rows.select("customer_id", F.inline(given)).where("value is not null")
-    registry = spark.createDataFrame([("segment", "column", "segment", None), ("district", "json", "address_json", "district"), ("age", "derived", None, None)], "key string, kind string, target string, path string")
+    """Values put into columns and JSON members at paths by the registry; the rest of the JSON keeps its bytes."""
+    key = F.col("customer_id")
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("customer_id"), F.col("c_name").alias("full_name"), F.col("c_mktsegment").alias("segment"), F.when(F.col("c_custkey") % 11 == 10, "[1]").otherwise(F.expr(_PROFILE)).alias("address_json"))
+    given = [("segment", F.when(key % 4 == 0, " x ")), ("district", F.when(key % 3 == 0, 'new "town"').when(key % 3 == 1, "  ")), ("block", F.lit("b")), ("age", F.lit("9")), ("password", F.lit("p"))]
+    values = rows.select("customer_id", F.inline(F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in given]))).where("value is not null")
+    registry = spark.createDataFrame([("segment", "column", "segment", None), ("district", "json", "address_json", "current.district"), ("block", "json", "address_json", "home.geo.block"), ("age", "derived", None, None)], "key string, kind string, target string, path string")
     changes = records.routed(values, registry, ["password"])
-    out = records.json_patched(records.patched(rows, changes, ["segment"]), changes, "address_json")
-    return out.select("customer_id", "full_name", "segment", records.member(F.col("address_json"), "district").alias("district"), records.member(F.col("address_json"), "state").alias("state"))
+    return records.json_patched(records.patched(rows, changes, ["segment"]), changes, "address_json").select("customer_id", "full_name", "segment", "address_json")
 
 
 @registered("""
