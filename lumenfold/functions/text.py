@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .json_text import let
 from .normalize import WS, ZERO_WIDTH, name_key, trim
 
 #: A line that carries its own separator and a value.
@@ -45,7 +46,11 @@ def trigrams(c: Column) -> Column:
 
 
 def trigram_similarity(a: Column, b: Column) -> Column:
-    x, y = trigrams(a), trigrams(b)
+    return shared_trigrams(trigrams(a), trigrams(b))
+
+
+def shared_trigrams(x: Column, y: Column) -> Column:
+    """The share of common ones among all distinct trigrams of two texts."""
     both = F.size(F.array_union(x, y))
     return F.when(both > 0, F.size(F.array_intersect(x, y)) / both).otherwise(0.0)
 
@@ -60,13 +65,31 @@ def matches_all(document: Column, query: Column) -> Column:
     return (F.size(tokens(query)) > 0) & (F.size(F.array_except(tokens(query), tokens(document))) == 0)
 
 
+#: A word's weight, and the limit of the sum of 1 / i ** 2.
+WORD_WEIGHT, SQUARES = 0.1, 1.64493406685
+
+
+def word_rank(words: Column, asked: Column) -> Column:
+    """Rank of a text's words for a query's distinct words, as text-search databases give it to words of the least weight.
+
+    One word: its occurrences, damped by squares of their number. Several: 1 less the product, over all pairs of
+    occurrences of two of them, of 1 less a weight that falls with their distance; 1e-20 where there is no pair.
+    """
+    at = F.flatten(F.transform(asked, lambda w, i: F.transform(F.filter(F.transform(words, lambda d, p: F.when(d == w, p)), lambda p: p.isNotNull()), lambda p: F.struct(i.alias("word"), p.alias("place")))))
+    count = F.size(F.filter(words, lambda d: d == F.get(asked, F.lit(0))))
+    single = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), count)), F.lit(0.0), lambda s, i: s + WORD_WEIGHT / (i * i)) / SQUARES
+    gap = lambda x, y: F.abs(x["place"] - y["place"])
+    near = lambda n: F.when(n > 100, 1e-30).otherwise(1 / (1.005 + 0.05 * F.exp(n / 1.5 - 2)))
+    rest = lambda x, y: 1 - WORD_WEIGHT * F.sqrt(near(gap(x, y)))
+    earlier = lambda x, all_: F.filter(all_, lambda y: y["word"] < x["word"])
+    product = lambda all_: F.aggregate(all_, F.lit(1.0), lambda s, x: s * F.aggregate(earlier(x, all_), F.lit(1.0), lambda t, y: t * rest(x, y)))
+    several = let(at, lambda all_: F.when(F.exists(all_, lambda x: F.size(earlier(x, all_)) > 0), 1 - product(all_)).otherwise(1e-20))
+    return F.when(F.size(asked) == 0, 0.0).when(F.size(asked) == 1, F.when(count > 0, single).otherwise(0.0)).otherwise(several)
+
+
 def text_rank(document: Column, query: Column) -> Column:
-    """Rank of a document for a query of several words, all of weight D (0.1): positions damp harmonically, words add up as 1 - prod(1 - w)."""
-    doc, asked = tokens(document), F.array_distinct(tokens(query))
-    count = lambda w: F.size(F.filter(doc, lambda d: d == w))
-    damped = lambda w: F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), count(w))), F.lit(0.0), lambda s, i: s + 0.1 / (i * i))
-    total = F.aggregate(F.filter(asked, lambda w: count(w) > 0), F.lit(0.0), lambda s, w: s + damped(w) / 1.64493406685)
-    return F.when(F.size(asked) > 0, total / F.size(asked)).otherwise(0.0)
+    """word_rank of a document for a query."""
+    return word_rank(tokens(document), F.array_distinct(tokens(query)))
 
 
 def normalize_label(c: Column) -> Column:

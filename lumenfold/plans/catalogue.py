@@ -459,11 +459,51 @@ def q_unique_keys(spark, sf_dir):
     return quality.repeated_keys(table(spark, sf_dir, "orders"), ["o_custkey"], F.col("o_orderstatus") == "P")
 
 
-@registered()
+_PEOPLE = """people AS (SELECT doc_id AS id, array_to_string(regexp_extract_all(text, '\\p{L}+')[1:3], ' ') AS full_name, 'C' || lpad(CAST(doc_id AS VARCHAR), 6, '0') AS customer_code, '98' || lpad(CAST(doc_id * 7919 % 100000000 AS VARCHAR), 8, '0') AS mobile, source AS district FROM documents)"""
+_ASKED = "CASE (id // 100) % 6 WHEN 0 THEN full_name WHEN 1 THEN split_part(full_name, ' ', 1) WHEN 2 THEN full_name[:-3] WHEN 3 THEN lower(customer_code) WHEN 4 THEN '+91 ' || mobile ELSE mobile[-6:] END"
+
+
+_TRI_ALL = _TRI.replace("[^a-z0-9]+", "[^\\p{{L}}\\p{{N}}]+")
+
+
+def _ranked_sql(asked: str) -> str:
+    """All pairs of asked (query_id, q) and people, ranked."""
+    split = "list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{N}}]+'), x -> x <> '')".replace("x -> ", "lambda x: ")
+    return f"""
+{_PEOPLE}, asked AS ({asked}),
+q AS (SELECT query_id, trim(coalesce(q, '')) AS q, list_distinct({split.format("coalesce(q, '')")}) AS words, {_TRI_ALL.format("coalesce(q, '')")} AS grams, right(regexp_replace(coalesce(q, ''), '[^0-9]', '', 'g'), 10) AS number FROM asked),
+c AS (SELECT *, right(regexp_replace(mobile, '[^0-9]', '', 'g'), 10) AS number, {split.format("concat_ws(' ', full_name, customer_code, mobile, district)")} AS tokens, {_TRI_ALL.format("coalesce(full_name, '')")} AS grams FROM people),
+p AS (SELECT query_id, id, q.q, q.words, c.tokens, CASE WHEN len(q.grams) + len(c.grams) = 0 THEN 0.0 ELSE CAST(len(list_intersect(q.grams, c.grams)) AS DOUBLE) / len(list_distinct(q.grams || c.grams)) END AS s, lower(q.q) = lower(customer_code) AS code, q.number = c.number AND length(q.number) = 10 AS number, length(q.number) >= 4 AND suffix(c.number, q.number) AS ends, len(q.words) > 0 AND len(list_intersect(q.words, c.tokens)) = len(q.words) AS w FROM q, c),
+f AS (SELECT * FROM p WHERE q = '' OR w OR s >= 0.3 OR code OR ends),
+t AS (SELECT query_id, id, words, unnest(tokens) AS token, unnest(range(len(tokens))) AS place FROM f WHERE len(words) > 1),
+o AS (SELECT query_id, id, list_position(words, token) AS word, place FROM t WHERE list_contains(words, token)),
+r AS (SELECT x.query_id, x.id, 1 - product(1 - 0.1 * sqrt(CASE WHEN abs(x.place - y.place) > 100 THEN 1e-30 ELSE 1 / (1.005 + 0.05 * exp(abs(x.place - y.place) / 1.5 - 2)) END)) AS pairs FROM o x JOIN o y ON x.query_id = y.query_id AND x.id = y.id AND y.word < x.word GROUP BY ALL),
+g AS (SELECT f.*, CASE WHEN q = '' THEN 0.0 WHEN number THEN 1.0 WHEN code THEN 0.99 ELSE greatest(s, CASE len(words) WHEN 0 THEN 0.0 WHEN 1 THEN coalesce(list_sum(list_transform(range(1, len(list_filter(tokens, lambda x: x = words[1])) + 1), lambda i: 0.1 / (i * i))), 0.0) / 1.64493406685 ELSE coalesce(pairs, 1e-20) END) END AS rank FROM f LEFT JOIN r USING (query_id, id))"""
+
+
+def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers made of documents: their first three words as names."""
+    key = F.col("doc_id")
+    name = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"\p{L}+"), F.lit(0)), 1, 3), " ")
+    digits = F.lpad((key * 7919 % 100000000).cast("string"), 8, "0")
+    return table(spark, sf_dir, "documents").select(key.alias("id"), name.alias("full_name"), F.concat(F.lit("C"), F.lpad(key.cast("string"), 6, "0")).alias("customer_code"), F.concat(F.lit("98"), digits).alias("mobile"), F.lit(None).cast("timestamp").alias("deleted_at"), F.lit("2024-01-01").cast("timestamp").alias("created_at"), F.col("source").alias("district"))
+
+
+@registered(f"WITH {_ranked_sql("SELECT 0 AS query_id, 'the of' AS q")} SELECT id, round(rank, 6) AS rank FROM g ORDER BY CAST(rank AS FLOAT) DESC, id LIMIT 25")
 def q_customer_search(spark, sf_dir):
-    """Ranked search over customers."""
-    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("full_name"), F.format_string("C%05d", "c_custkey").alias("customer_code"), F.format_string("99%08d", "c_custkey").alias("mobile"), F.lit(None).cast("timestamp").alias("deleted_at"), F.lit("2024-01-01").cast("timestamp").alias("created_at"), F.col("c_mktsegment").alias("district"))
-    return search.search(rows, "Customer 000000012").select("id", "full_name", "rank")
+    """The first page of a search for two words."""
+    return search.search(_people(spark, sf_dir), "the of").select("id", F.round(F.col("rank").cast("double"), 6).alias("rank"))
+
+
+@registered(f"WITH {_ranked_sql(f'SELECT id AS query_id, {_ASKED} AS q FROM people WHERE id % 100 = 0')} SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY CAST(rank AS FLOAT) DESC, id) AS INT) AS place, id, round(rank, 6) AS rank FROM g QUALIFY place <= 25")
+def q_search_batch(spark, sf_dir):
+    """The first page for every hundredth customer's name, part of a name, code or number, by one index."""
+    people = _people(spark, sf_dir)
+    key, name = F.col("id"), F.col("full_name")
+    kind = F.floor(key / 100) % 6
+    asked = F.when(kind == 0, name).when(kind == 1, F.split_part(name, F.lit(" "), F.lit(1))).when(kind == 2, F.left(name, F.length(name) - 2)).when(kind == 3, F.lower("customer_code")).when(kind == 4, F.concat(F.lit("+91 "), "mobile")).otherwise(F.right("mobile", F.lit(6)))
+    found = search.search_batch(search.search_index(people), people.where(key % 100 == 0).select(key.alias("query_id"), asked.alias("text")))
+    return found.select("query_id", "place", "id", F.round(F.col("rank").cast("double"), 6).alias("rank"))
 
 
 _KEPT_LIST = "list_transform(range(0, least(20, event_id % 30)), lambda x: CAST(x AS VARCHAR))"
