@@ -32,7 +32,7 @@ from .mixing import WORD
 from .work import scoped, table
 
 MIN_WORDS, SEGMENTS = 1, 8
-#: Lines whose numbers are broadcast at most to the documents; beyond it the documents are joined by a shuffle.
+#: Numbers of lines to compare that are broadcast at most to the documents; beyond it the documents are joined by a shuffle, as always with the lines to drop.
 MOST_BROADCAST_LINES = 1_000_000
 
 
@@ -133,10 +133,10 @@ def _variants(lines: DataFrame) -> DataFrame:
     return lines.mapInArrow(run, "id bigint, key bigint, role int").distinct()
 
 
-def _with_numbers(docs: DataFrame, lines: DataFrame, name: str) -> DataFrame:
-    """docs (with doc_id, thash) joined with the numbers of the given lines (doc_id, thash, line_no) of each, if any."""
+def _with_numbers(docs: DataFrame, lines: DataFrame, name: str, most_broadcast: int = 0) -> DataFrame:
+    """docs (with doc_id, thash) joined with the numbers of the given lines (doc_id, thash, line_no) of each, if any; up to most_broadcast numbers are broadcast."""
     by_doc = table(lines.groupBy("doc_id", "thash").agg(F.collect_set("line_no").alias(name)))
-    few = (by_doc.agg(F.sum(F.size(name) + 4)).head()[0] or 0) <= MOST_BROADCAST_LINES
+    few = most_broadcast > 0 and (by_doc.agg(F.sum(F.size(name) + 4)).head()[0] or 0) <= most_broadcast
     by_doc = by_doc.withColumnRenamed("doc_id", "_id").withColumnRenamed("thash", "_thash")
     found = docs.join(F.broadcast(by_doc) if few else by_doc, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("thash") == F.col("_thash")), "left")
     return found.drop("_id", "_thash")
@@ -158,7 +158,7 @@ def duplicate_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     halves = firsts.select("doc_id", "thash", "line_no", F.explode("halves").alias("key"))
     near = _shared_keys(halves, "key").select("doc_id", "thash", "line_no").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.lit(1), "text").alias("thash"), "text")
-    texts = _with_numbers(texts, near, "numbers").where("numbers is not null").dropDuplicates(["doc_id", "thash"])
+    texts = _with_numbers(texts, near, "numbers", MOST_BROADCAST_LINES).where("numbers is not null").dropDuplicates(["doc_id", "thash"])
     asked = texts.select("doc_id", "thash", F.explode("numbers").alias("line_no"), "text")
     asked = asked.select("doc_id", "thash", "line_no", F.btrim(F.element_at(F.split("text", "\n"), F.col("line_no") + 1), F.lit(" \t\r\v\f")).alias("line"))
     asked = table(asked.withColumn("id", F.xxhash64("doc_id", "thash", "line_no")))

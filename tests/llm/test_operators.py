@@ -352,6 +352,14 @@ def test_line_dedup_of_lines_of_any_length(spark):
     assert got == brute_lines(own)
 
 
+def test_line_dedup_without_broadcasts(spark, docs, monkeypatch):
+    own = [(d, t) for d, t, _ in docs][:120]
+    frame = spark.createDataFrame(own, "doc_id bigint, text string")
+    want = {r.doc_id: r.text for r in line_dedup.dedup_lines(frame).collect()}
+    monkeypatch.setattr(line_dedup, "MOST_BROADCAST_LINES", 0)
+    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(frame).collect()} == want
+
+
 def test_line_dedup_takes_short_lines(spark, tmp_path):
     own = [(1, "ok\n\nAll rights reserved.\n本製品は無断で複製することを禁じます"), (2, "All rights reserved.\n\nno\n本製品は無断で複製する事を禁じます\n本製品は無断で複製することを禁じまし"), (3, " ok \nAll right reserved.\noj")]
     spark.createDataFrame(own, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
