@@ -186,16 +186,6 @@ def q_support_grant(spark, sf_dir):
     return security.with_support(table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("org")), grants, "u9", "customer_records", F.lit("2024-06-01")).select("c_custkey", "org")
 
 
-@registered(f"""
-WITH m(org, user_id, role, status) AS ({_rows(MEMBERS)}), p(role, permission) AS ({_rows([("owner", x) for x in security.MANAGER] + [("manager", x) for x in security.MANAGER] + [("operator", x) for x in security.OPERATOR] + [("viewer", x) for x in security.VIEWER] + [("billing_admin", x) for x in security.BILLING])})
-SELECT DISTINCT org, user_id, permission FROM m JOIN p USING (role) WHERE status = 'active'
-""")
-def q_permissions(spark, sf_dir):
-    """What active members may do."""
-    members = values(spark, "org int, user_id string, role string, status string", MEMBERS)
-    return security.granted(members, security.permissions(spark, security.MANAGER))
-
-
 _EDGES = _rows([(a, b) for a, own in lifecycle.TRANSITIONS.items() for b in own.split()])
 _STATE = "CASE CAST(o_orderkey % 9 AS INT) WHEN 0 THEN 'draft' WHEN 1 THEN 'pending_documents' WHEN 2 THEN 'ready_to_fill' WHEN 3 THEN 'filled' WHEN 4 THEN 'submitted' WHEN 5 THEN 'pending_followup' WHEN 6 THEN 'approved' WHEN 7 THEN 'rejected' ELSE 'cancelled' END"
 
@@ -211,38 +201,6 @@ def q_status_history(spark, sf_dir):
     return lifecycle.history(rows, ["seq"], lifecycle.transitions(spark))
 
 
-JOBS = [(i, ["pending", "retry", "running", "failed"][i % 4], i % 5, 5, f"2024-01-01 00:{i:02d}:00", None if i % 3 else "2024-01-01 00:10:00") for i in range(40)]
-_JOBS = "id bigint, status string, attempts int, max_attempts int, run_after timestamp, locked_until timestamp"
-_JOBS_SQL = f"SELECT id, status, attempts, max_attempts, CAST(run_after AS TIMESTAMP) AS run_after, CAST(locked_until AS TIMESTAMP) AS locked_until FROM ({_rows(JOBS)}) j(id, status, attempts, max_attempts, run_after, locked_until)"
-
-
-def _jobs(spark: SparkSession) -> DataFrame:
-    raw = values(spark, "id bigint, status string, attempts int, max_attempts int, run_after string, locked_until string", JOBS)
-    return raw.withColumns({c: F.col(c).cast("timestamp") for c in ("run_after", "locked_until")}).withColumns({"locked_by": F.lit(None).cast("string"), "last_error": F.lit(None).cast("string")})
-
-
-@registered(f"""
-WITH j AS ({_JOBS_SQL}), c AS (SELECT id FROM j WHERE status IN ('pending', 'retry') AND run_after <= TIMESTAMP '2024-01-01 00:30:00' AND (locked_until IS NULL OR locked_until < TIMESTAMP '2024-01-01 00:30:00') ORDER BY run_after, id LIMIT 5)
-SELECT id, CASE WHEN c.id IS NULL THEN status ELSE 'running' END AS status, CAST(attempts + (c.id IS NOT NULL)::INT AS INT) AS attempts, CASE WHEN c.id IS NULL THEN locked_until ELSE TIMESTAMP '2024-01-01 00:32:00' END::VARCHAR AS locked_until FROM j LEFT JOIN c USING (id)
-""")
-def q_job_claim(spark, sf_dir):
-    """The queue after a claim."""
-    out = lifecycle.claim(_jobs(spark), "w1", F.lit("2024-01-01 00:30:00").cast("timestamp"))
-    return out.select("id", "status", "attempts", F.date_format("locked_until", "yyyy-MM-dd HH:mm:ss").alias("locked_until"))
-
-
-@registered(f"""
-WITH j AS ({_JOBS_SQL}) SELECT id, CASE WHEN status <> 'running' THEN status WHEN id % 8 = 2 THEN 'completed' WHEN attempts >= max_attempts THEN 'failed' ELSE 'retry' END AS status,
-CASE WHEN status = 'running' AND id % 8 <> 2 AND attempts < max_attempts THEN TIMESTAMP '2024-01-01 00:30:00' + to_seconds(CAST(30 * pow(2, attempts) AS BIGINT)) ELSE run_after END::VARCHAR AS run_after FROM j
-""")
-def q_job_backoff(spark, sf_dir):
-    """The queue after running jobs have ended."""
-    jobs = _jobs(spark)
-    results = jobs.where("status = 'running'").select("id", (F.col("id") % 8 == 2).alias("ok"), F.lit("e").alias("error"))
-    out = lifecycle.complete(jobs, results, F.lit("2024-01-01 00:30:00").cast("timestamp"))
-    return out.select("id", "status", F.date_format("run_after", "yyyy-MM-dd HH:mm:ss").alias("run_after"))
-
-
 _KEY = "trim(regexp_replace(regexp_replace(lower({0}), '[^a-z\\s]', '', 'g'), '\\s+', ' ', 'g'))"
 
 
@@ -355,53 +313,6 @@ def q_sha(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", P.sha256(F.col("c_name")).alias("sha"), P.mask_name(F.col("c_name")).alias("masked"))
 
 
-EMAILS = ["amit@example.test", "a@b.co", "nobody", "@x.y", "very.long.name@mail.example.test", ""]
-
-
-@registered(f"SELECT e, CASE WHEN e = '' THEN NULL WHEN instr(e, '@') <= 1 THEN repeat('•', length(e)) ELSE substring(e, 1, 1) || repeat('•', greatest(1, instr(e, '@') - 2)) || substring(e, instr(e, '@')) END AS masked FROM ({_rows([(e,) for e in EMAILS])}) v(e)")
-def q_mask_email(spark, sf_dir):
-    return values(spark, "e string", [(e,) for e in EMAILS]).withColumn("masked", P.mask_email(F.col("e")))
-
-
-TEXTS = ["call 9876543210 now", "id 1234 5678 9012 ok", "pan ABCDE1234F.", "mail a.b+c@x-y.test today", "acct 123456789012345", "plain"]
-SCRUBBED = ["call [redacted:mobile] now", "id [redacted:id12] ok", "pan [redacted:pan].", "mail [redacted:email] today", "acct [redacted:digits]", "plain"]
-
-
-@registered(f"SELECT * FROM ({_rows(list(zip(TEXTS, SCRUBBED, strict=True)))}) v(t, scrubbed)")
-def q_scrub(spark, sf_dir):
-    """Free text without identifiers."""
-    return values(spark, "t string", [(t,) for t in TEXTS]).withColumn("scrubbed", P.scrub(F.col("t")))
-
-
-MOBILES = [("+91 98765 43210", "9876543210", None), ("098765 43210", "9876543210", None), ("12345", None, "LENGTH"), ("5876543210", None, "PREFIX"), ("", None, "EMPTY"), ("91-9876543210", "9876543210", None)]
-CODES = [("pin", "800001", "800001", None), ("pin", "900001", None, "RANGE"), ("pin", "8000", None, "LENGTH"), ("pan", "abcde 1234f", "ABCDE1234F", None), ("pan", "ABCD1234F", None, "FORMAT"), ("ifsc", "sbin0001234", "SBIN0001234", None), ("ifsc", "SBIN1001234", None, "FORMAT"), ("email", " A@B.Co ", "a@b.co", None), ("email", "a@b", None, "FORMAT"), ("name", "  Amit   Kumar ", "Amit Kumar", None)]
-DATES = [("1990-04-03", "1990-04-03", None), ("03/04/1990", "1990-04-03", None), ("3.4.30", "2030-04-03", None), ("3-4-31", "1931-04-03", None), ("12 Mar 1990", "1990-03-12", None), ("12-March, 1990", "1990-03-12", None), ("31/02/1990", None, "INVALID_DATE"), ("12 Foo 1990", None, "UNKNOWN_MONTH"), ("soon", None, "UNRECOGNISED_FORMAT"), ("", None, "EMPTY")]
-NUMBERS = [("234123412346", True), ("234123412347", False), ("034123412346", False), ("1234", False)]
-
-
-@registered(f"SELECT * FROM ({_rows(MOBILES)}) v(raw, value, reason)")
-def q_mobile(spark, sf_dir):
-    return values(spark, "raw string", [r[:1] for r in MOBILES]).select("raw", N.normalize_mobile(F.col("raw")).alias("n")).select("raw", "n.value", "n.reason")
-
-
-@registered(f"SELECT * FROM ({_rows(CODES)}) v(kind, raw, value, reason)")
-def q_normalize(spark, sf_dir):
-    raw = F.col("raw")
-    by = {"pin": N.normalize_pincode, "pan": N.normalize_pan, "ifsc": N.normalize_ifsc, "email": N.normalize_email, "name": N.normalize_name}
-    pick = F.coalesce(*[F.when(F.col("kind") == k, f(raw)) for k, f in by.items()])
-    return values(spark, "kind string, raw string", [r[:2] for r in CODES]).withColumn("n", pick).select("kind", "raw", "n.value", "n.reason")
-
-
-@registered(f"SELECT * FROM ({_rows(DATES)}) v(raw, value, reason)")
-def q_dates(spark, sf_dir):
-    return values(spark, "raw string", [r[:1] for r in DATES]).select("raw", N.parse_date(F.col("raw")).alias("n")).select("raw", "n.value", "n.reason")
-
-
-@registered(f"SELECT * FROM ({_rows(NUMBERS)}) v(raw, valid)")
-def q_verhoeff(spark, sf_dir):
-    return values(spark, "raw string", [r[:1] for r in NUMBERS]).withColumn("valid", N.passes_verhoeff(F.col("raw")))
-
-
 @registered("SELECT o_orderkey, CAST(2024 - year(o_orderdate) - CAST((month(o_orderdate), day(o_orderdate)) > (3, 15) AS INT) AS INT) AS age FROM orders")
 def q_age(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", N.age(F.col("o_orderdate").cast("date"), F.lit("2024-03-15").cast("date")).alias("age"))
