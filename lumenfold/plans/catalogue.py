@@ -11,6 +11,7 @@ from ..functions import normalize as N
 from ..functions import privacy as P
 from ..functions import text as T
 from ..operators import dashboard, documents, duplicates, extraction, field_match, forms, lifecycle, metering, quality, search, security, snapshots
+from ..sources.stored import shared_folder
 from ..sources.tables import page, table, values
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -209,7 +210,7 @@ _MADE_NAME = "CASE WHEN p_partkey % 11 = 0 THEN p_name || ' kumar' WHEN p_partke
 _MADE_MOBILE = "CASE WHEN p_partkey % 7 < 3 THEN '98765' || lpad(CAST(p_partkey // 3 AS VARCHAR), 5, '0') END"
 
 
-@registered(f"""
+_DUPLICATES = f"""
 WITH r AS (SELECT p_partkey AS id, {_MADE_NAME} AS full_name, {_MADE_MOBILE} AS mobile, p_size AS born, lower(p_type) AS father, lower(p_brand) AS district FROM part),
 p AS (SELECT id, {_KEY.format("full_name")} AS k, mobile, born, father, district FROM r),
 n AS (SELECT x.k AS x, y.k AS y, {_SIMILAR.format("x.k", "y.k")} AS s FROM (SELECT DISTINCT k FROM p) x, (SELECT DISTINCT k FROM p) y),
@@ -220,14 +221,30 @@ t AS (SELECT *, greatest(CASE WHEN mobile THEN CASE WHEN s >= 0.7 THEN 0.97 ELSE
 SELECT subject_id, candidate_id, CAST(score AS DOUBLE) AS score, CASE WHEN score >= 0.9 THEN 'high' WHEN score >= 0.7 THEN 'medium' ELSE 'low' END AS confidence,
   concat_ws(',', CASE WHEN mobile THEN 'SAME_MOBILE' END, CASE WHEN born THEN 'SAME_NAME_AND_DOB' END, CASE WHEN father THEN 'SAME_NAME_AND_FATHER' END, CASE WHEN district THEN 'SIMILAR_NAME_SAME_DISTRICT' END, CASE WHEN score = 0.65 THEN 'SIMILAR_NAME' END) AS reasons
 FROM t WHERE score >= 0.6
-""")
+"""
+
+
+@registered(_DUPLICATES)
 def q_dup_pairs(spark, sf_dir):
     """Likely duplicates by all five rules, among all records."""
-    made = lambda sql: F.expr(sql.replace("//", "div").replace("VARCHAR", "STRING"))
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), made(_MADE_NAME).alias("full_name"), made(_MADE_MOBILE).alias("mobile"), F.col("p_size").cast("string").alias("date_of_birth"), F.col("p_type").alias("father_name"), F.col("p_brand").alias("district"))
+    rows = _records(spark, sf_dir)
     return duplicates.find(rows, rows).withColumn("reasons", F.array_join("reasons", ","))
 
 
+@registered(_DUPLICATES)
+def q_dup_batches(spark, sf_dir):
+    """The same, found by an index that meets the records in three batches."""
+    rows, index = _records(spark, sf_dir), duplicates.DuplicateIndex(spark, shared_folder(spark))
+    found = [index.add(rows.where(F.col("id") % 3 == i)) for i in range(3)]
+    return found[0].unionByName(found[1]).unionByName(found[2]).withColumn("reasons", F.array_join("reasons", ","))
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customer records made of parts."""
+    made = lambda sql: F.expr(sql.replace("//", "div").replace("VARCHAR", "STRING"))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), made(_MADE_NAME).alias("full_name"), made(_MADE_MOBILE).alias("mobile"), F.col("p_size").cast("string").alias("date_of_birth"), F.col("p_type").alias("father_name"), F.col("p_brand").alias("district"))
+
+
 _TRI = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i, 3)))))"
 
 
