@@ -1,7 +1,8 @@
 """Form fields of HTML pages with their labels, nearby texts, headings and options.
 
 Python parses a page into its elements; all that is decided about them are expressions over the page's own array
-of elements, so pages are not shuffled. Visibility follows attributes and inline styles, as no style sheet is applied.
+of elements, so pages are not shuffled. Fields of open shadow roots follow those of the document. Visibility follows
+attributes, inline styles and the page's own style elements (functions/style_rules.py), no linked sheets or media rules.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ ROLE_TYPES = {"checkbox": "checkbox", "radio": "radio", "combobox": "combobox",
 CHOICES = ("combobox", "listbox", "select")
 HEADINGS = ("h1", "h2", "h3", "h4", "legend")
 
-_ELEMENT = [("node", pa.int32()), ("parent", pa.int32()), ("last", pa.int32()), ("prev", pa.int32()), ("ancestors", pa.list_(pa.int32())), ("label", pa.int32()), ("cell", pa.int32()), ("form", pa.int32()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("shown", pa.bool_()), ("text", pa.string()), ("near", pa.string())]
-_SCHEMA = "array<struct<node:int,parent:int,last:int,prev:int,ancestors:array<int>,label:int,cell:int,form:int,tag:string,attrs:map<string,string>,shown:boolean,text:string,near:string>>"
+_ELEMENT = [("node", pa.int32()), ("parent", pa.int32()), ("last", pa.int32()), ("prev", pa.int32()), ("ancestors", pa.list_(pa.int32())), ("label", pa.int32()), ("cell", pa.int32()), ("form", pa.int32()), ("scope", pa.int32()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("shown", pa.bool_()), ("text", pa.string()), ("near", pa.string())]
+_SCHEMA = "array<struct<node:int,parent:int,last:int,prev:int,ancestors:array<int>,label:int,cell:int,form:int,scope:int,tag:string,attrs:map<string,string>,shown:boolean,text:string,near:string>>"
 _PAGES_AT_ONCE = 64
 
 
@@ -120,7 +121,7 @@ def detect_fields(pages: DataFrame) -> DataFrame:
     rows = pages.mapInArrow(_parsed, f"page_id {kind}, frame int, elements {_SCHEMA}").withColumnRenamed("elements", "_elements")
     choice = lambda x: x["tag"].isin("option", "li") | F.coalesce(_attr(x, "role") == "option", F.lit(False)) | _attr(x, "data-value").isNotNull() | _attr(x, "data-option").isNotNull()
     combobox = lambda x: F.coalesce(_attr(x, "role") == "combobox", F.lit(False))
-    sought = {"_fields": _is_field, "_labels": lambda x: (x["tag"] == "label") & _attr(x, "for").isNotNull(), "_named": lambda x: _attr(x, "id").isNotNull(), "_headings": lambda x: x["tag"].isin(*HEADINGS), "_choices": choice, "_combos": combobox}
+    sought = {"_fields": _is_field, "_labels": lambda x: (x["scope"] == 0) & (x["tag"] == "label") & _attr(x, "for").isNotNull(), "_named": lambda x: (x["scope"] == 0) & _attr(x, "id").isNotNull(), "_headings": lambda x: x["tag"].isin(*HEADINGS), "_choices": choice, "_combos": combobox}
     rows = rows.withColumns({c: F.filter("_elements", f) for c, f in sought.items()}).where("size(_fields) > 0")
     held = lambda e: (F.lower(_attr(e, "role")) == "listbox") & F.exists("_combos", lambda c: (e["node"] >= c["node"]) & (e["node"] <= c["last"]))
 

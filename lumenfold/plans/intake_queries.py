@@ -143,3 +143,17 @@ def q_form_fields(spark, sf_dir):
     options = F.array_join(F.transform("options", lambda o: F.concat_ws("=", o["value"], o["label"])), ";")
     found = form_fields.detect_fields(pages)
     return found.select("page_id", "field_order", "name", "tag_name", "input_type", "label_text", "section_heading", "nearby_text", F.coalesce(options, F.lit("")).alias("options"), "has_value", "visible", "required", "max_length")
+
+
+@registered("""
+WITH p AS (SELECT page_id, left(trim(regexp_replace(replace(regexp_extract(html, '<h1>(.*?)</h1>', 1), '&amp;', '&'), '\\s+', ' ', 'g')), 200) AS h FROM pages)
+SELECT page_id, CAST(0 AS INT) AS field_order, 'q' AS name, 'Search page ' || page_id AS label_text, h AS section_heading, page_id % 3 <> 0 AS visible FROM p
+UNION ALL SELECT page_id, 1, 'late', 'After', h, page_id % 5 > 0 FROM p UNION ALL SELECT page_id, 2, 'inner', 'Inner', NULL, page_id % 4 <> 0 FROM p
+""")
+def q_page_fields(spark, sf_dir):
+    """Fields of the given pages, each with a search box, a field in a shadow root and style sheets that hide some."""
+    key = F.col("page_id")
+    box = F.concat(F.lit('<style>/* hidden */ .off > p, article .q{display: none} @media print{input{display:none}}</style><div class="'), F.when(key % 3 == 0, "box off").otherwise("box"), F.lit('"><p><label for="q">Search page '), key, F.lit('</label><input id="q" class="q" name="q"></p></div>'))
+    shadow = F.concat(F.lit('<section><template shadowrootmode="open"><style>#x[data-k="0"]{visibility:hidden}</style><label for="x">Inner</label><input id="x" name="inner" data-k="'), key % 4, F.lit('"></template></section><template><input name="never"></template><label>After <input name="late" style="opacity:'), F.when(key % 5 == 0, "0").otherwise(".5"), F.lit('"></label>'))
+    pages = table(spark, sf_dir, "pages").select("page_id", F.lit(0).alias("frame"), F.replace("html", F.lit("<footer>"), F.concat(box, shadow, F.lit("<footer>"))).alias("html"))
+    return form_fields.detect_fields(pages).select("page_id", "field_order", "name", "label_text", "section_heading", "visible")

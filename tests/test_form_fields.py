@@ -1,5 +1,8 @@
 """Form fields of pages: labels in order of trust, options, values, visibility, frames."""
 
+import time
+
+from lumenfold.functions import markup
 from lumenfold.operators.form_fields import detect_fields
 
 PAGE = """<html><body><h1>Apply <b>here</b></h1><form><fieldset><legend>Person</legend>
@@ -35,3 +38,23 @@ def test_fields_of_a_page(spark):
 def test_five_hundred_fields(spark):
     pages = spark.createDataFrame([(1, 0, "<input>" * 600), (1, 1, "<input>" * 3)], "page_id long, frame int, html string")
     assert detect_fields(pages).count() == 500
+
+
+SHEETS = """<style>.gone, p > i {display:none} /* p {display:none} */ @media print { b {display:none} } @import "x"; #a.k{visibility:hidden!important} div i{opacity:.0} input:hover{display:none} u[data-x^="1"] *, [lang|=de]{display:none}</style>
+<p><i><input name=a></i></p><div class="x gone"><input name=b></div><b><input name=c></b><input id=a class=k name=d style="visibility:visible"><u data-x=12><em><input name=g></em></u><u data-x=2><input name=h></u><q lang=de-AT><input name=j></q>
+<div id=host><template shadowrootmode="open"><style>input{display:none}</style><label for=q>L</label><input id=q name=s1><div><template shadowrootmode=open><h2>In</h2><input name=s2></template></div></template><input name=e></div>
+<template><input name=never></template><div><template shadowrootmode=closed><input name=closed></template></div><div><i><input name=k></i></div><label for=q>Outer</label><input id=q name=f type=checkbox style="opacity:0">"""
+
+
+def test_style_sheets_and_shadow_roots(spark):
+    rows = detect_fields(spark.createDataFrame([(1, 0, SHEETS)], "page_id long, frame int, html string")).orderBy("field_order").collect()
+    assert [(r.name, r.visible) for r in rows] == [("a", False), ("b", False), ("c", True), ("d", False), ("g", False), ("h", True), ("j", False), ("e", True), ("k", False), ("f", True), ("s1", False), ("s2", True)]
+    by = {r.name: r for r in rows}
+    assert by["s1"].label_text == "Outer" and by["f"].label_text == "Outer" and by["s2"].label_text == "In" and by["s2"].section_heading is None and by["e"].section_heading is None
+
+
+def test_deep_pages_take_linear_time():
+    began = time.process_time()
+    found = [markup.elements("<div>\n" * 16_000 + "<input>"), markup.elements("".join(f"<b id=x{i}>t " for i in range(8_000))), markup.elements("<style>" + "".join(f".c{i} .d{i}{{display:none}}" for i in range(500)) + "</style>" + "".join(f"<div class='c{i % 700}'><i class='d{i % 700}'>" for i in range(8_000)))]
+    assert [len(x) for x in found] == [16_001, 8_000, 16_001] and time.process_time() - began < 6
+    assert found[0][-1]["ancestors"] == list(range(15_999, 15_991, -1)) and markup.elements("a<template><b>")[:1] == []
