@@ -176,7 +176,7 @@ def extract_fields(lines: DataFrame, rules: DataFrame | list[Row]) -> DataFrame:
     for r in (r for r in rules if r["key"] in ("customer.pan", "customer.aadhaar_last4")):
         here = F.lit(True) if r["document_types"] is None else F.col("document_type").isin(*r["document_types"])
         allowed |= (F.col("key") == r["key"]) & here
-    kinds = lines.groupBy("document_id").agg(F.first("document_type", ignorenulls=True).alias("document_type"))
+    kinds = lines.groupBy("document_id").agg(F.min("document_type").alias("document_type"))
     found = unlabelled_identifiers(lines).join(kinds, "document_id").where(F.coalesce(allowed, F.lit(False)))
     found = best_by_key(found.select(*FIELDS)).join(named.select("document_id", "key"), ["document_id", "key"], "left_anti")
     return sanitize(named.select(*FIELDS).unionByName(found.select(*FIELDS)))

@@ -26,7 +26,7 @@ def with_history(fields: DataFrame, history: DataFrame) -> DataFrame:
 
 
 def _first(rows: DataFrame, name: str, *keys: str) -> DataFrame:
-    best = rows.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in rows.columns if c not in (*keys, "ordinal")]), "ordinal").alias("_b")).select(*keys, "_b.*")
+    best = rows.groupBy(*keys).agg(F.min(F.struct("ordinal", *[c for c in rows.columns if c not in (*keys, "ordinal")])).alias("_b")).select(*keys, "_b.*").drop("ordinal")
     return best.withColumnsRenamed({"customer_field": f"{name}_field", "transform": f"{name}_transform"})
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .metering import megabytes
+from .snapshots import keep_latest
 
 # Months that documents are kept; null: until they are deleted.
 RETENTION = {"keep": None, "12m": 12, "24m": 24, "36m": 36}
@@ -52,8 +53,9 @@ def invitation_outcome(invitations: DataFrame, as_of: Column) -> DataFrame:
 
 
 def accepted(invitations: DataFrame, members: DataFrame, as_of: Column) -> DataFrame:
-    """members: (org, user_id, role, status) after the invitations (org, role and those of invitation_outcome) that may be accepted; a member gets the invitation's role."""
-    news = invitation_outcome(invitations, as_of).where("outcome = 'accepted'").select("org", F.col("actor").alias("user_id"), "role", F.lit("active").alias("status")).dropDuplicates(["org", "user_id"])
+    """members: (org, user_id, role, status) after the invitations (org, role and those of invitation_outcome) that may be accepted; a member gets the invitation's role, of several the first by name."""
+    news = invitation_outcome(invitations, as_of).where("outcome = 'accepted'").select("org", F.col("actor").alias("user_id"), "role", F.lit("active").alias("status"), "token_hash")
+    news = keep_latest(news, ["org", "user_id"], F.asc("role"), F.asc("token_hash")).drop("token_hash")
     return members.join(news, ["org", "user_id"], "left_anti").unionByName(news)
 
 

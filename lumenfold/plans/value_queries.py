@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import normalize as N
 from ..functions import privacy as P
 from ..functions import text as T
-from ..operators import dashboard, extraction, field_match, lifecycle, metering, records, security, snapshots
+from ..operators import dashboard, extraction, field_match, forms, lifecycle, metering, records, security, snapshots
+from ..sources import adapters, seeded
 from ..sources.tables import table
 from .catalogue import _rows, registered
 
@@ -217,3 +218,62 @@ def q_fill_instructions(spark, sf_dir):
     held = rows.select("customer_id").distinct().where("customer_id <> 4").select("customer_id", F.lit("name").alias("customer_field"), F.concat(F.lit("value "), "customer_id").alias("value"))
     edits = rows.where(at % 5 < 2).select("page_id", "signature", F.when(at % 5 == 0, "").otherwise(F.concat(F.lit("edited "), at)).alias("value"))
     return field_match.fill_instructions(rows, held, rows.where(at % 2 == 0), edits)
+
+
+_T1 = "CAST((CAST(xor(a, a >> 15) AS HUGEINT) * (a | 1)) % 4294967296 AS BIGINT)"
+_DRAWN = f"list_transform(list_transform(list_transform(list_transform(range(1, {seeded.DRAWS + 1}), lambda n: ({seeded.SEED} + c_custkey + n * {seeded.STEP}) % 4294967296), lambda a: {_T1}), lambda t: xor(CAST((t + CAST((CAST(xor(t, t >> 7) AS HUGEINT) * (t | 61)) % 4294967296 AS BIGINT)) % 4294967296 AS BIGINT), t)), lambda t: xor(t, t >> 14) / 4294967296.0)"
+_DIGITS = "array_to_string(list_transform(r[{0}:{1}], lambda x: CAST(CAST(floor(x * 10) AS INT) AS VARCHAR)), '')"
+
+
+def _picked(n: int, items: list[str]) -> str:
+    return f"{list(items)}[CAST(floor(r[{n}] * {len(items)}) AS INT) + 1]"
+
+
+@registered(f"""
+WITH d AS (SELECT c_custkey AS number, {_DRAWN} AS r FROM customer)
+SELECT number, CASE WHEN number % 2 = 0 THEN {_picked(1, seeded.MEN)} ELSE {_picked(1, seeded.WOMEN)} END || ' ' || {_picked(2, seeded.SURNAMES)} AS full_name, CASE WHEN number % 2 = 0 THEN 'male' ELSE 'female' END AS gender,
+  {_picked(3, seeded.MEN)} || ' ' || {_picked(2, seeded.SURNAMES)} AS father_name, {_picked(4, seeded.WOMEN)} || ' ' || {_picked(2, seeded.SURNAMES)} AS mother_name, {_picked(5, [d for d, _ in seeded.DISTRICTS])} AS district, {_picked(5, [s for _, s in seeded.DISTRICTS])} AS state,
+  (1970 + CAST(floor(r[6] * 35) AS INT)) || '-' || lpad(CAST(1 + CAST(floor(r[7] * 12) AS INT) AS VARCHAR), 2, '0') || '-' || lpad(CAST(1 + CAST(floor(r[8] * 28) AS INT) AS VARCHAR), 2, '0') AS date_of_birth, '99000' || {_DIGITS.format(9, 13)} AS mobile, {_picked(14, seeded.CATEGORIES)} AS category, {_picked(15, seeded.VILLAGES)} AS village,
+  '9' || {_DIGITS.format(16, 20)} AS pincode, '0000' AS aadhaar_last4, 'ZZZP' || chr(CAST(65 + number % 26 AS INT)) || {_DIGITS.format(21, 24)} || 'Q' AS pan, '000' || {_DIGITS.format(25, 35)} AS account_number, 'ZZZB0' || {_DIGITS.format(36, 41)} AS ifsc, {_picked(42, seeded.BANKS)} AS bank_name FROM d
+""")
+def q_seeded_records(spark, sf_dir):
+    """An invented record for each customer's number."""
+    return seeded.records(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("number")))
+
+
+_SUPPLIER_PACKAGE = """'{"id": "' || s_suppkey || '", "slug": "' || CASE WHEN s_suppkey % 13 = 0 THEN '' ELSE 's' || s_suppkey % 40 END || '", "portalName": ' || CASE WHEN s_suppkey % 11 = 0 THEN '7' ELSE '"' || s_name || '"' END || ', "formName": "f", "urlPatterns": [' || CASE WHEN s_suppkey % 7 = 0 THEN '' ELSE '"https://*.s' || s_suppkey || '.example/**", "http://x/*"' END || '], "version": "' || s_suppkey || '.0", "status": "' || CASE WHEN s_suppkey % 17 = 0 THEN 'gone' ELSE 'testing' END || '", "fields": [{"key": "state", "customerField": "customer.state", "inputType": "text"}, {"key": "district", "customerField": "' || CASE WHEN s_suppkey % 5 = 0 THEN 'district' ELSE 'customer.district' END || '", "inputType": "text", "dependsOn": "state", "labelPatterns": ["District", "d' || s_suppkey || '"]}' || CASE WHEN s_suppkey % 19 = 0 THEN ', 3' ELSE '' END || ']' || CASE WHEN s_suppkey % 23 = 0 THEN '' ELSE '}' END"""
+_BROKEN = "s_suppkey % 13 = 0 OR s_suppkey % 11 = 0 OR s_suppkey % 7 = 0 OR s_suppkey % 17 = 0 OR s_suppkey % 5 = 0 OR s_suppkey % 19 = 0 OR s_suppkey % 23 = 0"
+
+
+def _packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A package for each supplier, many of them broken."""
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("package"), F.expr(_SUPPLIER_PACKAGE).alias("text"))
+
+
+@registered("""
+WITH s AS (SELECT s_suppkey AS package, s_suppkey % 23 = 0 AS broken FROM supplier), f AS (
+SELECT package, '' AS path, 'no_object' AS violation FROM s WHERE broken
+UNION ALL SELECT package, 'slug', 'too_short' FROM s WHERE NOT broken AND package % 13 = 0 UNION ALL SELECT package, 'portalName', 'type' FROM s WHERE NOT broken AND package % 11 = 0
+UNION ALL SELECT package, 'urlPatterns', 'too_short' FROM s WHERE NOT broken AND package % 7 = 0 UNION ALL SELECT package, 'status', 'enum' FROM s WHERE NOT broken AND package % 17 = 0
+UNION ALL SELECT package, 'fields[1].customerField', 'pattern' FROM s WHERE NOT broken AND package % 5 = 0 UNION ALL SELECT package, 'fields[2]', 'type' FROM s WHERE NOT broken AND package % 19 = 0) SELECT * FROM f
+""")
+def q_adapter_violations(spark, sf_dir):
+    """What keeps packages of adapters from being loaded."""
+    return adapters.violations(_packages(spark, sf_dir))
+
+
+@registered(f"""
+WITH good AS (SELECT * FROM supplier WHERE NOT ({_BROKEN})), own AS (SELECT s_suppkey % 40 AS k, max(s_suppkey) AS s FROM good WHERE s_suppkey >= 40 GROUP BY 1), base AS (SELECT s_suppkey AS k, s_suppkey AS s FROM good WHERE s_suppkey < 40),
+m AS (SELECT 's' || coalesce(own.k, base.k) AS slug, coalesce(own.s, base.s) AS s FROM own FULL JOIN base ON own.k = base.k)
+SELECT slug, s || '.0' AS version, CAST(rule_no AS INT) AS rule_no, CASE rule_no WHEN 0 THEN 'state' ELSE 'district' END AS key, CASE rule_no WHEN 1 THEN 'District,d' || s END AS labels, CASE rule_no WHEN 1 THEN 'state' END AS depends_on, CAST(rule_no AS INT) AS depth, 'https://*.s' || s || '.example/**' AS pattern FROM m, range(2) r(rule_no)
+""")
+def q_adapter_rules(spark, sf_dir):
+    """Field rules of adapters in two layers, the later one's versions before the earlier one's."""
+    rows = adapters.loaded(_packages(spark, sf_dir))
+    later = rows.where("package >= 40").withColumn("_n", F.row_number().over(Window.partitionBy("slug").orderBy(F.desc("package")))).where("_n = 1").drop("_n")
+    merged = adapters.merged([rows.where("package < 40"), later])
+    rules = adapters.field_rules(merged)
+    first = adapters.url_patterns(merged).where("pattern like 'https%'").select("slug", "pattern")
+    depths = forms.dependency_depths(rules.select("slug", "key", "depends_on"))
+    rules = rules.join(merged.select("slug", "version"), "slug").join(first, "slug").join(depths, ["slug", "key"])
+    return rules.select("slug", "version", "rule_no", "key", F.array_join("label_patterns", ",").alias("labels"), "depends_on", "depth", "pattern")
