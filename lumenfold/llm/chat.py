@@ -9,9 +9,10 @@ Messages are rows (conv_id, turn, role, text). A text may be a JSON object in pl
 Calls and results are joined by (conversation, identifier) with a hash join. Calls are ordered topologically: a
 call's level is one more than the highest level among the calls that it depends on, found in rounds of joins that
 touch only unsettled calls; results stand right after the calls that they answer. Arguments are checked against the
-schema of the tool's name at every level of nesting (type, one or a list; enum; minimum and maximum; required;
-properties; additionalProperties false; items), by rows of values joined to rows of schemas. Each conversation becomes
-one canonical JSON array: object keys sorted, no blanks, members without a value left out.
+schema of the tool's name at every level of nesting (type, one or a list; enum; const; bounds of numbers, lengths, items
+and members; required; properties; additionalProperties; items; allOf), by rows of values joined to rows of schemas.
+Arguments that meet all this under a schema with other keywords (patterns, references, alternatives and so on) get no
+verdict. Each conversation becomes one canonical JSON array: object keys sorted, no blanks, members without a value left out.
 
 Defined results: missing arguments are an empty object; arguments that are no JSON stay as a JSON string and are not
 valid, nor are those that are no object where the tool has a schema; other members of such messages than those above
@@ -34,7 +35,9 @@ from .work import scoped, table
 
 _CALL = "struct<content:string,tool_calls:array<struct<id:string,name:string,arguments:string,depends_on:array<string>>>,tool_call_id:string,tools:array<struct<name:string,parameters:string>>>"
 
-# JSON Schema's type names, by what schema_of_variant says of a value.
+# Keywords of JSON Schema that are checked and those that ask for nothing; its type names, by what schema_of_variant says of a value.
+_CHECKED = "type enum const minimum maximum exclusiveMinimum exclusiveMaximum minLength maxLength minItems maxItems minProperties maxProperties required properties additionalProperties items allOf".split()
+_NOTES = "title description default examples deprecated readOnly writeOnly format $schema $id $comment $defs definitions".split()
 _TYPES = {"string": "^STRING$", "number": "^(BIGINT|DOUBLE|FLOAT|DECIMAL)", "boolean": "^BOOLEAN$", "object": "^OBJECT", "array": "^ARRAY", "null": "^VOID$"}
 
 
@@ -92,34 +95,56 @@ def _is(value: Column, kind: str) -> Column:
 
 
 def _meets(value: Column, schema: Column) -> Column:
-    """Whether a variant meets a schema at its own level: type, enum, minimum, maximum, required, additionalProperties."""
+    """Whether a variant meets a schema at its own level: all of _CHECKED but what asks its members or elements."""
     kinds = F.coalesce(F.try_variant_get(schema, "$.type", "array<string>"), F.array(F.try_variant_get(schema, "$.type", "string")))
     known = F.filter(kinds, lambda k: k.isin(*_TYPES, "integer"))
     of_type = (F.size(known) == 0) | reduce(lambda x, y: x | y, [F.array_contains(known, k) & _is(value, k) for k in (*_TYPES, "integer")])
     number = F.when(_is(value, "number"), F.try_variant_get(value, "$", "double"))
     literals = F.from_json(F.to_json(F.try_variant_get(schema, "$.enum", "variant")), "array<variant>")
-    listed = F.exists(literals, lambda e: (F.to_json(e) == F.to_json(value)) | F.coalesce(_is(e, "number") & (F.try_variant_get(e, "$", "double") == number), F.lit(False)))
-    bounds = F.coalesce(number >= F.try_variant_get(schema, "$.minimum", "double"), F.lit(True)) & F.coalesce(number <= F.try_variant_get(schema, "$.maximum", "double"), F.lit(True))
+    same = lambda e: (F.to_json(e) == F.to_json(value)) | F.coalesce(_is(e, "number") & (F.try_variant_get(e, "$", "double") == number), F.lit(False))
+    listed, const = F.exists(literals, same), F.try_variant_get(schema, "$.const", "variant")
+    bound = lambda name: F.when(_is(F.try_variant_get(schema, f"$.{name}", "variant"), "number"), F.try_variant_get(schema, f"$.{name}", "double"))
+    within = lambda size, low, high: F.coalesce(size >= bound(low), F.lit(True)) & F.coalesce(size <= bound(high), F.lit(True))
+    inside = F.coalesce(number > bound("exclusiveMinimum"), F.lit(True)) & F.coalesce(number < bound("exclusiveMaximum"), F.lit(True))
+    length, items = F.when(_is(value, "string"), F.length(F.try_variant_get(value, "$", "string"))), F.json_array_length(F.to_json(value))
+    bounds = inside & within(number, "minimum", "maximum") & within(length, "minLength", "maxLength") & within(items, "minItems", "maxItems")
     none = F.array().cast("array<string>")
     keys = F.coalesce(F.json_object_keys(F.to_json(value)), none)
     required = F.coalesce(F.try_variant_get(schema, "$.required", "array<string>"), none)
     own = F.coalesce(F.json_object_keys(F.to_json(F.try_variant_get(schema, "$.properties", "variant"))), none)
     closed = F.coalesce(~F.try_variant_get(schema, "$.additionalProperties", "boolean"), F.lit(False))
-    shaped = ~_is(value, "object") | ((F.size(F.array_except(required, keys)) == 0) & (~closed | (F.size(F.array_except(keys, own)) == 0)))
-    return of_type & F.coalesce(listed, literals.isNull()) & bounds & shaped
+    shaped = ~_is(value, "object") | (within(F.size(keys), "minProperties", "maxProperties") & (F.size(F.array_except(required, keys)) == 0) & (~closed | (F.size(F.array_except(keys, own)) == 0)))
+    whole = of_type & F.coalesce(listed, literals.isNull()) & F.coalesce(same(const), const.isNull()) & bounds & shaped
+    return F.when(_is(schema, "boolean"), F.try_variant_get(schema, "$", "boolean")).otherwise(whole)
+
+
+def _unsure(schema: Column) -> Column:
+    """Whether a schema asks for what is not checked at its own level."""
+    keys = F.coalesce(F.json_object_keys(F.to_json(schema)), F.array().cast("array<string>"))
+    other = F.size(F.array_except(keys, F.array(*map(F.lit, (*_CHECKED, *_NOTES))))) > 0
+    is_ = lambda name, kind: F.coalesce(_is(F.try_variant_get(schema, f"$.{name}", "variant"), kind), F.lit(False))
+    return other | is_("items", "array") | is_("exclusiveMinimum", "boolean") | is_("exclusiveMaximum", "boolean")
+
+
+def _nested(schema: Column) -> Column:
+    """Whether a schema has others for members, elements or the value itself."""
+    part = lambda name: F.try_variant_get(schema, f"$.{name}", "variant")
+    return part("properties").isNotNull() | part("items").isNotNull() | part("allOf").isNotNull() | _is(part("additionalProperties"), "object")
 
 
 def _children(rows: DataFrame) -> DataFrame:
-    """rows: (call, value, schema). The members of objects and the elements of arrays that have a schema of their own."""
+    """rows: (call, value, schema). The members of objects and the elements of arrays that have a schema of their own, and values again with each schema that they have to meet besides."""
     spark = rows.sparkSession
     members = lambda df, c: df.lateralJoin(spark.tvf.variant_explode(F.col(c).outer()))
-    path = rows.select(F.monotonically_increasing_id().alias("at"), "call", "value", F.try_variant_get("schema", "$.properties", "variant").alias("properties"), F.try_variant_get("schema", "$.items", "variant").alias("items"))
-    path = table(path.where("properties is not null or items is not null"))
-    objects = path.where(F.col("properties").isNotNull() & _is(F.col("value"), "object")).select("at", "call", F.col("value").alias("v"), "properties")
-    values = members(objects.select("at", "call", "v"), "v").select("at", "call", F.col("key").alias("k"), "value")
-    schemas = members(objects.select("at", "properties"), "properties").select("at", F.col("key").alias("k"), F.col("value").alias("schema"))
+    path = rows.select(F.monotonically_increasing_id().alias("at"), "call", "value", F.try_variant_get("schema", "$.properties", "variant").alias("properties"), F.try_variant_get("schema", "$.items", "variant").alias("items"), F.try_variant_get("schema", "$.allOf", "variant").alias("all_of"), F.try_variant_get("schema", "$.additionalProperties", "variant").alias("others"), _nested(F.col("schema")).alias("nested"))
+    path = table(path.where("nested").withColumn("others", F.when(_is(F.col("others"), "object"), F.col("others"))))
+    objects = path.where((F.col("properties").isNotNull() | F.col("others").isNotNull()) & _is(F.col("value"), "object")).select("at", "call", F.col("value").alias("v"), "properties", "others")
+    values = members(objects.select("at", "call", "v", "others"), "v").select("at", "call", F.col("key").alias("k"), "value", "others")
+    schemas = members(objects.where("properties is not null").select("at", "properties"), "properties").select("at", F.col("key").alias("k"), F.col("value").alias("schema"))
     arrays = path.where(F.col("items").isNotNull() & _is(F.col("value"), "array")).select("call", F.col("value").alias("v"), F.col("items").alias("schema"))
-    return values.join(schemas, ["at", "k"]).select("call", "value", "schema").unionByName(members(arrays, "v").select("call", "value", "schema"))
+    besides = members(path.where(_is(F.col("all_of"), "array")).select("call", F.col("value").alias("own"), "all_of"), "all_of").select("call", F.col("own").alias("value"), F.col("value").alias("schema"))
+    own = values.where("k is not null").join(schemas, ["at", "k"], "left").select("call", "value", F.coalesce("schema", "others").alias("schema")).where("schema is not null")
+    return own.unionByName(members(arrays, "v").where("value is not null").select("call", "value", "schema")).unionByName(besides.where("schema is not null"))
 
 
 def _validated(calls: DataFrame, messages: DataFrame) -> DataFrame:
@@ -130,11 +155,13 @@ def _validated(calls: DataFrame, messages: DataFrame) -> DataFrame:
     call = F.struct("conv_id", "at", "nth")
     rows = calls.join(tools, F.col("conv_id").eqNullSafe(F.col("c2")) & (F.col("name") == F.col("n2"))).select(call.alias("call"), F.try_parse_json("arguments").alias("value"), "schema")
     checked, level = [], table(rows)
-    checked.append(level.select("call", (_is(F.col("value"), "object") & _meets(F.col("value"), F.col("schema"))).alias("ok")))
-    while level.where("cast(schema:properties as variant) is not null or cast(schema:items as variant) is not null").take(1):
+    unsure = _unsure(F.col("schema")).alias("unsure")
+    checked.append(level.select("call", (_is(F.col("value"), "object") & _meets(F.col("value"), F.col("schema"))).alias("ok"), unsure))
+    while level.where(_nested(F.col("schema"))).take(1):
         level = table(_children(level))
-        checked.append(level.select("call", _meets(F.col("value"), F.col("schema")).alias("ok")))
-    verdicts = reduce(DataFrame.unionByName, checked).groupBy("call").agg(F.bool_and(F.coalesce("ok", F.lit(False))).alias("meets"))
+        checked.append(level.select("call", _meets(F.col("value"), F.col("schema")).alias("ok"), unsure))
+    meets = F.bool_and(F.coalesce("ok", F.lit(False)))
+    verdicts = reduce(DataFrame.unionByName, checked).groupBy("call").agg(F.when(meets & F.bool_or("unsure"), None).otherwise(meets).alias("meets"))
     found = calls.join(verdicts, F.col("conv_id").eqNullSafe(F.col("call.conv_id")) & (F.col("at") == F.col("call.at")) & (F.col("nth") == F.col("call.nth")), "left").drop("call")
     return found.withColumn("valid", F.when(F.col("broken"), F.lit(False)).otherwise(F.col("meets"))).drop("meets", "broken")
 

@@ -64,24 +64,34 @@ def test_chat(spark):
     assert got[None].chat == "[{}]" and got[2].n_messages == 2 and got[2].n_calls == 0
 
 
-def meets(value, schema):
-    """A plain validator of what the operator checks."""
+def plain_verdict(value, schema):
+    """A plain validator of what the operator checks: (whether it is met, whether something was not checked)."""
+    if isinstance(schema, bool):
+        return schema, False
     kinds = schema.get("type", [])
     kinds = kinds if isinstance(kinds, list) else [kinds]
     number = isinstance(value, (int, float)) and not isinstance(value, bool)
     of = {"string": isinstance(value, str), "number": number, "integer": number and value == int(value), "boolean": isinstance(value, bool), "object": isinstance(value, dict), "array": isinstance(value, list), "null": value is None}
-    if kinds and not any(of[k] for k in kinds):
-        return False
-    if "enum" in schema and not any(type(value) is type(e) and value == e for e in schema["enum"]):
-        return False
-    if number and not schema.get("minimum", value) <= value <= schema.get("maximum", value):
-        return False
+    met = not kinds or any(of[k] for k in kinds)
+    same = lambda e: isinstance(value, bool) == isinstance(e, bool) and (type(value) is type(e) or (number and isinstance(e, (int, float)))) and value == e
+    met &= "enum" not in schema or any(same(e) for e in schema["enum"])
+    met &= "const" not in schema or same(schema["const"])
+    for kind, size, low, high in ((number, value, "minimum", "maximum"), (isinstance(value, str), value, "minLength", "maxLength"), (isinstance(value, list), value, "minItems", "maxItems"), (isinstance(value, dict), value, "minProperties", "maxProperties")):
+        if kind:
+            size = size if number else len(size)
+            met &= schema.get(low, size) <= size <= schema.get(high, size)
+    if number:
+        met &= "exclusiveMinimum" not in schema or value > schema["exclusiveMinimum"]
+    unsure = bool({"pattern", "anyOf", "$ref", "not"} & set(schema))
+    parts = [(value, s) for s in schema.get("allOf", [])]
     if isinstance(value, dict):
-        own = schema.get("properties", {})
-        if set(schema.get("required", [])) - set(value) or (schema.get("additionalProperties") is False and set(value) - set(own)):
-            return False
-        return all(meets(v, own[k]) for k, v in value.items() if k in own)
-    return all(meets(v, schema["items"]) for v in value) if isinstance(value, list) and "items" in schema else True
+        own, others = schema.get("properties", {}), schema.get("additionalProperties", True)
+        met &= not set(schema.get("required", [])) - set(value) and not (others is False and set(value) - set(own))
+        parts += [(v, own[k] if k in own else others) for k, v in value.items() if k in own or isinstance(others, dict)]
+    if isinstance(value, list) and "items" in schema:
+        parts += [(v, schema["items"]) for v in value]
+    found = [plain_verdict(*p) for p in parts]
+    return met and all(m for m, _ in found), unsure or any(u for _, u in found)
 
 
 def test_chat_validates_and_orders_generated_calls(spark):
@@ -100,21 +110,29 @@ def test_chat_validates_and_orders_generated_calls(spark):
             s["type"] = rng.choice([rng.choice(types), rng.sample(types, 3)])
         if rng.random() < 0.15:
             s["enum"] = [value(0) for _ in range(3)]
-        if rng.random() < 0.2:
-            s["minimum"] = 1
+        for name, low in (("minimum", 1), ("exclusiveMinimum", 0), ("minLength", 1), ("maxItems", 1), ("maxProperties", 1)):
+            if rng.random() < 0.1:
+                s[name] = low
+        if rng.random() < 0.05:
+            s["const"] = value(1)
+        if rng.random() < 0.06:
+            s |= rng.choice([{"pattern": "("}, {"anyOf": []}, {"$ref": "#/x"}, {"description": "d", "format": "f"}])
+        if depth and rng.random() < 0.1:
+            s["allOf"] = [schema(depth - 1), True]
         if depth:
-            s |= rng.choice([{}, {"properties": {k: schema(depth - 1) for k in "xy"}}, {"items": schema(depth - 1)}, {"properties": {"x": schema(depth - 1)}, "required": ["x"], "additionalProperties": False}])
+            s |= rng.choice([{}, {"properties": {k: schema(depth - 1) for k in "xy"}}, {"items": schema(depth - 1)}, {"properties": {"x": schema(depth - 1)}, "required": ["x"], "additionalProperties": False}, {"properties": {"x": schema(depth - 1)}, "additionalProperties": schema(depth - 1)}, {"properties": {"x": rng.random() < 0.8}}])
         return s
 
     rows, want = [], {}
-    for conv in range(120):
+    for conv in range(250):
         tool = {"properties": {k: schema(2) for k in "xyz"}} | rng.choice([{}, {"required": ["x"]}, {"additionalProperties": False}])
         args = {k: value(2) for k in rng.sample("xyzw", 2)}
         ids = [f"c{i}" for i in range(4)]
         needs = {i: rng.sample(ids[:n], min(n, 1)) for n, i in enumerate(ids)}
         calls = [{"id": i, "name": "f", "arguments": args, "depends_on": needs[i]} for i in rng.sample(ids, 4)]
         rows += [(conv, 0, "system", json.dumps({"tools": [{"name": "f", "parameters": tool}]})), (conv, 1, "assistant", json.dumps({"content": "", "tool_calls": calls}))]
-        want[conv] = (meets(args, tool), needs)
+        met, unsure = plain_verdict(args, tool)
+        want[conv] = (None if met and unsure else met, needs)
     rows.append((500, 0, "assistant", '{"tool_calls":[{"id":"a","name":"g","arguments":"{\\"x\\": 1"}]}'))
     for r in chat.format_chat(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect():
         calls = [c for m in json.loads(r.chat) for c in m.get("tool_calls", [])]
@@ -122,7 +140,7 @@ def test_chat_validates_and_orders_generated_calls(spark):
             assert calls == [{"id": "a", "name": "g", "arguments": '{"x": 1', "valid": False}]
             continue
         ok, needs = want[r.conv_id]
-        assert [c["valid"] for c in calls] == [ok] * 4, rows[2 * r.conv_id : 2 * r.conv_id + 2]
+        assert [c.get("valid") for c in calls] == [ok] * 4, rows[2 * r.conv_id : 2 * r.conv_id + 2]
         place = {c["id"]: i for i, c in enumerate(calls)}
         assert len(place) == 4 and all(place[n] < place[i] for i in needs for n in needs[i])
 
