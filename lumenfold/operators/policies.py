@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .security import ADMIN, BILLING_MANAGE, BILLING_VIEW, READ, SCOPES, WRITE
@@ -61,6 +61,37 @@ def permitted(rows: DataFrame, table: str, action: str, members: DataFrame, gran
     return rows.join(own.distinct().withColumn("_member", F.lit(True)), "org", "left").where(open_to | F.col("_member").isNotNull()).select(*rows.columns)
 
 
+def _policy_rows(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """The policies as relations: (table, action, role), and (table, opening) of what else opens rows to reading."""
+    roles = [(t, a, r) for t, p in POLICIES.items() for a, own in zip(ACTIONS, p, strict=False) for r in own or ()]
+    opened = [(t, p[4]) for t, p in POLICIES.items() if p[4]]
+    return spark.createDataFrame(roles, "table string, action string, role string"), spark.createDataFrame(opened, "table string, opening string")
+
+
+def permitted_to_all(rows: DataFrame, members: DataFrame, grants: DataFrame, users: DataFrame, as_of: Column) -> DataFrame:
+    """Who may do what to which rows: (user_id, table, action, row_id), for all of users (user_id) and all tables at once.
+
+    rows: (table, row_id, org, user_id, granted_to), the last two null where the table has no such column. The policies
+    are relations that meet members by role and grants by scope; what they give meets the rows by table and organisation.
+    Rows of no organisation in tables that everybody may read are given to every user, by the table.
+    """
+    roles, opened = (F.broadcast(x) for x in _policy_rows(rows.sparkSession))  # some hundred fixed rows
+    asked = users.select("user_id").distinct()
+    by_role = members.where("status = 'active'").join(asked, "user_id").join(roles, "role").select("user_id", "org", "table", "action")
+    scopes = F.broadcast(rows.sparkSession.createDataFrame([(o, s) for o, own in SCOPES.items() for s in own], "opening string, scope string"))
+    live = grants.where(F.col("revoked_at").isNull() & (F.col("expires_at") > as_of)).select(F.col("granted_to").alias("user_id"), "org", "scope").join(asked, "user_id")
+    by_scope = live.join(scopes, "scope").join(opened, "opening").select("user_id", "org", "table", F.lit("select").alias("action"))
+    ways = by_role.unionByName(by_scope).distinct()
+    found = rows.select("table", "row_id", "org").join(ways, ["table", "org"]).select("user_id", "table", "action", "row_id")
+    reading = rows.join(opened, "table").withColumn("action", F.lit("select"))
+    own = F.when(F.col("opening") == "user_id", F.col("user_id")).when(F.col("opening") == "granted_to", F.col("granted_to"))
+    mine = reading.withColumn("user_id", own).join(asked, "user_id").select("user_id", "table", "action", "row_id")
+    shared = opened.where("opening = 'global'").select("table")
+    readers = asked.withColumn("table", F.explode(F.array(*[F.lit(t) for t, p in POLICIES.items() if p[4] == "global"])))
+    everyone = rows.where("org is null").join(shared, "table").select("table", "row_id").join(readers, "table").select("user_id", "table", F.lit("select").alias("action"), "row_id")
+    return found.unionByName(mine).unionByName(everyone).distinct()
+
+
 def may_assign(actor_role: Column, role: Column) -> Column:
     """Whether a member of one role may give another; never where either is null."""
     allowed = F.lit(False)

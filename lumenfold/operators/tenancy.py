@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stored import stored
 from .metering import megabytes
 from .snapshots import keep_latest
 
@@ -31,14 +32,30 @@ def expired(created: Column, preset: Column, as_of: Column) -> Column:
     return F.coalesce(created < F.add_months(as_of, -months), F.lit(False))
 
 
+def numbered(rows: DataFrame, key: str, *order: Column) -> DataFrame:
+    """rows with nth, from 1 within their key in the given order (name a tie-break in it).
+
+    Two passes: ranges of (key, order) are numbered apart, then shifted by what their key has in the ranges before. A
+    key that most rows have is spread over as many tasks as there are ranges.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = stored(rows.repartitionByRange(parts, F.col(key), *order).withColumn("_part", F.spark_partition_id()))
+    sizes = placed.groupBy(key, "_part").agg(F.count("*").alias("_n"))
+    # a row for each range that a key reaches into
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(F.col(key).alias("_key"), F.col("_part").alias("_of"), before.alias("_before"))
+    nth = F.row_number().over(Window.partitionBy(key, "_part").orderBy(*order))
+    found = placed.withColumn("nth", nth).join(sizes, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_of")))
+    return found.withColumn("nth", F.col("nth") + F.col("_before")).drop("_part", "_key", "_of", "_before")
+
+
 def customer_codes(customers: DataFrame, *order: Column) -> DataFrame:
     """customers: (org, customer_code, ...). Those without a code get the organisation's next ones: C and five digits, after the largest given."""
-    rows = customers.withColumn("_new", F.isnull("customer_code"))
-    last = F.max(F.when(F.col("customer_code").rlike("^C[0-9]+$"), F.substring("customer_code", 2, 1 << 30).cast("long"))).over(Window.partitionBy("org"))
-    nth = F.row_number().over(Window.partitionBy("org", "_new").orderBy(*order))
-    code = F.concat(F.lit("C"), F.lpad((F.coalesce(F.col("_last"), F.lit(0)) + F.col("_nth")).cast("string"), 5, "0"))
-    rows = rows.withColumns({"_last": last, "_nth": nth})
-    return rows.withColumn("customer_code", F.when(F.col("_new"), code).otherwise(F.col("customer_code"))).drop("_new", "_last", "_nth")
+    number = F.when(F.col("customer_code").rlike("^C[0-9]+$"), F.substring("customer_code", 2, 1 << 30).cast("long"))
+    last = customers.groupBy(F.col("org").alias("_org")).agg(F.max(number).alias("_last"))
+    fresh = numbered(customers.where("customer_code is null"), "org", *order).join(last, F.col("org").eqNullSafe(F.col("_org")), "left")
+    code = F.concat(F.lit("C"), F.lpad((F.coalesce(F.col("_last"), F.lit(0)) + F.col("nth")).cast("string"), 5, "0"))
+    return customers.where("customer_code is not null").unionByName(fresh.withColumn("customer_code", code).select(*customers.columns))
 
 
 def wiped(tables: dict[str, DataFrame], org: Column) -> dict[str, DataFrame]:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import normalize as N
 from ..functions import privacy as P
 from ..functions import text as T
-from ..operators import dashboard, extraction, field_match, forms, lifecycle, metering, records, security, snapshots
+from ..operators import dashboard, extraction, field_match, forms, lifecycle, metering, policies, records, security, snapshots
 from ..sources import adapters, seeded
 from ..sources.tables import table
 from .catalogue import _rows, registered
@@ -277,3 +277,28 @@ def q_adapter_rules(spark, sf_dir):
     depths = forms.dependency_depths(rules.select("slug", "key", "depends_on"))
     rules = rules.join(merged.select("slug", "version"), "slug").join(first, "slug").join(depths, ["slug", "key"])
     return rules.select("slug", "version", "rule_no", "key", F.array_join("label_patterns", ",").alias("labels"), "depends_on", "depth", "pattern")
+
+
+_TABLES = list(policies.POLICIES)
+_ROLE_ROWS = _rows([(t, a, r) for t, p in policies.POLICIES.items() for a, own in zip(policies.ACTIONS, p, strict=False) for r in own or ()])
+_OPEN_ROWS = _rows([(t, p[4]) for t, p in policies.POLICIES.items() if p[4]])
+_SCOPE_ROWS = _rows([(o, s) for o, own in security.SCOPES.items() for s in own])
+
+
+@registered(f"""
+WITH members AS (SELECT 'u' || user_id % 25 AS user_id, org, role, status FROM ({_MEMBERS}) WHERE org < 6), p(t, action, role) AS ({_ROLE_ROWS}), o(t, opening) AS ({_OPEN_ROWS}), sc(opening, scope) AS ({_SCOPE_ROWS}),
+rows AS (SELECT {_TABLES}[CAST(s_suppkey % 23 AS INT) + 1] AS t, s_suppkey AS row_id, CASE WHEN s_suppkey % 8 > 0 THEN s_suppkey % 8 END AS org, 'u' || s_suppkey % 25 AS owner FROM supplier), users AS (SELECT DISTINCT user_id FROM members),
+grants AS (SELECT 'u' || s_suppkey % 20 AS user_id, s_suppkey % 8 AS org, ['metadata', 'customer_records', 'documents'][CAST(s_suppkey % 3 AS INT) + 1] AS scope FROM supplier WHERE s_suppkey % 4 > 1)
+SELECT user_id, rows.t AS "table", action, row_id FROM rows JOIN p ON p.t = rows.t JOIN members m ON m.org = rows.org AND m.role = p.role AND m.status = 'active'
+UNION SELECT g.user_id, rows.t, 'select', row_id FROM rows JOIN o ON o.t = rows.t JOIN sc ON sc.opening = o.opening JOIN grants g ON g.org = rows.org AND g.scope = sc.scope JOIN users u ON u.user_id = g.user_id
+UNION SELECT owner, rows.t, 'select', row_id FROM rows JOIN o ON o.t = rows.t AND o.opening IN ('user_id', 'granted_to') JOIN users u ON u.user_id = owner
+UNION SELECT u.user_id, rows.t, 'select', row_id FROM rows JOIN o ON o.t = rows.t AND o.opening = 'global' AND rows.org IS NULL CROSS JOIN users u
+""")
+def q_policies_of_all(spark, sf_dir):
+    """Who may do what to which rows of the 23 tables, for all users at once."""
+    key = F.col("s_suppkey")
+    members = _members(spark, sf_dir).where("org < 6").withColumn("user_id", F.concat(F.lit("u"), F.col("user_id") % 25))
+    suppliers, owner = table(spark, sf_dir, "supplier"), F.concat(F.lit("u"), key % 25)
+    rows = suppliers.select(_pick(key % 23, *_TABLES).alias("table"), key.alias("row_id"), F.when(key % 8 > 0, key % 8).alias("org"), owner.alias("user_id"), owner.alias("granted_to"))
+    grants = suppliers.select(F.concat(F.lit("u"), key % 20).alias("granted_to"), (key % 8).alias("org"), _pick(key % 3, "metadata", "customer_records", "documents").alias("scope"), F.when(key % 4 == 0, "2020-01-01").otherwise("2030-01-01").alias("expires_at"), F.when(key % 4 == 1, "2024-01-01").alias("revoked_at"))
+    return policies.permitted_to_all(rows, members, grants, members, F.lit("2024-06-01"))
