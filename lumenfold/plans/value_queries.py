@@ -9,7 +9,7 @@ from ..functions import normalize as N
 from ..functions import privacy as P
 from ..functions import text as T
 from ..operators import dashboard, extraction, field_match, forms, lifecycle, metering, policies, records, security, snapshots
-from ..sources import adapters, seeded
+from ..sources import adapters, ocr, seeded
 from ..sources.tables import table
 from .catalogue import _rows, registered
 
@@ -302,3 +302,23 @@ def q_policies_of_all(spark, sf_dir):
     rows = suppliers.select(_pick(key % 23, *_TABLES).alias("table"), key.alias("row_id"), F.when(key % 8 > 0, key % 8).alias("org"), owner.alias("user_id"), owner.alias("granted_to"))
     grants = suppliers.select(F.concat(F.lit("u"), key % 20).alias("granted_to"), (key % 8).alias("org"), _pick(key % 3, "metadata", "customer_records", "documents").alias("scope"), F.when(key % 4 == 0, "2020-01-01").otherwise("2030-01-01").alias("expires_at"), F.when(key % 4 == 1, "2024-01-01").alias("revoked_at"))
     return policies.permitted_to_all(rows, members, grants, members, F.lit("2024-06-01"))
+
+
+_BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160)"
+
+
+@registered(f"""
+WITH o AS (SELECT doc_id, lang = 'en' AS agreed, CASE WHEN lang = 'en' THEN coalesce(text, '') ELSE '' END AS t FROM documents), p AS (SELECT doc_id, agreed, list_filter(list_transform(regexp_split_to_array(t, '\\n\\s*\\n'), lambda x: trim(x, {_BLANKS})), lambda x: x <> '') AS parts FROM o),
+b AS (SELECT doc_id, unnest(parts) AS text, unnest(range(len(parts))) AS block_no FROM p), h AS (SELECT *, 18 * len(string_split(text, chr(10))) AS height FROM b)
+SELECT doc_id AS document_id, CAST(block_no AS INT) AS block_no, text, 60 AS x0, CAST(60 + coalesce(sum(height + 14) OVER (PARTITION BY doc_id ORDER BY block_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS y0,
+  760 AS x1, CAST(60 + height + coalesce(sum(height + 14) OVER (PARTITION BY doc_id ORDER BY block_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS y1, CAST(NULL AS VARCHAR) AS error FROM h
+UNION ALL SELECT doc_id, NULL, NULL, NULL, NULL, NULL, NULL, 'AI_PROCESSING_NOT_ENABLED' FROM o WHERE agreed IS NOT TRUE
+""")
+def q_document_blocks(spark, sf_dir):
+    """Documents as stored objects, read by a provider that needs consent, as blocks with boxes, and those that it may not read."""
+    objects = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), F.concat(F.lit("d"), "doc_id", F.lit(".txt")).alias("filename"), F.lit("text/plain").alias("mime_type"), F.col("text").cast("binary").alias("content"), (F.col("lang") == "en").alias("ai_enabled"))
+    read = ocr.read_by(objects, ocr.Provider("plain", lambda content, kind, name: content.cast("string"), off_box=True))
+    found = ocr.blocks(read.select("document_id", F.col("raw_text").alias("text"))).drop("page", "confidence")
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in found.schema.fields if f.name != "document_id"]
+    refused = read.where("error is not null").select("document_id", *none, "error")
+    return found.withColumn("error", F.lit(None).cast("string")).unionByName(refused)

@@ -114,7 +114,7 @@ def test_ocr(spark):
     known = spark.createDataFrame([("b.png", "known text")], "filename string, text string")
     text = {r.document_id: r.text for r in ocr.recognised(docs, known).collect()}
     assert text == {"a": "Name: A\n\nDOB: B\nC", "b": "known text", "c": ""}
-    assert [(r.text, r.y) for r in ocr.blocks(ocr.recognised(docs, known)).where("document_id = 'a'").orderBy("block_no").collect()] == [("Name: A", 0), ("DOB: B\nC", 1)]
+    assert [(r.text, r.y0, r.y1) for r in ocr.blocks(ocr.recognised(docs, known)).where("document_id = 'a'").orderBy("block_no").collect()] == [("Name: A", 60, 78), ("DOB: B\nC", 92, 128)]
 
 
 def test_single_rows(spark):
