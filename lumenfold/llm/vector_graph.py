@@ -120,7 +120,7 @@ def build_graph(points: np.ndarray, seed: int = 0) -> tuple[np.ndarray, int]:
         for low in range(0, int(count.max(initial=0)), BACK_EDGES):
             more = count > low
             ok = (place >= low) & (place < low + BACK_EDGES)
-            added = np.full((int(more.sum()), BACK_EDGES), -1)
+            added = np.full((int(more.sum()), min(BACK_EDGES, int(count.max()) - low)), -1)
             added[np.repeat(np.cumsum(more) - 1, count)[ok], place[ok] - low] = source[ok]
             graph[nodes[more]] = robust_prune(points, nodes[more], np.concatenate([graph[nodes[more]], added], 1), degree, ALPHA)
     return graph, entry
