@@ -54,14 +54,15 @@ def table(df: DataFrame) -> DataFrame:
 
 
 def scoped(f):
-    """f with its result written as a table (if it is a DataFrame) and all other tables that it made deleted. Use it where the result is small beside them."""
+    """f with its result written as a table (if it is a DataFrame and none yet) and all other tables that it made deleted. Use it where the result is small beside them."""
 
     @functools.wraps(f)
     def run(*args, **options):
         outer = _made.set(made := [])
         try:
             result = f(*args, **options)
-            result = table(result) if isinstance(result, DataFrame) else result
+            if isinstance(result, DataFrame) and not any(result is t for t in made):
+                result = table(result)
         finally:
             _made.reset(outer)
         for t in made:
