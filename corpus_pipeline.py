@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.llm import jaccard_join, line_dedup, mixing, sentencepiece_scan, toxicity
 from lumenfold.llm.queries import read, tokenizer_path
-from lumenfold.llm.work import table
+from lumenfold.llm.work import release, scoped, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -58,8 +58,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; every stage's result is a table in the shared folder."""
-    docs = read(spark, sf_dir, "documents")
+    """All stages over documents; every stage's result is a table in the shared folder, which goes with all others of its making when the next stage has ended."""
+    docs, made = read(spark, sf_dir, "documents"), []
     for _, stage in STAGES:
-        docs = table(stage(spark, docs, sf_dir))
+        docs = scoped(stage)(spark, docs, sf_dir)
+        for earlier in made:
+            release(earlier)
+        made = [docs]
     return docs
