@@ -165,13 +165,14 @@ def sanitize(fields: DataFrame, forbidden: tuple[str, ...] = ("customer.aadhaar"
     return kept.withColumns({"value": value, "source_text": mask_identifiers(F.col("source_text"))}).where(N.trim(F.col("value")) != "")
 
 
-def extract_fields(lines: DataFrame, rules: DataFrame | list[Row]) -> DataFrame:
+def extract_fields(lines: DataFrame, rules: DataFrame | list[Row], matched: DataFrame | None = None) -> DataFrame:
     """One field of each key of a document (FIELDS): the most confident line, else an identifier found without a label.
 
-    Identifiers are sought only for keys that some rule allows in the document's class. Empty tables give no rows.
+    matched: matched_lines of these lines and rules, where it has been made already. Identifiers are sought only for keys that some rule allows in the document's class. Empty tables give no rows.
     """
     rules = rule_rows(rules)
-    named = best_by_key(matched_lines(lines, rules).where("value is not null"))
+    matched = matched_lines(lines, rules) if matched is None else matched
+    named = best_by_key(matched.where("value is not null"))
     allowed = F.lit(False)
     for r in (r for r in rules if r["key"] in ("customer.pan", "customer.aadhaar_last4")):
         here = F.lit(True) if r["document_types"] is None else F.col("document_type").isin(*r["document_types"])

@@ -1,4 +1,7 @@
-"""Whole extractions: stored documents and pasted text, with fields, warnings in order, mean confidence and status."""
+"""Whole extractions: stored documents and pasted text, with fields, warnings in order, mean confidence and status.
+
+The rules meet each line once: what they match is kept as a table, from which come fields and warnings.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.privacy import has_identifier, mask_identifiers
 from ..functions.text import MOST_LINES, PAIR, fixed3, pasted_lines
+from ..sources.stored import stored
 from . import documents, extraction
 
 # The most characters of pasted text, the longest label, what a label alone must score, the key of a name.
@@ -45,11 +49,10 @@ def paired(rows: DataFrame, column: str, known: Callable[[Column], Column]) -> D
     return out.drop("_told", "_pairs")
 
 
-def _outcome(rows: DataFrame, lines: DataFrame, rules: list[Row], fields: DataFrame) -> DataFrame:
+def _outcome(rows: DataFrame, matched: DataFrame, fields: DataFrame) -> DataFrame:
     """rows (document_id, early: warnings so far, wants_name, no_text, ...) with warnings, confidence and status; a document without text has no further warnings."""
     of_fields = fields.groupBy("document_id").agg(F.count("*").alias("_n"), fixed3(F.avg("confidence")).alias("confidence"), F.bool_or(F.col("key") == NAME).alias("_named"), F.bool_or(F.col("status") == "needs_review").alias("_doubt"))
-    misread = extraction.matched_lines(lines, rules).where("value is null")
-    misread = misread.groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "key"))).alias("_bad"))
+    misread = matched.where("value is null").groupBy("document_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "key"))).alias("_bad"))
     out = rows.join(of_fields, "document_id", "left").join(misread, "document_id", "left")
     code = lambda name, key=None: F.struct(F.lit(name).alias("code"), (F.lit(None).cast("string") if key is None else key).alias("key"))
     late = F.array_compact(F.array(F.when(F.col("_n").isNull(), code("NO_FIELDS_FOUND")), F.when(F.col("wants_name") & ~F.coalesce("_named", F.lit(False)), code("NO_NAME_FOUND"))))
@@ -72,16 +75,17 @@ def pasted(texts: DataFrame, rules: DataFrame, allowed: list[str] | None = None)
     cut = texts.select("document_id", F.left(text, F.lit(MOST_PASTED)).alias("text"), (F.length(text) > MOST_PASTED).alias("_long"))
     cut = paired(cut.withColumn("_lines", pasted_lines(F.col("text"), None)), "_lines", known_label(rules))
     lines = documents.lines(cut.select("document_id", F.array_join("_lines", "\n").alias("text"))).withColumns({"document_type": F.lit("generic"), "ocr_confidence": F.lit(1.0)})
-    fields = extraction.extract_fields(lines, own)
+    matched = stored(extraction.matched_lines(lines, own))
+    fields = extraction.extract_fields(lines, own, matched)
     empty = F.size("_lines") == 0
     early = F.array_compact(F.array(F.when(F.col("_long"), "TEXT_TRUNCATED"), F.when(has_identifier(F.col("text")), "AADHAAR_REMOVED"), F.when(empty, "NO_TEXT")))
     wants = F.lit(any(r["key"] == NAME for r in own))
     rows = cut.select("document_id", F.size("_lines").alias("line_count"), early.alias("early"), wants.alias("wants_name"), empty.alias("no_text"))
-    return fields, _outcome(rows, lines, own, fields).drop("document_status")
+    return fields, _outcome(rows, matched, fields).drop("document_status")
 
 
-def extracted(stored: DataFrame, signals: DataFrame, rules: DataFrame, local: Callable[[Column], Column], remote: Callable[[Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
-    """stored: (document_id, content, filename, mime_type, hinted_type, ai_enabled). Fields, and a row for each document: document_id, document_type, classification_confidence, raw_text, confidence, warnings, status, document_status.
+def extracted(objects: DataFrame, signals: DataFrame, rules: DataFrame, local: Callable[[Column], Column], remote: Callable[[Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """objects: (document_id, content, filename, mime_type, hinted_type, ai_enabled). Fields, and a row for each document: document_id, document_type, classification_confidence, raw_text, confidence, warnings, status, document_status.
 
     local and remote read a text from content. A remote reader gets null, not the content, where the organisation has
     not agreed (ai_enabled is not true); the local one takes its place and a warning says so. raw_text has identifiers masked.
@@ -91,13 +95,14 @@ def extracted(stored: DataFrame, signals: DataFrame, rules: DataFrame, local: Ca
     text = local(F.col("content"))
     if remote is not None:
         text = F.when(agreed, remote(F.when(agreed, F.col("content")))).otherwise(text)
-    read = stored.select("document_id", text.alias("text"), "filename", "mime_type", "hinted_type", (F.lit(remote is not None) & ~agreed).alias("_kept_here"))
+    read = objects.select("document_id", text.alias("text"), "filename", "mime_type", "hinted_type", (F.lit(remote is not None) & ~agreed).alias("_kept_here"))
     typed = documents.classify(read, signals)
     lines = documents.lines(typed, keep=("document_type",)).withColumn("ocr_confidence", F.lit(1.0))
-    fields = extraction.extract_fields(lines, rules)
+    matched = stored(extraction.matched_lines(lines, rules))
+    fields = extraction.extract_fields(lines, rules, matched)
     early = F.array_compact(F.array(F.when(F.col("_kept_here"), "AI_PROCESSING_NOT_ENABLED"), F.when(F.col("document_type") == "unknown", "UNKNOWN_DOCUMENT_TYPE")))
     wants = F.lit(False)
     for r in (r for r in rules if r["key"] == NAME):
         wants |= F.lit(True) if r["document_types"] is None else F.col("document_type").isin(*r["document_types"])
     rows = typed.select("document_id", "document_type", F.col("confidence").alias("classification_confidence"), mask_identifiers(F.coalesce("text", F.lit(""))).alias("raw_text"), early.alias("early"), wants.alias("wants_name"), F.lit(False).alias("no_text"))
-    return fields, _outcome(rows, lines, rules, fields)
+    return fields, _outcome(rows, matched, fields)
