@@ -61,6 +61,12 @@ def test_mixing(spark, sf, docs):
     assert all(abs(taken[s] - target[s]) <= 1 for s in target)
 
 
+def test_mixing_without_broadcasts(spark, sf, monkeypatch):
+    want = sorted(map(tuple, queries()["op1_mixing"](spark, sf).collect()))
+    monkeypatch.setattr(mixing, "MOST_BROADCAST_SOURCES", 0)
+    assert sorted(map(tuple, queries()["op1_mixing"](spark, sf).collect())) == want
+
+
 def test_splitting_tree(spark):
     quotas = spark.createDataFrame([(0, 1000), (1, 37), (2, 0), (3, 501)], "sidx int, n bigint")
     rows = mixing.split_quotas(quotas, 4, 3).collect()
@@ -262,6 +268,7 @@ def test_jaccard(spark, docs, n, percent, monkeypatch):
         monkeypatch.setattr(jaccard_join, "GROUP_SIZE", 4)
         monkeypatch.setattr(jaccard_join, "QUERY_SIZE", 3)
         monkeypatch.setattr(jaccard_join, "DEMOTE_ABOVE", 2)
+        monkeypatch.setattr(jaccard_join, "MOST_BROADCAST_IDS", 0)
     own = [(d, t) for d, t, _ in docs][: 1000 if n > 2 else 300]
     frame = spark.createDataFrame(own, "doc_id bigint, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.jaccard_components(frame, words=n, percent=percent).collect()}
@@ -272,6 +279,8 @@ def test_jaccard(spark, docs, n, percent, monkeypatch):
 def test_lm_scoring(spark, docs, block, monkeypatch):
     monkeypatch.setattr(lm_scoring, "BLOCK_WORDS", block)
     monkeypatch.setattr(lm_scoring, "BUCKET_KEYS", 5000)
+    if block == 50:
+        monkeypatch.setattr(lm_scoring, "MOST_BROADCAST_IDS", 0)
     good = {d for d, _, _ in docs if d % 3 == 0}
     own = [(d, t) for d, t, _ in docs][: 200 if block > 50 else 30]
     frame = spark.createDataFrame(own, "doc_id bigint, text string")
