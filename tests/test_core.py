@@ -12,7 +12,7 @@ from lumenfold.functions import normalize as N
 from lumenfold.functions import privacy as P
 from lumenfold.functions import text as T
 from lumenfold.operators import documents, duplicates, lifecycle, security, snapshots
-from lumenfold.plans import catalogue
+from lumenfold.plans import catalogue, intake_queries, records_queries, value_queries  # noqa: F401, the others add to the first
 from lumenfold.sources import ocr, tables
 from lumenfold.streaming import metering as streaming
 
@@ -95,11 +95,11 @@ def test_snapshots(spark):
     assert [r.consumed_at for r in out.orderBy("id").collect()] == ["2024-01-01", "2020-01-01", None]
 
 
-def test_claim_reclaims(spark):
-    jobs = catalogue._jobs(spark)
-    now = F.lit("2024-01-01 00:30:00").cast("timestamp")
-    assert lifecycle.claim(jobs, "w", now, batch=99).where("status = 'running' and locked_by is null").count() > 0
-    assert lifecycle.claim(jobs.withColumn("locked_until", F.lit("2024-01-01").cast("timestamp")), "w", now, batch=99, reclaim_expired=True).where("status = 'running' and locked_by is null and run_after <= timestamp'2024-01-01 00:30:00'").count() == 0
+def test_claim_reclaims(spark, sf):
+    jobs = value_queries._jobs(spark, sf)
+    now = F.lit("2024-01-15 00:00:00").cast("timestamp")
+    assert lifecycle.claim(jobs, "w", now, batch=10_000).where("status = 'running' and locked_by is null").count() > 0
+    assert lifecycle.claim(jobs.withColumn("locked_until", F.lit("2024-01-01").cast("timestamp")), "w", now, batch=10_000, reclaim_expired=True).where("status = 'running' and locked_by is null and run_after <= timestamp'2024-01-15 00:00:00'").count() == 0
 
 
 def test_billing_admin_reads_no_customers(spark):
