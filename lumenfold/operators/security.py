@@ -35,5 +35,12 @@ def permissions(spark: SparkSession, owner: list[str]) -> DataFrame:
 
 
 def granted(members: DataFrame, matrix: DataFrame) -> DataFrame:
-    """(org, user_id, permission): the union over each active member's roles."""
-    return members.where("status = 'active'").join(F.broadcast(matrix), "role").select("org", "user_id", "permission").distinct()
+    """(org, user_id, permission): the union over each active member's roles.
+
+    A member's few roles are gathered, and become permissions afterwards: no shuffle or table of a task holds these.
+    """
+    roles = members.where("status = 'active'").groupBy("org", "user_id").agg(F.collect_set("role").alias("roles"))
+    by_role = matrix.where("role is not null").groupBy("role").agg(F.collect_set("permission").alias("own"))
+    by_role = by_role.agg(F.map_from_entries(F.collect_list(F.struct("role", "own"))).alias("by_role"))  # one row
+    own = F.transform("roles", lambda r: F.coalesce(F.try_element_at("by_role", r), F.array().cast("array<string>")))
+    return roles.join(F.broadcast(by_role)).select("org", "user_id", F.explode(F.array_distinct(F.flatten(own))).alias("permission"))
