@@ -35,7 +35,7 @@ def select_adapters(pages: DataFrame, patterns: DataFrame) -> DataFrame:
 def _jumped(chain: DataFrame) -> DataFrame:
     """chain: (slug, key, at, steps, root), at being the node that steps lead to, null beyond the root. One doubling: every pointer follows that of the node it points at."""
     ahead = chain.select("slug", F.col("key").alias("at"), F.col("at").alias("_at"), F.col("steps").alias("_steps"), F.col("root").alias("_root"))
-    going = chain.where("at is not null").join(ahead, ["slug", "at"])
+    going = chain.where("at is not null").join(ahead.hint("shuffle_merge"), ["slug", "at"])
     going = going.select("slug", "key", F.col("_at").alias("at"), (F.col("steps") + F.col("_steps")).alias("steps"), F.col("_root").alias("root"))
     return chain.where("at is null").unionByName(going)
 
@@ -65,22 +65,22 @@ def dependency_depths(fields: DataFrame) -> DataFrame:
     rows = fields.groupBy("slug", "key").agg(F.max("depends_on").alias("up")).where("key is not null")
     rows = rows.select(F.struct(F.isnull("slug").alias("none"), slug.alias("slug")).alias("slug"), "key", "up")
     known = rows.select("slug", F.col("key").alias("up"), F.lit(True).alias("known"))
-    parents = stored(rows.join(known, ["slug", "up"], "left").select("slug", "key", F.when(F.col("known"), F.col("up")).alias("up")))
+    parents = stored(rows.join(known.hint("shuffle_merge"), ["slug", "up"], "left").select("slug", "key", F.when(F.col("known"), F.col("up")).alias("up")))
     most = parents.groupBy("slug").count().agg(F.max("count")).head()[0] or 1
     chain = _walked(parents, most)
     depths, made = chain.where("at is null").select("slug", "key", "steps"), [parents, chain]
     if not chain.where("at is not null").isEmpty():
         # after as many steps as there are fields every pointer stands on a cycle, and every field of one is pointed at
         rings = stored(chain.where("at is not null").select("slug", F.col("at").alias("key")).distinct())
-        open_ = parents.join(chain.where("at is not null").select("slug", "key"), ["slug", "key"])
+        open_ = parents.join(chain.where("at is not null").select("slug", "key").hint("shuffle_merge"), ["slug", "key"])
         # a ring is cut before its least field: that field is as many steps from the root as the ring has others
-        least = _ring_least(parents.join(rings, ["slug", "key"]), most)
+        least = _ring_least(parents.join(rings.hint("shuffle_merge"), ["slug", "key"]), most)
         size = least.groupBy("slug", "least").agg(F.count("*").alias("size"))
-        sizes = stored(least.join(size, ["slug", "least"]).select("slug", "key", "size"))
+        sizes = stored(least.join(size.hint("shuffle_merge"), ["slug", "least"]).select("slug", "key", "size"))
         # from outside, the chain leads to its first field on the ring
-        cut = open_.join(sizes, ["slug", "key"], "left").select("slug", "key", F.when(F.col("size").isNull(), F.col("up")).alias("up"))
+        cut = open_.join(sizes.hint("shuffle_merge"), ["slug", "key"], "left").select("slug", "key", F.when(F.col("size").isNull(), F.col("up")).alias("up"))
         outside = _walked(cut, most + 1)
-        ended = outside.select("slug", "key", "root", F.col("steps").alias("s")).join(sizes.select("slug", F.col("key").alias("root"), "size"), ["slug", "root"])
+        ended = outside.select("slug", "key", "root", F.col("steps").alias("s")).join(sizes.select("slug", F.col("key").alias("root"), "size").hint("shuffle_merge"), ["slug", "root"])
         depths = depths.unionByName(ended.select("slug", "key", (F.col("s") + F.col("size") - 1).alias("steps")))
         made += [rings, least, sizes, outside]
     found = stored(depths.select(F.when(~F.col("slug.none"), F.col("slug.slug")).alias("slug"), "key", F.col("steps").cast("int").alias("depth")))
@@ -93,7 +93,7 @@ def _ring_least(ring: DataFrame, most: int) -> DataFrame:
     chain, reach = stored(ring.select("slug", "key", F.col("up").alias("at"), F.least("key", "up").alias("least"))), 1
     while reach < most:
         ahead = chain.select("slug", F.col("key").alias("at"), F.col("at").alias("_at"), F.col("least").alias("_least"))
-        before, chain = chain, stored(chain.join(ahead, ["slug", "at"]).select("slug", "key", F.col("_at").alias("at"), F.least("least", "_least").alias("least")))
+        before, chain = chain, stored(chain.join(ahead.hint("shuffle_merge"), ["slug", "at"]).select("slug", "key", F.col("_at").alias("at"), F.least("least", "_least").alias("least")))
         done = chain.select("slug", "key", "least").exceptAll(before.select("slug", "key", "least")).isEmpty()
         dropped(before)
         reach *= 2
