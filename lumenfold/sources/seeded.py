@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.json_text import let
+from .tables import spread
 
 # The generator's seed and step, and the words that records are made of.
 SEED, STEP = 20260101, 0x6D2B79F5
@@ -47,7 +48,7 @@ def draw(seed: Column, n: Column) -> Column:
 
 def records(numbers: DataFrame) -> DataFrame:
     """numbers: (number). The invented record of each number; the twelve-digit identifier's last digits are always zeros, and mobile numbers, codes and accounts are of ranges that nobody has."""
-    rows = numbers.withColumn("_r", F.transform(F.sequence(F.lit(1), F.lit(DRAWS)), lambda n: draw(F.col("number") + SEED, n)))
+    rows = spread(numbers, "number").withColumn("_r", F.transform(F.sequence(F.lit(1), F.lit(DRAWS)), lambda n: draw(F.col("number") + SEED, n)))
     below = lambda n, most: F.floor(F.get("_r", F.lit(n)) * most).cast("int")
     pick = lambda n, items: F.element_at(F.array(*map(F.lit, items)), below(n, len(items)) + 1)
     digits = lambda n, count: F.concat(*[below(i, 10).cast("string") for i in range(n, n + count)])
