@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import transforms
 from ..operators import mapping, records, tenancy
-from ..sources.tables import page_with_total, table
+from ..sources.tables import page_with_total, spread, table
 from .catalogue import registered
 
 
@@ -162,7 +162,8 @@ SELECT user_id AS org, event_id AS entity_id, event_type AS action, CASE event_t
 def q_audit(spark, sf_dir):
     """Audit rows: sensitivity by the catalogue, secrets redacted at every depth."""
     meta = F.to_json(F.struct(F.col("event_id").alias("k"), F.col("event_type").alias("password"), F.array(F.struct(F.col("user_id").alias("token"), F.lit(True).alias("v"))).alias("in")))
-    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("org"), F.lit("u").alias("actor"), F.col("event_type").alias("action"), F.lit("event").alias("entity_type"), F.col("event_id").alias("entity_id"), meta.alias("metadata"))
+    events = spread(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type"), "event_id")
+    rows = events.select(F.col("user_id").alias("org"), F.lit("u").alias("actor"), F.col("event_type").alias("action"), F.lit("event").alias("entity_type"), F.col("event_id").alias("entity_id"), meta.alias("metadata"))
     actions = spark.createDataFrame([("purchase", "sensitive"), ("error", "high")], "action string, sensitivity string")
     return records.audit_rows(rows, actions, F.lit("2024-01-01").cast("timestamp")).select("org", "entity_id", "action", "sensitivity", "metadata")
 
