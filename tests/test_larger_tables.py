@@ -4,6 +4,9 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from lumenfold.functions.normalize import BLANKS
+from lumenfold.functions.text import pasted_lines
+from lumenfold.operators import forms, runs, security
 from lumenfold.plans import catalogue, intake_queries, records_queries, value_queries  # noqa: F401, the others add to the first
 
 
@@ -31,3 +34,54 @@ def test_page_fields_of_other_references(spark, tmp_path, heading):
     html = f"<html><body><main><article><h1>{heading}</h1><p>t</p></article></main><footer>f</footer></body></html>"
     spark.createDataFrame([(n, "http://x", html) for n in range(4)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     same_as_sql(spark, tmp_path, "q_page_fields")
+
+
+def single_file(spark, folder, name, columns):
+    """A table of one file, which one task reads."""
+    spark.range(600).coalesce(1).select(*columns).write.parquet(f"{folder}/{name}.parquet")
+
+
+def tasks(df):
+    return df.rdd.getNumPartitions()
+
+
+@pytest.mark.parametrize("name", ["q_pasted_runs", "q_pasted_fields"])
+def test_pasted_texts_of_one_file(spark, tmp_path, monkeypatch, name):
+    single_file(spark, tmp_path, "customer", [F.col("id").alias("c_custkey"), F.format_string("Customer#%d", "id").alias("c_name"), F.lit("BUILDING").alias("c_mktsegment")])
+    kept, stored = [], runs.stored
+    monkeypatch.setattr(runs, "stored", lambda df: kept.append(tasks(df)) or stored(df))
+    same_as_sql(spark, tmp_path, name)
+    assert min(kept) > 1, "all texts in one task"
+
+
+def test_blank_lines_are_cut_at_once(spark):
+    texts = ["a: 1\n\n \r\n \nb\t\n", "\n \n", "", " x \n\n", "a\r\rb , c: d", "​\n﻿q　\n"]
+    own = [[x.strip(BLANKS) for x in t.replace("​", "").replace("﻿", "").replace("\r\n", "\n").replace("\r", "\n").split("\n")] for t in texts]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n int, t string").select("n", pasted_lines(F.col("t"), None).alias("x")).orderBy("n").collect()
+    want = [[y for y in x if y] for x in own]
+    want[4] = ["a", "b", "c: d"]
+    assert [r.x for r in rows] == want
+
+
+def test_wide_rows_are_made_in_many_tasks(spark, tmp_path):
+    key = F.col("id")
+    single_file(spark, tmp_path, "customer", [key.alias("c_custkey"), F.lit("n").alias("c_name"), F.lit("m").alias("c_mktsegment")])
+    single_file(spark, tmp_path, "events", [key.alias("event_id"), key.alias("user_id"), F.lit("click").alias("event_type"), F.lit('{"k": 1}').alias("props")])
+    for name in ("q_seeded_records", "q_audit", "q_redact_json"):
+        assert tasks(catalogue.queries()[name](spark, str(tmp_path))) > 1, name
+
+
+def test_permissions_are_not_shuffled(spark):
+    members = spark.createDataFrame([(1, 1, "owner", "active"), (1, 1, "viewer", "active"), (1, 2, "guest", "active"), (None, 3, "viewer", "active"), (2, 1, "owner", "suspended")], "org int, user_id int, role string, status string")
+    out = security.granted(members, security.permissions(spark, security.MANAGER))
+    assert {(r.org, r.user_id) for r in out.collect()} == {(1, 1), (None, 3)}
+    assert out.where("org = 1").count() == len(set(security.MANAGER)) and out.where("org is null").count() == len(security.VIEWER)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "permission" not in [line for line in plan.splitlines() if "Aggregate" in line][0]
+
+
+def test_dependency_depths_send_no_table_to_the_driver(spark):
+    chain = spark.range(64).select(F.lit("s").alias("slug"), F.col("id").alias("key"), (F.col("id") - 1).alias("depends_on"))
+    parents = chain.select("slug", "key", F.when(F.col("key") > 0, F.col("depends_on")).alias("at"), F.lit(1).alias("steps"), F.lit(0).alias("root"))
+    assert "BroadcastHashJoin" not in forms._jumped(parents)._jdf.queryExecution().executedPlan().toString()
+    assert {r.key: r.depth for r in forms.dependency_depths(chain).collect()} == {n: n for n in range(64)}
