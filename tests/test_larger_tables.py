@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions.normalize import BLANKS
 from lumenfold.functions.text import pasted_lines
-from lumenfold.operators import forms, runs, security
+from lumenfold.operators import duplicates, forms, runs, security
 from lumenfold.plans import catalogue, intake_queries, records_queries, value_queries  # noqa: F401, the others add to the first
 
 
@@ -85,3 +85,17 @@ def test_dependency_depths_send_no_table_to_the_driver(spark):
     parents = chain.select("slug", "key", F.when(F.col("key") > 0, F.col("depends_on")).alias("at"), F.lit(1).alias("steps"), F.lit(0).alias("root"))
     assert "BroadcastHashJoin" not in forms._jumped(parents)._jdf.queryExecution().executedPlan().toString()
     assert {r.key: r.depth for r in forms.dependency_depths(chain).collect()} == {n: n for n in range(64)}
+
+
+RECORDS = "id long, full_name string, mobile string, date_of_birth string, father_name string, district string"
+
+
+def records(spark, n):
+    return spark.range(n).selectExpr("id", "concat('amit kumar', if(id % 3 = 0, ' lal', ''))", "if(id % 4 = 0, '9876543210', null)", "'1990'", "if(id % 2 = 0, 'ramesh', 'sunil')", "'Gaya'").toDF(*[c.split()[0] for c in RECORDS.split(", ")])
+
+
+def test_pairs_of_alike_names_compare_no_texts(spark):
+    rows = records(spark, 12)
+    plan = duplicates.find(rows, rows)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    by_name = plan[: next(i for i, line in enumerate(plan) if line.startswith("+- "))]
+    assert "Join" in "".join(by_name) and "levenshtein" not in "".join(by_name)
