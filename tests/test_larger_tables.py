@@ -99,3 +99,13 @@ def test_pairs_of_alike_names_compare_no_texts(spark):
     plan = duplicates.find(rows, rows)._jdf.queryExecution().optimizedPlan().toString().splitlines()
     by_name = plan[: next(i for i, line in enumerate(plan) if line.startswith("+- "))]
     assert "Join" in "".join(by_name) and "levenshtein" not in "".join(by_name)
+
+
+def test_pairs_of_batches_are_not_stored(spark, tmp_path, monkeypatch):
+    rows, kept, stored = records(spark, 12), [], duplicates.stored
+    monkeypatch.setattr(duplicates, "stored", lambda df: kept.append(df.columns) or stored(df))
+    index = duplicates.DuplicateIndex(spark, str(tmp_path / "index"))
+    first, second = (index.add(rows.where(f"id % 2 = {i}")) for i in range(2))
+    assert kept and not any("subject_id" in c for c in kept)
+    pairs = {(r.subject_id, r.candidate_id) for r in first.unionByName(second).collect()}
+    assert pairs == {(x, y) for x in range(12) for y in range(12) if x != y}
