@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions.normalize import BLANKS
 from lumenfold.functions.text import pasted_lines
-from lumenfold.operators import duplicates, forms, runs, security
+from lumenfold.operators import duplicates, forms, runs, search, security
 from lumenfold.plans import catalogue, intake_queries, records_queries, value_queries  # noqa: F401, the others add to the first
 
 
@@ -109,3 +109,16 @@ def test_pairs_of_batches_are_not_stored(spark, tmp_path, monkeypatch):
     assert kept and not any("subject_id" in c for c in kept)
     pairs = {(r.subject_id, r.candidate_id) for r in first.unionByName(second).collect()}
     assert pairs == {(x, y) for x in range(12) for y in range(12) if x != y}
+
+
+def test_queries_of_one_text_are_searched_once(spark, monkeypatch):
+    people = spark.range(40).selectExpr("id", "concat('amit kumar', id % 3) full_name", "concat('C', id) customer_code", "timestamp'2024-01-01' created_at")
+    index, kept, stored = search.search_index(people), [], search.stored
+    monkeypatch.setattr(search, "stored", lambda df: kept.append(stored(df)) or kept[-1])
+    asked = spark.createDataFrame([(n, ["Amit", " amit ", "AMIT", "kumar1", ""][n % 5]) for n in range(50)], "query_id int, text string")
+    found = {}
+    for r in search.search_batch(index, asked, 7).collect():
+        found.setdefault(r.query_id % 5 if r.query_id % 5 > 2 else 0, {}).setdefault(r.query_id, set()).add((r.place, r.id, r["rank"]))
+    assert kept[0].count() == 2, "one row a text"
+    assert [len(found[k]) for k in (0, 3, 4)] == [30, 10, 10]
+    assert all(len(set(map(frozenset, f.values()))) == 1 and len(next(iter(f.values()))) == 7 for f in found.values())
