@@ -32,7 +32,7 @@ class WordIds:
         self.forget()
 
     def forget(self) -> None:
-        self.keys, self.begin, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.keys, self.begin, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
 
     def plain(self, units: list[bytes]) -> list[np.ndarray]:
@@ -60,6 +60,7 @@ class WordIds:
         return order + rest, [*counts, np.fromiter(map(len, alone), np.int64, len(alone))], flat + alone
 
     def _learn(self, keys: np.ndarray, units: list[bytes], joinable: np.ndarray) -> None:
+        """Remember units by their keys, which ascend and are new; they are put in their places, one array after another."""
         order, counts, ids = self._ids(units, joinable)
         count, flat = np.concatenate(counts), np.concatenate(ids)
         if self.used + len(flat) > len(self.pool):
@@ -67,9 +68,10 @@ class WordIds:
         begin = self.used + np.cumsum(count) - count
         self.pool[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
-        all_keys = np.concatenate([self.keys, keys[order]])
-        order = np.argsort(all_keys, kind="stable")
-        self.keys, self.begin, self.count = all_keys[order], np.concatenate([self.begin, begin])[order], np.concatenate([self.count, count])[order]
+        order, at = np.argsort(order), np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, at, keys)
+        self.begin = np.insert(self.begin, at, begin[order])
+        self.count = np.insert(self.count, at, count[order])
 
     def _known(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where each of keys stands among the known units, and whether it does."""
