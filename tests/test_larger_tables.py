@@ -122,3 +122,29 @@ def test_queries_of_one_text_are_searched_once(spark, monkeypatch):
     assert kept[0].count() == 2, "one row a text"
     assert [len(found[k]) for k in (0, 3, 4)] == [30, 10, 10]
     assert all(len(set(map(frozenset, f.values()))) == 1 and len(next(iter(f.values()))) == 7 for f in found.values())
+
+
+def test_pairs_of_one_name_take_few_rows_dealt(spark, tmp_path, monkeypatch):
+    """What a name asks and offers is dealt out, each of more than MOST rows: rows are repeated by the other side's deals alone, and those met before are dealt once."""
+    monkeypatch.setattr(duplicates, "MOST", 16)
+    rows = spark.range(60).selectExpr("id", "'amit kumar' full_name", "if(id % 5 = 0, '9876543210', null) mobile", "if(id % 2 = 0, '1990', '1991') date_of_birth", "if(id % 3 = 0, 'ramesh', 'sunil') father_name", "'' district")
+    kept, met = [], duplicates._met
+
+    def dealt(asked, offered):
+        kept.append((asked.count(), offered.count(), met(asked, offered)))
+        return kept[-1][-1]
+
+    monkeypatch.setattr(duplicates, "_met", dealt)
+    want = {(x, y): ((x % 5 == 0 == y % 5, x % 2 == y % 2, (x % 3 == 0) == (y % 3 == 0))) for x in range(60) for y in range(60) if x != y}
+    score = lambda mobile, born, father: 0.97 if mobile else 0.95 if born else 0.88 if father else 0.65
+    got = {(r.subject_id, r.candidate_id): r.score for r in duplicates.find(rows, rows).collect()}
+    assert got == {ids: score(*rules) for ids, rules in want.items()}
+    by_name = kept[0][-1].where("kind = 0")
+    assert by_name.count() == 60 * 60 and by_name.select("part").distinct().count() > 9
+    kept.clear()
+    index = duplicates.DuplicateIndex(spark, str(tmp_path / "index"))
+    found = [index.add(rows.where(f"id % 2 = {i}")) for i in range(2)]
+    again = {(r.subject_id, r.candidate_id): r.score for r in found[0].unionByName(found[1]).collect()}
+    assert again == got
+    asked, offered, _ = kept[2]
+    assert (asked, offered) == (30, 60 * 4), "each record offers its name, and that with its district, birth date and father, once"
