@@ -178,6 +178,34 @@ def test_graph_shards(spark):
     assert hit / 300 >= 0.9
 
 
+def test_shards_grow_instead_of_becoming_more(spark, monkeypatch):
+    """Every query is searched for in every shard, so their number must not follow the rows."""
+    x = np.random.default_rng(4).normal(size=(3000, 16))
+    frame = spark.createDataFrame([(i, x[i].tolist()) for i in range(3000)], "vec_id bigint, embedding array<double>")
+    shards, table = [], vector_graph.table
+    monkeypatch.setattr(vector_graph, "table", lambda df: (made := table(df), "shard" in df.columns and shards.append(made.count()))[0])
+    rows = vector_graph.nearest(frame, F.col("vec_id") % 100 == 0, k=10, shard_nodes=30).toPandas()
+    assert shards == [vector_graph.SHARDS]
+    hit = 0
+    for q in range(0, 3000, 100):
+        d = ((x - x[q]) ** 2).sum(1)
+        hit += len({i for _, i in sorted((d[i], i) for i in range(3000) if i != q)[:10]} & set(rows[rows["query_id"] == q]["vec_id"]))
+    assert hit / 300 >= 0.9
+
+
+def test_recall_of_a_grown_shard():
+    points = np.random.default_rng(6).normal(size=(12_000, 64)).astype(np.float32)
+    graph, entry = vector_graph.build_graph(points)
+    own = np.arange(0, len(points), 100)
+    found, _ = vector_graph.beam_search(points, graph, entry, points[own], vector_graph.search_beam(len(points)))
+    hit = 0
+    for i, row in zip(own, found.tolist(), strict=True):
+        d = ((points - points[i]) ** 2).sum(1)
+        d[i] = np.inf
+        hit += len(set(np.argsort(d)[:10].tolist()) & set([y for y in row if y != i][:10]))
+    assert hit / (10 * len(own)) >= 0.9
+
+
 @pytest.mark.parametrize("dim", [128, 256])
 def test_recall_of_a_whole_shard(dim):
     rng = np.random.default_rng(dim)
