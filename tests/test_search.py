@@ -53,3 +53,14 @@ def test_a_batch_scans_no_customers_for_each_query(spark):
     plan = search.search_batch(index, spark.createDataFrame([(1, "amit")], "query_id int, text string"))._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert search.search_batch(search.search_index(people(spark).limit(0)), spark.createDataFrame([(1, "amit"), (2, None)], "query_id int, text string")).count() == 0
+
+
+def test_names_that_share_too_few_rare_trigrams_are_not_compared(spark):
+    rows = spark.createDataFrame([(14, 14, 1), (14, 14, 2), (14, 14, 3), (4, 13, 3), (4, 13, 1), (1, 1, 1)], "x int, y int, shared int")
+    got = rows.withColumn("may", search._may_be_similar(F.col("shared"), F.col("x"), F.col("y"))).collect()
+    # of 14 the four most frequent are left out, of 13 three: 3 + 4 of 28 reach 0.3, 2 + 4 of them do not
+    assert [r.may for r in got] == [False, False, True, True, True, True]
+    people = spark.range(300).selectExpr("id", "concat(chr(97 + id % 7), 'mit ', chr(97 + id % 11), 'umar', id % 5) full_name", "concat('C', id) customer_code", "timestamp'2024-01-01' created_at")
+    index = search.search_index(people)
+    found = {r.id for r in search.search_batch(index, spark.createDataFrame([(1, "amit kumar1")], "query_id int, text string"), 300).collect()}
+    assert found == {r.id for r in search.ranked(people.withColumn("mobile", F.lit(None).cast("string")), "amit kumar1").collect()}
